@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "mixing", "pii"]
+MODULES = ["quality_rules", "mixing", "pii", "ngram_join"]
 
 
 def _collect(attribute: str) -> dict:
