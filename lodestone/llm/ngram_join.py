@@ -2,17 +2,17 @@
 
 A document's set is its distinct 5-word shingles; documents link when 100 * |A & B| >= 75 * |A | B|.
 
-1. `sketch`: one pass yields each document's size and class id (hash of the whole set; equal sets are
-   one class from here on) and the shingles that are frequent within an input split.
+1. `sketch`: one pass yields each document's size, class id (hash of the whole set; equal sets are
+   one class from here on) and count vector (shingles by `GROUPS` hash groups), and the shingles that are frequent within an input split.
 2. `blocks`: shingles are ordered by rarity (unlisted ones first, then the `FREQUENT` most frequent
    by count). Sets that link share a shingle among the first s - ceil(0.75 s) + 1, so classes meet in
    blocks by those shingles only. Blocks with equal members are one block. A shingle held by more than
    `TILE` documents is dealt out as pairs of tiles, so no block outgrows a task.
-3. Each block links its members to one hub (pairs are verified on whole sets). Where members still
-   lie in different components, the shingles' groups are counted (`GROUPS` coordinates), the counts are
-   bulk-loaded into an R-tree, and pairs from different components whose bound (the summed coordinate
-   minima) reaches the overlap needed are verified as well. The bound never underestimates, so no
-   link between components is lost.
+3. Each block pairs its members with one hub; pairs whose bound (the summed coordinate minima of
+   their count vectors) reaches the overlap needed are verified on whole sets and joined into
+   components. Where a block's members still lie in different components, their count vectors are
+   bulk-loaded into an R-tree, and the pairs from different components that its bounds let through are
+   verified as well. The bound never underestimates, so no link between components is lost.
 4. Verified links are joined into components; copies follow their class.
 
 Hot blocks are tiled, group copies are collapsed before any pair, joins are left to adaptive skew
@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import components, materialize, shuffle_parts, table
-from lodestone.llm._text import WordHashes, shingles, words_of
+from lodestone.llm._text import shingle_sets
 
-FREQUENT, TILE, GROUPS, LEAF = 1 << 18, 4096, 64, 32
+FREQUENT, TILE, LEAF, GROUP_BITS = 1 << 18, 4096, 32, 6
+GROUPS = 1 << GROUP_BITS
 #: Log2 of the bits of the class bitmap (4 MB).
 BITMAP = 25
 
@@ -46,13 +47,26 @@ def class_id(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
+def group_counts(s: np.ndarray) -> bytes:
+    """The set's point: shingles by hash group. Groups are `GROUPS` times the power of two that keeps
+    about 8 shingles in each, so the bound stays sharp for long texts; coarser points are sums of finer."""
+    bits = GROUP_BITS + max(0, (len(s) // (8 * GROUPS)).bit_length())
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32).tobytes()
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed coordinate minima at the finest grouping that both points have."""
+    g = min(len(x), len(y))
+    return int(np.minimum(x.reshape(g, -1).sum(1), y.reshape(g, -1).sum(1)).sum())
+
+
 def prefix_length(n: int) -> int:
     return n - (75 * n + 99) // 100 + 1
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, n, class); kind 1: (null, count, shingle) for shingles in 4 or more documents of the split."""
-    hashes, held, size = WordHashes(), [], 0
+    held, size = [], 0
     counted: dict[int, int] = {}
 
     def count() -> None:
@@ -64,20 +78,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
     for b in batches:
-        ids, n, cls = b.column(0), [], []
-        for text in b.column(1).to_pylist():
-            s = shingles(words_of(text), hashes)
+        ids, n, cls, counts = b.column(0), [], [], []
+        for s in shingle_sets(b.column(1)):
             n.append(len(s))
             cls.append(class_id(s) if len(s) else None)
+            counts.append(group_counts(s) if len(s) else None)
             held.append(s)
             size += len(s)
             if size > 2_000_000:
                 count()
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["kind", "doc_id", "n", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(counts, pa.binary())], ["kind", "doc_id", "n", "h", "counts"])
     count()
     if counted:
         k = len(counted)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(counted.values()), pa.int64()), pa.array(list(counted), pa.int64())], ["kind", "doc_id", "n", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(counted.values()), pa.int64()), pa.array(list(counted), pa.int64()), pa.nulls(k, pa.binary())], ["kind", "doc_id", "n", "h", "counts"])
 
 
 class _Prefixes:
@@ -88,11 +102,9 @@ class _Prefixes:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = self.frequent.value
-        hashes = WordHashes()
         for b in batches:
             keys, owners = [], []
-            for text in b.column(0).to_pylist():
-                s = shingles(words_of(text), hashes)
+            for s in shingle_sets(b.column(0)):
                 if not len(s):
                     continue
                 cls = class_id(s)
@@ -147,28 +159,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """(cls, n, counts, items) of the classes whose bit is set, once per split."""
+    """(cls, n, items) of the classes whose bit is set, once per split."""
 
     def __init__(self, bitmap):
         self.bitmap = bitmap
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, seen = self.bitmap.value, WordHashes(), set()
+        bits, seen = self.bitmap.value, set()
         for b in batches:
             out = []
-            for text in b.column(0).to_pylist():
-                s = shingles(words_of(text), hashes)
+            for s in shingle_sets(b.column(0)):
                 if not len(s):
                     continue
                 cls = class_id(s)
                 slot = cls & ((1 << BITMAP) - 1)
                 if cls not in seen and bits[slot >> 3] >> (slot & 7) & 1:
                     seen.add(cls)
-                    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
-                    out.append((cls, len(s), counts.tobytes(), s.view(np.int64)))
+                    out.append((cls, len(s), s.view(np.int64)))
             if out:
-                cls, n, counts, items = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["cls", "n", "counts", "items"])
+                cls, n, items = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["cls", "n", "items"])
 
 
 def bitmap_of(values: DataFrame, spark: SparkSession):
@@ -222,9 +232,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(rows: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(rows)
         cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n", "comp"))
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32).reshape(len(n), GROUPS)
-        p = RTree(counts, n).pairs()
+        fine = [np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()]
+        p = RTree(np.stack([x.reshape(GROUPS, -1).sum(1) for x in fine]), n).pairs()
         p = p[comp[p[:, 0]] != comp[p[:, 1]]]
+        p = p[np.fromiter((7 * overlap_bound(fine[i], fine[j]) >= 3 * (n[i] + n[j]) for i, j in p.tolist()), bool, len(p))]
         if len(p):
             x, y = cls[p[:, 0]], cls[p[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
@@ -245,18 +256,39 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    x, y = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, na, nb, ca, cb) whose overlap bound reaches what a link needs."""
+    for b in batches:
+        if b.num_rows:
+            need = 3 * (b.column(2).to_numpy() + b.column(3).to_numpy())
+            bound = [overlap_bound(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)) for x, y in zip(b.column(4), b.column(5))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(7 * np.array(bound) >= need))
+
+
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded, "a long, b long")
+
+
+def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their classes, which are made again from the texts."""
+    spark = text.sparkSession
+    pairs = materialize(pairs, "ngram-pairs")
+    if pairs.isEmpty():
+        return pairs
+    bitmap = bitmap_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), spark)
+    sets = materialize(text.mapInArrow(_Sets(bitmap), "cls long, n long, items array<long>"), "ngram-sets")
+    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}"))
     common = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(x, "a").join(y, "b").where(7 * common >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(7 * common >= 3 * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "ngram-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
     spark = docs.sparkSession
     text = docs.select("text")
-    sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "kind int, doc_id long, n long, h long"), "ngram-sketch")
+    sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "kind int, doc_id long, n long, h long, counts binary"), "ngram-sketch")
     rows = sketched.where("kind = 0").select("doc_id", "n", F.col("h").alias("cls"))
     top = sketched.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     known = top["h"].to_numpy(np.int64).view(np.uint64)
@@ -266,21 +298,20 @@ def link(docs: DataFrame) -> DataFrame:
     parts = max(shuffle_parts(spark), int(total * 0.26 / 1_000_000) + 1)
     postings = text.mapInArrow(_Prefixes(frequent), "key long, cls long").repartition(parts, "key")
     blocks = materialize(postings.mapInArrow(_meet, "block long, cls long").distinct(), "ngram-blocks")
-    bitmap = bitmap_of(blocks.select("cls").distinct(), spark)
     members = blocks.select("cls").distinct()
-    sets = text.mapInArrow(_Sets(bitmap), "cls long, n long, counts binary, items array<long>").join(members, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = materialize(sets, "ngram-sets")
+    points = sketched.where("kind = 0").select(F.col("h").alias("cls"), "n", "counts").join(members, "cls", "left_semi").dropDuplicates(["cls"])
+    points = materialize(points, "ngram-points")
 
-    hub = blocks.groupBy("block").agg(F.min(F.struct(F.xxhash64("block", "cls").alias("x"), F.col("cls").alias("hub"))).alias("h"), F.count("*").alias("m"))
-    stars = blocks.join(hub, "block").where("cls <> h.hub").select(F.greatest("cls", "h.hub").alias("a"), F.least("cls", "h.hub").alias("b")).distinct()
-    first = materialize(verified(stars, sets), "ngram-links")
+    hub = blocks.groupBy("block").agg(F.min("cls").alias("hub"), F.count("*").alias("m"))
+    stars = blocks.join(hub, "block").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    first = verified(bounded(stars, points), text)
     comp = components(first, "ngram")
 
     labelled = blocks.join(hub.where("m > 2").select("block"), "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
     open_blocks = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("block")
-    points = labelled.join(open_blocks, "block").join(sets.select("cls", "n", "counts"), "cls").select("block", "cls", "n", "counts", "comp")
-    found = points.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_search, "a long, b long").distinct()
-    second = materialize(verified(found, sets), "ngram-links")
+    left = labelled.join(open_blocks, "block").join(points, "cls").select("block", "cls", "n", "counts", "comp")
+    found = left.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_search, "a long, b long").distinct()
+    second = verified(found.join(stars, ["a", "b"], "left_anti"), text)
     if not second.isEmpty():
         comp = components(first.unionByName(second), "ngram")
 
