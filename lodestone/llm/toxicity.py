@@ -1,14 +1,14 @@
 """Operator 4, toxicity: maximum-scoring segments over token log-odds.
 
 Training reads the labelled rows outside the held-out fold, at most `TRAIN_DOCS` of them (those with
-the smallest hashes; a documented bound). Tokens are words without outer punctuation, lower-cased, and
+the smallest hashes; a documented bound), of which rows that share one of three minimal shingle hashes
+count once, so groups of copies don't teach their topic. Tokens are words without outer punctuation, lower-cased, and
 the first 5 and 6 letters of longer words. A token's weight is its log-odds between toxic and other
-documents under a Dirichlet prior proportional to its overall frequency, kept where its z-score
-reaches `Z` (at most `TOKENS` tokens). Scoring is one linear scan a document that finds all maximal
+documents under a Dirichlet prior proportional to its overall frequency, kept where the root of
+its likelihood-ratio statistic reaches `Z` (at most `TOKENS` tokens). Scoring is one linear scan a document that finds all maximal
 scoring segments; everything else scores `DRIFT`, so segments end. The best segments of
-non-toxic training documents follow an extreme-value law with parameters lambda and K fitted by
-moments; a document's evidence is the sum over its segments of their normalised scores, and a logistic
-curve fitted on the training rows turns it into a probability.
+non-toxic training documents follow an extreme-value law with parameters lambda and K; a
+document's evidence is the sum statistic of its best segments under that law, and a logistic curve fitted on the training rows turns it into a probability.
 
 Defined results: null or empty texts get the score of a text without segments; repeated rows are
 scored alike; without labels of both kinds every score is the base rate; an empty table gives an
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import materialize, table
+from lodestone.llm._text import mixed, shingle_sets
 
-TRAIN_DOCS, TOKENS, Z, DRIFT, PRIOR_WORDS, CUT = 30_000, 200_000, 3.0, -0.6, 500.0, 0.3
+TRAIN_DOCS, TOKENS, Z, DRIFT, PRIOR_DOCS, CUT = 30_000, 200_000, 4.5, -0.6, 10.0, 0.3
 PUNCTUATION = ".,;:!?\"'()[]{}*$%&#|<>-_"
 
 
@@ -89,27 +90,39 @@ class Model:
         return segments(np.fromiter(map(self.weight, w), float, len(w)))
 
     def evidence(self, text: str | None) -> tuple[float, float]:
-        """Best segment score, and the sum of normalised scores of the segments that chance doesn't explain."""
-        found = [s for _, _, s in self.passages(text)]
-        n = len(words(text)) or 1
-        normal = [self.lam * s - math.log(self.k * n) for s in found]
-        return max(found, default=0.0), sum(x for x in normal if x > 0) + 0.1 * min(max(normal, default=-10.0), 0.0)
+        """Best segment score, and the evidence that the best segments together aren't chance.
+
+        For the r best segments, T = lambda * (their sum) - r ln(K n) + ln r! has the tail
+        exp(-T) T^(r-1) / (r! (r-1)!) (Karlin and Altschul's sum statistic); the evidence is the
+        largest -ln of that tail over r, or T itself where it is negative.
+        """
+        found = sorted((s for _, _, s in self.passages(text)), reverse=True)
+        size = math.log(self.k * (len(words(text)) or 1))
+        best, total = -5.0, 0.0
+        for r, s in enumerate(found, 1):
+            total += self.lam * s - size
+            t = total + math.lgamma(r + 1)
+            best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r) if t > 1 else min(t, 0.0))
+        return (found[0] if found else 0.0), best
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * self.evidence(text)[1]))))
 
 
 def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[str, float]:
-    """Token -> log-odds of its share of toxic against other documents, under a Dirichlet prior; z >= Z only."""
-    rest = (docs[0] + docs[1]) or 1
+    """Token -> log-odds of its share of toxic against other documents, under a Dirichlet prior; those whose
+    likelihood ratio against equal shares has a signed root of `Z` or more."""
+    every = (docs[0] + docs[1]) or 1
     out = {}
     for t, (yes, no) in counts.items():
-        p = (yes + no) / rest
-        a1, a0 = 0.02 * PRIOR_WORDS * p + 0.01, 0.02 * PRIOR_WORDS * p + 0.01
-        l1 = math.log((yes + a1) / (docs[0] + 0.02 * PRIOR_WORDS - yes + 1))
-        l0 = math.log((no + a0) / (docs[1] + 0.02 * PRIOR_WORDS - no + 1))
-        if abs(l1 - l0) / math.sqrt(1 / (yes + a1) + 1 / (no + a0)) >= Z:
-            out[t] = l1 - l0
+        prior = PRIOR_DOCS * (yes + no) / every + 0.01
+        toxic = math.log((yes + prior) / (docs[0] + PRIOR_DOCS - yes + 1))
+        other = math.log((no + prior) / (docs[1] + PRIOR_DOCS - no + 1))
+        cells = ((yes, docs[0]), (no, docs[1]), (docs[0] - yes, docs[0]), (docs[1] - no, docs[1]))
+        share = (yes + no) / every
+        g = 2 * sum(o * math.log(o / (n * q)) for (o, n), q in zip(cells, (share, share, 1 - share, 1 - share)) if o > 0 and q > 0)
+        if g >= Z * Z:
+            out[t] = toxic - other
     return dict(sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:TOKENS])
 
 
@@ -125,6 +138,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(cols, ["token", "yes", "no"])
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        low = np.zeros((3, b.num_rows), np.uint64)
+        for i, s in enumerate(shingle_sets(b.column(0))):
+            if len(s):
+                low[:, i] = [mixed(s * np.uint64(k)).min() for k in (3, 5, 7)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x.view(np.int64)) for x in low)], ["text", "label", "s0", "s1", "s2"])
+
+
 def _measure(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = box.value
@@ -142,7 +164,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     rows = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold != 2).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("long")), "toxic-train")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("long"))
+    sample = materialize(sample.mapInArrow(_signed, "text string, label long, s0 long, s1 long, s2 long"), "toxic-train")
+    kept = sample.select("label", "s0", "s1", "s2", F.xxhash64("text").alias("h"))
+    for s in ("s0", "s1", "s2"):
+        kept = kept.groupBy(s).agg(F.min(F.struct("h", "label", "s0", "s1", "s2")).alias("x")).select("x.*")
+    sample = materialize(sample.withColumn("h", F.xxhash64("text")).join(F.broadcast(kept.select("h").distinct()), "h").dropDuplicates(["h"]).select("text", "label"), "toxic-train")
     counts = sample.repartition(8).mapInArrow(_count, "token string, yes long, no long").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     n = counts.where("token = ''").first()
     yes, no = (n["yes"], n["no"]) if n else (0, 0)
@@ -153,28 +180,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     got = counts.where("token <> '' AND yes + no >= 4").toPandas()
     model = Model(log_odds({t: (int(y), int(x)) for t, y, x in zip(got["token"], got["yes"], got["no"], strict=True)}, (yes, no)))
     measured = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, best double, evidence double").toPandas()
-    null = measured[(measured["label"] == 0) & (measured["best"] > 0)]
-    if len(null) > 10 and null["best"].std() > 0:
-        model.lam = math.pi / math.sqrt(6) / float(null["best"].std())
-        model.k = math.exp(float((model.lam * null["best"] - np.log(null["n"])).mean()) - 0.5772156649)
+    null = measured[measured["label"] == 0]
+    model.lam, model.k = extreme_value(null["best"].to_numpy(), null["n"].to_numpy())
     measured = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, best double, evidence double").toPandas()
     model.a, model.b = logistic(measured["evidence"].to_numpy(), measured["label"].to_numpy(float))
     return model
 
 
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and K of the best segments of texts of n words that aren't toxic, from quartiles, as
+    mislabelled texts would carry moments away; lambda within 0.2 and 3."""
+    if not len(best):
+        return 1.0, 0.01
+    low, high = np.quantile(best, [0.25, 0.75])
+    lam = float(min(max(1.5725 / max(high - low, 0.5), 0.2), 3.0))
+    return lam, math.exp(float(np.median(lam * best - np.log(np.maximum(n, 1)))) - 0.3665)
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """One-variable logistic regression by Newton steps with a small ridge; the slope isn't negative."""
-    order = np.argsort(x, kind="stable")
+    order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    w = np.array([0.0, 0.1])
-    f = np.stack([np.ones_like(x), x])
-    for _ in range(50):
+    mid, wide = float(x.mean()), float(x.std()) or 1.0
+    f = np.stack([np.ones_like(x), (x - mid) / wide])
+    w = np.array([math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(w @ f, -30, 30)))
-        grad = f @ (p - y) + 1e-3 * w
-        hess = (f * (p * (1 - p))) @ f.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-    return float(w[0]), max(float(w[1]), 0.0)
+        hess = (f * (p * (1 - p))) @ f.T + 1e-2 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hess, f @ (p - y) + 1e-2 * w), -1, 1)
+    slope = max(float(w[1]) / wide, 0.0)
+    return float(w[0]) - slope * mid, slope
 
 
 def _score(box):
