@@ -48,16 +48,24 @@ def class_id(s: np.ndarray) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """The set's point: shingles by hash group. Groups are `GROUPS` times the power of two that keeps
-    about 8 shingles in each, so the bound stays sharp for long texts; coarser points are sums of finer."""
-    bits = GROUP_BITS + max(0, (len(s) // (8 * GROUPS)).bit_length())
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32).tobytes()
+    """The set's point: shingles by hash group, one byte each. Groups are `GROUPS` times the power of two
+    that keeps one or two shingles in each, so the bound is sharp for texts of any length; coarser points
+    are sums of finer. A count over 254 is written as 255 and read as "any number"."""
+    bits = max(GROUP_BITS, len(s).bit_length() - 1)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+def point(counts: bytes, groups: int) -> np.ndarray:
+    """The point at a coarser grouping."""
+    x = np.frombuffer(counts, np.uint8).astype(np.int32)
+    x[x == 255] = 1 << 24
+    return x.reshape(groups, -1).sum(1)
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
     """Summed coordinate minima at the finest grouping that both points have."""
     g = min(len(x), len(y))
-    return int(np.minimum(x.reshape(g, -1).sum(1), y.reshape(g, -1).sum(1)).sum())
+    return int(np.minimum(point(x, g), point(y, g)).sum())
 
 
 def prefix_length(n: int) -> int:
@@ -226,49 +234,44 @@ class RTree:
         return self.order[front]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, cls, n, counts, comp) sorted by block -> surviving pairs from different components."""
+class _Search:
+    """Rows (block, cls, n, counts, comp) sorted by block -> pairs whose bound reaches what a link needs:
+    of every member with the block's least class, or (`tree`) of members of different components."""
+
+    def __init__(self, tree: bool):
+        self.tree = tree
 
-    def solve(rows: list[pa.Table]) -> pa.RecordBatch | None:
+    def solve(self, rows: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(rows)
         cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n", "comp"))
-        fine = [np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()]
-        p = RTree(np.stack([x.reshape(GROUPS, -1).sum(1) for x in fine]), n).pairs()
-        p = p[comp[p[:, 0]] != comp[p[:, 1]]]
+        fine = t.column("counts").to_pylist()
+        if self.tree:
+            p = RTree(np.stack([point(x, GROUPS) for x in fine]), n).pairs()
+            p = p[comp[p[:, 0]] != comp[p[:, 1]]]
+        else:
+            hub = int(cls.argmin())
+            near = np.flatnonzero((cls != cls[hub]) & (4 * n >= 3 * n[hub]) & (4 * n[hub] >= 3 * n))
+            p = np.stack([near, np.full(len(near), hub)], 1)
         p = p[np.fromiter((7 * overlap_bound(fine[i], fine[j]) >= 3 * (n[i] + n[j]) for i, j in p.tolist()), bool, len(p))]
-        if len(p):
-            x, y = cls[p[:, 0]], cls[p[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-        return None
+        if not len(p):
+            return None
+        x, y = cls[p[:, 0]], cls[p[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
-    held: list[pa.Table] = []
-    for b in batches:
-        block = b.column(0).to_numpy()
-        cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            part = pa.Table.from_batches([b.slice(lo, hi - lo)])
-            if held and held[-1].column("block")[0] != part.column("block")[0]:
-                if (out := solve(held)) is not None:
-                    yield out
-                held = []
-            held.append(part)
-    if held and (out := solve(held)) is not None:
-        yield out
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb, ca, cb) whose overlap bound reaches what a link needs."""
-    for b in batches:
-        if b.num_rows:
-            need = 3 * (b.column(2).to_numpy() + b.column(3).to_numpy())
-            bound = [overlap_bound(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)) for x, y in zip(b.column(4), b.column(5))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(7 * np.array(bound) >= need))
-
-
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    side = lambda k: points.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
-    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_bounded, "a long, b long")
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            block = b.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = pa.Table.from_batches([b.slice(lo, hi - lo)])
+                if held and held[-1].column("block")[0] != part.column("block")[0]:
+                    if (out := self.solve(held)) is not None:
+                        yield out
+                    held = []
+                held.append(part)
+        if held and (out := self.solve(held)) is not None:
+            yield out
 
 
 def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
@@ -302,16 +305,16 @@ def link(docs: DataFrame) -> DataFrame:
     points = sketched.where("kind = 0").select(F.col("h").alias("cls"), "n", "counts").join(members, "cls", "left_semi").dropDuplicates(["cls"])
     points = materialize(points, "ngram-points")
 
-    hub = blocks.groupBy("block").agg(F.min("cls").alias("hub"), F.count("*").alias("m"))
-    stars = blocks.join(hub, "block").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    first = verified(bounded(stars, points), text)
+    search = lambda rows, tree: rows.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(tree), "a long, b long").distinct()
+    placed = blocks.join(points, "cls")
+    first = verified(search(placed.select("block", "cls", "n", "counts", F.col("cls").alias("comp")), False), text)
     comp = components(first, "ngram")
+    large = blocks.groupBy("block").agg(F.count("*").alias("m")).where("m > 2").select("block")
 
-    labelled = blocks.join(hub.where("m > 2").select("block"), "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
+    labelled = blocks.join(large, "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
     open_blocks = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("block")
     left = labelled.join(open_blocks, "block").join(points, "cls").select("block", "cls", "n", "counts", "comp")
-    found = left.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_search, "a long, b long").distinct()
-    second = verified(found.join(stars, ["a", "b"], "left_anti"), text)
+    second = verified(search(left, True).join(first, ["a", "b"], "left_anti"), text)
     if not second.isEmpty():
         comp = components(first.unionByName(second), "ngram")
 
