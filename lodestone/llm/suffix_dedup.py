@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import materialize, shuffle_parts, table
 from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, utf8
 
-LENGTH, WINDOW, GRAM, HOT = 400, 256, 8, 256
+LENGTH, WINDOW, GRAM, HOT = 400, 256, 8, 2048
 SHARED = LENGTH - WINDOW
+#: Bytes of texts that a Python worker gathers before it hands rows on.
+SLICE = 4 << 20
 #: Log2 of the bits of the bitmaps (8 MB).
 BITMAP = 26
 _CASED = _BYTES.copy()
@@ -195,14 +197,14 @@ def repeated_starts(group: list[tuple[bytes, bytes, int, int]]) -> Iterator[tupl
         merged[right, left] = merged.get((right, left), 0) + n
         first.setdefault((right, left), i)
     keys = list(merged)
-    at = [first[k] for k in keys]
+    at = np.array([first[k] for k in keys])
     if len(keys) > 1:
         lcp = np.array([g[3] for g in group])
-        rights = np.zeros((len(keys), len(keys)), np.int64)
+        rights = np.zeros((len(keys), len(keys)), np.int16)
         for i in range(len(keys)):
-            run = np.minimum.accumulate(lcp[at[i] + 1 : at[-1] + 1]) if at[-1] > at[i] else np.empty(0, np.int64)
-            for j in range(i + 1, len(keys)):
-                rights[i, j] = rights[j, i] = run[at[j] - at[i] - 1]
+            if i + 1 < len(keys):
+                run = np.minimum.accumulate(lcp[at[i] + 1 : at[-1] + 1])
+                rights[i, i + 1 :] = rights[i + 1 :, i] = run[at[i + 1 :] - at[i] - 1]
         back = [left[::-1] for _, left in keys]
         order = sorted(range(len(keys)), key=back.__getitem__)
         near = np.array([common(back[x], back[y]) for x, y in zip(order, order[1:])])
@@ -273,14 +275,24 @@ class _Runs:
                     else:
                         run = runs.setdefault(k % self.parts, {})
                         run[right, left] = run.get((right, left), 0) + 1
-            out = [{"part": p, "run": encode_run(sorted((r, left, n) for (r, left), n in run.items()))} for p, run in runs.items()]
-            out += [{"c1": c[0], "c2": c[1], "n": n, "low": low, "hashes": h} for c, (n, low, h) in counted.items()]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _FOUND)
-            if places:
-                c1, c2, t1, t2, at = (pa.array(x, pa.int64()) for x in zip(*places))
-                n = len(places)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), c1, c2, t1, t2, at, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_FOUND)
+            yield from self.rows(runs, counted, places)
+
+    def rows(self, runs: dict, counted: dict, places: list) -> Iterator[pa.RecordBatch]:
+        empty = lambda n, name: pa.nulls(n, _FOUND.field(name).type)
+        batch = lambda n, **c: pa.RecordBatch.from_arrays([c.get(f.name, empty(n, f.name)) for f in _FOUND], schema=_FOUND)
+        for p, run in runs.items():
+            blob = encode_run(sorted((r, left, n) for (r, left), n in run.items()))
+            yield batch(1, part=pa.array([p], pa.int64()), run=pa.array([blob], pa.binary()))
+        items = list(counted.items())
+        for lo in range(0, len(items), 2000):
+            some = items[lo : lo + 2000]
+            size = np.r_[0, np.cumsum([len(h) for _, (_, _, h) in some])].astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([h for _, (_, _, h) in some])))
+            c1, c2 = (pa.array([c[k] for c, _ in some], pa.int64()) for k in (0, 1))
+            yield batch(len(some), c1=c1, c2=c2, low=pa.array([x[1] for _, x in some], pa.int32()), n=pa.array([x[0] for _, x in some], pa.int64()), hashes=hashes)
+        if places:
+            c1, c2, t1, t2, at = (pa.array(x, pa.int64()) for x in zip(*places))
+            yield batch(len(places), c1=c1, c2=c2, t1=t1, t2=t2, at=at)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +342,18 @@ class _Whole:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = self.bitmap.value
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            out, held = [], 0
+            for i, (doc_id, text) in enumerate(zip(b.column(0), b.column(1)), 1):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 t1, t2 = halves(raw)
                 slot = t1 & ((1 << BITMAP) - 1)
                 flagged = len(raw) >= LENGTH and bits[slot >> 3] >> (slot & 7) & 1
-                out.append((len(raw), t1, t2, None if flagged else hashlib.sha256(raw).hexdigest(), raw if flagged else None))
-            n, t1, t2, sha, body = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary())], ["doc_id", "n_bytes", "t1", "t2", "sha", "body"])
+                out.append((doc_id.as_py(), len(raw), t1, t2, None if flagged else hashlib.sha256(raw).hexdigest(), raw if flagged else None))
+                held += len(raw) if flagged else 0
+                if held > SLICE or i == b.num_rows:
+                    doc, n, t1, t2, sha, body = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary())], ["doc_id", "n_bytes", "t1", "t2", "sha", "body"])
+                    out, held = [], 0
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -357,14 +372,20 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for raw, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            kept, removed, runs = cut(raw, [(x["s"], x["e"]) for x in spans or []])
-            out.append((removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-        removed, runs, sha, kept = zip(*out) if out else ((),) * 4
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, held = [], 0
+            for i, (doc_id, n, body, spans) in enumerate(zip(*b.columns), 1):
+                kept, removed, runs = cut(body.as_py(), [(x["s"], x["e"]) for x in spans.as_py() or []])
+                out.append((doc_id.as_py(), n.as_py(), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                held += len(kept) if with_text else 0
+                if held > SLICE or i == b.num_rows:
+                    doc, n, removed, runs, sha, kept = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    out, held = [], 0
+
+    return run
 
 
 def _bitmap(values: DataFrame, spark: SparkSession):
@@ -396,19 +417,22 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     return materialize(placed.groupBy("t1", "t2").agg(F.collect_list("x").alias("spans")), "suffix-spans")
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes; null where nothing goes) of every row of `docs`."""
+def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every row of `docs`.
+
+    kept holds the remaining bytes; it is null where nothing goes, and everywhere unless `with_text`.
+    """
     spark = docs.sparkSession
     spans = repeated_spans(docs.select("text"))
     bitmap = _bitmap(spans.select(F.col("t1").alias("v")), spark)
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Whole(bitmap), "doc_id long, n_bytes long, t1 long, t2 long, sha string, body binary"), "suffix-rows")
     whole = rows.where("body IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     cut_rows = rows.where("body IS NOT NULL").join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "body", "spans")
-    return whole.unionByName(cut_rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    return whole.unionByName(cut_rows.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(table(spark, sf_dir, "documents")).drop("kept")
+    return remove(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
