@@ -50,8 +50,11 @@ def held_out(doc_id) -> bool:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time (Ruzzo and Tompa's algorithm)."""
     found: list[list] = []  # start, end, total before, total after
+    positive = np.flatnonzero(scores > 0)
+    if not len(positive):
+        return []
     upto = np.r_[0.0, np.cumsum(scores)]
-    for i in np.flatnonzero(scores > 0).tolist():  # the others only lower the running total
+    for i in positive.tolist():  # the others only lower the running total
         new = [i, i + 1, float(upto[i]), float(upto[i + 1])]
         while True:
             j = len(found) - 1
@@ -65,48 +68,59 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, hi - lo) for s, e, lo, hi in found]
 
 
+class Weights(dict):
+    """Raw lower-case word -> weight of its strongest token, filled as words come, emptied when full."""
+
+    def __init__(self, tokens_: dict[str, float]):
+        super().__init__()
+        self.tokens = tokens_
+
+    def __missing__(self, raw: str) -> float:
+        if len(self) >= 400_000:
+            self.clear()
+        w = max((self.tokens[t] for t in tokens(raw.strip(PUNCTUATION)) if t in self.tokens), key=abs, default=0.0)
+        w = self[raw] = w if w > 0 else w + DRIFT
+        return w
+
+
 class Model:
-    """weights: token -> log-odds; lam, k: extreme-value parameters; a, b: logistic curve; rate: share of toxic rows."""
+    """weights: token -> log-odds; lam, k: extreme-value parameters; a, b: logistic curve."""
 
     def __init__(self, weights: dict[str, float], lam: float = 1.0, k: float = 0.1, a: float = 0.0, b: float = 0.0):
         self.weights, self.lam, self.k, self.a, self.b = weights, lam, k, a, b
-        self.cache: dict[str, float] = {}
+        self.table = Weights(weights)
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
-
-    def weight(self, word: str) -> float:
-        """The weight of the word's strongest token; words that say nothing score `DRIFT`."""
-        w = self.cache.get(word)
-        if w is None:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            w = max((self.weights[t] for t in tokens(word) if t in self.weights), key=abs, default=0.0)
-            w = self.cache[word] = w if w > 0 else min(w, 0.0) + DRIFT
-        return w
+        return self.__dict__ | {"table": None}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state | {"table": Weights(state["weights"])}
 
-    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
-        w = words(text)
-        return segments(np.fromiter(map(self.weight, w), float, len(w)))
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and all maximal scoring segments (first word, word after the last, score)."""
+        w = text.lower().split() if text else []
+        scores = np.fromiter(map(self.table.__getitem__, w), float, len(w))
+        return len(w), segments(scores)
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Best segment score, and the evidence that the best segments together aren't chance.
+    def evidence(self, text: str | None) -> tuple[int, float, float]:
+        """Number of words, best segment score, and the evidence that the best segments together aren't chance.
 
         For the r best segments, T = lambda * (their sum) - r ln(K n) + ln r! has the tail
         exp(-T) T^(r-1) / (r! (r-1)!) (Karlin and Altschul's sum statistic); the evidence is the
         largest -ln of that tail over r, or T itself where it is negative.
         """
-        found = sorted((s for _, _, s in self.passages(text)), reverse=True)
-        size = math.log(self.k * (len(words(text)) or 1))
+        n, found = self.scan(text)
+        found = sorted((s for _, _, s in found), reverse=True)
+        size = math.log(self.k * (n or 1))
         best, total = -5.0, 0.0
         for r, s in enumerate(found, 1):
             total += self.lam * s - size
             t = total + math.lgamma(r + 1)
             best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r) if t > 1 else min(t, 0.0))
-        return (found[0] if found else 0.0), best
+        return n, (found[0] if found else 0.0), best
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * self.evidence(text)[1]))))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * self.evidence(text)[2]))))
 
 
 def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[str, float]:
@@ -151,7 +165,7 @@ def _measure(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = box.value
         for b in batches:
-            rows = [(max(len(words(t)), 1), *model.evidence(t)) for t in b.column(0).to_pylist()]
+            rows = [model.evidence(t) for t in b.column(0).to_pylist()]
             n, best, sums = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.float64())], ["label", "n", "best", "evidence"])
 
