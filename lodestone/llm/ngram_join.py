@@ -11,8 +11,8 @@ A document's set is its distinct 5-word shingles; documents link when 100 * |A &
 3. Each block pairs its members with one hub; pairs whose bound (the summed coordinate minima of
    their count vectors) reaches the overlap needed are verified on whole sets and joined into
    components. Where a block's members still lie in different components, their count vectors are
-   bulk-loaded into an R-tree, and the pairs from different components that its bounds let through are
-   verified as well. The bound never underestimates, so no link between components is lost.
+   bulk-loaded into an R-tree; of the pairs from different components that its bounds let through,
+   each member's best is verified first, then, where components are left apart, all of them. The bound never underestimates, so no link between components is lost.
 4. Verified links are joined into components; copies follow their class.
 
 Hot blocks are tiled, group copies are collapsed before any pair, joins are left to adaptive skew
@@ -48,23 +48,25 @@ def class_id(s: np.ndarray) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """The set's point: shingles by hash group, one byte each. Groups are `GROUPS` times the power of two
+    """The set's point: shingles by hash group, four bits each. Groups are `GROUPS` times the power of two
     that keeps one or two shingles in each, so the bound is sharp for texts of any length; coarser points
-    are sums of finer. A count over 254 is written as 255 and read as "any number"."""
+    are sums of finer. A count over 14 is written as 15 and read as "any number"."""
     bits = max(GROUP_BITS, len(s).bit_length() - 1)
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    x = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (x[::2] << 4 | x[1::2]).tobytes()
 
 
 def point(counts: bytes, groups: int) -> np.ndarray:
     """The point at a coarser grouping."""
-    x = np.frombuffer(counts, np.uint8).astype(np.int32)
-    x[x == 255] = 1 << 24
+    packed = np.frombuffer(counts, np.uint8)
+    x = np.stack([packed >> 4, packed & 15], 1).astype(np.int32)
+    x[x == 15] = 1 << 24
     return x.reshape(groups, -1).sum(1)
 
 
 def overlap_bound(x: bytes, y: bytes) -> int:
     """Summed coordinate minima at the finest grouping that both points have."""
-    g = min(len(x), len(y))
+    g = 2 * min(len(x), len(y))
     return int(np.minimum(point(x, g), point(y, g)).sum())
 
 
@@ -236,23 +238,31 @@ class RTree:
 
 class _Search:
     """Rows (block, cls, n, counts, comp) sorted by block -> pairs whose bound reaches what a link needs:
-    of every member with the block's least class, or (`tree`) of members of different components."""
+    "hub": of every member with the block's least class; "all": of members of different components, found
+    by the R-tree; "nearest": of those, each member's best-bounded one."""
 
-    def __init__(self, tree: bool):
-        self.tree = tree
+    def __init__(self, mode: str):
+        self.mode = mode
 
     def solve(self, rows: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(rows)
         cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n", "comp"))
         fine = t.column("counts").to_pylist()
-        if self.tree:
+        if self.mode != "hub":
             p = RTree(np.stack([point(x, GROUPS) for x in fine]), n).pairs()
             p = p[comp[p[:, 0]] != comp[p[:, 1]]]
         else:
             hub = int(cls.argmin())
             near = np.flatnonzero((cls != cls[hub]) & (4 * n >= 3 * n[hub]) & (4 * n[hub] >= 3 * n))
             p = np.stack([near, np.full(len(near), hub)], 1)
-        p = p[np.fromiter((7 * overlap_bound(fine[i], fine[j]) >= 3 * (n[i] + n[j]) for i, j in p.tolist()), bool, len(p))]
+        bound = np.fromiter((overlap_bound(fine[i], fine[j]) for i, j in p.tolist()), np.int64, len(p))
+        ok = 7 * bound >= 3 * (n[p[:, 0]] + n[p[:, 1]])
+        p, bound = p[ok], bound[ok]
+        if self.mode == "nearest" and len(p):
+            order = np.argsort(-bound / (n[p[:, 0]] + n[p[:, 1]]), kind="stable")
+            p = p[order]
+            first = [np.unique(p[:, k], return_index=True)[1] for k in (0, 1)]
+            p = p[np.union1d(*first)]
         if not len(p):
             return None
         x, y = cls[p[:, 0]], cls[p[:, 1]]
@@ -305,18 +315,19 @@ def link(docs: DataFrame) -> DataFrame:
     points = sketched.where("kind = 0").select(F.col("h").alias("cls"), "n", "counts").join(members, "cls", "left_semi").dropDuplicates(["cls"])
     points = materialize(points, "ngram-points")
 
-    search = lambda rows, tree: rows.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(tree), "a long, b long").distinct()
+    search = lambda rows, mode: rows.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(mode), "a long, b long").distinct()
     placed = blocks.join(points, "cls")
-    first = verified(search(placed.select("block", "cls", "n", "counts", F.col("cls").alias("comp")), False), text)
-    comp = components(first, "ngram")
+    links = verified(search(placed.select("block", "cls", "n", "counts", F.col("cls").alias("comp")), "hub"), text)
+    comp = components(links, "ngram")
     large = blocks.groupBy("block").agg(F.count("*").alias("m")).where("m > 2").select("block")
-
-    labelled = blocks.join(large, "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
-    open_blocks = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("block")
-    left = labelled.join(open_blocks, "block").join(points, "cls").select("block", "cls", "n", "counts", "comp")
-    second = verified(search(left, True).join(first, ["a", "b"], "left_anti"), text)
-    if not second.isEmpty():
-        comp = components(first.unionByName(second), "ngram")
+    for mode in ("nearest", "all"):
+        labelled = blocks.join(large, "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
+        split = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("block")
+        left = labelled.join(split, "block").join(points, "cls").select("block", "cls", "n", "counts", "comp")
+        more = verified(search(left, mode), text)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = components(links, "ngram")
 
     placed = materialize(rows.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp")), "ngram-placed")
     smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first_id"))
