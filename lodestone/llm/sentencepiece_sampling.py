@@ -67,6 +67,11 @@ class Pieces:
         by = np.argsort(hashes)
         self.hashes, self.ids = hashes[by], np.array(ids)[by]
         self.weights = weight[self.ids]
+        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece
+        self.maybe[self.hashes >> np.uint64(44)] = True
+        self.names = names
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.bytes.values())] = True
         self.blank = int(self.sp.piece_to_id("▁"))
 
     @classmethod
@@ -89,6 +94,12 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
+    def spells(self, ids: list[int], unit: str) -> bool:
+        """Whether the ids of a unit decode to it."""
+        if "".join([self.names[i] for i in ids]) == unit:
+            return True
+        return self.decode([self.blank, *ids]) == unit
+
 
 class Lattices:
     """Edge arrays of the lattices of distinct units: nodes are positions, edges pieces, grouped by node."""
@@ -109,10 +120,12 @@ class Lattices:
             if not len(at):
                 break
             h = (total[at + k] - total[at]) * down[at]
+            some = np.flatnonzero(pieces.maybe[h >> np.uint64(44)])
+            h = h[some]
             i = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
             hit = pieces.hashes[i] == h
-            src.append(at[hit])
-            dst.append(at[hit] + k)
+            src.append(at[some[hit]])
+            dst.append(at[some[hit]] + k)
             edge_id.append(pieces.ids[i[hit]])
             weight.append(pieces.weights[i[hit]])
         single = np.zeros(n, bool)
@@ -124,7 +137,7 @@ class Lattices:
         edge_id.append(-1 - chars[rest].astype(_LONG))
         weight.append(pieces.byte_weight * utf8)
         src, dst, edge_id, weight = (np.concatenate(x) for x in (src, dst, edge_id, weight))
-        order = np.lexsort((dst, src))
+        order = np.argsort(src, kind="stable")
         self.src, self.dst, self.id, w = src[order], dst[order], edge_id[order], weight[order]
         self.first, self.end = first[:-1], first[1:]
         self.begin = np.searchsorted(self.src, np.arange(n + 1))
@@ -276,14 +289,18 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
     return paths, g
 
 
-def _edge_ids(lat: Lattices, edges: np.ndarray, pieces: Pieces) -> np.ndarray:
+def _edge_ids(lat: Lattices, edges: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the edges, bytes for characters without a piece, and where each edge's ids begin."""
     ids = lat.id[edges]
-    if (ids >= 0).all():
-        return ids
-    out: list[int] = []
-    for x in ids.tolist():
-        out.extend([x] if x >= 0 else [pieces.bytes[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")])
-    return np.array(out, _LONG)
+    char = -1 - ids
+    size = np.where(ids >= 0, 1, 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF))
+    begin = np.r_[0, np.cumsum(size)]
+    out = np.repeat(ids, size)
+    for c in np.unique(char[ids < 0]).tolist():
+        at = begin[:-1][char == c]
+        for k, x in enumerate(chr(c).encode("utf-8", "surrogatepass")):
+            out[at + k] = pieces.bytes[x]
+    return out.astype(np.int32), begin
 
 
 def _encode(path: str, k: int, with_ids: bool):
@@ -296,7 +313,9 @@ def _encode(path: str, k: int, with_ids: bool):
         if not units:
             return [(key, [], True, [[]], [0.0], [1.0]) for key in keys]
         coded = pieces.encode_unit(units)
-        whole = [pieces.decode(c) == u[1:] if u[0] == " " else pieces.decode([pieces.blank, *c]) == u for u, c in zip(units, coded)]
+        whole = np.fromiter((pieces.spells(c, u) for u, c in zip(units, coded)), bool, len(units))
+        length = np.fromiter(map(len, coded), _LONG, len(units))
+        flat, at = np.array([x for c in coded for x in c], np.int32), np.r_[0, np.cumsum(length)]
         lat = Lattices(units, pieces)
         size = np.fromiter(map(len, per_doc), _LONG, n)
         types = np.fromiter((x for d in per_doc for x in d), _LONG, int(size.sum()))
@@ -304,17 +323,23 @@ def _encode(path: str, k: int, with_ids: bool):
         seed = mixed(np.array([(0 if key is None else key) & ((1 << 64) - 1) for key in keys], np.uint64) + np.uint64(0x5851F42D4C957F2D))
         paths, kappa = sample(lat, types, doc, n, seed, k)
         cuts = [np.searchsorted(p["doc"], np.arange(n + 1)) for p in paths]
+        made = [_edge_ids(lat, p["edge"], pieces) for p in paths]
+        token = np.r_[0, np.cumsum(length[types])]
+        ids_all = flat[np.repeat(at[types] - token[:-1], length[types]) + np.arange(token[-1])]
+        first = np.r_[0, np.cumsum(size)]
+        good = np.r_[0, np.cumsum(whole[types])]
         # a text with at most k segmentations is sampled whole: kappa is -inf and every inclusion 1
         out = []
         for i in range(n):
-            ids = [x for u in per_doc[i] for x in coded[u]]
+            lo, hi = first[i], first[i + 1]
+            ids = ids_all[token[lo] : token[hi]]
             seqs, phis, incl = [], [], []
-            for p, c in zip(paths, cuts):
+            for p, c, (seq, begin) in zip(paths, cuts, made):
                 if np.isfinite(p["g"][i]):
-                    seqs.append(_edge_ids(lat, p["edge"][c[i] : c[i + 1]], pieces))
+                    seqs.append(seq[begin[c[i]] : begin[c[i + 1]]])
                     phis.append(float(p["phi"][i]))
                     incl.append(float(-np.expm1(-np.exp(np.clip(p["phi"][i] - kappa[i], -700, 700)))) if np.isfinite(kappa[i]) else 1.0)
-            out.append((keys[i], ids, all(whole[u] for u in per_doc[i]) and clean[i] == texts[i], seqs, phis, incl))
+            out.append((keys[i], ids, bool(good[hi] - good[lo] == hi - lo) and clean[i] == texts[i], seqs, phis, incl))
         return out
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:

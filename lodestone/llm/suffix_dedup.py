@@ -279,7 +279,7 @@ class _Runs:
 
     def rows(self, runs: dict, counted: dict, places: list) -> Iterator[pa.RecordBatch]:
         empty = lambda n, name: pa.nulls(n, _FOUND.field(name).type)
-        batch = lambda n, **c: pa.RecordBatch.from_arrays([c.get(f.name, empty(n, f.name)) for f in _FOUND], schema=_FOUND)
+        batch = lambda rows, **c: pa.RecordBatch.from_arrays([c.get(f.name, empty(rows, f.name)) for f in _FOUND], schema=_FOUND)
         for p, run in runs.items():
             blob = encode_run(sorted((r, left, n) for (r, left), n in run.items()))
             yield batch(1, part=pa.array([p], pa.int64()), run=pa.array([blob], pa.binary()))
