@@ -1,9 +1,9 @@
 """Operator 4, toxicity: maximum-scoring segments over token log-odds.
 
 Training reads the labelled rows outside the held-out fold, at most `TRAIN_DOCS` of them (those with
-the smallest hashes; a documented bound), of which rows that share one of three minimal shingle hashes
-count once, so groups of copies don't teach their topic. Tokens are words without outer punctuation, lower-cased, and
-the first 5 and 6 letters of longer words. A token's weight is its log-odds between toxic and other
+the smallest hashes; a documented bound on the rows whose counts reach the driver), of which rows that share one of three minimal shingle hashes
+count once, so groups of copies don't teach their topic. Tokens are words (A-Z lower-cased) and
+the first 5, 6 and 7 bytes of longer words. A token's weight is its log-odds between toxic and other
 documents under a Dirichlet prior proportional to its overall frequency, kept where the root of
 its likelihood-ratio statistic reaches `Z` (at most `TOKENS` tokens). Scoring is one linear scan a document that finds all maximal
 scoring segments; everything else scores `DRIFT`, so segments end. The best segments of
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +27,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import materialize, table
-from lodestone.llm._text import mixed, shingle_sets
+from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, shingle_sets, utf8
 
 TRAIN_DOCS, TOKENS, Z, DRIFT, PRIOR_DOCS, CUT = 30_000, 200_000, 4.5, -0.6, 10.0, 0.3
-PUNCTUATION = ".,;:!?\"'()[]{}*$%&#|<>-_"
-
-
-def tokens(word: str) -> tuple[str, ...]:
-    n = len(word)
-    return (word,) if n < 6 else (word, "^" + word[:5]) if n == 6 else (word, "^" + word[:5], "^" + word[:6])
-
-
-def words(text: str | None) -> list[str]:
-    return [w.strip(PUNCTUATION) for w in text.lower().split()] if text else []
+#: Byte lengths of the word beginnings that are tokens besides the word.
+PREFIXES = (5, 6, 7)
+_APART = np.array([i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 for i in range(256)])
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of the words of adjoining texts: (words x tokens, 0 where there is none; where each text's
+    words begin; byte ranges of the words). Words are runs of ASCII letters and digits and of other characters' bytes."""
+    n = len(data)
+    up, down = _POWERS.get(max(n, CHUNK))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[:n], out=total[1:])
+    inside = ~_APART[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    starts = np.flatnonzero(inside & (~before | edge[:n]))
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint64)
+    out[:, 0] = mixed((total[ends] - total[starts]) * down[starts]) | np.uint64(1)
+    for k, size in enumerate(PREFIXES, 1):
+        long = np.flatnonzero(ends - starts >= size)
+        out[long, k] = mixed((total[starts[long] + size] - total[starts[long]]) * down[starts[long]] + np.uint64(size)) | np.uint64(1)
+    return out, np.searchsorted(starts, offsets), np.stack([starts, ends], 1)
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of the column, tokens of its words, byte ranges of its words)."""
+    data, offsets = utf8(column)
+    for lo, hi in chunks(offsets):
+        own = offsets[lo : hi + 1]
+        t, first, where = tokens(data[own[0] : own[-1]], own - own[0])
+        for i in range(hi - lo):
+            yield lo + i, t[first[i] : first[i + 1]], where[first[i] : first[i + 1]] - (own[i] - own[0])
 
 
 def held_out(doc_id) -> bool:
@@ -68,62 +92,53 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, hi - lo) for s, e, lo, hi in found]
 
 
-class Weights(dict):
-    """Raw lower-case word -> weight of its strongest token, filled as words come, emptied when full."""
-
-    def __init__(self, tokens_: dict[str, float]):
-        super().__init__()
-        self.tokens = tokens_
-
-    def __missing__(self, raw: str) -> float:
-        if len(self) >= 400_000:
-            self.clear()
-        w = max((self.tokens[t] for t in tokens(raw.strip(PUNCTUATION)) if t in self.tokens), key=abs, default=0.0)
-        w = self[raw] = w if w > 0 else w + DRIFT
-        return w
-
-
 class Model:
-    """weights: token -> log-odds; lam, k: extreme-value parameters; a, b: logistic curve."""
-
-    def __init__(self, weights: dict[str, float], lam: float = 1.0, k: float = 0.1, a: float = 0.0, b: float = 0.0):
-        self.weights, self.lam, self.k, self.a, self.b = weights, lam, k, a, b
-        self.table = Weights(weights)
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state | {"table": Weights(state["weights"])}
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and all maximal scoring segments (first word, word after the last, score)."""
-        w = text.lower().split() if text else []
-        scores = np.fromiter(map(self.table.__getitem__, w), float, len(w))
-        return len(w), segments(scores)
-
-    def evidence(self, text: str | None) -> tuple[int, float, float]:
-        """Number of words, best segment score, and the evidence that the best segments together aren't chance.
+    """Token weights (sorted hashes and their log-odds); lam, k: extreme-value parameters; a, b: logistic curve."""
+
+    def __init__(self, weights: dict[int, float], lam: float = 1.0, k: float = 0.1, a: float = 0.0, b: float = 0.0):
+        self.hashes = np.array(sorted(weights), np.uint64)
+        self.weights = np.array([weights[h] for h in sorted(weights)], float)
+        self.maybe = np.zeros(1 << 20, bool)  # most tokens have no weight
+        self.maybe[self.hashes >> np.uint64(44)] = True
+        self.lam, self.k, self.a, self.b = lam, k, a, b
+
+    def word_scores(self, t: np.ndarray) -> np.ndarray:
+        """The weight of each word's strongest token; words that say nothing score `DRIFT`."""
+        out = np.full(len(t), DRIFT)
+        r, c = np.nonzero(self.maybe[t >> np.uint64(44)]) if len(self.hashes) else ((), ())
+        if len(r):
+            h = t[r, c]
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            w = np.zeros(t.shape)
+            w[r, c] = np.where(self.hashes[i] == h, self.weights[i], 0.0)
+            best = np.take_along_axis(w, np.abs(w).argmax(1)[:, None], 1)[:, 0]
+            out = np.where(best > 0, best, best + DRIFT)
+        return out
+
+    def passages(self, t: np.ndarray) -> list[tuple[int, int, float]]:
+        """All maximal scoring segments: (first word, word after the last, score)."""
+        return segments(self.word_scores(t))
+
+    def evidence(self, n: int, scores: list[float]) -> float:
+        """How sure it is that the best segments of a text of n words together aren't chance.
 
         For the r best segments, T = lambda * (their sum) - r ln(K n) + ln r! has the tail
         exp(-T) T^(r-1) / (r! (r-1)!) (Karlin and Altschul's sum statistic); the evidence is the
         largest -ln of that tail over r, or T itself where it is negative.
         """
-        n, found = self.scan(text)
-        found = sorted((s for _, _, s in found), reverse=True)
         size = math.log(self.k * (n or 1))
         best, total = -5.0, 0.0
-        for r, s in enumerate(found, 1):
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
             total += self.lam * s - size
             t = total + math.lgamma(r + 1)
             best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - math.log(r) if t > 1 else min(t, 0.0))
-        return n, (found[0] if found else 0.0), best
+        return best
 
-    def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * self.evidence(text)[2]))))
+    def score(self, n: int, scores: list[float]) -> float:
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.a + self.b * self.evidence(n, scores)))))
 
 
-def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[str, float]:
+def log_odds(counts: dict[int, tuple[int, int]], docs: tuple[int, int]) -> dict[int, float]:
     """Token -> log-odds of its share of toxic against other documents, under a Dirichlet prior; those whose
     likelihood ratio against equal shares has a signed root of `Z` or more."""
     every = (docs[0] + docs[1]) or 1
@@ -141,15 +156,17 @@ def log_odds(counts: dict[str, tuple[int, int]], docs: tuple[int, int]) -> dict[
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per split: documents that hold a token, by label (document counts, so long texts don't dominate)."""
-    yes, no, n = Counter(), Counter(), [0, 0]
+    """Per batch: documents that hold a token, by label (so long texts don't dominate); token 0 counts documents."""
     for b in batches:
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            (yes if label else no).update({t for w in set(words(text)) for t in tokens(w) if t})
-            n[not label] += 1
-    keys = [t for t in yes.keys() | no.keys() if yes[t] + no[t] > 1 or yes[t]]
-    cols = [pa.array([*keys, ""]), pa.array([*(yes[t] for t in keys), n[0]], pa.int64()), pa.array([*(no[t] for t in keys), n[1]], pa.int64())]
-    yield pa.RecordBatch.from_arrays(cols, ["token", "yes", "no"])
+        label = b.column(1).to_numpy()
+        held: list[list[np.ndarray]] = [[], []]
+        for i, t, _ in _texts(b.column(0)):
+            held[int(label[i] > 0)].append(np.unique(np.r_[np.uint64(0), t.ravel()]))
+        for k, found in enumerate(held):
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n if k else zero), pa.array(zero if k else n)], ["token", "yes", "no"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +182,8 @@ def _measure(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = box.value
         for b in batches:
-            rows = [model.evidence(t) for t in b.column(0).to_pylist()]
-            n, best, sums = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.float64())], ["label", "n", "best", "evidence"])
+            rows = [(len(t), [s for _, _, s in model.passages(t)]) for _, t, _ in _texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))], ["label", "n", "scores"])
 
     return run
 
@@ -184,20 +200,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for s in ("s0", "s1", "s2"):
         kept = kept.groupBy(s).agg(F.min(F.struct("h", "label", "s0", "s1", "s2")).alias("x")).select("x.*")
     sample = materialize(sample.withColumn("h", F.xxhash64("text")).join(F.broadcast(kept.select("h").distinct()), "h").dropDuplicates(["h"]).select("text", "label"), "toxic-train")
-    counts = sample.repartition(8).mapInArrow(_count, "token string, yes long, no long").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    n = counts.where("token = ''").first()
-    yes, no = (n["yes"], n["no"]) if n else (0, 0)
+    counts = sample.mapInArrow(_count, "token long, yes long, no long").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("token = 0 OR yes + no >= 4").toPandas()
+    n = counts[counts["token"] == 0]
+    yes, no = (int(n["yes"].sum()), int(n["no"].sum()))
     if not yes or not no:
         rate = (yes + 1) / (yes + no + 2)
         return Model({}, a=math.log(rate / (1 - rate)))
-    # a token below this many documents can't reach Z
-    got = counts.where("token <> '' AND yes + no >= 4").toPandas()
-    model = Model(log_odds({t: (int(y), int(x)) for t, y, x in zip(got["token"], got["yes"], got["no"], strict=True)}, (yes, no)))
-    measured = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, best double, evidence double").toPandas()
-    null = measured[measured["label"] == 0]
-    model.lam, model.k = extreme_value(null["best"].to_numpy(), null["n"].to_numpy())
-    measured = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, best double, evidence double").toPandas()
-    model.a, model.b = logistic(measured["evidence"].to_numpy(), measured["label"].to_numpy(float))
+    got = counts[counts["token"] != 0]
+    hashes = got["token"].to_numpy(np.int64).view(np.uint64).tolist()
+    model = Model(log_odds({t: (int(y), int(x)) for t, y, x in zip(hashes, got["yes"], got["no"], strict=True)}, (yes, no)))
+    rows = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, scores array<double>").toPandas()
+    null = rows[rows["label"] == 0]
+    model.lam, model.k = extreme_value(np.array([max(s, default=0.0) for s in null["scores"]]), null["n"].to_numpy())
+    x = np.array([model.evidence(n, list(s)) for n, s in zip(rows["n"], rows["scores"], strict=True)])
+    model.a, model.b = logistic(x, (rows["label"] > 0).to_numpy(float))
     return model
 
 
@@ -230,7 +246,7 @@ def _score(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = box.value
         for b in batches:
-            scores = [model.score(t) for t in b.column(1).to_pylist()]
+            scores = [model.score(len(t), [s for _, _, s in model.passages(t)]) for _, t, _ in _texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
