@@ -4,7 +4,8 @@
 2. Classes are dealt to shards by hash (`SHARDS`, more where a shard would pass `SHARD_ROWS`), and
    each task builds its shard's graph: levels drawn from the id's hash, insertion in batches that grow
    with the graph, links kept to the `M` nearest (twice that at the bottom).
-3. Every class queries every shard, in blocks of `BLOCK` queries a task. A beam that ends inside the
+3. Every class queries every shard, in blocks that stream past the shard's graph; a task takes at most
+   about `TASK_QUERIES` of them. A beam that ends inside the
    threshold is widened for that query, by flooding the graph from the hits, until its worst entry
    lies outside. Each task audits `AUDIT` of its queries against brute force over the shard and doubles
    the beam until the recall of links reaches `RECALL`; past the last beam it compares everything.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._shared import components, materialize, table
 
-THRESHOLD, SHARDS, SHARD_ROWS, BLOCK = 0.9, 8, 1_000_000, 4096
+THRESHOLD, SHARDS, SHARD_ROWS, TASK_QUERIES, BLOCK = 0.9, 8, 1_000_000, 1_000_000, 4096
 M, BUILD_BEAM, BEAM, AUDIT, RECALL, LOCKSTEP = 12, 48, 32, 48, 0.97, 128
 
 
@@ -208,48 +209,46 @@ def _unit(x: pd.Series) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _link_shard(shard: pd.DataFrame, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Rows (cls, n, other): links of a query counted (other null), or an edge of the forest (n null)."""
-    x, ids, weight = _unit(shard["embedding"]), shard["cls"].to_numpy(), shard["n"].to_numpy()
-    graph = Graph(x, ids)
-    place = {int(c): i for i, c in enumerate(ids)}
-    for lo in range(0, len(queries), BLOCK):
-        part = queries.iloc[lo : lo + BLOCK]
+class Shard:
+    """A shard's graph, and the answers to queries: rows (cls, n, other), links of a query counted (other
+    null) or an edge of the spanning forest of all links found by this task so far (n null)."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.x, self.ids, self.weight = _unit(rows["embedding"]), rows["cls"].to_numpy(), rows["n"].to_numpy()
+        self.graph = Graph(self.x, self.ids)
+        self.place = {int(c): i for i, c in enumerate(self.ids)}
+
+    def answer(self, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         q, mine = _unit(part["embedding"]), part["cls"].to_numpy()
-        forest = Forest(len(x) + len(q))
+        n = len(self.x)
+        forest = Forest(n + len(q))
         counts = np.zeros(len(q), np.int64)
-        for i, found in enumerate(audited(graph, q.astype(np.float32))):
-            found = found[(x[found] @ q[i]) >= THRESHOLD] if len(found) else found
-            found = found[ids[found] != mine[i]]
-            counts[i] = weight[found].sum()
-            own = place.get(int(mine[i]))
-            forest.join(len(x) + i if own is None else own, found)
+        for i, found in enumerate(audited(self.graph, q.astype(np.float32))):
+            found = found[(self.x[found] @ q[i]) >= THRESHOLD] if len(found) else found
+            found = found[self.ids[found] != mine[i]]
+            counts[i] = self.weight[found].sum()
+            forest.join(self.place.get(int(mine[i]), n + i), found)
         yield pd.DataFrame({"cls": mine, "n": counts, "other": pd.array([None] * len(q), "Int64")})
-        name = lambda k: int(ids[k]) if k < len(x) else int(mine[k - len(x)])  # noqa: E731, B023
         if forest.edges:
+            name = lambda k: int(self.ids[k]) if k < n else int(mine[k - n])
             a, b = zip(*((name(i), name(j)) for i, j in forest.edges))
             yield pd.DataFrame({"cls": a, "n": pd.array([None] * len(a), "Int64"), "other": b})
 
 
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (task, side): a task's shard (side 0), then its queries (side 1)."""
-    task, held = None, []
-
-    def solve() -> Iterator[pd.DataFrame]:
-        rows = pd.concat(held, ignore_index=True)
-        shard, queries = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if len(shard) and len(queries):
-            yield from _link_shard(shard, queries)
-
+    """Rows sorted by (task, side): a task's shard (side 0), then its queries (side 1), which stream past it."""
+    task, stored, shard = None, [], None
     for b in batches:
-        for t, part in b.groupby("task", sort=False):
-            if t != task and held:
-                yield from solve()
-                held = []
-            task = t
-            held.append(part)
-    if held:
-        yield from solve()
+        for (t, side), part in b.groupby(["task", "side"], sort=False):
+            if t != task:
+                task, stored, shard = t, [], None
+            if side == 0:
+                stored.append(part)
+                continue
+            if shard is None and stored:
+                shard, stored = Shard(pd.concat(stored, ignore_index=True)), []
+            for lo in range(0, len(part) if shard else 0, BLOCK):
+                yield from shard.answer(part.iloc[lo : lo + BLOCK])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -267,7 +266,7 @@ def link(vectors: DataFrame) -> DataFrame:
     classes = materialize(rows.groupBy("cls").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "vector-classes")
     n = classes.count()
     shards = max(SHARDS, -(-n // SHARD_ROWS))
-    blocks = max(1, -(-n // (4 * BLOCK)))
+    blocks = max(1, -(-n // TASK_QUERIES))
     of = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "cls"), F.lit(k))
     kept = classes.select("cls", "embedding", "n", "dim", of("shard", shards).alias("shard"), of("block", blocks).alias("block"))
     name = lambda s, b: F.xxhash64("dim", s, b)
