@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "mixing", "pii", "ngram_join", "url_filter", "secrets", "toxicity", "suffix_dedup", "embedding_dedup"]
+MODULES = ["quality_rules", "ngram_join", "sentencepiece_sampling", "toxicity", "embedding_dedup", "pii", "secrets", "mixing", "url_filter", "suffix_dedup"]
 
 
 def _collect(attribute: str) -> dict:
