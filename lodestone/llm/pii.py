@@ -206,8 +206,8 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every found span replaced by its kind in brackets; other columns unchanged."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_row"), F.col("text"))
-    model = fit(materialize(candidates(docs.select("text")).drop("text"), "pii-spans"))
-    d = judged(candidates(rows), model)
+    found = materialize(candidates(rows).drop("text"), "pii-spans").withColumn("text", F.col("p_row.text"))
+    d = judged(found, fit(found))
     d = d.withColumn("p_order", F.array_sort(F.transform("p_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("k")))))
     cut = F.aggregate(
         "p_order",

@@ -96,8 +96,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with the columns of `docs`."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"), F.col("text"))
-    model = fit(votes(statistics(rows.select("text"))))
-    return verdict(votes(statistics(rows)), model).where("kept").select("q_row.*")
+    voted = materialize(votes(statistics(rows)).drop("text"), "quality-votes")  # also keeps the filter from repeating the statistics
+    return verdict(voted, fit(voted)).where("kept").select("q_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
