@@ -64,12 +64,6 @@ def point(counts: bytes, groups: int) -> np.ndarray:
     return x.reshape(groups, -1).sum(1)
 
 
-def overlap_bound(x: bytes, y: bytes) -> int:
-    """Summed coordinate minima at the finest grouping that both points have."""
-    g = 2 * min(len(x), len(y))
-    return int(np.minimum(point(x, g), point(y, g)).sum())
-
-
 def prefix_length(n: int) -> int:
     return n - (75 * n + 99) // 100 + 1
 
@@ -244,44 +238,76 @@ class _Search:
     def __init__(self, mode: str):
         self.mode = mode
 
-    def solve(self, rows: list[pa.Table]) -> pa.RecordBatch | None:
-        t = pa.concat_tables(rows)
-        cls, n, comp = (t.column(c).to_numpy() for c in ("cls", "n", "comp"))
-        fine = t.column("counts").to_pylist()
-        if self.mode != "hub":
-            p = RTree(np.stack([point(x, GROUPS) for x in fine]), n).pairs()
-            p = p[comp[p[:, 0]] != comp[p[:, 1]]]
-        else:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.tested: dict[tuple[int, int], float] = {}
+        held: list | None = None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in (0, 1, 2, 4)] + [b.column(3).to_pylist()]
+            if held is not None:
+                cols = [np.r_[x, y] for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4]]
+            cuts = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1].tolist()
+            found = [self.solve(*(c[lo:hi] for c in cols[1:])) for lo, hi in zip(cuts[:-1], cuts[1:])]
+            held = [c[cuts[-1] :] for c in cols] if len(cols[0]) else None
+            yield from self.rows(found)
+        if held is not None:
+            yield from self.rows([self.solve(*held[1:])])
+
+    @staticmethod
+    def rows(found: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        pairs = [p for part in found for p in part]
+        if pairs:
+            a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def point(self, cls: int, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(point at `GROUPS` coordinates, point as fine as it is), kept for the next blocks."""
+        x = self.points.get(cls)
+        if x is None:
+            if len(self.points) > 50_000:
+                self.points.clear()
+            fine = point(counts, 2 * len(counts))
+            x = self.points[cls] = (fine.reshape(GROUPS, -1).sum(1), fine)
+        return x
+
+    def links_maybe(self, i: tuple, j: tuple) -> float:
+        """The finest bound of two members (cls, n, point) as a share of both sizes, 0 where it rules a link out; remembered for other blocks."""
+        key = (i[0], j[0]) if i[0] < j[0] else (j[0], i[0])
+        known = self.tested.get(key)
+        if known is None:
+            if len(self.tested) > 200_000:
+                self.tested.clear()
+            x, y = i[2], j[2]
+            g = min(len(x), len(y))
+            bound = np.minimum(x if len(x) == g else x.reshape(g, -1).sum(1), y if len(y) == g else y.reshape(g, -1).sum(1)).sum()
+            known = self.tested[key] = float(bound) / (i[1] + j[1]) if 7 * bound >= 3 * (i[1] + j[1]) else 0.0
+        return known
+
+    def solve(self, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> list[tuple[int, int]]:
+        points = [self.point(c, x) for c, x in zip(cls.tolist(), counts)]
+        coarse = np.stack([p[0] for p in points])
+        if self.mode == "hub":
             hub = int(cls.argmin())
-            near = np.flatnonzero((cls != cls[hub]) & (4 * n >= 3 * n[hub]) & (4 * n[hub] >= 3 * n))
+            near = np.flatnonzero(cls != cls[hub])
             p = np.stack([near, np.full(len(near), hub)], 1)
-        bound = np.fromiter((overlap_bound(fine[i], fine[j]) for i, j in p.tolist()), np.int64, len(p))
-        ok = 7 * bound >= 3 * (n[p[:, 0]] + n[p[:, 1]])
-        p, bound = p[ok], bound[ok]
+        elif len(cls) > 2 * LEAF:
+            p = RTree(coarse, n).pairs()
+        else:
+            p = np.stack(np.triu_indices(len(cls), 1), 1)  # a tree of one leaf
+        i, j = p[:, 0], p[:, 1]
+        ok = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+        if self.mode != "hub":
+            ok &= comp[i] != comp[j]
+        p = p[ok]
+        p = p[7 * np.minimum(coarse[p[:, 0]], coarse[p[:, 1]]).sum(1) >= 3 * (n[p[:, 0]] + n[p[:, 1]])]
+        member = list(zip(cls.tolist(), n.tolist(), [x[1] for x in points]))
+        share = np.array([self.links_maybe(member[i], member[j]) for i, j in p.tolist()])
+        p, share = p[share > 0], share[share > 0]
         if self.mode == "nearest" and len(p):
-            order = np.argsort(-bound / (n[p[:, 0]] + n[p[:, 1]]), kind="stable")
-            p = p[order]
-            first = [np.unique(p[:, k], return_index=True)[1] for k in (0, 1)]
-            p = p[np.union1d(*first)]
-        if not len(p):
-            return None
+            p = p[np.argsort(-share, kind="stable")]
+            p = p[np.union1d(*(np.unique(p[:, k], return_index=True)[1] for k in (0, 1)))]
         x, y = cls[p[:, 0]], cls[p[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for b in batches:
-            block = b.column(0).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                part = pa.Table.from_batches([b.slice(lo, hi - lo)])
-                if held and held[-1].column("block")[0] != part.column("block")[0]:
-                    if (out := self.solve(held)) is not None:
-                        yield out
-                    held = []
-                held.append(part)
-        if held and (out := self.solve(held)) is not None:
-            yield out
+        return list(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist()))
 
 
 def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
