@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import materialize, shuffle_parts, table
@@ -397,6 +397,19 @@ def _bitmap(values: DataFrame, spark: SparkSession):
     return spark.sparkContext.broadcast(bits.view(np.uint8))
 
 
+def joined_ranges(ranges: Column) -> Column:
+    """Ranges (lo, hi) of whole offsets with overlapping and adjoining ones joined."""
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(pair(last["lo"], F.greatest(last["hi"], x["hi"]))))
+        return F.when(x["lo"] <= last["hi"] + 1, longer).otherwise(F.array_append(done, x))
+
+    ordered = F.array_sort(ranges)
+    return F.aggregate(F.slice(ordered, 2, 1 << 30), F.slice(ordered, 1, 1), add)
+
+
 def repeated_spans(text: DataFrame) -> DataFrame:
     """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text. `text` has one string column."""
     spark = text.sparkSession
@@ -411,7 +424,7 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     strings = strings.select("c1", "c2", "n", "low", F.posexplode("hashes").alias("i", "h"))
     twice = strings.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     warm = strings.join(twice, "h", "left_semi").select("c1", "c2", (F.col("low") + F.col("i")).alias("lo"), (F.col("low") + F.col("i")).alias("hi"))
-    spans = cold.unionByName(warm).groupBy("c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))  # at most WINDOW offsets
+    spans = cold.unionByName(warm).groupBy("c1", "c2").agg(joined_ranges(F.collect_list(F.struct("lo", "hi"))).alias("x"))  # at most WINDOW offsets
     places = found.where("at IS NOT NULL").select("c1", "c2", "t1", "t2", "at").distinct()
     placed = places.join(spans, ["c1", "c2"]).select("t1", "t2", F.explode(F.transform("x", lambda x: F.struct((F.col("at") - x["hi"]).alias("s"), (F.col("at") - x["lo"] + LENGTH).alias("e")))).alias("x"))
     return materialize(placed.groupBy("t1", "t2").agg(F.collect_list("x").alias("spans")), "suffix-spans")
