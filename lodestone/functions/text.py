@@ -30,7 +30,7 @@ def title(content: Column, fallback: Column) -> Column:
 
 
 def wiki_links(content: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda x: F.trim(x)))
 
 
 def strip_links(content: Column) -> Column:
