@@ -73,23 +73,23 @@ def held_out(doc_id) -> bool:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time (Ruzzo and Tompa's algorithm)."""
-    found: list[list] = []  # start, end, total before, total after
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     upto = np.r_[0.0, np.cumsum(scores)]
+    found: list[tuple] = []  # start, end, total before, total after, the last earlier segment that begins lower
     for i in positive.tolist():  # the others only lower the running total
-        new = [i, i + 1, float(upto[i]), float(upto[i + 1])]
+        start, low, high = i, float(upto[i]), float(upto[i + 1])
         while True:
             j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= low:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= high:
+                found.append((start, i + 1, low, high, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            start, low = found[j][0], found[j][2]
             del found[j:]
-    return [(s, e, hi - lo) for s, e, lo, hi in found]
+    return [(s, e, hi - lo) for s, e, lo, hi, _ in found]
 
 
 class Model:
