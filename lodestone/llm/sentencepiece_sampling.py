@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import table
 from lodestone.llm._text import mixed
 
-MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000
+MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 4_000_000, 150_000
 UNIT = re.compile(r"\n+| *[^ \n]+| +")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -136,7 +136,8 @@ class Lattices:
         dst.append(rest + 1)
         edge_id.append(-1 - chars[rest].astype(_LONG))
         weight.append(pieces.byte_weight * utf8)
-        src, dst, edge_id, weight = (np.concatenate(x) for x in (src, dst, edge_id, weight))
+        # a node's longest pieces, which are likeliest, come first
+        src, dst, edge_id, weight = (np.concatenate(x[::-1]) for x in (src, dst, edge_id, weight))
         order = np.argsort(src, kind="stable")
         self.src, self.dst, self.id, w = src[order], dst[order], edge_id[order], weight[order]
         self.first, self.end = first[:-1], first[1:]
@@ -171,8 +172,11 @@ class Lattices:
         step = 0
         while len(live):
             node = pos[live]
-            # the last edge of a node closes at node + 1, so the search stays inside the node
-            e = np.minimum(np.searchsorted(self.cum, node + random(live, step)), self.begin[node + 1] - 1)
+            e, goal = self.begin[node], node + random(live, step)
+            more = np.flatnonzero(self.cum[e] < goal)  # the last edge of a node closes at node + 1
+            while len(more):
+                e[more] += 1
+                more = more[self.cum[e[more]] < goal[more]]
             unit.append(live)
             edge.append(e)
             steps.append(np.full(len(live), step))
@@ -321,25 +325,28 @@ def _encode(path: str, k: int, with_ids: bool):
         types = np.fromiter((x for d in per_doc for x in d), _LONG, int(size.sum()))
         doc = np.repeat(np.arange(n), size)
         seed = mixed(np.array([(0 if key is None else key) & ((1 << 64) - 1) for key in keys], np.uint64) + np.uint64(0x5851F42D4C957F2D))
-        paths, kappa = sample(lat, types, doc, n, seed, k)
-        cuts = [np.searchsorted(p["doc"], np.arange(n + 1)) for p in paths]
-        made = [_edge_ids(lat, p["edge"], pieces) for p in paths]
         token = np.r_[0, np.cumsum(length[types])]
         ids_all = flat[np.repeat(at[types] - token[:-1], length[types]) + np.arange(token[-1])]
         first = np.r_[0, np.cumsum(size)]
         good = np.r_[0, np.cumsum(whole[types])]
+        sampled: list[tuple] = []
+        lo = 0
+        while lo < n:  # texts of about SAMPLE_UNITS units at a time, over the same lattices
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + SAMPLE_UNITS, "right")) - 1)
+            paths, kappa = sample(lat, types[first[lo] : first[hi]], doc[first[lo] : first[hi]] - lo, hi - lo, seed[lo:hi], k)
+            cuts = [np.searchsorted(p["doc"], np.arange(hi - lo + 1)) for p in paths]
+            made = [_edge_ids(lat, p["edge"], pieces) for p in paths]
+            for i in range(hi - lo):
+                some = [(p, c, m) for p, c, m in zip(paths, cuts, made) if np.isfinite(p["g"][i])]
+                seqs = [seq[begin[c[i]] : begin[c[i + 1]]] for _, c, (seq, begin) in some]
+                phis = [float(p["phi"][i]) for p, _, _ in some]
+                sampled.append((seqs, phis, [float(-np.expm1(-np.exp(np.clip(x - kappa[i], -700, 700)))) if np.isfinite(kappa[i]) else 1.0 for x in phis]))
+            lo = hi
         # a text with at most k segmentations is sampled whole: kappa is -inf and every inclusion 1
         out = []
         for i in range(n):
             lo, hi = first[i], first[i + 1]
-            ids = ids_all[token[lo] : token[hi]]
-            seqs, phis, incl = [], [], []
-            for p, c, (seq, begin) in zip(paths, cuts, made):
-                if np.isfinite(p["g"][i]):
-                    seqs.append(seq[begin[c[i]] : begin[c[i + 1]]])
-                    phis.append(float(p["phi"][i]))
-                    incl.append(float(-np.expm1(-np.exp(np.clip(p["phi"][i] - kappa[i], -700, 700)))) if np.isfinite(kappa[i]) else 1.0)
-            out.append((keys[i], ids, bool(good[hi] - good[lo] == hi - lo) and clean[i] == texts[i], seqs, phis, incl))
+            out.append((keys[i], ids_all[token[lo] : token[hi]], bool(good[hi] - good[lo] == hi - lo) and clean[i] == texts[i], *sampled[i]))
         return out
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
