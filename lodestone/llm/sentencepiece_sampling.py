@@ -192,9 +192,15 @@ class Lattices:
         return unit[order], steps[order], edge[order]
 
 
+#: -ln u of the greatest u is 2^-54: no Gumbel value exceeds its phi by more.
+GUMBEL_MOST = 37.5
+#: Siblings whose prefix is less likely than this are looked at only if they could matter.
+FAR = -100.0
+
+
 def uniform(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes of the row's seed, the sample and the place."""
-    h = mixed(seed ^ mixed(place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt) * np.uint64(0x165667B19E3779F9) + np.uint64(1)))
+    h = mixed(mixed(seed + np.uint64(salt) * np.uint64(0x165667B19E3779F9)) ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
@@ -211,8 +217,11 @@ def _per_doc_max(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray
     return best, at
 
 
-def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed: np.ndarray, k: int) -> tuple[list[dict], np.ndarray]:
-    """k segmentations without replacement for every text, and kappa.
+def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed: np.ndarray, k: int, far: float = FAR) -> tuple[list[dict], np.ndarray, np.ndarray]:
+    """k segmentations without replacement for every text, kappa, and the texts to do again with a lower `far`.
+
+    A sibling below a prefix with a log-probability under `far` has a value of at most far + GUMBEL_MOST;
+    where every value chosen lies above that, leaving them out changes nothing.
 
     types: lattice of every unit; doc: its text, sorted. Each sample is a dict with per-text
     `phi`, `g` (-inf where the text has no further segmentation) and the path's (doc, edge) arrays.
@@ -223,6 +232,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
     paths: list[dict] = []
     queue: list[dict] = []
     branch_unit = np.zeros(n_docs, _LONG)
+    least, left_out = np.full(n_docs, np.inf), np.zeros(n_docs, bool)
     pos = lat.first[types].copy()
     prefix = None
     for j in range(k):
@@ -241,7 +251,9 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
         phi = run[first_visit[1:]] - run[first_visit[:-1]]
         paths.append({"phi": phi, "g": g, "doc": d, "unit": unit, "edge": edge})
         # siblings of the edges taken after the branch, conditioned on being less than the path's value
-        v = np.flatnonzero(fresh)
+        near = before >= far
+        left_out[d[fresh & ~near]] = True
+        v = np.flatnonzero(fresh & near)
         node = lat.src[edge[v]]
         count = lat.begin[node + 1] - lat.begin[node]
         visit = np.repeat(v, count)
@@ -260,6 +272,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
             better = top > best
             best[better], who[better], where[better] = top[better], q, at[better]
         g = best
+        least = np.minimum(least, g)
         if j == k - 1:
             break
         # the next path of each text: its prefix up to the branch, the sibling, then a fresh descent
@@ -290,7 +303,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
         ku, ke = (np.concatenate(x) if x else np.empty(0, _LONG) for x in (keep_unit, keep_edge))
         order = np.argsort(ku, kind="stable")
         prefix = (ku[order], ke[order])
-    return paths, g
+    return paths, g, np.flatnonzero(left_out & (least < far + GUMBEL_MOST))
 
 
 def _edge_ids(lat: Lattices, edges: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +321,23 @@ def _edge_ids(lat: Lattices, edges: np.ndarray, pieces: Pieces) -> tuple[np.ndar
 
 
 def _encode(path: str, k: int, with_ids: bool):
+    def draw(lat: Lattices, types: np.ndarray, doc: np.ndarray, n: int, seed: np.ndarray, pieces: Pieces, far: float = FAR) -> list[tuple]:
+        """(samples, log-probabilities, inclusion scores) of every text."""
+        paths, kappa, again = sample(lat, types, doc, n, seed, k, far)
+        cuts = [np.searchsorted(p["doc"], np.arange(n + 1)) for p in paths]
+        made = [_edge_ids(lat, p["edge"], pieces) for p in paths]
+        out = []
+        for i in range(n):
+            some = [(p, c, m) for p, c, m in zip(paths, cuts, made) if np.isfinite(p["g"][i])]
+            seqs = [seq[begin[c[i]] : begin[c[i + 1]]] for _, c, (seq, begin) in some]
+            phis = [float(p["phi"][i]) for p, _, _ in some]
+            # a text with at most k segmentations is sampled whole: kappa is -inf and every inclusion 1
+            out.append((seqs, phis, [float(-np.expm1(-np.exp(np.clip(x - kappa[i], -700, 700)))) if np.isfinite(kappa[i]) else 1.0 for x in phis]))
+        for i in again.tolist():
+            mine = doc == i
+            out[i] = draw(lat, types[mine], np.zeros(int(mine.sum()), _LONG), 1, seed[i : i + 1], pieces, -np.inf)[0]
+        return out
+
     def block(keys: list, texts: list[str], pieces: Pieces) -> list[tuple]:
         clean = [t.replace("▁", " ") for t in texts]
         index: dict[str, int] = {}
@@ -333,16 +363,8 @@ def _encode(path: str, k: int, with_ids: bool):
         lo = 0
         while lo < n:  # texts of about SAMPLE_UNITS units at a time, over the same lattices
             hi = max(lo + 1, int(np.searchsorted(first, first[lo] + SAMPLE_UNITS, "right")) - 1)
-            paths, kappa = sample(lat, types[first[lo] : first[hi]], doc[first[lo] : first[hi]] - lo, hi - lo, seed[lo:hi], k)
-            cuts = [np.searchsorted(p["doc"], np.arange(hi - lo + 1)) for p in paths]
-            made = [_edge_ids(lat, p["edge"], pieces) for p in paths]
-            for i in range(hi - lo):
-                some = [(p, c, m) for p, c, m in zip(paths, cuts, made) if np.isfinite(p["g"][i])]
-                seqs = [seq[begin[c[i]] : begin[c[i + 1]]] for _, c, (seq, begin) in some]
-                phis = [float(p["phi"][i]) for p, _, _ in some]
-                sampled.append((seqs, phis, [float(-np.expm1(-np.exp(np.clip(x - kappa[i], -700, 700)))) if np.isfinite(kappa[i]) else 1.0 for x in phis]))
+            sampled += draw(lat, types[first[lo] : first[hi]], doc[first[lo] : first[hi]] - lo, hi - lo, seed[lo:hi], pieces)
             lo = hi
-        # a text with at most k segmentations is sampled whole: kappa is -inf and every inclusion 1
         out = []
         for i in range(n):
             lo, hi = first[i], first[i + 1]
