@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import lexicon
 from lodestone.functions.text import strip_links
 from lodestone.functions.tokenize import regex_tokens
 
@@ -19,11 +20,11 @@ class Reranker(Protocol):
     def __call__(self, results: DataFrame) -> DataFrame: ...
 
 
-FOLLOW_UP = r"^(what about|how about|and |also|then|so |why|more|tell me more|continue)"
+FOLLOW_UP = "|".join(lexicon.FOLLOW_UPS)
 
 
 def follow_up(text: Column) -> Column:
-    return F.lower(F.trim(text)).rlike(FOLLOW_UP)
+    return F.trim(text).rlike(FOLLOW_UP)
 
 
 def context(messages: DataFrame, last: int = 10, cut: int = 300) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.tokenize import regex_tokens
-from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, vectors
+from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, linking, routing, vectors
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -311,7 +311,7 @@ def message_pairs(spark, d):
     return chat.pairs(_messages(spark, d))
 
 
-@query(f"SELECT conv_id AS session_id, turn, regexp_matches(lower(trim(text)), '{chat.FOLLOW_UP}') AS follow_up FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id AS session_id, turn, regexp_matches(trim(text), '{chat.FOLLOW_UP}') AS follow_up FROM conversations WHERE role = 'user'")
 def follow_up_flag(spark, d):
     return _messages(spark, d).where("role = 'user'").select("session_id", "turn", chat.follow_up(F.col("content")).alias("follow_up"))
 
@@ -346,3 +346,39 @@ def rerank_lexical(spark, d):
 @query()
 def prompt_build(spark, d):
     return chat.prompts(fusion.assemble(_fused(spark, d, 10), chunks(spark, d), top_k=3), texts(spark, d))
+
+
+@query(f"SELECT item_id AS query_id, regexp_matches(text, '{'|'.join(routing.lexicon.BROAD_QUERIES)}') AS broad, CASE WHEN item_id % 2 = 0 THEN 20 ELSE 40 END AS recall, (CASE WHEN item_id % 2 = 0 THEN 1 ELSE 3 END) * (CASE WHEN regexp_matches(text, '{'|'.join(routing.lexicon.BROAD_QUERIES)}') THEN 3 ELSE 5 END) AS fused FROM benchmark")
+def broad_query_sizes(spark, d):
+    q = texts(spark, d).withColumn("s", routing.sizes(F.col("query"), F.col("query_id") % 2 == 0))
+    return q.select("query_id", routing.is_broad(F.col("query")).alias("broad"), "s.recall", "s.fused")
+
+
+@query("SELECT lang AS query_id, doc_id AS chunk_id FROM documents WHERE (lang, source) IN (('en', 'src0'), ('de', 'src1'))")
+def doc_type_semijoin(spark, d):
+    """Two type filters; the query without a match (fr) isn't filtered and is reported by the second frame."""
+    wanted = spark.createDataFrame([("en", "src0"), ("de", "src1"), ("fr", "nothing")], "query_id string, doc_type string")
+    hits, _ = corpus.doc_type_filter(wanted, chunks(spark, d).withColumnRenamed("client", "lang"))
+    return hits.join(chunks(spark, d).select("chunk_id", F.col("client").alias("query_id")), ["chunk_id", "query_id"], "left_semi").select("query_id", "chunk_id")
+
+
+@query()
+def entity_context(spark, d):
+    e, edges = dictionary(spark, d)
+    req = _requests(spark, d, e).where("name_pos <= 3").select("query_id", "name", "name_pos")
+    per = req.join(edges, "name").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    return per.join(chunks(spark, d), "chunk_id").select("query_id", "chunk_id", linking.contexts(F.col("content"), F.col("names")).alias("context"))
+
+
+@query()
+def entity_snippets(spark, d):
+    e, edges = dictionary(spark, d)
+    per = _requests(spark, d, e).select("query_id", "name").join(edges, "name").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    s = per.join(chunks(spark, d), "chunk_id").select("query_id", "chunk_id", F.explode(linking.snippets(F.col("content"), F.col("names"))).alias("s"))
+    return s.select("query_id", "chunk_id", "s.start", "s.end", "s.mentions")
+
+
+@query()
+def link_annotation(spark, d):
+    names = linking.load_names(dictionary(spark, d)[0].where("type = 'entity'"))
+    return linking.annotate(chunks(spark, d), names).select("chunk_id", "n_linked", F.md5("content").alias("digest"))
