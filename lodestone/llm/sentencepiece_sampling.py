@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,14 @@ class Pieces:
         return self.decode([self.blank, *ids]) == unit
 
 
+class Index(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Lattices:
     """Edge arrays of the lattices of distinct units: nodes are positions, edges pieces, grouped by node."""
 
@@ -136,22 +145,30 @@ class Lattices:
         dst.append(rest + 1)
         edge_id.append(-1 - chars[rest].astype(_LONG))
         weight.append(pieces.byte_weight * utf8)
-        # a node's longest pieces, which are likeliest, come first
-        src, dst, edge_id, weight = (np.concatenate(x[::-1]) for x in (src, dst, edge_id, weight))
-        order = np.argsort(src, kind="stable")
-        self.src, self.dst, self.id, w = src[order], dst[order], edge_id[order], weight[order]
+        # edges lie by node; a node's longest pieces, which are likeliest, come first
+        per_node = np.zeros(n, _LONG)
+        for at in src:  # a list has a node once
+            per_node[at] += 1
+        self.begin = np.r_[0, np.cumsum(per_node)]
+        m = int(self.begin[-1])
+        self.src, self.dst, self.id, w = np.repeat(np.arange(n), per_node), np.empty(m, _LONG), np.empty(m, _LONG), np.empty(m)
+        free = self.begin[:-1].copy()
+        for s, d, i, x in zip(src[::-1], dst[::-1], edge_id[::-1], weight[::-1]):
+            at = free[s]
+            self.dst[at], self.id[at], w[at] = d, i, x
+            free[s] += 1
         self.first, self.end = first[:-1], first[1:]
-        self.begin = np.searchsorted(self.src, np.arange(n + 1))
         # backward log-sums by distance from the unit's start, the farthest first
         beta = np.zeros(n + 1)
         local = np.arange(n) - np.repeat(self.first, size)
-        by = np.argsort(-local, kind="stable")
+        far = int(size.max()) - local
+        by = np.argsort(far.astype(np.uint16) if size.max() < 1 << 16 else far, kind="stable")  # 16 bits sort by radix
         cuts = np.flatnonzero(np.r_[True, np.diff(local[by]) != 0])
         is_end = np.zeros(n + 1, bool)
         is_end[first] = True
         score = np.empty(len(w))
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), n]):
-            nodes = np.sort(by[lo:hi])
+            nodes = by[lo:hi]  # ascending, as the sort is stable
             count = self.begin[nodes + 1] - self.begin[nodes]
             e = np.repeat(self.begin[nodes] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             to = self.dst[e]
@@ -340,8 +357,8 @@ def _encode(path: str, k: int, with_ids: bool):
 
     def block(keys: list, texts: list[str], pieces: Pieces) -> list[tuple]:
         clean = [t.replace("▁", " ") for t in texts]
-        index: dict[str, int] = {}
-        per_doc = [[index.setdefault(u, len(index)) for u in UNIT.findall(" " + t)] if t else [] for t in clean]
+        index = Index()
+        per_doc = [list(map(index.__getitem__, UNIT.findall(" " + t))) if t else [] for t in clean]
         units = list(index)
         n = len(texts)
         if not units:
@@ -349,10 +366,10 @@ def _encode(path: str, k: int, with_ids: bool):
         coded = pieces.encode_unit(units)
         whole = np.fromiter((pieces.spells(c, u) for u, c in zip(units, coded)), bool, len(units))
         length = np.fromiter(map(len, coded), _LONG, len(units))
-        flat, at = np.array([x for c in coded for x in c], np.int32), np.r_[0, np.cumsum(length)]
+        flat, at = np.fromiter(chain.from_iterable(coded), np.int32, int(length.sum())), np.r_[0, np.cumsum(length)]
         lat = Lattices(units, pieces)
         size = np.fromiter(map(len, per_doc), _LONG, n)
-        types = np.fromiter((x for d in per_doc for x in d), _LONG, int(size.sum()))
+        types = np.fromiter(chain.from_iterable(per_doc), _LONG, int(size.sum()))
         doc = np.repeat(np.arange(n), size)
         seed = mixed(np.array([(0 if key is None else key) & ((1 << 64) - 1) for key in keys], np.uint64) + np.uint64(0x5851F42D4C957F2D))
         token = np.r_[0, np.cumsum(length[types])]
