@@ -69,3 +69,29 @@ def doc_type_filter(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     hits = requests.join(chunks, requests["doc_type"] == chunks["doc_type"]).select("query_id", "chunk_id")
     none = requests.select("query_id").distinct().join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return hits.distinct(), none
+
+
+def broken_tables(content: Column) -> Column:
+    """Whether a chunk holds a run of table lines that is under two lines long or has no rule line."""
+    row = lambda x: F.trim(x).startswith("|") & F.trim(x).endswith("|") & (F.trim(x) != "")
+    marked = F.array_join(F.transform(F.split(content, "\n"), lambda x: F.when(row(x), F.when(x.contains("---"), "r").otherwise("t")).otherwise(" ")), "")
+    runs = F.filter(F.split(marked, " +"), lambda x: x != "")
+    return F.exists(runs, lambda x: (F.length(x) < 2) | ~x.contains("r"))
+
+
+def truncation_rates(contexts: DataFrame) -> DataFrame:
+    """One row of `contexts(sample_id, content)`: shares of chunks and of samples with a broken table."""
+    by = contexts.groupBy("sample_id").agg(F.count("*").alias("n"), F.count_if(broken_tables(F.col("content"))).alias("broken"))
+    return by.agg(F.round(F.sum("broken") / F.greatest(F.sum("n"), F.lit(1)), 6).alias("chunk_rate"), F.round(F.count_if(F.col("broken") > 0) / F.greatest(F.count("*"), F.lit(1)), 6).alias("sample_rate"))
+
+
+def worst(results: DataFrame, metric: str, k: int = 5) -> DataFrame:
+    """The k samples with the lowest metric; a missing one counts as 1."""
+    return results.withColumn("m", F.coalesce(metric, F.lit(1.0))).orderBy("m", "sample_id").limit(k).drop("m")
+
+
+def chunk_report(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, and the least, greatest and mean (floored) length; zeros without chunks."""
+    n = F.length("content")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return chunks.agg(F.count("*").alias("chunks"), z(F.min(n)).alias("least"), z(F.max(n)).alias("most"), z(F.floor(F.avg(n))).alias("mean"))
