@@ -68,13 +68,35 @@ class Pieces:
         by = np.argsort(hashes)
         self.hashes, self.ids = hashes[by], np.array(ids)[by]
         self.weights = weight[self.ids]
-        self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece
-        self.maybe[self.hashes >> np.uint64(44)] = True
+        # open addressing by the hash's top bits; -1 is a free slot
+        self.slots, self.probes = np.full((1 << 20) + 64, -1, np.int32), 1
+        for i, h in enumerate(self.hashes.tolist()):
+            at = first = h >> 44
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at] = i
+            self.probes = max(self.probes, at - first + 1)
         self.names = names
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.bytes.values())] = True
         self.blank = int(self.sp.piece_to_id("▁"))
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h that are pieces, ascending; their index)."""
+        at, todo = (h >> np.uint64(44)).astype(np.int32), np.arange(len(h))
+        out = np.full(len(h), -1, np.int32)
+        for step in range(self.probes):
+            i = self.slots[at[todo] + step]
+            used = i >= 0
+            todo, i = todo[used], i[used]
+            same = self.hashes[i] == h[todo]
+            out[todo[same]] = i[same]
+            todo = todo[~same]
+            if not len(todo):
+                break
+        hit = np.flatnonzero(out >= 0)
+        return hit, out[hit]
+
     @classmethod
     def load(cls, path: str) -> "Pieces":
         if path not in cls._loaded:
@@ -129,14 +151,11 @@ class Lattices:
             if not len(at):
                 break
             h = (total[at + k] - total[at]) * down[at]
-            some = np.flatnonzero(pieces.maybe[h >> np.uint64(44)])
-            h = h[some]
-            i = np.minimum(np.searchsorted(pieces.hashes, h), len(pieces.hashes) - 1)
-            hit = pieces.hashes[i] == h
-            src.append(at[some[hit]])
-            dst.append(at[some[hit]] + k)
-            edge_id.append(pieces.ids[i[hit]])
-            weight.append(pieces.weights[i[hit]])
+            hit, i = pieces.find(h)
+            src.append(at[hit])
+            dst.append(at[hit] + k)
+            edge_id.append(pieces.ids[i])
+            weight.append(pieces.weights[i])
         single = np.zeros(n, bool)
         single[src[0]] = True
         rest = np.flatnonzero(~single)  # characters without a piece fall back to their bytes
@@ -182,8 +201,8 @@ class Lattices:
         cum[self.begin[1:] - 1] = 1.0
         self.cum = self.src + np.minimum(cum, 1.0)
 
-    def descend(self, types: np.ndarray, pos: np.ndarray, random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sample a path through every unit from node `pos`: (unit, step, edge) of all edges taken, in text order."""
+    def descend(self, types: np.ndarray, pos: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
+        """Sample a path through every unit from node `pos`: (unit, edge) of all edges taken, in text order."""
         unit, edge, steps = [], [], []
         live = np.flatnonzero(pos < self.end[types])
         step = 0
@@ -203,10 +222,13 @@ class Lattices:
             step += 1
         if not unit:
             none = np.empty(0, _LONG)
-            return none, none, none
+            return none, none
         unit, edge, steps = np.concatenate(unit), np.concatenate(edge), np.concatenate(steps)
-        order = np.lexsort((steps, unit))
-        return unit[order], steps[order], edge[order]
+        count = np.bincount(unit, minlength=len(types))
+        at = (np.cumsum(count) - count)[unit] + steps  # a unit's steps are numbered from 0
+        out = np.empty(len(at), _LONG)
+        out[at] = edge
+        return np.repeat(np.arange(len(types)), count), out
 
 
 #: -ln u of the greatest u is 2^-54: no Gumbel value exceeds its phi by more.
@@ -215,9 +237,13 @@ GUMBEL_MOST = 37.5
 FAR = -100.0
 
 
-def uniform(seed: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from hashes of the row's seed, the sample and the place."""
-    h = mixed(mixed(seed + np.uint64(salt) * np.uint64(0x165667B19E3779F9)) ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+def salted(seed: np.ndarray, salt: int) -> np.ndarray:
+    return mixed(seed + np.uint64(salt) * np.uint64(0x165667B19E3779F9))
+
+
+def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from hashes of the row's salted seed and the place."""
+    h = mixed(seed ^ (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
@@ -245,7 +271,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
     """
     start = np.searchsorted(doc, np.arange(n_docs + 1))
     within = np.arange(len(doc)) - start[doc] if len(doc) else np.empty(0, _LONG)
-    g = -np.log(-np.log(uniform(seed, 0, np.zeros(n_docs, _LONG))))
+    g = -np.log(-np.log(uniform(salted(seed, 0), np.zeros(n_docs, _LONG))))
     paths: list[dict] = []
     queue: list[dict] = []
     branch_unit = np.zeros(n_docs, _LONG)
@@ -254,8 +280,9 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
     prefix = None
     for j in range(k):
         active = np.isfinite(g)
-        rnd = lambda live, step, j=j: uniform(seed[doc[live]], 2 * j + 1, within[live] * 64 + step)
-        unit, _, edge = lat.descend(types, np.where(active[doc] if len(doc) else False, pos, lat.end[types]), rnd)
+        own = salted(seed, 2 * j + 1)[doc]
+        rnd = lambda live, step, own=own: uniform(own[live], within[live] * 64 + step)
+        unit, edge = lat.descend(types, np.where(active[doc] if len(doc) else False, pos, lat.end[types]), rnd)
         fresh = np.ones(len(unit), bool)
         if prefix is not None:
             unit, edge, fresh = np.r_[prefix[0], unit], np.r_[prefix[1], edge], np.r_[np.zeros(len(prefix[0]), bool), fresh]
@@ -279,7 +306,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
         visit, e = visit[other], e[other]
         sd = d[visit]
         loc = before[visit] + lat.logp[e]
-        u = uniform(seed[sd], 2 * j + 2, (visit - first_visit[sd]) * 64 + (e - lat.begin[lat.src[e]]))
+        u = uniform(salted(seed, 2 * j + 2)[sd], (visit - first_visit[sd]) * 64 + (e - lat.begin[lat.src[e]]))
         value = loc - np.log(np.exp(np.minimum(loc - g[sd], 700)) - np.log(u))
         queue.append({"doc": sd, "value": value, "visit": visit, "edge": e, "path": j})
         best, who = np.full(n_docs, -np.inf), np.full(n_docs, -1)
