@@ -264,7 +264,7 @@ class _Search:
         """(point at `GROUPS` coordinates, point as fine as it is), kept for the next blocks."""
         x = self.points.get(cls)
         if x is None:
-            if len(self.points) > 50_000:
+            if len(self.points) > 20_000:
                 self.points.clear()
             fine = point(counts, 2 * len(counts))
             x = self.points[cls] = (fine.reshape(GROUPS, -1).sum(1), fine)
@@ -299,9 +299,12 @@ class _Search:
         if self.mode != "hub":
             ok &= comp[i] != comp[j]
         p = p[ok]
-        p = p[7 * np.minimum(coarse[p[:, 0]], coarse[p[:, 1]]).sum(1) >= 3 * (n[p[:, 0]] + n[p[:, 1]])]
         member = list(zip(cls.tolist(), n.tolist(), [x[1] for x in points]))
-        share = np.array([self.links_maybe(member[i], member[j]) for i, j in p.tolist()])
+        share = np.zeros(len(p))
+        for lo in range(0, len(p), 16_384):  # a slice at a time bounds the memory of a large block
+            part = p[lo : lo + 16_384]
+            likely = np.flatnonzero(7 * np.minimum(coarse[part[:, 0]], coarse[part[:, 1]]).sum(1) >= 3 * (n[part[:, 0]] + n[part[:, 1]]))
+            share[lo + likely] = [self.links_maybe(member[i], member[j]) for i, j in part[likely].tolist()]
         p, share = p[share > 0], share[share > 0]
         if self.mode == "nearest" and len(p):
             p = p[np.argsort(-share, kind="stable")]
