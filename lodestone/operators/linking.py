@@ -30,6 +30,11 @@ def pattern_of(names: list[str]) -> re.Pattern | None:
     return re.compile("|".join(parts)) if parts else None
 
 
+def inside(text: str | None, names: list[str]) -> list[str]:
+    """The names that occur in a text at all, in their order; a pattern of all names would be slow."""
+    return [n for n in names if n in text] if text else []
+
+
 def annotate_text(text: str, pattern: re.Pattern | None) -> tuple[str, int]:
     """`text` with every name outside a link wrapped in `[[ ]]`, and the number of distinct names wrapped."""
     if not text or pattern is None:
@@ -97,9 +102,8 @@ def annotate(chunks: DataFrame, names: list[str]) -> DataFrame:
 
     @F.pandas_udf("content string, n_linked int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pattern = pattern_of(box.value)
         for s in batches:
-            yield pd.DataFrame([annotate_text(t, pattern) for t in s], columns=["content", "n_linked"])
+            yield pd.DataFrame([annotate_text(t, pattern_of(inside(t, box.value))) for t in s], columns=["content", "n_linked"])
 
     return chunks.withColumn("x", run("content")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x")
 
@@ -110,9 +114,8 @@ def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pattern = pattern_of(box.value)
         for s in batches:
-            yield s.map(lambda t: missing_in_text(t, pattern))
+            yield s.map(lambda t: missing_in_text(t, pattern_of(inside(t, box.value))))
 
     return chunks.select("chunk_id", F.explode(run("content")).alias("name"))
 
