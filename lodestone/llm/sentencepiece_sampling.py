@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import table
 from lodestone.llm._text import mixed
 
-MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 4_000_000, 150_000
+MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000, 100_000
 UNIT = re.compile(r"\n+| *[^ \n]+| +")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
