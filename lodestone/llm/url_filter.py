@@ -3,6 +3,7 @@
 Keys are tested, never joined: level 1 encodes the listed keys, level 2 the unlisted keys of the
 corpus that level 1 passes by mistake, level 3 the listed keys that level 2 passes, and so on until
 a level makes no mistake. As the universe holds every key that can be asked, membership is exact.
+Every level mixes a key's two hashes with its own number, so keys that collide on one level part on the next.
 Each level is built from DataFrame aggregates (one row per 64-bit word of the filter) and only the
 filters themselves are broadcast; their size follows the number of *listed* keys, which
 `MAX_LISTED` bounds, not the corpus.
@@ -36,13 +37,27 @@ BLOCKED_WORDS = ["casino", "bets", "poker", "porn", "xxx", "pills", "loan", "win
 BITS_PER_KEY, MAX_LISTED, MAX_LEVELS = 10, 50_000_000, 64
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words in which every bit of the input moves every bit of the output."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def salted(h1: np.ndarray, h2: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's hashes on one level. Each depends on all bits of both, so only keys equal in both collide on every level."""
+    a, b = (np.uint64((2 * level + i) * 0x9E3779B97F4A7C15 % 2**64) for i in (1, 2))
+    return _mixed(h1 ^ _mixed(h2 + a)), _mixed(h2 ^ _mixed(h1 + b)) | np.uint64(1)
+
+
 class Bloom:
-    """One level: `bits` is a power of two, `hashes` positions per key by double hashing."""
+    """The filter of level number `level`: `bits` is a power of two, `hashes` positions per key by double hashing."""
 
-    def __init__(self, words: np.ndarray, hashes: int):
-        self.words, self.hashes = words, hashes
+    def __init__(self, words: np.ndarray, hashes: int, level: int):
+        self.words, self.hashes, self.level = words, hashes, level
 
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        h1, h2 = salted(h1, h2, self.level)
         size = np.uint64(len(self.words) * 64)
         out = np.ones(len(h1), bool)
         for k in range(self.hashes):
@@ -62,11 +77,11 @@ class Cascade:
         if not self.levels:
             return np.zeros(len(h1), bool)
         inside = np.full(len(h1), len(self.levels) % 2 == 1)
-        undecided = np.ones(len(h1), bool)
+        undecided = np.arange(len(h1))
         for depth, level in enumerate(self.levels):
-            passed = level.holds(h1, h2)
-            inside[undecided & ~passed] = depth % 2 == 1
-            undecided &= passed
+            passed = level.holds(h1[undecided], h2[undecided])
+            inside[undecided[~passed]] = depth % 2 == 1
+            undecided = undecided[passed]
         return inside
 
 
@@ -74,15 +89,24 @@ def hashed(key: Column, salt: int) -> list[Column]:
     return [F.xxhash64(F.lit(f"a{salt}"), key), F.xxhash64(F.lit(f"b{salt}"), key).bitwiseOR(F.lit(1))]
 
 
-def build_level(keys: DataFrame, n: int) -> Bloom:
-    """Bloom filter of `keys(h1, h2)`: distributed OR of words, then the words alone reach the driver."""
+def _salt(level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = salted(*(b.column(k).to_numpy().view(np.uint64) for k in (0, 1)), level)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in h], ["h1", "h2"])
+
+    return run
+
+
+def build_level(keys: DataFrame, n: int, level: int) -> Bloom:
+    """Bloom filter of `keys(h1, h2)` for a level: distributed OR of words, then the words alone reach the driver."""
     size = 1 << max(10, math.ceil(math.log2(n * BITS_PER_KEY)))
     k = max(1, round(size / n * math.log(2))) if size / n < 20 else 14
-    spots = keys.select(F.explode(F.array(*[_low_bits(F.col("h1"), F.col("h2"), i, size) for i in range(k)])).alias("p"))
+    spots = keys.mapInArrow(_salt(level), "h1 long, h2 long").select(F.explode(F.array(*[_low_bits(F.col("h1"), F.col("h2"), i, size) for i in range(k)])).alias("p"))
     words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toPandas()
     out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return Bloom(out.view(np.uint64), k)
+    return Bloom(out.view(np.uint64), k, level)
 
 
 def _low_bits(h1: Column, h2: Column, i: int, size: int) -> Column:
@@ -112,7 +136,7 @@ def cascade(listed: DataFrame, universe: DataFrame, tag: str) -> Cascade:
     if n > MAX_LISTED:
         raise ValueError(f"{n} listed keys; the filters' size is proven for {MAX_LISTED}")
     while n and len(levels) < MAX_LEVELS:
-        levels.append(build_level(inside, n))
+        levels.append(build_level(inside, n, len(levels)))
         box = spark.sparkContext.broadcast(levels[-1])
         wrong = materialize(outside.mapInArrow(_probe(box), "h1 long, h2 long"), f"{tag}-level")
         inside, outside = wrong, inside

@@ -208,6 +208,14 @@ def test_cascade_is_exact(spark):
     assert (c.holds(h1, h2) == rows["key"].str.endswith("7").to_numpy()).all() and len(c.levels) > 1
 
 
+def test_cascade_of_a_million_keys_against_a_short_list(spark):
+    universe = spark.range(1_000_000).select(F.concat(F.lit("host"), "id").alias("key"))
+    c = url_filter.cascade(universe.where("key in ('host1', 'host20', 'host300', 'host4000', 'host50000')"), universe, "short")
+    rows = universe.select("key", *url_filter.hashed(F.col("key"), 0)).toPandas()
+    h1, h2 = (rows.iloc[:, k].to_numpy().view(np.uint64) for k in (1, 2))
+    assert set(rows["key"][c.holds(h1, h2)]) == {"host1", "host20", "host300", "host4000", "host50000"} and len(c.levels) < 10
+
+
 def brute_cut(raws):
     counts = Counter(r[p : p + 400] for r in raws for p in range(len(r) - 399))
     out = []
