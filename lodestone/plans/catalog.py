@@ -104,12 +104,12 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seq
 
 
 def _fused(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """A benchmark query without a vector partner is answered by its lexical path alone."""
     v = _vector(spark, d)
     number = lambda t, c: t.select(c).distinct().withColumn("r", F.row_number().over(Window.orderBy(c)))
     pair = number(texts(spark, d), "query_id").join(number(v.withColumnRenamed("query_id", "vq"), "vq"), "r").select("query_id", "vq")
     v = v.withColumnRenamed("query_id", "vq").join(pair, "vq").drop("vq")
-    b = _bm25(spark, d, 20, 1.2).join(pair, "query_id").drop("vq")
-    return fusion.rrf(fusion.paths(vector=v, bm25=b), k)
+    return fusion.rrf(fusion.paths(vector=v, bm25=_bm25(spark, d, 20, 1.2)), k)
 
 
 @query(_bm25_sql(20, 1.2, f", {VEC}, {PAIR}, {RRF} SELECT query_id, chunk_id, rrf, coalesce(vector_rank, 0) AS vector_rank, coalesce(bm25_rank, 0) AS bm25_rank, pos FROM rk"))
