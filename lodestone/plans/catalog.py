@@ -188,9 +188,8 @@ def entity_lookup_or(spark, d):
 nd AS (SELECT query_id, count(DISTINCT name) AS needed FROM kn GROUP BY ALL), sh AS (SELECT query_id, chunk_id FROM kn JOIN edge USING (name) JOIN nd USING (query_id) GROUP BY query_id, chunk_id, needed HAVING count(DISTINCT name) = needed)
 SELECT query_id, name_pos, name, type, frequency, coalesce(chunk_id, -1) AS chunk_id FROM kn LEFT JOIN sh USING (query_id) WHERE type = 'entity'""")
 def entity_lookup_and(spark, d):
-    """Each query's two longest names."""
     e, edges = dictionary(spark, d)
-    hits = entities.lookup_and(_requests(spark, d, e).where("name_pos <= 2").select("query_id", "name", "name_pos"), e.drop("category"), edges)
+    hits = entities.lookup_and(_requests(spark, d, e).select("query_id", "name", "name_pos"), e.drop("category"), edges)
     return hits.withColumn("chunk_id", F.coalesce("chunk_id", F.lit(-1)))
 
 
@@ -365,7 +364,7 @@ def doc_type_semijoin(spark, d):
 @query()
 def entity_context(spark, d):
     e, edges = dictionary(spark, d)
-    req = _requests(spark, d, e).where("name_pos <= 3").select("query_id", "name", "name_pos")
+    req = _requests(spark, d, e).select("query_id", "name", "name_pos")
     per = req.join(edges, "name").groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
     return per.join(chunks(spark, d), "chunk_id").select("query_id", "chunk_id", linking.contexts(F.col("content"), F.col("names")).alias("context"))
 

@@ -12,3 +12,18 @@ def test_queries_without_a_vector_partner_keep_their_lexical_hits(spark):
     alone = {q for q, _ in got} - {q for (q, _), r in got.items() if r["vector_rank"]}
     assert alone and all(r["rrf"] == round(1 / (60 + r["pos"]), 9) and r["pos"] == r["bm25_rank"] for (q, _), r in got.items() if q in alone)
     assert {r["query_id"] for r in catalog.Q["hybrid_search"](spark, D).collect()} == {q for q, _ in lexical}
+
+
+def test_lookups_take_every_name_of_a_query(spark):
+    names, chunk_ids = {}, {}
+    for r in catalog.Q["entity_lookup_or"](spark, D).collect():
+        names.setdefault(r["query_id"], {})[r["name"]] = r["type"]
+        chunk_ids.setdefault((r["query_id"], r["name"]), set()).add(r["chunk_id"])
+    want = set()
+    for q, types in names.items():
+        shared = set.intersection(*(chunk_ids[q, n] for n in types)) or {-1}
+        want |= {(q, n, c) for n, t in types.items() if t == "entity" for c in shared}
+    got = catalog.Q["entity_lookup_and"](spark, D).collect()
+    assert {(r["query_id"], r["name"], r["chunk_id"]) for r in got} == want and max(r["name_pos"] for r in got) > 2
+    contexts = {(r["query_id"], r["chunk_id"]) for r in catalog.Q["entity_context"](spark, D).collect()}
+    assert contexts == {(q, c) for (q, _), cs in chunk_ids.items() for c in cs}
