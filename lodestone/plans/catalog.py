@@ -2,7 +2,7 @@
 
 Documents play the chunks (chunk_id = doc_id), source the document type, lang the client; benchmark texts
 are lexical queries, embeddings the vectors. The entity dictionary is derived from the corpus: words
-of 8 letters or more that occur in 3 to 40 documents, even-length ones entities, odd-length ones concepts.
+of 8 letters or more that occur in 3 documents or more, even-length ones entities, odd-length ones concepts.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ edge AS (SELECT term AS name, chunk_id FROM post JOIN ent ON term = name)"""
 
 def dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     post = bm25.build_index(chunks(spark, d)).postings
-    e = post.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df BETWEEN 3 AND 40")
+    e = post.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df >= 3")
     e = e.select(F.col("term").alias("name"), F.when(F.length("term") % 2 == 0, "entity").otherwise("concept").alias("type"), F.lit("").alias("category"), "frequency")
     return e, post.join(e.select(F.col("name").alias("term")), "term").select(F.col("term").alias("name"), "chunk_id")
 

@@ -1,5 +1,7 @@
 """Registered queries over the smallest tables answer every query in full."""
 
+import tempfile
+
 from lodestone.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -27,3 +29,12 @@ def test_lookups_take_every_name_of_a_query(spark):
     assert {(r["query_id"], r["name"], r["chunk_id"]) for r in got} == want and max(r["name_pos"] for r in got) > 2
     contexts = {(r["query_id"], r["chunk_id"]) for r in catalog.Q["entity_context"](spark, D).collect()}
     assert contexts == {(q, c) for (q, _), cs in chunk_ids.items() for c in cs}
+
+
+def test_dictionary_keeps_frequent_names(spark):
+    docs = [(i, "everywhere" + (" sometimes" if i < 3 else ""), "s", "en") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    path = f"{tempfile.mkdtemp()}/t"
+    df.write.parquet(f"{path}/documents.parquet")
+    assert {tuple(r) for r in catalog.Q["entity_known"](spark, path).collect()} == {("everywhere", "entity", 60), ("sometimes", "concept", 3)}
+    assert tuple(catalog.Q["struct_stats"](spark, path).first()) == (2, 1, 1, 63)
