@@ -1,5 +1,6 @@
-"""Entity links and contexts inside texts. Rewrites are sequential in a text, so they run in Arrow batches
-with the dictionary broadcast; `load_names` refuses a dictionary beyond its bound."""
+"""Entity links and contexts inside texts. Rewrites are sequential in a text, so they run in Arrow batches.
+`annotate_joined` looks up each text's own names, whatever the dictionary's size; `annotate` tries all of
+a list of names, and `load_names` refuses a dictionary beyond its bound."""
 
 from __future__ import annotations
 
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 
 MAX_NAMES = 200_000
 _LINKED = re.compile(r"\[\[[^\]]*\]\]")
+_RUN = re.compile(r"[A-Za-z0-9_]+")
 
 
 def load_names(entries: DataFrame) -> list[str]:
     """Names for linking: longest first, then by name; empty ones dropped."""
     rows = entries.where("name <> ''").select("name").distinct().limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names; link by operators.entities.match_names instead")
+        raise ValueError(f"more than {MAX_NAMES} names; link with annotate_joined instead")
     return sorted((r["name"] for r in rows), key=lambda n: (-len(n), n))
 
 
@@ -108,6 +110,72 @@ def annotate(chunks: DataFrame, names: list[str]) -> DataFrame:
     return chunks.withColumn("x", run("content")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x")
 
 
+def with_anchors(entries: DataFrame) -> DataFrame:
+    """(name, anchor): the longest run of ASCII word characters, which `pattern_of` only lets occur whole; the name itself if it has none."""
+    runs = F.transform(F.regexp_extract_all("name", F.lit(f"({_RUN.pattern})"), F.lit(1)), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+    return entries.where("name <> ''").select("name").distinct().select("name", F.coalesce(F.array_max(runs)["run"], F.col("name")).alias("anchor"))
+
+
+def anchors_in(text: str | None, runs: set[int], windows: set[int]) -> set[str]:
+    """Anchors of all names that may occur in a text: its runs of the lengths `runs`, and between runs every window of the lengths `windows`."""
+    out = {r for r in _RUN.findall(text or "") if len(r) in runs}
+    for gap in _RUN.split(text or "") if windows else ():
+        out.update(gap[i : i + n] for n in windows for i in range(len(gap) - n + 1))
+    return out
+
+
+def anchor_lengths(anchors: list[str]) -> tuple[set[int], set[int]]:
+    """Lengths of the anchors that are runs, and of those that aren't."""
+    return {len(a) for a in anchors if _RUN.match(a)}, {len(a) for a in anchors if not _RUN.match(a)}
+
+
+def _annotated(text: str | None, names: list[str]) -> tuple[str, int]:
+    return annotate_text(text, pattern_of(inside(text, sorted(names, key=lambda n: (-len(n), n)))))
+
+
+def annotate_joined(chunks: DataFrame, entries: DataFrame) -> DataFrame:
+    """`annotate` with every name of `entries(name)`; a text meets only names whose anchor it has.
+
+    Up to MAX_NAMES names are broadcast by anchor; more are joined with the texts' anchors, and each chunk gets its own.
+    """
+    names = with_anchors(entries)
+    rows = names.limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        return _annotate_beyond(chunks, names)
+    by_anchor: dict[str, list[str]] = {}
+    for r in rows:
+        by_anchor.setdefault(r["anchor"], []).append(r["name"])
+    box = chunks.sparkSession.sparkContext.broadcast((by_anchor, *anchor_lengths(list(by_anchor))))
+
+    @F.pandas_udf("content string, n_linked int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known, runs, windows = box.value
+        for s in batches:
+            yield pd.DataFrame([_annotated(t, [n for a in anchors_in(t, runs, windows) for n in known.get(a, ())]) for t in s], columns=["content", "n_linked"])
+
+    return chunks.withColumn("x", run("content")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x")
+
+
+def _annotate_beyond(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    one = names.select(F.col("anchor").rlike(f"^{_RUN.pattern}").alias("run"), F.length("anchor").alias("n")).distinct().collect()  # bounded by the longest name
+    runs, windows = ({r["n"] for r in one if r["run"] == v} for v in (True, False))
+
+    @F.pandas_udf("array<string>")
+    def anchors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: list(anchors_in(t, runs, windows)))
+
+    @F.pandas_udf("content string, n_linked int")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, keys in batches:
+            yield pd.DataFrame([_annotated(t, list(k) if k is not None else []) for t, k in zip(texts, keys)], columns=["content", "n_linked"])
+
+    found = chunks.select("chunk_id", F.explode(anchors("content")).alias("anchor")).join(names, "anchor")
+    own = found.groupBy(F.col("chunk_id").alias("own_id")).agg(F.collect_list("name").alias("names"))
+    joined = chunks.join(own, chunks["chunk_id"].eqNullSafe(own["own_id"]), "left").drop("own_id")
+    return joined.withColumn("x", run("content", "names")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x", "names")
+
+
 def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
     """(chunk_id, name) of names that stand in a chunk without a link."""
     box = chunks.sparkSession.sparkContext.broadcast(names)

@@ -379,5 +379,5 @@ def entity_snippets(spark, d):
 
 @query()
 def link_annotation(spark, d):
-    names = linking.load_names(dictionary(spark, d)[0].where("type = 'entity'"))
-    return linking.annotate(chunks(spark, d), names).select("chunk_id", "n_linked", F.md5("content").alias("digest"))
+    names = dictionary(spark, d)[0].where("type = 'entity'")
+    return linking.annotate_joined(chunks(spark, d), names).select("chunk_id", "n_linked", F.md5("content").alias("digest"))

@@ -1,7 +1,11 @@
 """Registered queries over the smallest tables answer every query in full."""
 
+import hashlib
 import tempfile
 
+import pytest
+
+from lodestone.operators import linking
 from lodestone.plans import catalog
 
 D = "/root/testdata/sf0.001"
@@ -38,3 +42,20 @@ def test_dictionary_keeps_frequent_names(spark):
     df.write.parquet(f"{path}/documents.parquet")
     assert {tuple(r) for r in catalog.Q["entity_known"](spark, path).collect()} == {("everywhere", "entity", 60), ("sometimes", "concept", 3)}
     assert tuple(catalog.Q["struct_stats"](spark, path).first()) == (2, 1, 1, 63)
+
+
+def test_links_need_no_bound_of_names(spark, monkeypatch):
+    names = linking.load_names(catalog.dictionary(spark, D)[0].where("type = 'entity'"))
+    want = {(r["chunk_id"], r["n_linked"], hashlib.md5(r["content"].encode()).hexdigest()) for r in linking.annotate(catalog.chunks(spark, D), names).collect()}
+    monkeypatch.setattr(linking, "MAX_NAMES", 5)
+    assert {tuple(r) for r in catalog.Q["link_annotation"](spark, D).collect()} == want
+
+
+@pytest.mark.parametrize("bound", [200_000, 5])
+def test_joined_names_equal_broadcast_ones(spark, monkeypatch, bound):
+    rows = [(1, "data base, data; metadata [[data]] C++ 中文字 x-y _id"), (1, "other 中文 (über) a-data"), (None, "data"), (2, None), (3, ""), (4, "überdata dataü C+++ + --- 文")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    entries = spark.createDataFrame([(n,) for n in ["data base", "data", "C++", "中文", "über", "ata", "", "+", "--", "x-y", "_id", "文字", "dataü", "data", None]], "name string")
+    want = sorted(map(repr, linking.annotate(chunks, linking.load_names(entries)).collect()))
+    monkeypatch.setattr(linking, "MAX_NAMES", bound)
+    assert sorted(map(repr, linking.annotate_joined(chunks, entries).collect())) == want
