@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,13 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share. Only a session in one process (local master, as in tests) gets one of its own where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -28,7 +34,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote, once everything that reads it is itself written."""
+    for t in tables:
+        path = getattr(t, "_table_path", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def bitmap_of(values: DataFrame, spark: SparkSession, size: int):
+    """Broadcast bitmap of the low `size` bits of `values(v)`: of fixed size, whatever the input."""
+    low = values.select(F.col("v").bitwiseAND((1 << size) - 1).alias("slot"))
+    words = low.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).toPandas()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return spark.sparkContext.broadcast(bits.view(np.uint8))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -149,7 +176,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select("b", "m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{tag}-edges")
+        last, e = e, materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{tag}-edges")
+        discard(last)
         after = state(e)
         if after == before:
             break

@@ -1,23 +1,27 @@
 """Operator 2, n-gram Jaccard join: count-vector R-trees over lossless blocks.
 
 A document's set is its distinct 5-word shingles; documents link when 100 * |A & B| >= 75 * |A | B|.
+A prefix filter bounds the work and the R-tree's bound prunes what meets; both lose no link.
 
 1. `sketch`: one pass yields each document's size, class id (hash of the whole set; equal sets are
-   one class from here on) and count vector (shingles by `GROUPS` hash groups), and the shingles that are frequent within an input split.
-2. `blocks`: shingles are ordered by rarity (unlisted ones first, then the `FREQUENT` most frequent
-   by count). Sets that link share a shingle among the first s - ceil(0.75 s) + 1, so classes meet in
-   blocks by those shingles only. Blocks with equal members are one block. A shingle held by more than
-   `TILE` documents is dealt out as pairs of tiles, so no block outgrows a task.
-3. Each block pairs its members with one hub; pairs whose bound (the summed coordinate minima of
-   their count vectors) reaches the overlap needed are verified on whole sets and joined into
-   components. Where a block's members still lie in different components, their count vectors are
-   bulk-loaded into an R-tree; of the pairs from different components that its bounds let through,
-   each member's best is verified first, then, where components are left apart, all of them. The bound never underestimates, so no link between components is lost.
-4. Verified links are joined into components; copies follow their class.
-
-Hot blocks are tiled, group copies are collapsed before any pair, joins are left to adaptive skew
-splitting, and only the frequent-shingle table (at most `FREQUENT` rows) and a fixed-size bitmap of
-classes are broadcast. The bitmap only saves work; a join follows it.
+   one class from here on), count vector (shingles by hash group), `HUB_KEYS` minimal hashes, and the shingles of
+   one class in `SAMPLED`, by which shingles are ordered by rarity. The order decides what work is done, never a result.
+2. Hubs: classes that share a minimal hash meet the least class of that key. Pairs whose bound (the summed
+   coordinate minima of the count vectors) reaches the overlap needed are verified on whole sets and
+   joined into components, so a group of near copies costs a few pairs a member.
+3. `blocks`: sets that link share a shingle among the first s - ceil(0.75 s) + 1 of the rarity order and
+   two among one more. Classes meet in blocks by those shingles, and by pairs of them where the first is
+   held by more than `HOT` classes, so no shingle gathers all its holders. Blocks with equal members are one.
+4. Only blocks whose members still lie in different components are searched: their count vectors are
+   bulk-loaded into an R-tree, whose bounds (and components) rule out pairs of nodes. Each member's best
+   pair is verified first; then, where components are left apart, all pairs that the tree lets through.
+   The bound never underestimates, so no link between components is lost.
+5. Verified links are joined into components; copies follow their class.
+
+Hubs are salted by their number of members, group copies are collapsed before any pair, joins are left to
+adaptive skew splitting, and only the table of frequent shingles (at most `FREQUENT` rows) and a fixed-size bitmap of
+classes are broadcast. The bitmap only saves work; a join follows it. A block in one task is a stream of
+slices of its tree, but its points (some 100 bytes each) are held together.
 
 Defined results: null texts and texts without words have n_shingles 0 and are linked with nothing;
 repeated rows share their component; a null doc_id keeps its row; an empty table gives an empty
@@ -26,21 +30,26 @@ result; further columns are ignored by `link` and passed through by `keep_one`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import components, materialize, shuffle_parts, table
-from lodestone.llm._text import shingle_sets
+from lodestone.llm._shared import bitmap_of, components, discard, materialize, shuffle_parts, table
+from lodestone.llm._text import mixed, shingle_sets
 
-FREQUENT, TILE, LEAF, GROUP_BITS = 1 << 18, 4096, 32, 6
+FREQUENT, SAMPLED, HOT, LEAF, GROUP_BITS = 1 << 18, 32, 4096, 32, 6
 GROUPS = 1 << GROUP_BITS
+#: Minimal hashes of a set by which it meets a hub, as odd multipliers.
+HUB_KEYS = (3, 5, 7)
+#: Members of one hub that a task compares at once, and rows of pairs looked at together.
+SLOT, SLICE = 4096, 16_384
 #: Log2 of the bits of the class bitmap (4 MB).
 BITMAP = 25
+_WIDE = np.uint64(16)
 
 
 def class_id(s: np.ndarray) -> int:
@@ -49,9 +58,9 @@ def class_id(s: np.ndarray) -> int:
 
 def group_counts(s: np.ndarray) -> bytes:
     """The set's point: shingles by hash group, four bits each. Groups are `GROUPS` times the power of two
-    that keeps one or two shingles in each, so the bound is sharp for texts of any length; coarser points
+    that keeps two to four shingles in each, so the bound is sharp for texts of any length; coarser points
     are sums of finer. A count over 14 is written as 15 and read as "any number"."""
-    bits = max(GROUP_BITS, len(s).bit_length() - 1)
+    bits = max(GROUP_BITS, len(s).bit_length() - 2)
     x = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
     return (x[::2] << 4 | x[1::2]).tobytes()
 
@@ -64,42 +73,48 @@ def point(counts: bytes, groups: int) -> np.ndarray:
     return x.reshape(groups, -1).sum(1)
 
 
+def bound_of(x: np.ndarray, y: np.ndarray) -> int:
+    """An overlap that two sets can't exceed, by their points at the coarser grouping of the two."""
+    g = min(len(x), len(y))
+    return int(np.minimum(x if len(x) == g else x.reshape(g, -1).sum(1), y if len(y) == g else y.reshape(g, -1).sum(1)).sum())
+
+
 def prefix_length(n: int) -> int:
     return n - (75 * n + 99) // 100 + 1
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, n, class); kind 1: (null, count, shingle) for shingles in 4 or more documents of the split."""
-    held, size = [], 0
-    counted: dict[int, int] = {}
-
-    def count() -> None:
-        nonlocal held, size
-        if held:
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            for x, k in zip(v[c >= 4].view(np.int64).tolist(), c[c >= 4].tolist()):
-                counted[x] = counted.get(x, 0) + k
-        held, size = [], 0
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted shingle hashes, by which sets are compared."""
+    return np.ascontiguousarray((s >> _WIDE).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
 
+_SKETCH = "doc_id long, t1 long, t2 long, n long, cls long, counts binary, keys array<long>, sampled array<long>"
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, n, cls, counts = b.column(0), [], [], []
-        for s in shingle_sets(b.column(1)):
+        n, cls, counts, keys, sampled = [], [], [], [], []
+        for s in shingle_sets(b.column(3)):
+            c = class_id(s) if len(s) else None
             n.append(len(s))
-            cls.append(class_id(s) if len(s) else None)
+            cls.append(c)
             counts.append(group_counts(s) if len(s) else None)
-            held.append(s)
-            size += len(s)
-            if size > 2_000_000:
-                count()
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(counts, pa.binary())], ["kind", "doc_id", "n", "h", "counts"])
-    count()
-    if counted:
-        k = len(counted)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(list(counted.values()), pa.int64()), pa.array(list(counted), pa.int64()), pa.nulls(k, pa.binary())], ["kind", "doc_id", "n", "h", "counts"])
+            keys.append([int(mixed(s * np.uint64(k)).min().view(np.int64)) for k in HUB_KEYS] if len(s) else None)
+            sampled.append(s.view(np.int64) if c is not None and c % SAMPLED == 0 else None)
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:3], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sampled, pa.list_(pa.int64()))],
+            ["doc_id", "t1", "t2", "n", "cls", "counts", "keys", "sampled"],
+        )
 
 
 class _Prefixes:
-    """Yields (block key, class) for the rarest shingles of every set."""
+    """Yields (block key, class) for the rarest shingles of every set, and for pairs that begin with a hot one."""
 
     def __init__(self, frequent):
         self.frequent = frequent
@@ -107,9 +122,9 @@ class _Prefixes:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = self.frequent.value
         for b in batches:
-            keys, owners = [], []
+            keys, owners, held = [], [], 0
             for s in shingle_sets(b.column(0)):
-                if not len(s):
+                if len(s) < 3:  # no other set reaches 0.75 of a set this small
                     continue
                 cls = class_id(s)
                 freq = np.zeros(len(s), np.int64)
@@ -117,53 +132,63 @@ class _Prefixes:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     freq = np.where(known[at] == s, counts[at], 0)
                 p = prefix_length(len(s))
-                pick = np.lexsort((s, freq))[:p]
+                pick = np.lexsort((s, freq))[: p + 1]
                 s, freq = s[pick], freq[pick]
-                if freq[-1] > TILE:  # sorted: hot shingles are last
-                    k = int(np.searchsorted(freq, TILE, "right"))
-                    for x, f in zip(s[k:].tolist(), freq[k:].tolist()):
-                        tiles = -(-f // TILE)
-                        own = (cls ^ (cls >> 17)) % tiles
-                        salted = [xxhash.xxh3_64_intdigest(f"{x}:{min(own, t)}:{max(own, t)}") for t in range(tiles)]
-                        keys.append(np.array(salted, np.uint64))
-                        owners.append(np.full(tiles, cls, np.int64))
-                    s = s[:k]
-                keys.append(s)
-                owners.append(np.full(len(s), cls, np.int64))
+                k = min(int(np.searchsorted(freq, HOT, "right")), p)  # sorted: hot shingles are last
+                mine = s[:k]
+                if k < p:
+                    x, y = np.triu_indices(p + 1 - k, 1)
+                    mine = np.r_[mine, mixed(s[k + x] * np.uint64(0x9E3779B97F4A7C15) + mixed(s[k + y]))]
+                keys.append(mine)
+                owners.append(np.full(len(mine), cls, np.int64))
+                held += len(mine)
+                if held > 500_000:
+                    yield self.batch(keys, owners)
+                    keys, owners, held = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "cls"])
+                yield self.batch(keys, owners)
+
+    @staticmethod
+    def batch(keys: list, owners: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "cls"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of one partition -> (block, cls) of keys with two or more classes, equal blocks once."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not got:
-        return
-    key, cls = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls = key[fresh], cls[fresh]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    length = np.diff(np.r_[start, len(key)])
-    start, length = start[length > 1], length[length > 1]
-    if not len(start):
-        return
-    m = cls.view(np.uint64)
-    m = (m ^ (m >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    m = (m ^ (m >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
-    total = np.r_[np.uint64(0), np.cumsum(m, dtype=np.uint64)]
-    block = (total[start + length] - total[start]) + length.astype(np.uint64)
-    block, one = np.unique(block, return_index=True)
-    for i in range(0, len(one), 20_000):
-        s, n, b = start[one[i : i + 20_000]], length[one[i : i + 20_000]], block[i : i + 20_000]
+    """Postings sorted by (key, cls) -> (block, cls) of keys with two or more classes, equal blocks once a batch."""
+
+    def blocks(key: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls = key[fresh], cls[fresh]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[start, len(key)])
+        start, length = start[length > 1], length[length > 1]
+        if not len(start):
+            return
+        total = np.r_[np.uint64(0), np.cumsum(mixed(cls.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64)]
+        block, one = np.unique((total[start + length] - total[start]) + length.astype(np.uint64), return_index=True)
+        s, n = start[one], length[one]
         rows = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b, n).view(np.int64)), pa.array(cls[rows])], ["block", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, n).view(np.int64)), pa.array(cls[rows])], ["block", "cls"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # the key that the last batch ended with
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last == 0 and (not held or held[0][0][0] == key[0]):
+            held.append((key, cls))
+            continue
+        parts = [*held, (key[:last], cls[:last])]
+        yield from blocks(*(np.concatenate(x) for x in zip(*parts)))
+        held = [(key[last:], cls[last:])]
+    if held:
+        yield from blocks(*(np.concatenate(x) for x in zip(*held)))
 
 
 class _Sets:
-    """(cls, n, items) of the classes whose bit is set, once per split."""
+    """(cls, n, body) of the classes whose bit is set, once per split."""
 
     def __init__(self, bitmap):
         self.bitmap = bitmap
@@ -171,7 +196,7 @@ class _Sets:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = self.bitmap.value, set()
         for b in batches:
-            out = []
+            out, held = [], 0
             for s in shingle_sets(b.column(0)):
                 if not len(s):
                     continue
@@ -179,61 +204,65 @@ class _Sets:
                 slot = cls & ((1 << BITMAP) - 1)
                 if cls not in seen and bits[slot >> 3] >> (slot & 7) & 1:
                     seen.add(cls)
-                    out.append((cls, len(s), s.view(np.int64)))
+                    out.append((cls, len(s), packed(s)))
+                    held += len(s)
+                    if held > 500_000:
+                        yield self.batch(out)
+                        out, held = [], 0
             if out:
-                cls, n, items = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["cls", "n", "items"])
+                yield self.batch(out)
 
-
-def bitmap_of(values: DataFrame, spark: SparkSession):
-    """Broadcast bitmap of the low bits of `values(cls)`: fixed size, whatever the input."""
-    low = values.select((F.col("cls").bitwiseAND((1 << BITMAP) - 1)).alias("slot"))
-    words = low.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).toPandas()
-    bits = np.zeros(1 << (BITMAP - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(bits.view(np.uint8))
+    @staticmethod
+    def batch(out: list) -> pa.RecordBatch:
+        cls, n, body = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(body, pa.binary())], ["cls", "n", "body"])
 
 
 class RTree:
-    """Bulk-loaded R-tree over count vectors. Nodes keep upper corners and least sizes only,
+    """Bulk-loaded R-tree over count vectors. Nodes keep upper corners, the range of sizes and that of components,
     as the overlap bound is the sum of coordinate minima of upper corners."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((counts.argmax(1), sizes))
-        self.levels = [(counts[self.order], sizes[self.order], sizes[self.order])]
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, comp: np.ndarray | None = None):
+        comp = np.arange(len(sizes)) if comp is None else comp
+        self.order = np.lexsort((counts.argmax(1), sizes, comp))
+        n, c = sizes[self.order], comp[self.order]
+        self.levels = [(counts[self.order], n, n, c, c)]
         while len(self.levels[-1][0]) > 1:
-            hi, least, most = self.levels[-1]
+            hi, least, most, lo_c, hi_c = self.levels[-1]
             cut = np.arange(0, len(hi), LEAF)
-            self.levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)))
+            self.levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.minimum.reduceat(lo_c, cut), np.maximum.reduceat(hi_c, cut)))
+
+    def slices(self) -> Iterator[np.ndarray]:
+        """All pairs (i, j) of indices from different components whose bound reaches the overlap that a link needs."""
+        todo = [(len(self.levels) - 1, np.array([[0, 0]], np.int64))]
+        while todo:
+            depth, front = todo.pop()
+            hi, least, most, lo_c, hi_c = self.levels[depth]
+            i, j = front[:, 0], front[:, 1]
+            ok = (4 * most[i] >= 3 * least[j]) & (4 * most[j] >= 3 * least[i])
+            ok &= (lo_c[i] != hi_c[i]) | (lo_c[j] != hi_c[j]) | (lo_c[i] != lo_c[j])
+            front = front[ok]
+            i, j = front[:, 0], front[:, 1]
+            front = front[7 * np.minimum(hi[i], hi[j]).sum(1) >= 3 * (least[i] + least[j])]
+            if not depth:
+                if len(front := front[front[:, 0] < front[:, 1]]):
+                    yield self.order[front]
+                continue
+            n, below, step = len(self.levels[depth - 1][0]), np.arange(LEAF), SLICE // (LEAF * LEAF)
+            for lo in range(0, len(front), step):
+                f = front[lo : lo + step]
+                i = np.repeat(f[:, :1] * LEAF + below, LEAF, 1).reshape(-1)
+                j = np.tile(f[:, 1:] * LEAF + below, (1, LEAF)).reshape(-1)
+                ok = (i <= j) & (j < n) & (i < n)
+                todo.append((depth - 1, np.stack([i[ok], j[ok]], 1)))
 
     def pairs(self) -> np.ndarray:
-        """All pairs (i, j) of indices whose bound reaches the overlap that a link needs."""
-        top = len(self.levels) - 1
-        front = np.array([[0, 0]], np.int64)
-        for depth in range(top, -1, -1):
-            hi, least, most = self.levels[depth]
-            kept = []
-            for f in np.array_split(front, max(1, len(front) // 4096)):
-                i, j = f[:, 0], f[:, 1]
-                bound = np.minimum(hi[i], hi[j]).sum(1)
-                ok = (7 * bound >= 3 * (least[i] + least[j])) & (4 * most[i] >= 3 * least[j]) & (4 * most[j] >= 3 * least[i])
-                kept.append(f[ok])
-            front = np.concatenate(kept)
-            if depth and len(front):
-                n = len(self.levels[depth - 1][0])
-                below = np.arange(LEAF)
-                i = np.repeat(front[:, :1] * LEAF + below, LEAF, 1).reshape(-1)
-                j = np.tile(front[:, 1:] * LEAF + below, (1, LEAF)).reshape(-1)
-                ok = (i <= j) & (j < n) & (i < n)
-                front = np.stack([i[ok], j[ok]], 1)
-        front = front[front[:, 0] < front[:, 1]]
-        return self.order[front]
+        return np.concatenate([np.empty((0, 2), np.int64), *self.slices()])
 
 
 class _Search:
-    """Rows (block, cls, n, counts, comp) sorted by block -> pairs whose bound reaches what a link needs:
-    "hub": of every member with the block's least class; "all": of members of different components, found
-    by the R-tree; "nearest": of those, each member's best-bounded one."""
+    """Rows (block, cls, n, counts, comp) sorted by block -> pairs of members of different components that the
+    R-tree lets through: "all" of them, or each member's best-bounded one ("nearest")."""
 
     def __init__(self, mode: str):
         self.mode = mode
@@ -241,24 +270,29 @@ class _Search:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         self.points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.tested: dict[tuple[int, int], float] = {}
+        self.sent: set[tuple[int, int]] = set()
         held: list | None = None
         for b in batches:
             cols = [b.column(i).to_numpy() for i in (0, 1, 2, 4)] + [b.column(3).to_pylist()]
             if held is not None:
                 cols = [np.r_[x, y] for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4]]
             cuts = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1].tolist()
-            found = [self.solve(*(c[lo:hi] for c in cols[1:])) for lo, hi in zip(cuts[:-1], cuts[1:])]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                yield from self.rows(self.solve(*(c[lo:hi] for c in cols[1:])))
             held = [c[cuts[-1] :] for c in cols] if len(cols[0]) else None
-            yield from self.rows(found)
         if held is not None:
-            yield from self.rows([self.solve(*held[1:])])
-
-    @staticmethod
-    def rows(found: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-        pairs = [p for part in found for p in part]
-        if pairs:
-            a, b = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield from self.rows(self.solve(*held[1:]))
+
+    def rows(self, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Pairs not sent lately, the greater class first."""
+        for x, y in found:
+            pairs = [p for p in zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist()) if p not in self.sent]
+            if len(self.sent) > 200_000:
+                self.sent.clear()
+            self.sent.update(pairs)
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def point(self, cls: int, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(point at `GROUPS` coordinates, point as fine as it is), kept for the next blocks."""
@@ -277,98 +311,154 @@ class _Search:
         if known is None:
             if len(self.tested) > 200_000:
                 self.tested.clear()
-            x, y = i[2], j[2]
-            g = min(len(x), len(y))
-            bound = np.minimum(x if len(x) == g else x.reshape(g, -1).sum(1), y if len(y) == g else y.reshape(g, -1).sum(1)).sum()
+            bound = bound_of(i[2], j[2])
             known = self.tested[key] = float(bound) / (i[1] + j[1]) if 7 * bound >= 3 * (i[1] + j[1]) else 0.0
         return known
 
-    def solve(self, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> list[tuple[int, int]]:
+    def solve(self, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         points = [self.point(c, x) for c, x in zip(cls.tolist(), counts)]
-        coarse = np.stack([p[0] for p in points])
-        if self.mode == "hub":
-            hub = int(cls.argmin())
-            near = np.flatnonzero(cls != cls[hub])
-            p = np.stack([near, np.full(len(near), hub)], 1)
-        elif len(cls) > 2 * LEAF:
-            p = RTree(coarse, n).pairs()
-        else:
-            p = np.stack(np.triu_indices(len(cls), 1), 1)  # a tree of one leaf
-        i, j = p[:, 0], p[:, 1]
-        ok = (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-        if self.mode != "hub":
-            ok &= comp[i] != comp[j]
-        p = p[ok]
         member = list(zip(cls.tolist(), n.tolist(), [x[1] for x in points]))
-        share = np.zeros(len(p))
-        for lo in range(0, len(p), 16_384):  # a slice at a time bounds the memory of a large block
-            part = p[lo : lo + 16_384]
-            likely = np.flatnonzero(7 * np.minimum(coarse[part[:, 0]], coarse[part[:, 1]]).sum(1) >= 3 * (n[part[:, 0]] + n[part[:, 1]]))
-            share[lo + likely] = [self.links_maybe(member[i], member[j]) for i, j in part[likely].tolist()]
-        p, share = p[share > 0], share[share > 0]
-        if self.mode == "nearest" and len(p):
-            p = p[np.argsort(-share, kind="stable")]
-            p = p[np.union1d(*(np.unique(p[:, k], return_index=True)[1] for k in (0, 1)))]
-        x, y = cls[p[:, 0]], cls[p[:, 1]]
-        return list(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist()))
+        best, mate = np.zeros(len(cls)), np.full(len(cls), -1)
+        for p in RTree(np.stack([x[0] for x in points]), n, comp).slices():
+            share = np.array([self.links_maybe(member[i], member[j]) for i, j in p.tolist()])
+            p, share = p[share > 0], share[share > 0]
+            if self.mode == "all":
+                yield cls[p[:, 0]], cls[p[:, 1]]
+                continue
+            for k in (0, 1):
+                order = np.argsort(share, kind="stable")  # the greatest share is written last
+                i, j, x = p[order, k], p[order, 1 - k], share[order]
+                better = x > best[i]
+                best[i[better]], mate[i[better]] = x[better], j[better]
+        has = np.flatnonzero(mate >= 0)
+        yield cls[has], cls[mate[has]]
+
+
+class _Compare:
+    """Rows (hub, slot, side, cls, n, body) sorted so that a hub comes before its members -> pairs (a, b) that `test` passes."""
+
+    def __init__(self, test: Callable, read: Callable):
+        self.test, self.read = test, read
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, mine = None, 0, None
+        for b in batches:
+            a, c = [], []
+            for h, side, cls, n, body in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), b.column(5)):
+                if side == 0:
+                    hub, size, mine = h, n, self.read(body.as_py())
+                elif h == hub and self.test(mine, size, self.read(body.as_py()), n):
+                    a.append(cls)
+                    c.append(h)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+
+def _bound_passes(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+    return 7 * bound_of(x, y) >= 3 * (nx + ny)
+
+
+def _linked(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return 7 * int((x[at] == y).sum()) >= 3 * (nx + ny)
+
+
+def compared(pairs: DataFrame, bodies: DataFrame, test: Callable, read: Callable) -> DataFrame:
+    """The pairs (a, b) that `test` passes, given `bodies(cls, n, body)`. Members travel to their hub b, dealt
+    to one copy of it per `SLOT` members, so a hub of any size fills no task."""
+    members = pairs.groupBy("b").agg(F.count("*").alias("m")).withColumn("slots", F.ceil(F.col("m") / SLOT).cast("int"))
+    asked = pairs.join(members, "b").select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "slots").cast("int").alias("slot"), F.lit(1).alias("side"))
+    own = members.select(F.col("b").alias("cls"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("side"))
+    sent = asked.unionByName(own).join(bodies, "cls").select("hub", "slot", "side", "cls", "n", "body")
+    return sent.repartition(shuffle_parts(pairs.sparkSession), "hub", "slot").sortWithinPartitions("hub", "slot", "side").mapInArrow(_Compare(test, read), "a long, b long")
 
 
 def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the whole sets of their classes, which are made again from the texts."""
     spark = text.sparkSession
-    pairs = materialize(pairs, "ngram-pairs")
-    if pairs.isEmpty():
-        return pairs
-    bitmap = bitmap_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), spark)
-    sets = materialize(text.mapInArrow(_Sets(bitmap), "cls long, n long, items array<long>"), "ngram-sets")
-    side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("items").alias(f"i{k}"))
-    common = F.size(F.array_intersect("ia", "ib"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(7 * common >= 3 * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "ngram-links")
+    bitmap = bitmap_of(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))), spark, BITMAP)
+    sets = text.mapInArrow(_Sets(bitmap), "cls long, n long, body binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body"))
+    return materialize(compared(pairs, sets, _linked, unpacked), "ngram-links")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`."""
+def in_split_blocks(blocks: DataFrame, comp: DataFrame, least: int) -> DataFrame:
+    """(block, cls, comp) of blocks with `least` members or more in more than one component."""
+    by = Window.partitionBy("block")
+    labelled = blocks.join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
+    labelled = labelled.withColumns({"lo": F.min("comp").over(by), "hi": F.max("comp").over(by), "m": F.count("*").over(by)})
+    return materialize(labelled.where(f"lo < hi AND m >= {least}").select("block", "cls", "comp"), "ngram-split")
+
+
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, n, comp) for every row of `docs`: two hashes of its text, its set's size and the component of its class (null: no words)."""
     spark = docs.sparkSession
     text = docs.select("text")
-    sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "kind int, doc_id long, n long, h long, counts binary"), "ngram-sketch")
-    rows = sketched.where("kind = 0").select("doc_id", "n", F.col("h").alias("cls"))
-    top = sketched.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    keyed = docs.select(F.col("doc_id").cast("long"), *text_keys(F.col("text")), "text")
+    sketched = materialize(keyed.mapInArrow(_sketch, _SKETCH), "ngram-sketch")
+    sample = sketched.where("sampled IS NOT NULL").groupBy("cls").agg(F.first("sampled").alias("sampled")).select(F.explode("sampled").alias("h"))
+    top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     known = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy(np.int64)[order]))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(shuffle_parts(spark), int(total * 0.26 / 1_000_000) + 1)
-    postings = text.mapInArrow(_Prefixes(frequent), "key long, cls long").repartition(parts, "key")
-    blocks = materialize(postings.mapInArrow(_meet, "block long, cls long").distinct(), "ngram-blocks")
-    members = blocks.select("cls").distinct()
-    points = sketched.where("kind = 0").select(F.col("h").alias("cls"), "n", "counts").join(members, "cls", "left_semi").dropDuplicates(["cls"])
-    points = materialize(points, "ngram-points")
-
-    search = lambda rows, mode: rows.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(mode), "a long, b long").distinct()
-    placed = blocks.join(points, "cls")
-    links = verified(search(placed.select("block", "cls", "n", "counts", F.col("cls").alias("comp")), "hub"), text)
+    frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy(np.int64)[order] * SAMPLED))
+    points = materialize(sketched.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "counts", "keys")]), "ngram-points")
+
+    met = points.select("cls", "n", F.posexplode("keys").alias("k", "key"))
+    hubs = met.groupBy("k", "key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    near = met.join(hubs, ["k", "key"]).where("cls <> hub.cls AND 4 * n >= 3 * hub.n AND 4 * hub.n >= 3 * n")
+    bodies = points.select("cls", "n", F.col("counts").alias("body"))
+    pairs = materialize(compared(near.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), bodies, _bound_passes, _fine), "ngram-pairs")
+    links, tested, scratch = verified(pairs, text), pairs, [sketched, points, pairs]
+    scratch.append(links)
     comp = components(links, "ngram")
-    large = blocks.groupBy("block").agg(F.count("*").alias("m")).where("m > 2").select("block")
-    for mode in ("nearest", "all"):
-        labelled = blocks.join(large, "block").join(comp, F.col("cls") == F.col("node"), "left").select("block", "cls", F.coalesce("component", "cls").alias("comp"))
-        split = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("block")
-        left = labelled.join(split, "block").join(points, "cls").select("block", "cls", "n", "counts", "comp")
-        more = verified(search(left, mode), text)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = components(links, "ngram")
-
-    placed = materialize(rows.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp")), "ngram-placed")
+
+    total = points.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_parts(spark), int(total * 0.26 / 500_000) + 1)
+    postings = text.mapInArrow(_Prefixes(frequent), "key long, cls long").repartition(parts, "key").sortWithinPartitions("key", "cls")
+    blocks = postings.mapInArrow(_meet, "block long, cls long").distinct()
+    for mode, least in (("nearest", 2), ("all", 3)):  # a block of two is done by its members' best pairs
+        blocks = in_split_blocks(blocks, comp, least)
+        left = blocks.join(bodies, "cls").select("block", "cls", "n", F.col("body").alias("counts"), "comp")
+        found = left.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(mode), "a long, b long").distinct()
+        pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        scratch += [blocks, pairs]
+        blocks = blocks.drop("comp")
+        if pairs.isEmpty():
+            continue
+        more = verified(pairs, text)
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+        scratch.append(more)
+        comp = components(links, "ngram")
+    out = materialize(sketched.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", "t1", "t2", "n", F.coalesce("component", "cls").alias("comp")), "ngram-placed")
+    discard(*scratch)
+    return out
+
+
+def _fine(counts: bytes) -> np.ndarray:
+    return point(counts, 2 * len(counts))
+
+
+def text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in (1, 2)]
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`."""
+    placed = placed_rows(docs)
     smallest = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first_id"))
     return placed.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose component has a smaller doc_id; repeated rows of one doc_id collapse to one."""
-    keep = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("g_id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("g_row"), F.col("doc_id").cast("long").alias("g_id"))
-    some = rows.join(keep, "g_id", "left_semi").dropDuplicates(["g_id"]).select("g_row")
-    return some.unionByName(rows.where("g_id IS NULL").select("g_row")).select("g_row.*")
+    """One row of `docs` for each component: of those with the smallest doc_id (null last) the one whose text's hash
+    is least; repeated rows collapse. Rows without words stay, each. Documents that share a doc_id
+    but don't link are documents of their own."""
+    placed = placed_rows(docs).where("comp IS NOT NULL")
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("g_id"), "x.t1", "x.t2")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("g_row"), F.col("doc_id").cast("long").alias("g_id"), *text_keys(F.col("text")), F.col("text").alias("g_text"))
+    worded = F.coalesce(F.col("g_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = rows.where(worded).drop("g_text").join(keep.withColumnRenamed("g_id", "k_id"), ["t1", "t2"]).where(F.col("g_id").eqNullSafe(F.col("k_id"))).dropDuplicates(["t1", "t2"])
+    return some.select("g_row").unionByName(rows.where(~worded).select("g_row")).select("g_row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

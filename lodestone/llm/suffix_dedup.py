@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import materialize, shuffle_parts, table
+from lodestone.llm._shared import bitmap_of, materialize, shuffle_parts, table
 from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, utf8
 
 LENGTH, WINDOW, GRAM, HOT = 400, 256, 8, 2048
@@ -388,15 +388,6 @@ def _cut(with_text: bool):
     return run
 
 
-def _bitmap(values: DataFrame, spark: SparkSession):
-    """Broadcast bitmap of the low bits of `values(v)`: fixed size, whatever the input."""
-    low = values.select(F.col("v").bitwiseAND((1 << BITMAP) - 1).alias("slot"))
-    words = low.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).toPandas()
-    bits = np.zeros(1 << (BITMAP - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(bits.view(np.uint8))
-
-
 def joined_ranges(ranges: Column) -> Column:
     """Ranges (lo, hi) of whole offsets with overlapping and adjoining ones joined."""
     pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
@@ -418,7 +409,7 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(np.sort(hot_rows["h"].to_numpy(np.int64).view(np.uint64)))
     total = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), total // 20_000 + 1)
-    found = materialize(text.mapInArrow(_Runs(_bitmap(shared.select(F.col("h").alias("v")), spark), hot, parts), _FOUND_DDL), "suffix-runs")
+    found = materialize(text.mapInArrow(_Runs(bitmap_of(shared.select(F.col("h").alias("v")), spark, BITMAP), hot, parts), _FOUND_DDL), "suffix-runs")
     cold = found.where("run IS NOT NULL").select("part", "run").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "c1 long, c2 long, lo int, hi int")
     strings = found.where("hashes IS NOT NULL").groupBy("c1", "c2").agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("hashes").alias("hashes"))
     strings = strings.select("c1", "c2", "n", "low", F.posexplode("hashes").alias("i", "h"))
@@ -437,7 +428,7 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     spans = repeated_spans(docs.select("text"))
-    bitmap = _bitmap(spans.select(F.col("t1").alias("v")), spark)
+    bitmap = bitmap_of(spans.select(F.col("t1").alias("v")), spark, BITMAP)
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Whole(bitmap), "doc_id long, n_bytes long, t1 long, t2 long, sha string, body binary"), "suffix-rows")
     whole = rows.where("body IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     cut_rows = rows.where("body IS NOT NULL").join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "body", "spans")
