@@ -47,6 +47,8 @@ GROUPS = 1 << GROUP_BITS
 HUB_KEYS = (3, 5, 7)
 #: Members of one hub that a task compares at once, and rows of pairs looked at together.
 SLOT, SLICE = 4096, 16_384
+#: Least blocks of a class that its rows carry.
+FIRSTS = 6
 #: Log2 of the bits of the class bitmap (4 MB).
 BITMAP = 25
 _WIDE = np.uint64(16)
@@ -57,26 +59,29 @@ def class_id(s: np.ndarray) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """The set's point: shingles by hash group, four bits each. Groups are `GROUPS` times the power of two
-    that keeps two to four shingles in each, so the bound is sharp for texts of any length; coarser points
-    are sums of finer. A count over 14 is written as 15 and read as "any number"."""
-    bits = max(GROUP_BITS, len(s).bit_length() - 2)
-    x = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
-    return (x[::2] << 4 | x[1::2]).tobytes()
+    """The set's point: shingles by hash group, two bits each. Groups are the power of two next to the set's size
+    (`GROUPS` at least), so the bound is sharp for texts of any length; coarser points are sums of finer.
+    A count over 3 is written as 3; the point's last coordinate is what all groups hold beyond that."""
+    bits = max(GROUP_BITS, (len(s) - 1).bit_length())
+    x = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8).reshape(-1, 4)
+    return (x[:, 0] << 6 | x[:, 1] << 4 | x[:, 2] << 2 | x[:, 3]).tobytes()
 
 
-def point(counts: bytes, groups: int) -> np.ndarray:
-    """The point at a coarser grouping."""
-    packed = np.frombuffer(counts, np.uint8)
-    x = np.stack([packed >> 4, packed & 15], 1).astype(np.int32)
-    x[x == 15] = 1 << 24
-    return x.reshape(groups, -1).sum(1)
+def point(counts: bytes, n: int) -> np.ndarray:
+    """The point of a set of n shingles as fine as it is: counts by group, then the rest."""
+    x = np.frombuffer(counts, np.uint8)
+    x = np.stack([x >> 6, x >> 4 & 3, x >> 2 & 3, x & 3], 1).ravel().astype(np.int32)
+    return np.r_[x, n - x.sum()].astype(np.int32)
+
+
+def coarser(x: np.ndarray, groups: int) -> np.ndarray:
+    return x if len(x) == groups + 1 else np.r_[x[:-1].reshape(groups, -1).sum(1), x[-1]]
 
 
 def bound_of(x: np.ndarray, y: np.ndarray) -> int:
-    """An overlap that two sets can't exceed, by their points at the coarser grouping of the two."""
-    g = min(len(x), len(y))
-    return int(np.minimum(x if len(x) == g else x.reshape(g, -1).sum(1), y if len(y) == g else y.reshape(g, -1).sum(1)).sum())
+    """An overlap that two sets can't exceed: the summed coordinate minima of their points at the coarser grouping of the two."""
+    g = min(len(x), len(y)) - 1
+    return int(np.minimum(coarser(x, g), coarser(y, g)).sum())
 
 
 def prefix_length(n: int) -> int:
@@ -88,8 +93,8 @@ def packed(s: np.ndarray) -> bytes:
     return np.ascontiguousarray((s >> _WIDE).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
+def unpacked(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
     out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
     return out.view(np.uint64)[:, 0]
 
@@ -261,27 +266,30 @@ class RTree:
 
 
 class _Search:
-    """Rows (block, cls, n, counts, comp) sorted by block -> pairs of members of different components that the
-    R-tree lets through: "all" of them, or each member's best-bounded one ("nearest")."""
+    """Rows (block, cls, n, counts, comp, firsts) sorted by block -> pairs of members of different components that the
+    R-tree lets through: "all" of them, or each member's best-bounded one ("nearest").
+
+    `firsts` are the class's `FIRSTS` least blocks. Of the blocks in which two classes meet only the least looks at
+    them, as far as these lists tell: a least common block in both lists is the least of all.
+    """
 
     def __init__(self, mode: str):
         self.mode = mode
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         self.points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.tested: dict[tuple[int, int], float] = {}
         self.sent: set[tuple[int, int]] = set()
         held: list | None = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in (0, 1, 2, 4)] + [b.column(3).to_pylist()]
+            cols = [b.column(i).to_numpy() for i in (0, 1, 2, 4)] + [b.column(i).to_pylist() for i in (3, 5)]
             if held is not None:
-                cols = [np.r_[x, y] for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4]]
+                cols = [np.r_[x, y] for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4], held[5] + cols[5]]
             cuts = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1].tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                yield from self.rows(self.solve(*(c[lo:hi] for c in cols[1:])))
+                yield from self.rows(self.solve(int(cols[0][lo]), *(c[lo:hi] for c in cols[1:])))
             held = [c[cuts[-1] :] for c in cols] if len(cols[0]) else None
         if held is not None:
-            yield from self.rows(self.solve(*held[1:]))
+            yield from self.rows(self.solve(int(held[0][0]), *held[1:]))
 
     def rows(self, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """Pairs not sent lately, the greater class first."""
@@ -291,37 +299,31 @@ class _Search:
                 self.sent.clear()
             self.sent.update(pairs)
             if pairs:
-                a, b = zip(*pairs)
+                a, b = zip(*dict.fromkeys(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def point(self, cls: int, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(point at `GROUPS` coordinates, point as fine as it is), kept for the next blocks."""
+    def point(self, cls: int, n: int, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(point at `GROUPS` groups, point as fine as it is), kept for the next blocks."""
         x = self.points.get(cls)
         if x is None:
-            if len(self.points) > 20_000:
+            if len(self.points) > 10_000:
                 self.points.clear()
-            fine = point(counts, 2 * len(counts))
-            x = self.points[cls] = (fine.reshape(GROUPS, -1).sum(1), fine)
+            fine = point(counts, n)
+            x = self.points[cls] = (coarser(fine, GROUPS), fine.astype(np.int16) if n < 1 << 15 else fine)
         return x
 
-    def links_maybe(self, i: tuple, j: tuple) -> float:
-        """The finest bound of two members (cls, n, point) as a share of both sizes, 0 where it rules a link out; remembered for other blocks."""
-        key = (i[0], j[0]) if i[0] < j[0] else (j[0], i[0])
-        known = self.tested.get(key)
-        if known is None:
-            if len(self.tested) > 200_000:
-                self.tested.clear()
-            bound = bound_of(i[2], j[2])
-            known = self.tested[key] = float(bound) / (i[1] + j[1]) if 7 * bound >= 3 * (i[1] + j[1]) else 0.0
-        return known
-
-    def solve(self, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        points = [self.point(c, x) for c, x in zip(cls.tolist(), counts)]
-        member = list(zip(cls.tolist(), n.tolist(), [x[1] for x in points]))
+    def solve(self, block: int, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes], firsts: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points = [self.point(*x) for x in zip(cls.tolist(), n.tolist(), counts)]
+        seen = np.array([x + [x[0]] * (FIRSTS - len(x)) for x in firsts])
         best, mate = np.zeros(len(cls)), np.full(len(cls), -1)
         for p in RTree(np.stack([x[0] for x in points]), n, comp).slices():
-            share = np.array([self.links_maybe(member[i], member[j]) for i, j in p.tolist()])
-            p, share = p[share > 0], share[share > 0]
+            i, j = p[:, 0], p[:, 1]
+            both = (seen[i][:, :, None] == seen[j][:, None, :]).any(2)
+            least = np.where(both, seen[i], np.iinfo(np.int64).max).min(1)
+            p = p[~both.any(1) | (least == block)]
+            share = np.array([bound_of(points[i][1], points[j][1]) for i, j in p.tolist()]) / np.maximum(n[p[:, 0]] + n[p[:, 1]], 1)
+            ok = 7 * share >= 3 - 1e-9
+            p, share = p[ok], share[ok]
             if self.mode == "all":
                 yield cls[p[:, 0]], cls[p[:, 1]]
                 continue
@@ -346,8 +348,8 @@ class _Compare:
             a, c = [], []
             for h, side, cls, n, body in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), b.column(5)):
                 if side == 0:
-                    hub, size, mine = h, n, self.read(body.as_py())
-                elif h == hub and self.test(mine, size, self.read(body.as_py()), n):
+                    hub, size, mine = h, n, self.read(body.as_py(), n)
+                elif h == hub and self.test(mine, size, self.read(body.as_py(), n), n):
                     a.append(cls)
                     c.append(h)
             if a:
@@ -406,7 +408,7 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     hubs = met.groupBy("k", "key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     near = met.join(hubs, ["k", "key"]).where("cls <> hub.cls AND 4 * n >= 3 * hub.n AND 4 * hub.n >= 3 * n")
     bodies = points.select("cls", "n", F.col("counts").alias("body"))
-    pairs = materialize(compared(near.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), bodies, _bound_passes, _fine), "ngram-pairs")
+    pairs = materialize(compared(near.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), bodies, _bound_passes, point), "ngram-pairs")
     links, tested, scratch = verified(pairs, text), pairs, [sketched, points, pairs]
     scratch.append(links)
     comp = components(links, "ngram")
@@ -417,7 +419,8 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     blocks = postings.mapInArrow(_meet, "block long, cls long").distinct()
     for mode, least in (("nearest", 2), ("all", 3)):  # a block of two is done by its members' best pairs
         blocks = in_split_blocks(blocks, comp, least)
-        left = blocks.join(bodies, "cls").select("block", "cls", "n", F.col("body").alias("counts"), "comp")
+        firsts = blocks.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("block")), 1, FIRSTS).alias("firsts"))  # as many as a prefix at most
+        left = blocks.join(firsts.join(bodies, "cls"), "cls").select("block", "cls", "n", F.col("body").alias("counts"), "comp", "firsts")
         found = left.repartition(parts, "block").sortWithinPartitions("block", "cls").mapInArrow(_Search(mode), "a long, b long").distinct()
         pairs = materialize(found.join(tested, ["a", "b"], "left_anti"), "ngram-pairs")
         scratch += [blocks, pairs]
@@ -433,10 +436,6 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _fine(counts: bytes) -> np.ndarray:
-    return point(counts, 2 * len(counts))
-
-
 def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in (1, 2)]
 
