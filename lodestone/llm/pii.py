@@ -40,6 +40,8 @@ PATTERNS = {
     "local": r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "name": rf"\b(?:(?:{TITLE})\.? (?:(?:{GIVEN}) )?|(?:{GIVEN}) )\p{{Lu}}\p{{L}}+",
 }
+#: What a text must hold for a pattern to match at all; cheaper to look for than the pattern.
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "digits": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "local": r"[0-9]{3}[.-][0-9]{4}", "name": rf"\b(?:{TITLE}|{GIVEN})\b"}
 CUES = {
     "email": r"mail|contact|kontakt|correo|courriel",
     "ip": r"\bip\b|host|server|address|adresse",
@@ -56,13 +58,21 @@ LABELERS = ["format", "gazetteer", "context", "edges", "variety"]
 FEATURES = ["kind", "n_digits", "grouped", "first", "format", "gazetteer", "context", "edges", "variety"]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches of `pattern`, as array<struct<s, e, m, l, r>> in code points.
+def with_matches(d: DataFrame, text: str) -> DataFrame:
+    """`d` with `p_<name>`: all leftmost non-overlapping matches of each pattern in column `text`, as array<struct<s, e, m, l, r>>
+    in code points. m is the match, l the 40 characters before it and r the character after it.
 
-    m is the match, l the 40 characters before it and r the character after it. `text` must not
-    hold the two mark characters.
+    `text` must not hold the two mark characters. Steps are columns of their own, as an expression used
+    twice would search twice; a text without a match of the pattern's gate isn't searched.
     """
-    parts = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    t = F.col(text)
+    opens = lambda k: t.contains(GATES[k]) if GATES[k] == "@" else t.rlike(GATES[k])
+    d = d.withColumns({f"p_m_{k}": F.when(opens(k), F.regexp_replace(t, F.lit(f"({p})"), F.lit(f"{OPEN}$1{CLOSE}"))) for k, p in PATTERNS.items()})
+    d = d.withColumns({f"p_s_{k}": F.when(F.col(f"p_m_{k}").contains(OPEN), F.split(f"p_m_{k}", f"[{OPEN}{CLOSE}]", -1)) for k in PATTERNS})
+    return d.withColumns({f"p_{k}": _between_marks(t, F.col(f"p_s_{k}")) for k in PATTERNS})
+
+
+def _between_marks(text: Column, parts: Column) -> Column:
     none = F.array().cast("array<struct<s:int,e:int>>")
     walk = F.aggregate(
         parts,
@@ -75,7 +85,7 @@ def matches(text: Column, pattern: str) -> Column:
         lambda a: a["found"],
     )
     return F.transform(
-        F.when(F.size(parts) > 1, walk).otherwise(none),
+        F.when(parts.isNotNull(), walk).otherwise(none),
         lambda x: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), F.substring(text, x["s"] + 1, x["e"] - x["s"]).alias("m"),
             F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40))).alias("l"), F.substring(text, x["e"] + 1, F.lit(1)).alias("r"),
@@ -142,8 +152,9 @@ def _spans(kind: str, found: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """`docs` with `p_base` and `p_more`, arrays of base spans and of further candidates."""
-    d = docs.withColumn("p_t", F.translate(text_or_empty(F.col("text")), OPEN + CLOSE, "  "))
-    d = d.withColumns({f"p_{k}": matches(F.col("p_t"), p) for k, p in PATTERNS.items()})
+    t = text_or_empty(F.col("text"))
+    d = docs.withColumn("p_t", F.when(t.contains(OPEN) | t.contains(CLOSE), F.translate(t, OPEN + CLOSE, "\u00a0\u00a0")).otherwise(t))
+    d = with_matches(d, "p_t")
     size_ok = lambda x: _between(x, 13, 19)
     base = {
         "email": F.col("p_email"),
