@@ -17,6 +17,15 @@ WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that go to a Python worker at a time; texts differ too much in length to be counted in rows.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so a worker's memory doesn't depend on the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only a session in one process (local master, as in tests) gets one of its own where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,10 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it back."""
+    """Cut lineage: write `df` to the shared folder and read it back. Row groups are small, as a task's writer holds one."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out
@@ -70,12 +80,8 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text_or_empty(text), WS), "")
 
 
-def char_count(text: Column, chars: str) -> Column:
-    """How many code points of `text` are among `chars`."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -111,27 +117,27 @@ PRIOR_VOTES = [[0.7, 0.3], [0.3, 0.7]]
 def fit_votes(patterns: DataFrame, names: list[str], rounds: int = 12, strength: float = 0.05, table: list[list[float]] = PRIOR_VOTES) -> VoteModel:
     """Expectation-maximisation over the histogram of vote patterns (columns `names` and `n`).
 
-    The histogram has at most 3^k rows whatever the corpus size; every round is one aggregation of
-    it, and only the 4k+2 sums return to the driver. A Dirichlet prior worth `strength` of all
+    The histogram has at most 3^k rows whatever the corpus size, so it is collected once and the rounds
+    run over its columns in the driver. A Dirichlet prior worth `strength` of all
     rows, centred on `table` (the vote probabilities of a typical labeler for the bad and the good
     class), keeps the classes from swapping. An empty histogram leaves the prior.
     """
-    prior_table = table
-    model = VoteModel(names, 0.5, [[list(prior_table[0]), list(prior_table[1])] for _ in names])
+    model = VoteModel(names, 0.5, [[list(table[0]), list(table[1])] for _ in names])
+    rows = np.array(patterns.select(*names, F.col("n").cast("double")).orderBy(*names).collect(), float).reshape(-1, len(names) + 1)
+    votes, count = rows[:, :-1], rows[:, -1]
+    n = float(count.sum())
+    if not n:
+        return model
+    s = strength * n
     for _ in range(rounds):
-        p = F.col("p")
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * p).alias("good")]
-        for k, name in enumerate(names):
-            for v in (-1, 1):
-                hit = F.when(F.col(name) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * (1 - p)).alias(f"b{k}_{v}"), F.sum(hit * p).alias(f"g{k}_{v}")]
-        row = patterns.select("n", *names, model.posterior().alias("p")).agg(*sums).first()
-        if not row["n"]:
-            return model
-        n, good = float(row["n"]), float(row["good"])
-        s = strength * n
-        theta = [[[(row[f"{c}{k}_{v}"] + s * prior_table[i][v > 0]) / (row[f"{c}{k}_-1"] + row[f"{c}{k}_1"] + s) for v in (-1, 1)] for i, c in enumerate("bg")] for k in range(len(names))]
-        model = VoteModel(names, (good + s / 2) / (n + s), theta)
+        odds = np.full(len(rows), math.log(model.prior / (1 - model.prior)))
+        for k, (bad, good) in enumerate(model.theta):
+            w = [math.log(g / b) for g, b in zip(good, bad, strict=True)]
+            odds += np.where(votes[:, k] < 0, w[0], np.where(votes[:, k] > 0, w[1], 0.0))
+        p = 1 / (1 + np.exp(-odds))
+        weight = [count * (1 - p), count * p]
+        theta = [[[float((weight[i][votes[:, k] == v].sum() + s * table[i][v > 0]) / (weight[i][votes[:, k] != 0].sum() + s)) for v in (-1, 1)] for i in (0, 1)] for k in range(len(names))]
+        model = VoteModel(names, (float(weight[1].sum()) + s / 2) / (n + s), theta)
     return model
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import VoteModel, char_count, fit_votes, fit_votes_sql, materialize, table, text_or_empty, word_array
+from lodestone.llm._shared import VoteModel, fit_votes, fit_votes_sql, materialize, table, text_or_empty, word_array
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, THRESHOLD = 10, 20, 5, 0.5
@@ -42,11 +42,11 @@ BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the statistics that the rules read, all from the whole text."""
     d = docs.withColumn("q_t", text_or_empty(F.col(text)))
-    d = d.withColumn("q_w", word_array(F.col("q_t"))).withColumn("q_l", F.filter(F.split("q_t", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
+    d = d.withColumn("q_w", word_array(F.col("q_t"))).withColumn("q_l", F.filter(F.split("q_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("q_h", F.when(F.size("q_w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("q_w") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("q_w"), i + k) for k in range(WINDOW)]))))
-    d = d.withColumn("q_s", F.when(F.size(F.array_distinct("q_h")) < F.size("q_h"), F.array_sort(F.transform("q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    d = d.withColumn("q_s", F.when(F.size(F.array_distinct("q_h")) < F.size("q_h"), F.sort_array(F.transform("q_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = lambda x, k: F.coalesce(F.get(F.col("q_s"), k)["h"] == x["h"], F.lit(False))
-    at = F.array_sort(F.filter(F.transform("q_s", lambda x, k: F.when(again(x, k - 1) | again(x, k + 1), x["i"])), lambda i: i.isNotNull()))
+    at = F.sort_array(F.filter(F.transform("q_s", lambda x, k: F.when(again(x, k - 1) | again(x, k + 1), x["i"])), lambda i: i.isNotNull()))
     # each repeated window adds the words that the windows before it haven't covered
     covered = F.aggregate(
         at,
@@ -54,20 +54,22 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, i: F.struct((a["n"] + WINDOW - F.greatest(F.lit(0), a["end"] - i)).alias("n"), (i + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    letters = F.regexp_count("q_t", F.lit(r"\p{L}"))
+    # runs between letters are far fewer than letters, and capitals are looked for among the letters only
+    d = d.withColumn("q_a", F.regexp_replace("q_t", r"[^\p{L}]+", ""))
+    without = lambda c: (F.length("q_t") - F.length(F.replace(F.col("q_t"), F.lit(c)))).cast("long")
     return d.select(
         *[c for c in docs.columns],
         F.size("q_w").cast("long").alias("n_words"),
-        F.length(F.translate("q_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        char_count(F.col("q_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("q_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("q_t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("q_l") - F.size(F.array_distinct("q_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("q_l").cast("long").alias("n_lines"),
         F.size(F.filter("q_l", lambda x: x.rlike(r"[.!?\"')][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended_lines"),
-        F.regexp_count("q_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        letters.cast("long").alias("n_letters"),
-        char_count(F.col("q_t"), "!").cast("long").alias("n_exclaim"),
-        char_count(F.col("q_t"), "|").cast("long").alias("n_cells"),
+        F.length(F.regexp_replace("q_a", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length("q_a").cast("long").alias("n_letters"),
+        without("!").alias("n_exclaim"),
+        without("|").alias("n_cells"),
     )
 
 
@@ -79,8 +81,7 @@ def votes(stats: DataFrame) -> DataFrame:
 
 def fit(voted: DataFrame) -> VoteModel:
     """Reliabilities of the rules over every document."""
-    hist = materialize(voted.groupBy(*NAMES).agg(F.count("*").alias("n")).coalesce(1), "quality-votes")
-    return fit_votes(hist, NAMES, table=PRIOR)
+    return fit_votes(voted.groupBy(*NAMES).agg(F.count("*").alias("n")), NAMES, table=PRIOR)
 
 
 def verdict(voted: DataFrame, model: VoteModel) -> DataFrame:

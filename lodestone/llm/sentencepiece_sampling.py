@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import table
+from lodestone.llm._shared import bounded_batches, table
 from lodestone.llm._text import mixed
 
 MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000, 100_000
@@ -457,6 +457,7 @@ def encode(docs: DataFrame, model: str = MODEL, k: int = SAMPLES, with_ids: bool
     `model` must be readable at that path on every executor.
     """
     schema = DIGESTS + (", ids array<int>, samples array<array<int>>" if with_ids else "")
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model, k, with_ids), schema)
 
 
