@@ -8,8 +8,9 @@ on their maximum being the parent's, so the best child continues the path and it
 exact values. The k completed paths with the greatest G are k distinct segmentations sampled without
 replacement; the next value, kappa, gives their inclusion scores 1 - exp(-exp(phi - kappa)).
 Piece weights are rank^-`SHARPNESS` by the model's order of pieces. Random numbers are hashes of the
-row key, the place in the text and the sample, so reruns and other partitionings agree. Work is
-vectorised across the units of a block of texts; rows never leave their task.
+row key, the place in the text and the sample, and log-probabilities are sums of whole multiples of 2^-32, so reruns and other partitionings agree to the last digit. Work is
+vectorised across the units of a block of texts, whose lattices are made again only for units that aren't
+among the worker's `KNOWN_UNITS` most widespread ones; rows never leave their task.
 
 Defined results: null and empty texts have no tokens, decode to the empty text and have one
 segmentation, the empty one, with inclusion 1; a text with fewer than k segmentations emits them all;
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import bounded_batches, table
-from lodestone.llm._text import mixed
+from lodestone.llm._text import _powers, mixed
 
-MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000, 100_000
+MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000, 30_000
+#: Units whose encodings and lattices a worker keeps, and the blocks in which it looks for them.
+KNOWN_UNITS, LEARN_BLOCKS = 100_000, 5
+#: Log-probabilities are multiples of 1 / UNIT_LOG, edges' shares of a node multiples of 1 / UNIT_P.
+UNIT_LOG, UNIT_P = float(1 << 32), float(1 << 40)
 UNIT = re.compile(r"\n+| *[^ \n]+| +")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LONG = np.int64
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.r_[np.uint64(1), np.cumprod(np.full(max(n, 1), base, np.uint64), dtype=np.uint64)]
-
-
 class Pieces:
     """The model's vocabulary as a sorted hash table; loaded once a worker."""
 
@@ -64,7 +66,7 @@ class Pieces:
         weight[order] = -SHARPNESS * np.log(np.arange(2, len(order) + 2))
         self.byte_weight = -SHARPNESS * np.log(len(order) + 2.0)
         self.longest = max(len(names[i]) for i in ids)
-        hashes = np.array([self._hash(names[i]) for i in ids], np.uint64)
+        hashes = self._hashes([names[i] for i in ids])
         by = np.argsort(hashes)
         self.hashes, self.ids = hashes[by], np.array(ids)[by]
         self.weights = weight[self.ids]
@@ -76,10 +78,15 @@ class Pieces:
                 at += 1
             self.slots[at] = i
             self.probes = max(self.probes, at - first + 1)
+        # which hashes begin a longer piece; false hits only cost a look
+        self.begins = np.zeros(1 << 22, bool)
+        prefixes = {names[i][:k] for i in ids for k in range(1, len(names[i]))}
+        self.begins[self._hashes(list(prefixes)) >> np.uint64(42)] = True
         self.names = names
         self.is_byte = np.zeros(n, bool)
         self.is_byte[list(self.bytes.values())] = True
         self.blank = int(self.sp.piece_to_id("▁"))
+        self.length = np.array([len(x) for x in self.names])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in h that are pieces, ascending; their index)."""
@@ -104,9 +111,12 @@ class Pieces:
         return cls._loaded[path]
 
     @staticmethod
-    def _hash(piece: str) -> int:
-        c = mixed(np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-        return int((c * _powers(_P, len(c))[: len(c)]).sum(dtype=np.uint64))
+    def _hashes(names: list[str]) -> np.ndarray:
+        chars = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        end = np.cumsum(np.fromiter(map(len, names), _LONG, len(names)))
+        total = np.r_[np.uint64(0), np.cumsum(mixed(chars.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(chars))[:-1], dtype=np.uint64)]
+        start = np.r_[0, end[:-1]]
+        return (total[end] - total[start]) * _powers(_INV, len(chars))[start]
 
     def encode_unit(self, units: list[str]) -> list[list[int]]:
         """The library's ids of units cut from a text with its leading blank."""
@@ -124,6 +134,22 @@ class Pieces:
         return self.decode([self.blank, *ids]) == unit
 
 
+    def all_spelled(self, flat: np.ndarray, at: np.ndarray, units: list[str]) -> np.ndarray:
+        """`spells` of units with ids flat[at[i]:at[i + 1]]: whole runs at once where the pieces' names are the text."""
+        out = np.ones(len(units), bool)
+        size = np.fromiter(map(len, units), _LONG, len(units))
+        odd = np.r_[0, np.cumsum(self.is_byte[flat])]
+        total = np.r_[0, np.cumsum(self.length[flat])]
+        sure = (odd[at[1:]] == odd[at[:-1]]) & (total[at[1:]] - total[at[:-1]] == size)
+        keep = np.repeat(sure, np.diff(at))
+        name = self.names.__getitem__
+        if "".join(map(name, flat[keep].tolist())) != "".join(u for u, ok in zip(units, sure.tolist()) if ok):
+            sure[:] = False
+        for i in np.flatnonzero(~sure).tolist():
+            out[i] = self.spells(flat[at[i] : at[i + 1]].tolist(), units[i])
+        return out
+
+
 class Index(dict):
     """Numbers keys in the order they come."""
 
@@ -147,7 +173,6 @@ class Lattices:
         src, dst, edge_id, weight = [], [], [], []
         at = np.arange(n)
         for k in range(1, pieces.longest + 1):
-            at = at[at + k <= end[at]]
             if not len(at):
                 break
             h = (total[at + k] - total[at]) * down[at]
@@ -156,6 +181,8 @@ class Lattices:
             dst.append(at[hit] + k)
             edge_id.append(pieces.ids[i])
             weight.append(pieces.weights[i])
+            at = at[pieces.begins[h >> np.uint64(42)]]
+            at = at[at + k < end[at]]
         single = np.zeros(n, bool)
         single[src[0]] = True
         rest = np.flatnonzero(~single)  # characters without a piece fall back to their bytes
@@ -194,12 +221,21 @@ class Lattices:
             # a unit's end is the next unit's first node, whose own sum doesn't count here
             score[e] = w[e] + np.where(is_end[to], 0.0, beta[to])
             beta[nodes] = np.logaddexp.reduceat(score[e], np.r_[0, np.cumsum(count)[:-1]])
-        self.logp = score - beta[self.src]
-        p = np.exp(self.logp)
-        run = np.r_[0.0, np.cumsum(p)]
-        cum = (run[1:] - run[self.begin[self.src]])
-        cum[self.begin[1:] - 1] = 1.0
-        self.cum = self.src + np.minimum(cum, 1.0)
+        # whole numbers: their running sums are exact, whatever lies before them
+        logp = score - beta[self.src]
+        self.logp = np.rint(logp * UNIT_LOG).astype(_LONG)
+        run = np.r_[np.uint64(0), np.cumsum((np.exp(logp) * UNIT_P).astype(np.uint64), dtype=np.uint64)]
+        self.cum = np.minimum((run[1:] - run[self.begin[self.src]]) / UNIT_P, 1.0)
+        self.cum[self.begin[1:] - 1] = 1.0
+
+    def followed_by(self, other: "Lattices") -> "Lattices":
+        """The lattices of both, this one's units first."""
+        out, n, m = Lattices.__new__(Lattices), len(self.begin) - 1, len(self.src)
+        out.begin = np.concatenate([self.begin, other.begin[1:] + m])
+        for name, shift in (("src", n), ("dst", n), ("first", n), ("end", n), ("id", 0), ("logp", 0), ("cum", 0)):
+            x = getattr(other, name)
+            setattr(out, name, np.concatenate([getattr(self, name), x + shift if shift else x]))
+        return out
 
     def descend(self, types: np.ndarray, pos: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
         """Sample a path through every unit from node `pos`: (unit, edge) of all edges taken, in text order."""
@@ -208,7 +244,7 @@ class Lattices:
         step = 0
         while len(live):
             node = pos[live]
-            e, goal = self.begin[node], node + random(live, step)
+            e, goal = self.begin[node], random(live, step)
             more = np.flatnonzero(self.cum[e] < goal)  # the last edge of a node closes at node + 1
             while len(more):
                 e[more] += 1
@@ -281,7 +317,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
     for j in range(k):
         active = np.isfinite(g)
         own = salted(seed, 2 * j + 1)[doc]
-        rnd = lambda live, step, own=own: uniform(own[live], within[live] * 64 + step)
+        rnd = lambda live, step, own=own: uniform(own[live], (within[live] << 32) + step)
         unit, edge = lat.descend(types, np.where(active[doc] if len(doc) else False, pos, lat.end[types]), rnd)
         fresh = np.ones(len(unit), bool)
         if prefix is not None:
@@ -289,10 +325,10 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
             order = np.argsort(unit, kind="stable")
             unit, edge, fresh = unit[order], edge[order], fresh[order]
         d = doc[unit]
-        run = np.r_[0.0, np.cumsum(lat.logp[edge])]
+        run = np.r_[0, np.cumsum(lat.logp[edge])]
         first_visit = np.searchsorted(d, np.arange(n_docs + 1))
-        before = run[:-1] - run[first_visit[d]] if len(d) else np.empty(0)
-        phi = run[first_visit[1:]] - run[first_visit[:-1]]
+        before = (run[:-1] - run[first_visit[d]]) / UNIT_LOG if len(d) else np.empty(0)
+        phi = (run[first_visit[1:]] - run[first_visit[:-1]]) / UNIT_LOG
         paths.append({"phi": phi, "g": g, "doc": d, "unit": unit, "edge": edge})
         # siblings of the edges taken after the branch, conditioned on being less than the path's value
         near = before >= far
@@ -305,7 +341,7 @@ def sample(lat: Lattices, types: np.ndarray, doc: np.ndarray, n_docs: int, seed:
         other = e != edge[visit]
         visit, e = visit[other], e[other]
         sd = d[visit]
-        loc = before[visit] + lat.logp[e]
+        loc = before[visit] + lat.logp[e] / UNIT_LOG
         u = uniform(salted(seed, 2 * j + 2)[sd], (visit - first_visit[sd]) * 64 + (e - lat.begin[lat.src[e]]))
         value = loc - np.log(np.exp(np.minimum(loc - g[sd], 700)) - np.log(u))
         queue.append({"doc": sd, "value": value, "visit": visit, "edge": e, "path": j})
@@ -364,6 +400,48 @@ def _edge_ids(lat: Lattices, edges: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     return out.astype(np.int32), begin
 
 
+class Coded:
+    """Encodings and lattices of units: ids flat[at[i]:at[i + 1]], their number, and whether they decode to the unit."""
+
+    def __init__(self, units: list[str], pieces: Pieces):
+        coded = pieces.encode_unit(units)
+        self.length = np.fromiter(map(len, coded), _LONG, len(units))
+        self.flat, self.at = np.fromiter(chain.from_iterable(coded), np.int32, int(self.length.sum())), np.r_[0, np.cumsum(self.length)]
+        self.whole, self.lat = pieces.all_spelled(self.flat, self.at, units), Lattices(units, pieces)
+
+    def followed_by(self, other: "Coded") -> "Coded":
+        out = Coded.__new__(Coded)
+        out.length, out.flat, out.whole = (np.concatenate([getattr(self, x), getattr(other, x)]) for x in ("length", "flat", "whole"))
+        out.at, out.lat = np.r_[0, np.cumsum(out.length)], self.lat.followed_by(other.lat)
+        return out
+
+
+class Known:
+    """Units that a worker has seen in most of its first `LEARN_BLOCKS` blocks, with what was made of them. It saves work only."""
+
+    _loaded: dict[str, "Known"] = {}
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.made: Coded | None = None
+        self.blocks, self.seen = 0, Counter()
+
+    @classmethod
+    def load(cls, path: str) -> "Known":
+        return cls._loaded.setdefault(path, cls())
+
+    def learn(self, units: dict[str, int], pieces: Pieces) -> None:
+        if self.blocks >= LEARN_BLOCKS:
+            return
+        self.blocks += 1
+        self.seen.update(units.keys())
+        if self.blocks == LEARN_BLOCKS:
+            kept = [u for u, n in self.seen.most_common(KNOWN_UNITS) if n > 1 and len(u) < 64]
+            if kept:
+                self.index, self.made = {u: i for i, u in enumerate(kept)}, Coded(kept, pieces)
+            self.seen.clear()
+
+
 def _encode(path: str, k: int, with_ids: bool):
     def draw(lat: Lattices, types: np.ndarray, doc: np.ndarray, n: int, seed: np.ndarray, pieces: Pieces, far: float = FAR) -> list[tuple]:
         """(samples, log-probabilities, inclusion scores) of every text."""
@@ -384,17 +462,18 @@ def _encode(path: str, k: int, with_ids: bool):
 
     def block(keys: list, texts: list[str], pieces: Pieces) -> list[tuple]:
         clean = [t.replace("▁", " ") for t in texts]
-        index = Index()
+        known = Known.load(path)
+        index = Index(known.index)
         per_doc = [list(map(index.__getitem__, UNIT.findall(" " + t))) if t else [] for t in clean]
-        units = list(index)
         n = len(texts)
-        if not units:
+        if not any(per_doc):
             return [(key, [], True, [[]], [0.0], [1.0]) for key in keys]
-        coded = pieces.encode_unit(units)
-        whole = np.fromiter((pieces.spells(c, u) for u, c in zip(units, coded)), bool, len(units))
-        length = np.fromiter(map(len, coded), _LONG, len(units))
-        flat, at = np.fromiter(chain.from_iterable(coded), np.int32, int(length.sum())), np.r_[0, np.cumsum(length)]
-        lat = Lattices(units, pieces)
+        made = known.made
+        if len(index) > len(known.index):
+            new = Coded(list(islice(index, len(known.index), None)), pieces)
+            made = new if made is None else made.followed_by(new)
+        known.learn(index, pieces)
+        flat, at, length, whole, lat = made.flat, made.at, made.length, made.whole, made.lat
         size = np.fromiter(map(len, per_doc), _LONG, n)
         types = np.fromiter(chain.from_iterable(per_doc), _LONG, int(size.sum()))
         doc = np.repeat(np.arange(n), size)
@@ -435,15 +514,17 @@ def _encode(path: str, k: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(path)
+        keys, texts, held = [], [], 0
         for b in batches:
-            keys, texts, held = [], [], 0
-            for i, (key, text) in enumerate(zip(b.column(0), b.column(1)), 1):
+            for key, text in zip(b.column(0), b.column(1)):
                 keys.append(key.as_py())
                 texts.append(text.as_py() or "")
                 held += len(texts[-1])
-                if held > BLOCK_CHARS or i == b.num_rows:
+                if held > BLOCK_CHARS or len(keys) == 10_000:
                     yield emit(block(keys, texts, pieces))
                     keys, texts, held = [], [], 0
+        if keys:
+            yield emit(block(keys, texts, pieces))
 
     return run
 

@@ -251,7 +251,7 @@ def test_merge_keeps_order_and_prefixes():
 
 
 def test_sentencepiece(docs, none):
-    enc = sentencepiece_sampling.encode(docs.where("doc_id IS NULL OR doc_id NOT IN (9, 12, 13)"), k=3)
+    enc = sentencepiece_sampling.encode(docs, k=3)
     pieces = sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL)
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in enc.collect():
@@ -260,25 +260,61 @@ def test_sentencepiece(docs, none):
         assert all(pieces.decode(s) == t.replace("▁", " ") for s in r["samples"]) and len({tuple(s) for s in r["samples"]}) == len(r["samples"])
         assert all(0 <= p <= 1 for p in r["inclusion"])
     assert {r["doc_id"]: r["text"] for r in sentencepiece_sampling.decode(enc).collect()}[1] == BASE and sentencepiece_sampling.encode(none).count() == 0
-    a, b = (Counter((r["doc_id"], tuple(r["sample_sha256"])) for r in sentencepiece_sampling.encode(d, with_ids=False).collect()) for d in (docs.where("doc_id < 9"), docs.where("doc_id < 9").repartition(4)))
+    sentencepiece_sampling.Known._loaded.clear()
+    a, b = (Counter((r["doc_id"], tuple(r["sample_sha256"]), tuple(r["sample_log_prob"]), tuple(r["inclusion"])) for r in sentencepiece_sampling.encode(d, with_ids=False).collect()) for d in (docs, docs.repartition(4)))
     assert a == b
 
 
-def test_sampling_frequencies(spark):
-    n = 4000
-    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("hello").alias("text"))
-    rows = sentencepiece_sampling.encode(d, k=2).collect()
-    lat = sentencepiece_sampling.Lattices([" hello"], sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL))
+def segmentations(unit):
+    lat = sentencepiece_sampling.Lattices([unit], sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL))
     p: dict = {}
 
     def walk(node, ids, lp):
         if node == lat.end[0]:
-            p[tuple(ids)] = math.exp(lp)
+            p[tuple(ids)] = math.exp(lp / sentencepiece_sampling.UNIT_LOG)
             return
         for e in range(lat.begin[node], lat.begin[node + 1]):
-            walk(lat.dst[e], [*ids, int(lat.id[e])], lp + lat.logp[e])
+            walk(lat.dst[e], [*ids, int(lat.id[e])], lp + int(lat.logp[e]))
+
+    walk(0, [], 0)
+    return p
+
+
+def test_long_units_leave_the_next_words_random(spark):
+    n, p = 3000, segmentations(" hello")
+    texts = ["q" * 200 + " hello" * k for k in (1, 3)]
+    d = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, texts[0]).otherwise(texts[1]).alias("text"))
+    names = sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL).names
+    seen, pairs = Counter(), Counter()
+    for r in sentencepiece_sampling.encode(d, k=1).collect():
+        words, left = [], list(r["samples"][0])
+        while len(words) < (1 if r["doc_id"] < n else 3):
+            word: list = []
+            while "".join(names[i] for i in word) != " hello":
+                word.insert(0, left.pop())
+            words.append(tuple(word))
+        seen.update(words)
+        if len(words) == 3:
+            pairs.update(zip(words, words[1:]))
+    best = max(p, key=p.get)
+    assert abs(seen[best] / (4 * n) - p[best]) < 0.03 and abs(pairs[best, best] / (2 * n) - p[best] ** 2) < 0.03
+
+
+def test_known_units_change_nothing(spark):
+    pieces = sentencepiece_sampling.Pieces.load(sentencepiece_sampling.MODEL)
+    known, new = ["\n", " alpha", " beta"], [" gamma", " 日本é", " q1"]
+    both, one = (sentencepiece_sampling.Coded(known, pieces).followed_by(sentencepiece_sampling.Coded(new, pieces)), sentencepiece_sampling.Coded(known + new, pieces))
+    for name in ("flat", "at", "length", "whole"):
+        assert (getattr(both, name) == getattr(one, name)).all()
+    for name in ("begin", "src", "dst", "id", "first", "end", "logp", "cum"):
+        assert (getattr(both.lat, name) == getattr(one.lat, name)).all(), name
 
-    walk(0, [], 0.0)
+
+def test_sampling_frequencies(spark):
+    n = 4000
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("hello").alias("text"))
+    rows = sentencepiece_sampling.encode(d, k=2).collect()
+    p = segmentations(" hello")
     both = Counter(tuple(s) for r in rows for s in r["samples"])
     for s in sorted(p, key=p.get)[-3:]:
         want = p[s] + sum(p[q] * p[s] / (1 - p[q]) for q in p if q != s)
