@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._shared import bounded_batches, table
-from lodestone.llm._text import _powers, mixed
+from lodestone.llm._text import _powers, mixed, release
 
 MODEL, SAMPLES, SHARPNESS, BLOCK_CHARS, SAMPLE_UNITS = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 1_500_000, 30_000
 #: Units whose encodings and lattices a worker keeps, and the blocks in which it looks for them.
@@ -197,7 +197,8 @@ class Lattices:
             per_node[at] += 1
         self.begin = np.r_[0, np.cumsum(per_node)]
         m = int(self.begin[-1])
-        self.src, self.dst, self.id, w = np.repeat(np.arange(n), per_node), np.empty(m, _LONG), np.empty(m, _LONG), np.empty(m)
+        small = np.int32 if n < 1 << 30 else _LONG
+        self.src, self.dst, self.id, w = np.repeat(np.arange(n, dtype=small), per_node), np.empty(m, small), np.empty(m, np.int32), np.empty(m)
         free = self.begin[:-1].copy()
         for s, d, i, x in zip(src[::-1], dst[::-1], edge_id[::-1], weight[::-1]):
             at = free[s]
@@ -234,7 +235,7 @@ class Lattices:
         out.begin = np.concatenate([self.begin, other.begin[1:] + m])
         for name, shift in (("src", n), ("dst", n), ("first", n), ("end", n), ("id", 0), ("logp", 0), ("cum", 0)):
             x = getattr(other, name)
-            setattr(out, name, np.concatenate([getattr(self, name), x + shift if shift else x]))
+            setattr(out, name, np.concatenate([getattr(self, name), x + x.dtype.type(shift) if shift else x]))
         return out
 
     def descend(self, types: np.ndarray, pos: np.ndarray, random) -> tuple[np.ndarray, np.ndarray]:
@@ -525,6 +526,8 @@ def _encode(path: str, k: int, with_ids: bool):
                     keys, texts, held = [], [], 0
         if keys:
             yield emit(block(keys, texts, pieces))
+        keys, texts = [], []
+        release()
 
     return run
 
