@@ -13,7 +13,10 @@ suffixes at equal offsets, so sampling loses nothing, and only about one suffix
    contexts tell for which strings another start exists.
 3. Groups of more than `HOT` suffixes (a passage that a third of all documents share) would land in one
    task; their strings are counted by 64-bit hashes, summed before the shuffle, instead.
-4. Spans return to their texts by 128-bit text hashes, so copies are computed alike; texts without a
+4. Passages of more than 50 words are often shorter than `LENGTH` bytes, so `n_passage_words` counts, beside the bytes removed,
+   the starts of strings of `PASSAGE` words (A-Z lower-cased) that start elsewhere too. Each owns its least `GRAM_WORDS`-word hash;
+   strings whose owner is alone in the corpus are left out by the same bitmap, the others are counted by their 64-bit hashes.
+5. Spans return to their texts by 128-bit text hashes, so copies are computed alike; texts without a
    span never leave their task.
 
 Defined results: null and empty texts have 0 bytes and nothing to remove; texts under `LENGTH` bytes
@@ -33,10 +36,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._shared import bitmap_of, materialize, shuffle_parts, table
-from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, utf8
+from lodestone.llm._shared import bitmap_of, discard, materialize, shuffle_parts, table
+from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, utf8, word_hashes
 
 LENGTH, WINDOW, GRAM, HOT = 400, 256, 8, 2048
+PASSAGE, GRAM_WORDS, _WORDS = 51, 10, np.uint64(0x5851F42D4C957F2D)
 SHARED = LENGTH - WINDOW
 #: Bytes of texts that a Python worker gathers before it hands rows on.
 SLICE = 4 << 20
@@ -46,6 +50,40 @@ _CASED = _BYTES.copy()
 _CASED[65:91] = np.random.default_rng(7).integers(1, 1 << 63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For every place the place of the least hash among the `width` that begin there, the leftmost of equal ones."""
+    h = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # hash above, place below
+    rows = np.r_[h, np.full(-len(h) % width + width, ~np.uint64(0))].reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, 1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(behind[: len(h)], ahead[width - 1 : width - 1 + len(h)]) & _PLACE).astype(np.int64)
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, and so on."""
+    return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place of the owner, key of the owner, hash) of every string of `PASSAGE` words of adjoining texts."""
+    w, first = word_hashes(data, offsets)
+    n = np.diff(first) - PASSAGE + 1
+    long = np.flatnonzero(n > 0)
+    if not len(long):
+        none = np.empty(0, np.int64)
+        return none, none, none.view(np.uint64), none.view(np.uint64)
+    up, down = _POWERS.get(max(len(w), CHUNK))
+    total = np.r_[np.uint64(0), np.cumsum(w * up[: len(w)], dtype=np.uint64)]
+    of = lambda start, k: mixed((total[start + k] - total[start]) * down[start])
+    grams = of(np.arange(len(w) - GRAM_WORDS + 1), GRAM_WORDS)
+    starts = ranges(first[:-1][long], n[long])
+    at = least_places(grams, PASSAGE - GRAM_WORDS + 1)[starts]
+    return np.repeat(long, n[long]), at, grams[at] ^ _WORDS, of(starts, PASSAGE)
+
+
 def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffix, first, last): the sampled suffixes of adjoining texts and the range of string starts that own each."""
     size = np.diff(offsets)
@@ -54,15 +92,9 @@ def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         none = np.empty(0, np.int64)
         return none, none, none
     grams = np.ndarray((len(data) - GRAM + 1,), "<u8", data.tobytes(), 0, (1,))
-    # hash above, position below: the leftmost of equal hashes is the least
-    h = (mixed(grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(28) << np.uint64(28)) | np.arange(len(grams), dtype=np.uint64)
-    rows = np.r_[h, np.full(-len(h) % WINDOW + WINDOW, ~np.uint64(0))].reshape(-1, WINDOW)
-    ahead = np.minimum.accumulate(rows, 1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(behind[: len(h)], ahead[WINDOW - 1 : WINDOW - 1 + len(h)])
-    n = size[long] - LENGTH + 1
-    starts = np.repeat(offsets[:-1][long] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    at = (least[starts] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    least = least_places(mixed(grams * np.uint64(0x9E3779B97F4A7C15)), WINDOW)
+    starts = ranges(offsets[:-1][long], size[long] - LENGTH + 1)
+    at = least[starts]
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[cut], starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]]
 
@@ -88,7 +120,14 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [Hasher(d).of(s, SHARED) for d, o, _ in _pieces(b.column(0)) for s in [sampled(d, o)[0]] if len(s)]
+        found = []
+        for d, o, _ in _pieces(b.column(0)):
+            s = sampled(d, o)[0]
+            if len(s):
+                found.append(Hasher(d).of(s, SHARED))
+            _, at, key, _ = passages(d, o)
+            found.append(key[np.unique(at, return_index=True)[1]])
+        found = [x for x in found if len(x)]
         if found:
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -231,12 +270,12 @@ def repeated_starts(group: list[tuple[bytes, bytes, int, int]]) -> Iterator[tupl
                 yield right, left, out
 
 
-_FOUND = pa.schema([("part", pa.int64()), ("run", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-_FOUND_DDL = "part long, run binary, c1 long, c2 long, t1 long, t2 long, at long, low int, n long, hashes array<long>"
+_FOUND = pa.schema([("part", pa.int64()), ("run", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int64()), ("low", pa.int32()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("w", pa.int64())])
+_FOUND_DDL = "part long, run binary, c1 long, c2 long, t1 long, t2 long, at long, low int, n long, hashes array<long>, w long"
 
 
 class _Runs:
-    """Rows of three kinds: sorted runs (part, run), places of contexts (c1, c2, t1, t2, at), hashes of hot contexts."""
+    """Rows of four kinds: sorted runs (part, run), places of contexts (c1, c2, t1, t2, at), hashes of hot contexts, strings of words (w, t1, n)."""
 
     def __init__(self, bitmap, hot, parts: int):
         self.bitmap, self.hot, self.parts = bitmap, hot, parts
@@ -247,13 +286,13 @@ class _Runs:
             runs: dict[int, dict[tuple[bytes, bytes], int]] = {}
             places, counted, texts = [], {}, set()
             for d, o, _ in _pieces(b.column(0)):
+                yield from self.strings(d, o, bits)
                 s, first, last = sampled(d, o)
                 if not len(s):
                     continue
                 hasher, raw = Hasher(d), d.tobytes()
                 key = hasher.of(s, SHARED)
-                slot = key & np.uint64((1 << BITMAP) - 1)
-                keep = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                keep = self.set_in(bits, key)
                 s, first, last, key = s[keep], first[keep], last[keep], key[keep]
                 is_hot = np.isin(key, hot)
                 owner = np.searchsorted(o, s, "right") - 1
@@ -277,6 +316,25 @@ class _Runs:
                         run[right, left] = run.get((right, left), 0) + 1
             yield from self.rows(runs, counted, places)
 
+    def strings(self, d: np.ndarray, o: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        text, _, key, w = passages(d, o)
+        keep = self.set_in(bits, key)
+        text, w = text[keep], w[keep]
+        if not len(text):
+            return
+        raw, t = d.tobytes(), np.zeros(len(o), np.int64)
+        for i in np.unique(text).tolist():
+            t[i] = halves(raw[o[i] : o[i + 1]])[0]
+        w, t = w.view(np.int64), t[text]
+        _, one, n = np.unique(mixed(w.view(np.uint64) + t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+        cols = {"w": pa.array(w[one]), "t1": pa.array(t[one]), "n": pa.array(n)}
+        yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(one), f.type)) for f in _FOUND], schema=_FOUND)
+
+    @staticmethod
+    def set_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+        slot = key & np.uint64((1 << BITMAP) - 1)
+        return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
     def rows(self, runs: dict, counted: dict, places: list) -> Iterator[pa.RecordBatch]:
         empty = lambda n, name: pa.nulls(n, _FOUND.field(name).type)
         batch = lambda rows, **c: pa.RecordBatch.from_arrays([c.get(f.name, empty(rows, f.name)) for f in _FOUND], schema=_FOUND)
@@ -376,13 +434,13 @@ def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for i, (doc_id, n, body, spans) in enumerate(zip(*b.columns), 1):
+            for i, (doc_id, n, body, spans, t1) in enumerate(zip(*b.columns), 1):
                 kept, removed, runs = cut(body.as_py(), [(x["s"], x["e"]) for x in spans.as_py() or []])
-                out.append((doc_id.as_py(), n.as_py(), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                out.append((doc_id.as_py(), n.as_py(), removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None, t1.as_py()))
                 held += len(kept) if with_text else 0
                 if held > SLICE or i == b.num_rows:
-                    doc, n, removed, runs, sha, kept = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    doc, n, removed, runs, sha, kept, t1 = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()), pa.array(t1, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "t1"])
                     out, held = [], 0
 
     return run
@@ -401,8 +459,8 @@ def joined_ranges(ranges: Column) -> Column:
     return F.aggregate(F.slice(ordered, 2, 1 << 30), F.slice(ordered, 1, 1), add)
 
 
-def repeated_spans(text: DataFrame) -> DataFrame:
-    """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text. `text` has one string column."""
+def repeated(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text, and (t1, n_passage_words). `text` has one string column."""
     spark = text.sparkSession
     shared = materialize(text.mapInArrow(_count_shared, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-shared")
     hot_rows = shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(1 << 20).select("h").toPandas()
@@ -418,21 +476,28 @@ def repeated_spans(text: DataFrame) -> DataFrame:
     spans = cold.unionByName(warm).groupBy("c1", "c2").agg(joined_ranges(F.collect_list(F.struct("lo", "hi"))).alias("x"))  # at most WINDOW offsets
     places = found.where("at IS NOT NULL").select("c1", "c2", "t1", "t2", "at").distinct()
     placed = places.join(spans, ["c1", "c2"]).select("t1", "t2", F.explode(F.transform("x", lambda x: F.struct((F.col("at") - x["hi"]).alias("s"), (F.col("at") - x["lo"] + LENGTH).alias("e")))).alias("x"))
-    return materialize(placed.groupBy("t1", "t2").agg(F.collect_list("x").alias("spans")), "suffix-spans")
+    made = materialize(placed.groupBy("t1", "t2").agg(F.collect_list("x").alias("spans")), "suffix-spans")
+    windows = found.where("w IS NOT NULL").groupBy("w", "t1").agg(F.sum("n").alias("n"))
+    often = windows.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select("w")
+    per_text = windows.join(often, "w", "left_semi").groupBy("t1").agg(F.count("*").alias("n_passage_words"))
+    per_text = materialize(per_text, "suffix-passages")
+    discard(shared, found)
+    return made, per_text
 
 
 def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept of every row of `docs`.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words and kept of every row of `docs`.
 
-    kept holds the remaining bytes; it is null where nothing goes, and everywhere unless `with_text`.
+    n_passage_words is the number of different strings of `PASSAGE` words in the text that start elsewhere too. kept holds the remaining bytes; it is null where nothing goes, and everywhere unless `with_text`.
     """
     spark = docs.sparkSession
-    spans = repeated_spans(docs.select("text"))
+    spans, passages = repeated(docs.select("text"))
     bitmap = bitmap_of(spans.select(F.col("t1").alias("v")), spark, BITMAP)
     rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_Whole(bitmap), "doc_id long, n_bytes long, t1 long, t2 long, sha string, body binary"), "suffix-rows")
-    whole = rows.where("body IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    cut_rows = rows.where("body IS NOT NULL").join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "body", "spans")
-    return whole.unionByName(cut_rows.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    whole = rows.where("body IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), "t1")
+    cut_rows = rows.where("body IS NOT NULL").join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "body", "spans", "t1")
+    every = whole.unionByName(cut_rows.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, t1 long"))
+    return every.join(passages, "t1", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"), "kept")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
