@@ -13,9 +13,10 @@ suffixes at equal offsets, so sampling loses nothing, and only about one suffix
    contexts tell for which strings another start exists.
 3. Groups of more than `HOT` suffixes (a passage that a third of all documents share) would land in one
    task; their strings are counted by 64-bit hashes, summed before the shuffle, instead.
-4. Passages of more than 50 words are often shorter than `LENGTH` bytes, so `n_passage_words` counts, beside the bytes removed,
-   the starts of strings of `PASSAGE` words (A-Z lower-cased) that start elsewhere too. Each owns its least `GRAM_WORDS`-word hash;
-   strings whose owner is alone in the corpus are left out by the same bitmap, the others are counted by their 64-bit hashes.
+4. Passages of more than 50 words are often shorter than `LENGTH` bytes, so `n_passages` says, beside the bytes removed,
+   how many sampled strings of `SIDE` words (A-Z lower-cased) start elsewhere too. Every `PASSAGE` words own a place, that of their least
+   hash of `GRAM_WORDS` words, and the `SIDE` words that begin or end with it lie in the passage: none of `PASSAGE` words
+   is missed, and none under `SIDE` words counts. Places whose hash is alone are left out by the same bitmap.
 5. Spans return to their texts by 128-bit text hashes, so copies are computed alike; texts without a
    span never leave their task.
 
@@ -40,7 +41,7 @@ from lodestone.llm._shared import bitmap_of, discard, materialize, shuffle_parts
 from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, utf8, word_hashes
 
 LENGTH, WINDOW, GRAM, HOT = 400, 256, 8, 2048
-PASSAGE, GRAM_WORDS, _WORDS = 51, 10, np.uint64(0x5851F42D4C957F2D)
+PASSAGE, SIDE, GRAM_WORDS, _WORDS = 51, 41, 31, np.uint64(0x5851F42D4C957F2D)
 SHARED = LENGTH - WINDOW
 #: Bytes of texts that a Python worker gathers before it hands rows on.
 SLICE = 4 << 20
@@ -68,20 +69,25 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place of the owner, key of the owner, hash) of every string of `PASSAGE` words of adjoining texts."""
+    """Of adjoining texts: keys of the sampled places; and (text, key of its place, hash) of every string of `SIDE` words beside one."""
     w, first = word_hashes(data, offsets)
     n = np.diff(first) - PASSAGE + 1
     long = np.flatnonzero(n > 0)
     if not len(long):
-        none = np.empty(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        none = np.empty(0, np.uint64)
+        return none, none.view(np.int64), none, none
     up, down = _POWERS.get(max(len(w), CHUNK))
     total = np.r_[np.uint64(0), np.cumsum(w * up[: len(w)], dtype=np.uint64)]
     of = lambda start, k: mixed((total[start + k] - total[start]) * down[start])
     grams = of(np.arange(len(w) - GRAM_WORDS + 1), GRAM_WORDS)
-    starts = ranges(first[:-1][long], n[long])
-    at = least_places(grams, PASSAGE - GRAM_WORDS + 1)[starts]
-    return np.repeat(long, n[long]), at, grams[at] ^ _WORDS, of(starts, PASSAGE)
+    at = np.unique(least_places(grams, PASSAGE - GRAM_WORDS + 1)[ranges(first[:-1][long], n[long])])
+    key = grams[at] ^ _WORDS
+    start, place = np.r_[at, at + GRAM_WORDS - SIDE], np.r_[np.arange(len(at)), np.arange(len(at))]
+    text = np.searchsorted(first, at, "right") - 1
+    ok = (start >= first[text[place]]) & (start + SIDE <= first[text[place] + 1])
+    start, one = np.unique(start[ok], return_index=True)
+    place = place[ok][one]
+    return key, text[place], key[place], of(start, SIDE)
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,8 +131,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s = sampled(d, o)[0]
             if len(s):
                 found.append(Hasher(d).of(s, SHARED))
-            _, at, key, _ = passages(d, o)
-            found.append(key[np.unique(at, return_index=True)[1]])
+            found.append(passages(d, o)[0])
         found = [x for x in found if len(x)]
         if found:
             h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -317,7 +322,7 @@ class _Runs:
             yield from self.rows(runs, counted, places)
 
     def strings(self, d: np.ndarray, o: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        text, _, key, w = passages(d, o)
+        _, text, key, w = passages(d, o)
         keep = self.set_in(bits, key)
         text, w = text[keep], w[keep]
         if not len(text):
@@ -460,7 +465,7 @@ def joined_ranges(ranges: Column) -> Column:
 
 
 def repeated(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text, and (t1, n_passage_words). `text` has one string column."""
+    """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text, and (t1, n_passages). `text` has one string column."""
     spark = text.sparkSession
     shared = materialize(text.mapInArrow(_count_shared, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-shared")
     hot_rows = shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(1 << 20).select("h").toPandas()
@@ -479,16 +484,16 @@ def repeated(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = materialize(placed.groupBy("t1", "t2").agg(F.collect_list("x").alias("spans")), "suffix-spans")
     windows = found.where("w IS NOT NULL").groupBy("w", "t1").agg(F.sum("n").alias("n"))
     often = windows.groupBy("w").agg(F.sum("n").alias("m")).where("m > 1").select("w")
-    per_text = windows.join(often, "w", "left_semi").groupBy("t1").agg(F.count("*").alias("n_passage_words"))
+    per_text = windows.join(often, "w", "left_semi").groupBy("t1").agg(F.count("*").alias("n_passages"))
     per_text = materialize(per_text, "suffix-passages")
     discard(shared, found)
     return made, per_text
 
 
 def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words and kept of every row of `docs`.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and kept of every row of `docs`.
 
-    n_passage_words is the number of different strings of `PASSAGE` words in the text that start elsewhere too. kept holds the remaining bytes; it is null where nothing goes, and everywhere unless `with_text`.
+    n_passages counts different sampled strings of `SIDE` words of the text that start elsewhere too. kept holds the remaining bytes; it is null where nothing goes, and everywhere unless `with_text`.
     """
     spark = docs.sparkSession
     spans, passages = repeated(docs.select("text"))
@@ -497,7 +502,7 @@ def remove(docs: DataFrame, with_text: bool = True) -> DataFrame:
     whole = rows.where("body IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"), "t1")
     cut_rows = rows.where("body IS NOT NULL").join(spans, ["t1", "t2"], "left").select("doc_id", "n_bytes", "body", "spans", "t1")
     every = whole.unionByName(cut_rows.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, t1 long"))
-    return every.join(passages, "t1", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passage_words", F.lit(0)).cast("long").alias("n_passage_words"), "kept")
+    return every.join(passages, "t1", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), "kept")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,12 +235,16 @@ def test_suffixes(spark, docs, none, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     p = prose(50, 150)
     extra = [p[:405] + prose(51, 60), prose(52, 60) + p[3:420], prose(53, 40) + p[1:500] + prose(54, 40), p[:399] + "!" + prose(55, 30), "ab" * 400, prose(56, 50) + "é" * 300, "é" * 210 + prose(57, 9)]
-    extra += ["Z " + prose(60, 51).replace(" ", "  ") + " z", "y " + prose(60, 51).upper(), prose(60, 50).rstrip(".") + " other"]
+    extra += ["Z " + prose(60, 51).replace(" ", "  ") + " z", "y " + prose(60, 51).upper(), prose(60, 40).rstrip(".") + " other " + prose(61, 30)]
     rows = [(r[0], r[1]) for r in ROWS] + [(200 + i, t) for i, t in enumerate(extra)]
     made = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    strings = [[tuple(w[k : k + 51]) for k in range(len(w) - 50)] for w in (words((t or "").lower()) for _, t in rows)]
-    often = Counter(x for s in strings for x in s)
-    assert Counter((r["doc_id"], r["n_passage_words"]) for r in made) == Counter((i, len({x for x in s if often[x] > 1})) for (i, _), s in zip(rows, strings))
+    lower = [words((t or "").lower()) for _, t in rows]
+    repeated = {}
+    for size in (41, 51):
+        often = Counter(tuple(w[k : k + size]) for w in lower for k in range(len(w) - size + 1))
+        repeated[size] = {i for (i, _), w in zip(rows, lower) if any(often[tuple(w[k : k + size])] > 1 for k in range(len(w) - size + 1))}
+    flagged = {r["doc_id"] for r in made if r["n_passages"]}
+    assert repeated[51] <= flagged <= repeated[41] and {207, 208} <= flagged and 209 not in flagged
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in made)
     assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_cut([(t or "").encode() for _, t in rows])))
     assert suffix_dedup.remove(none).count() == 0
