@@ -62,9 +62,9 @@ def discard(*tables: DataFrame) -> None:
 def bitmap_of(values: DataFrame, spark: SparkSession, size: int):
     """Broadcast bitmap of the low `size` bits of `values(v)`: of fixed size, whatever the input."""
     low = values.select(F.col("v").bitwiseAND((1 << size) - 1).alias("slot"))
-    words = low.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).toPandas()
+    words = low.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v")).toArrow()
     bits = np.zeros(1 << (size - 6), np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    bits[words["w"].to_numpy()] = words["v"].to_numpy()
     return spark.sparkContext.broadcast(bits.view(np.uint8))
 
 

@@ -398,10 +398,10 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), *text_keys(F.col("text")), "text")
     sketched = materialize(keyed.mapInArrow(_sketch, _SKETCH), "ngram-sketch")
     sample = sketched.where("sampled IS NOT NULL").groupBy("cls").agg(F.first("sampled").alias("sampled")).select(F.explode("sampled").alias("h"))
-    top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    known = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    known = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy(np.int64)[order] * SAMPLED))
+    frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy()[order] * SAMPLED))
     points = materialize(sketched.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "counts", "keys")]), "ngram-points")
 
     met = points.select("cls", "n", F.posexplode("keys").alias("k", "key"))

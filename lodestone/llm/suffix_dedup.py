@@ -468,8 +468,8 @@ def repeated(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(t1, t2, spans): byte ranges to remove, by 128-bit hash of the whole text, and (t1, n_passages). `text` has one string column."""
     spark = text.sparkSession
     shared = materialize(text.mapInArrow(_count_shared, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-shared")
-    hot_rows = shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(1 << 20).select("h").toPandas()
-    hot = spark.sparkContext.broadcast(np.sort(hot_rows["h"].to_numpy(np.int64).view(np.uint64)))
+    hot_rows = shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(1 << 20).select("h").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot_rows["h"].to_numpy().view(np.uint64)))
     total = shared.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), total // 20_000 + 1)
     found = materialize(text.mapInArrow(_Runs(bitmap_of(shared.select(F.col("h").alias("v")), spark, BITMAP), hot, parts), _FOUND_DDL), "suffix-runs")

@@ -103,9 +103,9 @@ def build_level(keys: DataFrame, n: int, level: int) -> Bloom:
     size = 1 << max(10, math.ceil(math.log2(n * BITS_PER_KEY)))
     k = max(1, round(size / n * math.log(2))) if size / n < 20 else 14
     spots = keys.mapInArrow(_salt(level), "h1 long, h2 long").select(F.explode(F.array(*[_low_bits(F.col("h1"), F.col("h2"), i, size) for i in range(k)])).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toPandas()
+    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
     out = np.zeros(size // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
     return Bloom(out.view(np.uint64), k, level)
 
 
