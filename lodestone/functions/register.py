@@ -6,16 +6,21 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import CJK
 from lodestone.operators.chunking import chunk_text
 
 
 def register(spark: SparkSession) -> None:
-    """kb_chunk(doc_id, text) as a table function; kb_tokenize, kb_estimate_tokens and kb_strip_links as SQL functions."""
+    """kb_chunk(doc_id, text) as a table function; kb_tokenize, kb_estimate_tokens, kb_strip_links, kb_highlight and kb_cosine as SQL functions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kb_tokenize(t STRING) RETURNS ARRAY<STRING> RETURN filter(split(lower(coalesce(t, '')), '[^\\\\p{L}\\\\p{N}]+'), x -> x <> '')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kb_strip_links(t STRING) RETURNS STRING RETURN regexp_replace(t, '\\\\[\\\\[([^\\\\]]+)\\\\]\\\\]', '$1')")
     spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION kb_estimate_tokens(t STRING) RETURNS BIGINT RETURN CAST(ceil(regexp_count(t, '[一-鿿㐀-䶿豈-﫿　-〿]') / 1.5"
-        " + (length(t) - regexp_count(t, '[一-鿿㐀-䶿豈-﫿　-〿]')) / 4) AS BIGINT)"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION kb_estimate_tokens(t STRING) RETURNS BIGINT RETURN CAST(ceil(regexp_count(t, '{CJK}') / 1.5"
+        f" + (length(t) - regexp_count(t, '{CJK}')) / 4) AS BIGINT)"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION kb_highlight(t STRING, word STRING) RETURNS STRING RETURN CASE WHEN word = '' OR instr(lower(t), lower(word)) = 0 THEN t "
+        "ELSE concat(substring(t, 1, instr(lower(t), lower(word)) - 1), '**', substring(t, instr(lower(t), lower(word)), length(word)), '**', substring(t, instr(lower(t), lower(word)) + length(word))) END"
     )
 
     @F.udtf(returnType="id: string, chunk_index: int, content: string")

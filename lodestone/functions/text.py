@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 DOC_ID_SUFFIX = r"_\d+$"
 #: CJK ranges counted at 1.5 characters a token.
-CJK = r"[一-鿿㐀-䶿豈-﫿　-〿]"
-#: Categories by exact name.
-TABLE_LINE = r"^\s*\|.*\|\s*$"
+CJK = "[\u4e00-\u9fff\u3400-\u4dbf\uff00-\uffef\u3000-\u303f]"
 
 
 def filename_metadata(name: Column) -> Column:
@@ -26,7 +24,7 @@ def title(content: Column, fallback: Column) -> Column:
     first = F.trim(F.element_at(F.split(content, "\n", -1), 1))
     anywhere = F.trim(F.regexp_extract(content, r"(?m)^# (.+)$", 1))
     deferred = (first == "") | first.startswith("|") | first.startswith("---") | first.startswith("###")
-    return F.when(first.startswith("# "), F.trim(F.substring(first, 3, 1_000_000))).when(deferred, F.when(anywhere != "", anywhere).otherwise(fallback)).otherwise(first)
+    return F.when(first.startswith("# "), F.trim(F.substring(first, F.lit(3), F.length(first)))).when(deferred, F.when(anywhere != "", anywhere).otherwise(fallback)).otherwise(first)
 
 
 def wiki_links(content: Column) -> Column:

@@ -31,12 +31,12 @@ def build_index(chunks: DataFrame, stop: list[str] = (), tokenizer: Tokenizer =
 def search(index: TextIndex, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, stop: list[str] = (), tokenizer: Tokenizer = regex_tokens) -> DataFrame:
     """(query_id, chunk_id, score, pos): the k best chunks a query by (score, chunk_id).
 
-    Only postings of query terms are shuffled; document frequencies come from them, so the whole index is not counted.
+    Postings meet the query's terms once, with their document frequencies on the queries' side; a frequent term is
+    a skewed key that adaptive execution splits.
     """
     terms = queries.select("query_id", F.explode(query_tokens(F.col("query"), stop, tokenizer)).alias("term"))
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").join(index.doc_len, "chunk_id", "left").crossJoin(F.broadcast(index.corpus))  # corpus is one row
+    df = index.term_stats.join(terms.select("term").distinct(), "term", "left_semi")
+    weighted = index.postings.join(df, "term").join(index.doc_len, "chunk_id", "left").crossJoin(F.broadcast(index.corpus))  # corpus is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.coalesce(F.col("dl"), F.col("avgdl")) / F.col("avgdl"))
     scored = weighted.select("term", "chunk_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("part"))

@@ -40,16 +40,17 @@ def is_table(block: str) -> bool:
     return len(lines) >= 2 and all(map(_table_line, lines))
 
 
-def chunk_text(doc_id: str, text: str, least: int = 200, most: int = 1000, ratio: float = 0.2, guard: bool = True) -> list[dict]:
+def chunk_text(doc_id: str, text: str, least: int = 200, most: int = 1000, ratio: float = 0.2, guard: bool = True, tables: bool = True, renumber: bool = True) -> list[dict]:
     """Chunks of one document. Tables stay whole; sentences fill up to `most` characters; a closed chunk hands
     its last sentences (about 60 characters) on; chunks under `least` are merged with a neighbour. Ids
-    keep the numbers before merging, `chunk_index` is renumbered."""
+    keep the numbers before merging, `chunk_index` is renumbered (unless not `renumber`). Without `tables` blank lines alone part paragraphs."""
     units: list[tuple[str, bool, str]] = []
     for section in (s for s in _SECTION.split(text) if s.strip()):
         title = section.split("\n", 1)[0][3:].strip() if section.startswith("## ") else ""
-        for p in paragraphs(section):
-            parts = [p] if is_table(p) else [s for s in (x.strip() for x in _SENTENCE.split(p)) if s]
-            units += [(u, is_table(p), title) for u in parts]
+        for p in paragraphs(section) if tables else [x for x in re.split(r"\n\s*\n", section) if x.strip()]:
+            whole = tables and is_table(p)
+            parts = [p] if whole else [s for s in (x.strip() for x in _SENTENCE.split(p)) if s]
+            units += [(u, whole, title) for u in parts]
     if not units:
         pieces = [text[i : i + most] for i in range(0, len(text), most)]
         made = [(p, "") for p in pieces if p.strip()]
@@ -71,7 +72,7 @@ def chunk_text(doc_id: str, text: str, least: int = 200, most: int = 1000, ratio
                     if not units[j][1]:
                         back.insert(0, units[j][0])
                     j -= 1
-                cur, title = "".join(b + "\n" for b in back), section
+                cur, title = "\n".join(back) + "\n", section  # a line break even where nothing is carried
             if not cur:
                 title = section
             cur += unit + "\n"
@@ -85,16 +86,16 @@ def chunk_text(doc_id: str, text: str, least: int = 200, most: int = 1000, ratio
             last["content"] += "\n\n" + content
             last["wiki_links"] = list(dict.fromkeys(last["wiki_links"] + links))
         else:
-            chunks.append({"id": f"{doc_id}_{n}", "doc_id": doc_id, "content": content, "section_title": title, "wiki_links": links})
-    return [c | {"chunk_index": i} for i, c in enumerate(chunks)]
+            chunks.append({"id": f"{doc_id}_{n}", "doc_id": doc_id, "content": content, "section_title": title, "wiki_links": links, "number": n})
+    return [c | {"chunk_index": i if renumber else c["number"]} for i, c in enumerate(chunks)]
 
 
-def semantic(docs: DataFrame, least: int = 200, most: int = 1000, guard: bool = True) -> DataFrame:
+def semantic(docs: DataFrame, least: int = 200, most: int = 1000, guard: bool = True, tables: bool = True, renumber: bool = True) -> DataFrame:
     """Chunks of `docs(doc_id, content)`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [c for d, t in zip(b["doc_id"], b["content"]) for c in chunk_text(d, t or "", least, most, guard=guard)]
+            rows = [c for d, t in zip(b["doc_id"], b["content"]) for c in chunk_text(d, t or "", least, most, guard=guard, tables=tables, renumber=renumber)]
             yield pd.DataFrame(rows, columns=["id", "doc_id", "chunk_index", "content", "section_title", "wiki_links"])
 
     return docs.select(F.col("doc_id").cast("string"), "content").mapInPandas(run, CHUNK_DDL)

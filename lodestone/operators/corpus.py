@@ -19,16 +19,9 @@ def soft_warnings(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("warnings", w)
 
 
-def by_index(value: str, *shares: float, clamp: bool = False) -> list[Column]:
-    """Percentiles by index floor(n * p) of the sorted values (not interpolated)."""
-    ordered = F.array_sort(F.collect_list(value))
-    at = lambda p: F.least(F.floor(F.count(value) * p), F.count(value) - 1)
-    return [F.get(ordered, at(p).cast("int")).alias(f"p{round(p * 100)}") for p in shares]
-
-
 def percentiles_by_index(values: DataFrame, value: str, *shares: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """The same over any number of rows: values are counted first, and the running count finds each index.
-    The windows run over distinct values."""
+    """Percentiles by index floor(n * p) of the sorted values (not interpolated), whatever the number of rows: values
+    are counted first, and the running count finds each index. The windows run over a group's distinct values."""
     counted = values.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
     by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     counted = counted.withColumn("upto", F.sum("c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by))
@@ -95,3 +88,63 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
     n = F.length("content")
     z = lambda c: F.coalesce(c, F.lit(0))
     return chunks.agg(F.count("*").alias("chunks"), z(F.min(n)).alias("least"), z(F.max(n)).alias("most"), z(F.floor(F.avg(n))).alias("mean"))
+
+
+def lookup_in_order(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of `wanted(pos, chunk_id)` with their position; unknown ids are skipped, repeated ones answered each time."""
+    return wanted.join(chunks, "chunk_id")
+
+
+def by_document(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Staged chunks whose doc_id is wanted, or whose parent is `parent_` and a wanted id."""
+    own = wanted.select("doc_id").distinct()
+    parents = own.select(F.concat(F.lit("parent_"), F.col("doc_id")).alias("parent_doc_id"))
+    return chunks.join(own, "doc_id", "left_semi").unionByName(chunks.join(own, "doc_id", "left_anti").join(parents, "parent_doc_id", "left_semi").select(*chunks.columns))
+
+
+def browse(docs: DataFrame, **chosen: str) -> DataFrame:
+    """Documents equal to every choice; an empty choice doesn't restrict."""
+    for name, value in chosen.items():
+        if value:
+            docs = docs.where(F.col(name) == value)
+    return docs
+
+
+def parent_map(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, title, path) of whole documents, behind their chunks."""
+    return docs.select("doc_id", "content", "title", "path")
+
+
+def wiki_chunks(entries: DataFrame) -> DataFrame:
+    """One chunk an article of `entries(name, type, frequency)`: id, text and its own link."""
+    head = F.concat(F.lit("# "), F.col("name"), F.lit("\n"), F.when(F.col("type") == "entity", "实体").otherwise("概念"), F.lit(" | 出现频次: "), F.col("frequency").cast("string"))
+    return entries.select(F.concat(F.lit("wiki_"), F.col("name")).alias("chunk_id"), head.alias("content"), F.array("name").alias("wiki_links"))
+
+
+def kb_facets(docs: DataFrame) -> DataFrame:
+    """(facet, value, documents) of the non-empty clients, projects and document types."""
+    facets = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("client", "project", "doc_type")]))
+    return docs.select(facets.alias("f")).where("f.value <> ''").groupBy("f.facet", "f.value").agg(F.count("*").alias("documents"))
+
+
+def top_entries(entries: DataFrame, k: int = 20) -> DataFrame:
+    """(type, pos, name, frequency): the k most frequent names of each type."""
+    order = Window.partitionBy("type").orderBy(F.desc("frequency"), "name")
+    return entries.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("type", "pos", "name", "frequency")
+
+
+def document_list(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, title, n_links, chunk_count) of documents(doc_id, title, wiki_links)."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    return docs.join(n, "doc_id", "left").select("doc_id", "title", F.size("wiki_links").alias("n_links"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def route_share(results: DataFrame) -> DataFrame:
+    """One row: shares of samples whose search method names struct or rrf."""
+    share = lambda w: F.round(F.avg(F.contains(F.lower("method"), F.lit(w)).cast("double")), 6).alias(w)
+    return results.agg(share("struct"), share("rrf"))
+
+
+def answered(samples: DataFrame) -> DataFrame:
+    """Samples with an answer and without an error."""
+    return samples.where("coalesce(error, '') = '' AND coalesce(trim(answer), '') <> ''")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import round_half_up
@@ -43,9 +43,10 @@ def rrf(hits: DataFrame, k: int | None = None, rank_constant: int = RRF_K) -> Da
     return out if k is None else out.where(F.col("pos") <= k)
 
 
-def assemble(hits: DataFrame, chunks: DataFrame, top_k: int = 10, entity: bool = False) -> DataFrame:
-    """Attach chunks, keep at most 5 (entity: 1) with distinct first lines a document, cut, normalise, label the source."""
-    cap, size = (1, top_k) if entity else (5, 2 * top_k)
+def assemble(hits: DataFrame, chunks: DataFrame, top_k: int = 10, entity: Column | bool = False) -> DataFrame:
+    """Attach chunks, keep at most 5 (entity queries: 1) with distinct first lines a document, cut, normalise, label the source."""
+    entity = entity if isinstance(entity, Column) else F.lit(entity)
+    cap, size = F.when(entity, 1).otherwise(5), F.when(entity, top_k).otherwise(2 * top_k)
     rows = hits.join(chunks.select("chunk_id", "doc_id", "content"), "chunk_id").withColumn("first_line", F.trim(F.element_at(F.split("content", "\n"), 1)))
     same = Window.partitionBy("query_id", "doc_id", "first_line").orderBy("pos")
     doc = Window.partitionBy("query_id", "doc_id").orderBy("pos")

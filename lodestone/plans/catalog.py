@@ -7,12 +7,14 @@ of 8 letters or more that occur in 3 documents or more, even-length ones entitie
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.tokenize import regex_tokens
 from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, linking, routing, vectors
+from lodestone.sources import tables
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +38,23 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.col("source").alias("doc_type"), F.col("lang").alias("client"))
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, write) -> str:
+    """The folder of a table set that `write(path)` makes once a session and input, as an index is built before it is searched."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN or not tables.exists(spark, _WRITTEN[key]):
+        path = f"{tables.work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def text_index(spark: SparkSession, d: str) -> bm25.TextIndex:
+    return tables.read_index(spark, stored(spark, d, "text-index", lambda path: tables.write_index(bm25.build_index(chunks(spark, d)), path)))
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -56,7 +75,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _bm25(spark: SparkSession, d: str, k: int, k1: float = 1.2) -> DataFrame:
-    return bm25.search(bm25.build_index(chunks(spark, d)), texts(spark, d), k, k1)
+    return bm25.search(text_index(spark, d), texts(spark, d), k, k1)
 
 
 @query(_bm25_sql(20, 1.5, " SELECT query_id, chunk_id, score, pos FROM bm"))
@@ -71,12 +90,12 @@ def bm25_k1_12(spark, d):
 
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM post GROUP BY term")
 def inverted_index_stats(spark, d):
-    return bm25.build_index(chunks(spark, d)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return text_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 @query(f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT max(dl) FROM dl)::BIGINT AS longest, (SELECT count(*) FROM df) AS terms FROM corp")
 def corpus_stats(spark, d):
-    i = bm25.build_index(chunks(spark, d))
+    i = text_index(spark, d)
     return i.corpus.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(i.doc_len.agg(F.max("dl").alias("longest"))).crossJoin(i.term_stats.agg(F.count("*").alias("terms")))
 
 
@@ -97,17 +116,23 @@ def vector_topk_cosine(spark, d):
 
 
 # fusion: vector queries are paired with benchmark queries by rank of id
-PAIR = "pr AS (SELECT b.query_id, v.query_id AS vq FROM (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) b JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) AS r FROM qv) v USING (r))"
-RRF = """hits AS (SELECT pr.query_id, chunk_id, score, pos, 0 AS ord FROM vt JOIN pr ON vq = vt.query_id UNION ALL SELECT bm.query_id, chunk_id, score, pos, 1 FROM bm JOIN pr USING (query_id)),
+PAIR = "pr AS (SELECT b.query_id, v.query_id AS vq FROM (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) b LEFT JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) AS r FROM qv) v USING (r))"
+RRF = """hits AS (SELECT pr.query_id, chunk_id, score, pos, 0 AS ord FROM vt JOIN pr ON vq = vt.query_id UNION ALL SELECT bm.query_id, chunk_id, score, pos, 1 FROM bm),
 fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS rrf, min(ord * 1000000 + pos) AS seq, max(CASE WHEN ord = 0 THEN pos END) AS vector_rank, max(CASE WHEN ord = 1 THEN pos END) AS bm25_rank FROM hits GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seq) AS pos FROM fu)"""
 
 
+def vector_of_queries(spark: SparkSession, d: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The vector queries' hits, and (query_id, vq): the vector query of each benchmark query that has one."""
+    v = _vector(spark, d, k)
+    asked = load(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("vq"))
+    number = lambda t, c: t.select(c).distinct().withColumn("r", F.row_number().over(Window.orderBy(c)))
+    return v, number(texts(spark, d), "query_id").join(number(asked, "vq"), "r").select("query_id", "vq")
+
+
 def _fused(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     """A benchmark query without a vector partner is answered by its lexical path alone."""
-    v = _vector(spark, d)
-    number = lambda t, c: t.select(c).distinct().withColumn("r", F.row_number().over(Window.orderBy(c)))
-    pair = number(texts(spark, d), "query_id").join(number(v.withColumnRenamed("query_id", "vq"), "vq"), "r").select("query_id", "vq")
+    v, pair = vector_of_queries(spark, d)
     v = v.withColumnRenamed("query_id", "vq").join(pair, "vq").drop("vq")
     return fusion.rrf(fusion.paths(vector=v, bm25=_bm25(spark, d, 20, 1.2)), k)
 
@@ -118,7 +143,7 @@ def rrf_fusion(spark, d):
     return _fused(spark, d).select("query_id", "chunk_id", "rrf", *ranks, "pos")
 
 
-ASSEMBLE = """jn AS (SELECT rk.*, doc_id, trim(string_split(text, chr(10))[1]) AS fl FROM rk JOIN documents ON chunk_id = doc_id WHERE pos <= 30),
+ASSEMBLE = """jn AS (SELECT rk.*, doc_id, text, trim(string_split(text, chr(10))[1]) AS fl FROM rk JOIN documents ON chunk_id = doc_id WHERE pos <= 30),
 d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, fl ORDER BY pos) AS again FROM jn),
 d2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS od, min(pos) OVER (PARTITION BY query_id, doc_id) AS dp FROM d1 WHERE again = 1),
 d3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dp, pos) AS rank FROM d2 WHERE od <= 5),
@@ -133,15 +158,20 @@ def hybrid_search(spark, d):
     return fusion.assemble(_fused(spark, d, 30), chunks(spark, d)).select("query_id", "rank", "chunk_id", "doc_id", "score", "source")
 
 
-ENTRIES = f"""{POSTINGS}, ent AS (SELECT term AS name, CASE WHEN length(term) % 2 = 0 THEN 'entity' ELSE 'concept' END AS type, sum(tf)::BIGINT AS frequency FROM post WHERE length(term) >= 8 AND regexp_full_match(term, '\\p{{L}}+') GROUP BY term HAVING count(*) BETWEEN 3 AND 40),
+ENTRIES = f"""{POSTINGS}, ent AS (SELECT term AS name, CASE WHEN length(term) % 2 = 0 THEN 'entity' ELSE 'concept' END AS type, sum(tf)::BIGINT AS frequency FROM post WHERE length(term) >= 8 AND regexp_full_match(term, '\\p{{L}}+') GROUP BY term HAVING count(*) >= 3),
 edge AS (SELECT term AS name, chunk_id FROM post JOIN ent ON term = name)"""
 
 
 def dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    post = bm25.build_index(chunks(spark, d)).postings
-    e = post.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df >= 3")
-    e = e.select(F.col("term").alias("name"), F.when(F.length("term") % 2 == 0, "entity").otherwise("concept").alias("type"), F.lit("").alias("category"), "frequency")
-    return e, post.join(e.select(F.col("name").alias("term")), "term").select(F.col("term").alias("name"), "chunk_id")
+    def write(path: str) -> None:
+        post = text_index(spark, d).postings
+        e = post.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df >= 3")
+        e.select(F.col("term").alias("name"), F.when(F.length("term") % 2 == 0, "entity").otherwise("concept").alias("type"), F.lit("").alias("category"), "frequency").write.parquet(f"{path}/entries")
+        names = spark.read.parquet(f"{path}/entries").select(F.col("name").alias("term"))
+        post.join(names, "term").select(F.col("term").alias("name"), "chunk_id").write.parquet(f"{path}/edges")
+
+    path = stored(spark, d, "dictionary", write)
+    return spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/edges")
 
 
 @query(f"WITH {ENTRIES} SELECT name, type, frequency FROM ent")
@@ -184,7 +214,7 @@ def entity_lookup_or(spark, d):
     return entities.lookup_or(_requests(spark, d, e).select("query_id", "name", "name_pos"), e.drop("category"), edges)
 
 
-@query(f"""WITH {MATCH}, top AS (SELECT * FROM rq WHERE name_pos <= 2), kn AS (SELECT query_id, name, name_pos, type, frequency FROM top JOIN ent USING (name)),
+@query(f"""WITH {MATCH}, kn AS (SELECT query_id, name, name_pos, type, frequency FROM rq JOIN ent USING (name)),
 nd AS (SELECT query_id, count(DISTINCT name) AS needed FROM kn GROUP BY ALL), sh AS (SELECT query_id, chunk_id FROM kn JOIN edge USING (name) JOIN nd USING (query_id) GROUP BY query_id, chunk_id, needed HAVING count(DISTINCT name) = needed)
 SELECT query_id, name_pos, name, type, frequency, coalesce(chunk_id, -1) AS chunk_id FROM kn LEFT JOIN sh USING (query_id) WHERE type = 'entity'""")
 def entity_lookup_and(spark, d):
@@ -203,16 +233,6 @@ def entity_recall_weighted(spark, d):
     return entities.link_recall(_requests(spark, d, e).select("query_id", "name", "name_pos"), edges.withColumnRenamed("chunk_id", "doc_id"))
 
 
-@query(f"""WITH {RECALL}, {QTERMS},
-sc AS (SELECT query_id, post.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN dl ON dl.chunk_id = post.chunk_id, corp GROUP BY ALL),
-bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM sc) WHERE pos <= 10)
-SELECT query_id, doc_id AS chunk_id, score, pos, 'entity' AS route FROM rc UNION ALL SELECT query_id, chunk_id, score, pos, 'rrf' FROM bm WHERE query_id NOT IN (SELECT query_id FROM rc)""")
-def routed_search(spark, d):
-    e, edges = dictionary(spark, d)
-    hits = entities.link_recall(_requests(spark, d, e).select("query_id", "name", "name_pos"), edges.withColumnRenamed("chunk_id", "doc_id")).withColumnRenamed("doc_id", "chunk_id")
-    return entities.route(texts(spark, d).select("query_id", F.lit("auto").alias("method")), hits, _bm25(spark, d, 10))
-
-
 SLIDE = "SELECT doc_id, i AS chunk_index, substr(text, i * 700 + 1, 800) AS content FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 800 THEN 1 ELSE ceil((length(text) - 800) / 700.0)::INT + 1 END)) AS i FROM documents WHERE length(trim(text)) > 0)"
 
 
@@ -266,9 +286,11 @@ def filename_metadata(spark, d):
     return load(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", "m.client", "m.project", F.col("m.docType").alias("doc_type"), "m.date")
 
 
-@query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
+@query(f"SELECT doc_id, ceil((length(t) - length(o)) / 1.5 + length(o) / 4.0)::BIGINT AS tokens FROM (SELECT doc_id, t, regexp_replace(t, '{T.CJK}', '', 'g') AS o FROM (SELECT doc_id, text || repeat('，知识库（２０２４）、ｆ。', (doc_id % 4)::INT) AS t FROM documents))")
 def token_estimate(spark, d):
-    return load(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    """Texts with Chinese letters and full-width marks behind some of them."""
+    t = F.concat("text", F.repeat(F.lit("，知识库（２０２４）、ｆ。"), (F.col("doc_id") % 4).cast("int")))
+    return load(spark, d, "documents").select("doc_id", T.estimate_tokens(t).alias("tokens"))
 
 
 @query("SELECT count(*) AS documents, count(DISTINCT nullif(lang, '')) AS clients, count(DISTINCT nullif(source, '')) AS doc_types, count(*) AS chunks FROM documents")
@@ -336,13 +358,16 @@ def highlight(spark, d):
     return hits.select("query_id", "chunk_id", T.highlight(F.col("content"), F.col("query")).alias("highlight"))
 
 
-@query()
+@query(_bm25_sql(20, 1.2, f""", {VEC}, {PAIR}, {RRF}, {ASSEMBLE.replace("SELECT query_id, rank,", ", done AS (SELECT query_id, rank,").replace("AS source FROM d4", "AS source, fl, text FROM d4)")},
+rl AS (SELECT done.*, count(*) OVER (PARTITION BY query_id) AS size, round(len(list_intersect(qk, {TOK.format("substr(regexp_replace(done.text, '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g'), 1, 4000)")}))::DOUBLE / greatest(len(qk), 1), 6) AS rel FROM done JOIN (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS qk FROM benchmark) USING (query_id))
+SELECT * FROM (SELECT query_id, chunk_id, CASE WHEN size > 5 THEN rel END AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN size > 5 THEN rel END, score) DESC, rank) AS reranked FROM rl WHERE size <= 5 OR rel >= 0.1) WHERE reranked <= 5"""))
 def rerank_lexical(spark, d):
     found = fusion.assemble(_fused(spark, d, 30), chunks(spark, d))
     return chat.lexical_rerank(found, texts(spark, d), threshold=0.1).select("query_id", "chunk_id", "relevance", "reranked")
 
 
-@query()
+@query(_bm25_sql(20, 1.2, f""", {VEC}, {PAIR}, {RRF}, {ASSEMBLE.replace("pos <= 30", "pos <= 10").replace("rank <= 20", "rank <= 6").replace("SELECT query_id, rank,", ", done AS (SELECT query_id, rank,").replace("AS source FROM d4", "AS source, text FROM d4)")}
+SELECT query_id, string_agg('[doc ' || doc_id || ']' || chr(10) || done.text, chr(10) || '---' || chr(10) ORDER BY score DESC, rank) || chr(10) || chr(10) || 'Question: ' || any_value(b.text) AS prompt FROM done JOIN benchmark b ON item_id = query_id GROUP BY query_id"""))
 def prompt_build(spark, d):
     return chat.prompts(fusion.assemble(_fused(spark, d, 10), chunks(spark, d), top_k=3), texts(spark, d))
 
@@ -361,7 +386,12 @@ def doc_type_semijoin(spark, d):
     return hits.join(chunks(spark, d).select("chunk_id", F.col("client").alias("query_id")), ["chunk_id", "query_id"], "left_semi").select("query_id", "chunk_id")
 
 
-@query()
+@query(f"""WITH {MATCH}, pe AS (SELECT DISTINCT query_id, chunk_id, name FROM rq JOIN edge USING (name)), pp AS (SELECT query_id, chunk_id, name, text, string_split(lower(text), name) AS parts FROM pe JOIN documents ON doc_id = chunk_id),
+oc AS (SELECT query_id, chunk_id, name, text, i, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(name))::BIGINT AS pl FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM pp)),
+sp AS (SELECT query_id, chunk_id, text, greatest(pl - 200, 0) AS s, least(length(text), pl + length(name) + 200) AS e FROM oc WHERE i <= 3),
+isl AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY query_id, chunk_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM sp),
+gi AS (SELECT *, sum(nw) OVER (PARTITION BY query_id, chunk_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM isl), un AS (SELECT query_id, chunk_id, text, g, min(s) AS s, max(e) AS e FROM gi GROUP BY ALL)
+SELECT query_id, chunk_id, string_agg(substr(text, (s + 1)::BIGINT, (e - s)::BIGINT), chr(10) ORDER BY s) AS context FROM un GROUP BY query_id, chunk_id""")
 def entity_context(spark, d):
     e, edges = dictionary(spark, d)
     req = _requests(spark, d, e).select("query_id", "name", "name_pos")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,11 +47,84 @@ def write_chunks(chunks: DataFrame, path: str, most: int = 2000) -> None:
     chunks.withColumn("content", F.substring("content", 1, 3000)).write.mode("overwrite").option("maxRecordsPerFile", most).parquet(path)
 
 
+def scan_all(spark: SparkSession, raw: str, concepts: str, entities: str) -> DataFrame:
+    """Raw documents and articles together; raw ones have no type."""
+    r = scan_markdown(spark, raw, "raw_").withColumns({"type": F.lit(None).cast("string"), "ordinal": F.lit(-1)})
+    return r.unionByName(scan_wiki(spark, concepts, entities))
+
+
+def read_document(documents: DataFrame, name: str, root: str = "") -> DataFrame:
+    """The document of `documents(path, ...)` at a path below `root`. A leading `Wiki/` is dropped; a relative path that leaves the root
+    is refused, an absolute one taken as it is."""
+    name = name.removeprefix("Wiki/")
+    path = name if name.startswith("/") else os.path.normpath(f"{root}/{name}" if root else name)
+    if not name.startswith("/") and (path.startswith("..") or root and not path.startswith(os.path.normpath(root) + "/")):
+        raise ValueError(f"{name} lies outside the documents")
+    return documents.where(F.regexp_replace("path", "^file:/*", "/") == path)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share; only a session in one process gets one of its own where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def ready(spark: SparkSession, path: str, stores: tuple[str, ...] = ("postings", "doc_len", "term_stats", "corpus")) -> dict[str, bool]:
+    """Which stores of an index folder are complete."""
+    return {s: exists(spark, f"{path}/{s}/_SUCCESS") for s in stores}
+
+
+def read_index(spark: SparkSession, path: str):
+    """A text index written by `write_index`."""
+    from lodestone.operators.bm25 import TextIndex
+
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in TextIndex._fields))
+
+
+def write_vectors(vectors: DataFrame, path: str) -> dict:
+    """Replace the vectors' table; returns the index policy for its size."""
+    from lodestone.operators.vectors import index_policy
+
+    vectors.write.mode("overwrite").parquet(path)
+    row = vectors.sparkSession.read.parquet(path).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return index_policy(row["n"], row["dim"] or 0) | {"rows": row["n"]}
+
+
+def write_parents(parents: DataFrame, path: str) -> None:
+    parents.write.mode("overwrite").parquet(path)
+
+
+def write_struct(entries: DataFrame, edges: DataFrame, path: str) -> dict[str, int]:
+    """Entries (the last of a name wins) and edges (the first of a pair wins, unknown names are left out), with the six counts."""
+    from lodestone.operators.entities import first_edges, last_wins
+
+    spark = entries.sparkSession
+    last_wins(entries).write.mode("overwrite").parquet(f"{path}/entries")
+    kept = spark.read.parquet(f"{path}/entries")
+    first_edges(edges.join(kept.select("name"), "name", "left_semi")).write.mode("overwrite").parquet(f"{path}/edges")
+    got = kept.agg(F.count("*").alias("entries"), F.count_if(F.col("type") == "concept").alias("concepts"), F.count_if(F.col("type") == "entity").alias("entities")).first().asDict()
+    rows = {"entry_rows": entries.count(), "edge_rows": edges.count(), "relations": spark.read.parquet(f"{path}/edges").count()}
+    return got | rows
+
+
 def write_index(index, path: str) -> None:
     """The tables of a text index; postings are sorted by term so term filters prune row groups."""
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("doc_len", "term_stats", "corpus"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = index.postings.sparkSession
+    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    spark.read.parquet(f"{path}/doc_len").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def read_manifest(path: str) -> dict | None:
@@ -70,3 +146,13 @@ def write_manifest(path: str, stores: dict[str, dict], mode: str = "full", requi
         json.dump(manifest, f)
     os.replace(f"{path}.tmp", path)
     return manifest
+
+
+def update_struct(path: str, store: dict) -> dict:
+    """The manifest with a new state of the dictionary alone; without a manifest a minimal one."""
+    manifest = read_manifest(path) or {"index_version": 0, "build_mode": "structdb-only", "stores": {}}
+    manifest["stores"] = {**manifest["stores"], "structDb": store}
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump(manifest, f)
+    os.replace(f"{path}.tmp", path)
+    return manifest
