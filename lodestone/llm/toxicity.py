@@ -8,7 +8,9 @@ documents under a Dirichlet prior proportional to its overall frequency, kept wh
 its likelihood-ratio statistic reaches `Z` (at most `TOKENS` tokens). Scoring is one linear scan a document that finds all maximal
 scoring segments; everything else scores `DRIFT`, so segments end. The best segments of
 non-toxic training documents follow an extreme-value law with parameters lambda and K; a
-document's evidence is the sum statistic of its best segments under that law, and a logistic curve fitted on the training rows turns it into a probability.
+document's evidence is the sum statistic of its best segments under that law, and a logistic curve turns it into a probability.
+Law and curve are fitted on cross-fitted evidence: a training row is measured by weights that the other `FOLDS` - 1 parts taught.
+`passages` returns the segments themselves, those whose own probability under the law is at most `ALPHA`, as byte ranges.
 
 Defined results: null or empty texts get the score of a text without segments; repeated rows are
 scored alike; without labels of both kinds every score is the base rate; an empty table gives an
@@ -30,6 +32,8 @@ from lodestone.llm._shared import materialize, table
 from lodestone.llm._text import _BYTES, _POWERS, CHUNK, chunks, mixed, shingle_sets, utf8
 
 TRAIN_DOCS, TOKENS, Z, DRIFT, PRIOR_DOCS, CUT = 30_000, 200_000, 4.5, -0.6, 10.0, 0.3
+#: Parts of the cross-fit, and the probability under which a passage is significant.
+FOLDS, ALPHA = 3, 0.01
 #: Byte lengths of the word beginnings that are tokens besides the word.
 PREFIXES = (5, 6, 7)
 _APART = np.array([i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 for i in range(256)])
@@ -115,6 +119,10 @@ class Model:
             out = np.where(best > 0, best, best + DRIFT)
         return out
 
+    def chance(self, n: int, score: float) -> float:
+        """Probability that a text of n words has a segment of that score by chance."""
+        return -math.expm1(-self.k * max(n, 1) * math.exp(-max(-50.0, min(700.0, self.lam * score))))
+
     def passages(self, t: np.ndarray) -> list[tuple[int, int, float]]:
         """All maximal scoring segments: (first word, word after the last, score)."""
         return segments(self.word_scores(t))
@@ -156,17 +164,16 @@ def log_odds(counts: dict[int, tuple[int, int]], docs: tuple[int, int]) -> dict[
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: documents that hold a token, by label (so long texts don't dominate); token 0 counts documents."""
+    """Per batch: documents that hold a token, by label and part (so long texts don't dominate); token 0 counts documents."""
     for b in batches:
-        label = b.column(1).to_numpy()
-        held: list[list[np.ndarray]] = [[], []]
+        kind = 2 * b.column(2).to_numpy() + (b.column(1).to_numpy() > 0)
+        held: list[list[np.ndarray]] = [[] for _ in range(2 * FOLDS)]
         for i, t, _ in _texts(b.column(0)):
-            held[int(label[i] > 0)].append(np.unique(np.r_[np.uint64(0), t.ravel()]))
+            held[int(kind[i])].append(np.unique(np.r_[np.uint64(0), t.ravel()]))
         for k, found in enumerate(held):
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n if k else zero), pa.array(zero if k else n)], ["token", "yes", "no"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(n), k)), pa.array(n)], ["token", "kind", "n"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +187,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measure(box):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = box.value
+        models = box.value
         for b in batches:
-            rows = [(len(t), [s for _, _, s in model.passages(t)]) for _, t, _ in _texts(b.column(0))]
+            part = b.column(2).to_numpy()
+            rows = [(len(t), [s for _, _, s in models[part[i]].passages(t)]) for i, t, _ in _texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int64()), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))], ["label", "n", "scores"])
 
     return run
@@ -199,21 +207,32 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kept = sample.select("label", "s0", "s1", "s2", F.xxhash64("text").alias("h"))
     for s in ("s0", "s1", "s2"):
         kept = kept.groupBy(s).agg(F.min(F.struct("h", "label", "s0", "s1", "s2")).alias("x")).select("x.*")
-    sample = materialize(sample.withColumn("h", F.xxhash64("text")).join(F.broadcast(kept.select("h").distinct()), "h").dropDuplicates(["h"]).select("text", "label"), "toxic-train")
-    counts = sample.mapInArrow(_count, "token long, yes long, no long").groupBy("token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("token = 0 OR yes + no >= 4").toPandas()
-    n = counts[counts["token"] == 0]
-    yes, no = (int(n["yes"].sum()), int(n["no"].sum()))
+    sample = sample.withColumn("h", F.xxhash64("text")).join(F.broadcast(kept.select("h").distinct()), "h").dropDuplicates(["h"])
+    sample = materialize(sample.select("text", "label", F.pmod("h", F.lit(FOLDS)).alias("part")), "toxic-train")
+    kinds = range(2 * FOLDS)
+    counts = sample.mapInArrow(_count, "token long, kind long, n long").groupBy("token").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in kinds])
+    counts = counts.where("token = 0 OR " + " + ".join(f"n{k}" for k in kinds) + " >= 4").toArrow()
+    n = np.stack([counts[f"n{k}"].to_numpy() for k in kinds], 1).reshape(-1, FOLDS, 2)  # token x part x label
+    token = counts["token"].to_numpy().view(np.uint64)
+    docs_by = n[token == 0].sum(0).reshape(FOLDS, 2)
+    n, token = n[token != 0], token[token != 0]
+    no, yes = (int(x) for x in docs_by.sum(0))
     if not yes or not no:
         rate = (yes + 1) / (yes + no + 2)
         return Model({}, a=math.log(rate / (1 - rate)))
-    got = counts[counts["token"] != 0]
-    hashes = got["token"].to_numpy(np.int64).view(np.uint64).tolist()
-    model = Model(log_odds({t: (int(y), int(x)) for t, y, x in zip(hashes, got["yes"], got["no"], strict=True)}, (yes, no)))
-    rows = sample.mapInArrow(_measure(spark.sparkContext.broadcast(model)), "label long, n long, scores array<double>").toPandas()
-    null = rows[rows["label"] == 0]
-    model.lam, model.k = extreme_value(np.array([max(s, default=0.0) for s in null["scores"]]), null["n"].to_numpy())
-    x = np.array([model.evidence(n, list(s)) for n, s in zip(rows["n"], rows["scores"], strict=True)])
-    model.a, model.b = logistic(x, (rows["label"] > 0).to_numpy(float))
+
+    def taught(left_out: int | None) -> Model:
+        parts = [p for p in range(FOLDS) if p != left_out]
+        c, d = n[:, parts].sum(1), docs_by[parts].sum(0)
+        return Model(log_odds({t: (y, x) for t, x, y in zip(token.tolist(), c[:, 0].tolist(), c[:, 1].tolist(), strict=True) if x + y >= 4}, (int(d[1]), int(d[0]))))
+
+    model = taught(None)
+    rows = sample.mapInArrow(_measure(spark.sparkContext.broadcast([taught(p) for p in range(FOLDS)])), "label long, n long, scores array<double>").toArrow()
+    label, size, scores = rows["label"].to_numpy(), rows["n"].to_numpy(), rows["scores"].to_pylist()
+    clean = label == 0
+    model.lam, model.k = extreme_value(np.array([max(s, default=0.0) for s, ok in zip(scores, clean) if ok]), size[clean])
+    x = np.array([model.evidence(m, s) for m, s in zip(size.tolist(), scores, strict=True)])
+    model.a, model.b = logistic(x, (label > 0).astype(float))
     return model
 
 
@@ -260,6 +279,26 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def _passages(box):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = box.value
+        for b in batches:
+            ids, out = b.column(0).cast(pa.int64()).to_pylist(), []
+            for i, t, where in _texts(b.column(1)):
+                found = [(s, e, x, model.chance(len(t), x)) for s, e, x in model.passages(t)]
+                out += [(ids[i], int(where[s, 0]), int(where[e - 1, 1]), x, p) for s, e, x, p in found if p <= ALPHA]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "start", "end", "segment_score", "chance"])
+
+    return run
+
+
+def passages(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, start, end (bytes of UTF-8), segment_score and chance of every significant passage of `docs`."""
+    box = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_passages(box), "doc_id long, start long, end long, segment_score double, chance double")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

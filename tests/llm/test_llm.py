@@ -115,6 +115,34 @@ def test_segments():
         assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
 
 
+def maximal(s):
+    """All maximal segments by their definition: every proper prefix and suffix positive, found by splitting at the best one."""
+    if not len(s):
+        return []
+    upto = np.r_[0.0, np.cumsum(s)]
+    best = max((upto[j] - upto[i], i - j, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1))
+    if best[0] <= 0:
+        return []
+    _, _, i, j = best
+    return maximal(s[:i]) + [(i, j)] + [(a + j, b + j) for a, b in maximal(s[j:])]
+
+
+def test_segments_are_all_maximal_ones():
+    for seed in range(40):
+        s = np.random.default_rng(seed).normal(-0.2, 1, 40)
+        assert [(a, b) for a, b, _ in toxicity.segments(s)] == maximal(s)
+
+
+def test_significant_passages(spark):
+    rows = [(i, prose(i, 60) + (" vileword grimword vileword" if i % 3 == 0 else "") + " " + prose(1000 + i, 30)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(d, d.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    text, found = dict(rows), {}
+    for r in toxicity.passages(d, model).collect():
+        found.setdefault(r["doc_id"], []).append(text[r["doc_id"]].encode()[r["start"] : r["end"]].decode())
+    assert {i for i in found} == {i for i, _ in rows if i % 3 == 0} and all(any("vileword grimword" in x for x in found[i]) for i in found)
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, prose(i, 40) + (" vileword grimword" if i % 3 == 0 else "")) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
