@@ -1,11 +1,12 @@
 """Operator 7, secret scans: probabilistic automata inferred from labelled credentials.
 
-Patterns find the base spans. Credentials they label (a sample of at most `SAMPLE` distinct values a
+Patterns find the base spans. Credentials they label (a sample of at most `SAMPLE` distinct values of up to `TEACHES` symbols a
 kind, the ones with the smallest hashes) train one probabilistic automaton a kind: a prefix tree of
 symbol classes whose statistically compatible states are merged (Hoeffding bound, red-blue order).
-Ordinary words (at most `SAMPLE` long ones, chosen likewise) train the background automaton. Every
-candidate string of every text is then scored by the log-likelihood ratio of the best format
-against the background, and kept as kind `learned` where that exceeds `MARGIN` a symbol and it
+Candidates outside the base spans (at most `SAMPLE`, chosen likewise, without those that look like credentials beside
+the other half of them) train the background automaton. Every
+candidate string of every text (12 symbols or more of the alphabet that labelled values have) is then scored by the log-likelihood
+ratio of the best format against the background, and kept as kind `learned` where that exceeds `MARGIN` a symbol and it
 doesn't overlap a base span. Scans are per document; only the samples and automata reach the driver.
 
 Defined results: a null text is empty; ties and repeated rows are judged alike; an empty table or a
@@ -30,9 +31,9 @@ KINDS = ["assign", "access", "hex", "learned"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is entered at its first character, as a whole
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{10,}[A-Za-z0-9+/_=-]")  # dots inside, as at an end they close a sentence
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api)")
-SAMPLE, MARGIN, ALPHA, LONGEST = 1500, 0.35, 0.05, 80
+SAMPLE, MARGIN, ALPHA, TEACHES, ROUNDS, REMEMBERED = 1500, 0.35, 0.05, 128, 3, 200_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -86,25 +87,31 @@ class Automaton:
             self.visits[s] += 1
         self.ends[s] += 1
 
-    def log_likelihood(self, word: list[str]) -> float:
-        s, total = 0, 0.0
-        for c in word:
-            if s is None:
-                total -= math.log(self.ALPHABET + 1)
-                continue
-            to, n = self.next[s].get(c, (None, 0))
-            total += math.log((n + 0.05) / (self.visits[s] + 0.05 * (self.ALPHABET + 1)))
-            s = to
-        if s is not None:
-            total += math.log((self.ends[s] + 0.05) / (self.visits[s] + 0.05 * (self.ALPHABET + 1)))
-        return total
+    def compiled(self) -> list[tuple[float, float, dict[str, tuple[int, float]]]]:
+        """Per state: log-probability of an unseen symbol, of ending, and of each symbol with the next state."""
+        out = []
+        for n, ends, nxt in zip(self.visits, self.ends, self.next):
+            all_ = math.log(n + 0.05 * (self.ALPHABET + 1))
+            out.append((math.log(0.05) - all_, math.log(ends + 0.05) - all_, {c: (to, math.log(k + 0.05) - all_) for c, (to, k) in nxt.items()}))
+        return out
+
+    @staticmethod
+    def log_likelihood(table: list, word: list[str]) -> float:
+        s, total, unknown = 0, 0.0, -math.log(Automaton.ALPHABET + 1)
+        for i, c in enumerate(word):
+            step = table[s][2].get(c)
+            if step is None:
+                return total + table[s][0] + unknown * (len(word) - i - 1)
+            s = step[0]
+            total += step[1]
+        return total + table[s][1]
 
 
 def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     """Merge compatible states of the values' prefix tree, nearest to the root first."""
     a = Automaton()
     for v in values:
-        a.add(symbols(v[:LONGEST]))
+        a.add(symbols(v))
     visits, ends, nxt = a.visits, a.ends, a.next
     root = math.sqrt(0.5 * math.log(2 / alpha))
     differ = lambda f1, n1, f2, n2: n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > root * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -160,22 +167,41 @@ class Formats:
     """The kinds' automata and the background; `score` is the best log-likelihood ratio a symbol."""
 
     def __init__(self, formats: dict[str, Automaton], background: Automaton):
-        self.formats, self.background = formats, background
+        self.formats, self.background = [a.compiled() for a in formats.values()], background.compiled()
+        self.known: dict[str, float] = {}
 
     def score(self, value: str) -> float:
         if not self.formats:
             return -math.inf
-        w = symbols(value)
-        return (max(a.log_likelihood(w) for a in self.formats.values()) - self.background.log_likelihood(w)) / (len(w) + 1)
+        got = self.known.get(value)
+        if got is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            w = symbols(value)
+            got = (max(Automaton.log_likelihood(a, w) for a in self.formats) - Automaton.log_likelihood(self.background, w)) / (len(w) + 1)
+            if len(value) < 64:
+                self.known[value] = got
+        return got
+
+
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Candidates that overlap none of the spans, which are sorted by start; one pass over both."""
+    i, reach = 0, 0
+    for m in CANDIDATE.finditer(text):
+        while i < len(spans) and spans[i][1] < m.end():
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach <= m.start():
+            yield m
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, value, h): per split the `SAMPLE` values of each kind, and ordinary words, with the smallest hashes."""
+    """(kind, value, h): per split the `SAMPLE` values of each kind, and of the other candidates, with the smallest hashes."""
     kept: dict[str, dict[str, int]] = {k: {} for k in ("assign", "access", "hex", "word")}
 
     def offer(kind: str, value: str) -> None:
         mine = kept[kind]
-        if value not in mine:
+        if value not in mine and len(value) <= TEACHES:
             mine[value] = xxhash.xxh3_64_intdigest(value.encode()) >> 1
             if len(mine) > 4 * SAMPLE:
                 kept[kind] = dict(heapq.nsmallest(SAMPLE, mine.items(), key=lambda x: x[1]))
@@ -186,25 +212,36 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             for kind, s, e in spans:
                 offer(kind, (ASSIGN.match(text, s)[1] if kind == "assign" else text[s:e]))
-            for m in CANDIDATE.finditer(text):
-                if m[0].isalpha() and not any(s < m.end() and m.start() < e for _, s, e in spans):
-                    offer("word", m[0])
+            for m in outside(text, spans):
+                offer("word", m[0])
     rows = [(k, v, h) for k, mine in kept.items() for v, h in heapq.nsmallest(SAMPLE, mine.items(), key=lambda x: x[1])]
     if rows:
         k, v, h = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(h, pa.int64())], ["kind", "value", "h"])
 
 
+def either_case(values: list[str]) -> list[str]:
+    """Words in capitals are as ordinary as words are."""
+    return values + [v.upper() for v in values if v.isalpha()]
+
+
 def train(docs: DataFrame) -> Formats:
     found = materialize(docs.select("text").mapInArrow(_labelled, "kind string, value string, h long"), "secret-samples")
     sample = {k: [r["value"] for r in found.where(F.col("kind") == k).dropDuplicates(["value"]).orderBy("h", "value").limit(SAMPLE).collect()] for k in ("assign", "access", "hex", "word")}
-    return Formats({k: infer(v) for k, v in sample.items() if k != "word" and v}, infer(sample["word"] + [w.upper() for w in sample["word"]]))
+    formats = {k: infer(v) for k, v in sample.items() if k != "word" and v}
+    # credentials among the candidates must not teach what is ordinary: each half is judged beside what is left of the other
+    halves = [sample["word"][0::2], sample["word"][1::2]]
+    left = halves
+    for _ in range(ROUNDS):
+        rough = [Formats(formats, infer(either_case(left[1 - k]))) for k in (0, 1)]
+        left = [[w for w in halves[k] if rough[k].score(w) <= 0] for k in (0, 1)]
+    return Formats(formats, infer(either_case(left[0] + left[1])))
 
 
 def scan(text: str, formats: Formats) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans by start, then kind."""
     base = base_spans(text)
-    more = [("learned", *m.span()) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in base) and formats.score(m[0]) > MARGIN]
+    more = [("learned", *m.span()) for m in outside(text, base) if formats.score(m[0]) > MARGIN]
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

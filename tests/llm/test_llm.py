@@ -204,6 +204,46 @@ def test_secrets(docs, none):
     assert f.score("9f86d081884c7d659a2feaa0c55ad015") > secrets.MARGIN > f.score("abcdefghijabcdefghij") and len(a.visits) > len({s for n in a.next for s, _ in n.values()})
 
 
+def base_secrets(t):
+    t, out = t or "", []
+    pattern = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(pattern, t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [x for _, _, x in sorted(out)]
+
+
+def test_secrets_learned_from_labelled_ones(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    any_ = low + low.upper() + digit
+    make = [lambda: "ghp_" + draw(any_, 36), lambda: "sk-live-" + draw(low + digit, 24), lambda: f"eyJ{draw(any_, 17)}.{draw(any_, 20)}.{draw(any_, 22)}", lambda: draw(low, 6) + draw(digit, 4) + draw(low, 4)]
+    harmless = [lambda: draw(low, 15), lambda: f"src/{draw(low, 5)}/{draw(low, 7)}/file{rng.integers(10)}.py", lambda: f"2024-{rng.integers(10, 13)}-{rng.integers(10, 29)}T10:20:30", lambda: f"www.{draw(low, 8)}.com/{draw(low, 6)}", lambda: f"well-known-{draw(low, 9)}", lambda: draw(digit, 13)]
+    names, rows, planted = ["password", "API_KEY", "token", "Secret"], [], {}
+    for i in range(900):
+        text = f"{prose(i, 12)} {harmless[i % 6]()} {prose(9000 + i, 5)} "
+        if i % 3 == 0:
+            text += f"{names[i // 3 % 4]} = '{make[i // 3 % 4]()}' end"
+        elif i % 3 == 1 and i % 2:
+            value = make[i // 6 % 4]()
+            planted[i] = f"learned:{len(text)}:{len(text) + len(value)}"
+            text += value + " end"
+        rows.append((i, text))
+    rows += [(1000, None), (1001, ""), (1002, "AKIA" * 9 + " passwd:abc token=short " + "0a" * 30), (1003, "a" * 200_000 + "1" * 100_000), (1002, "API_KEY:'x.y=z/+-_0123' AKIAABCDEFGHIJKLM")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in secrets.op7_secrets(spark, str(tmp_path)).collect()]
+    want = Counter()
+    for i, t in rows:
+        b = base_secrets(t)
+        want[i, *(sum(x.startswith(k) for x in b) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(b).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
+    learned = {(r["doc_id"], x) for r in got for x in r["spans"].split(",") if x.startswith("learned")}
+    hits = learned & set(planted.items())
+    print("recall", len(hits) / len(planted), "precision", len(hits) / max(len(learned), 1))
+    assert len(planted) == 150 and len(hits) >= 0.9 * len(planted) and len(hits) >= 0.95 * len(learned)
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     by = {}
