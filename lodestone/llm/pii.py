@@ -37,7 +37,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Z0-9])",
-    "local": r"(?<![0-9+(). -])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "local": r"(?<![0-9+(.-])(?<![0-9)] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",  # not the end of a longer number
     "name": rf"\b(?:(?:{TITLE})\.? (?:(?:{GIVEN}) )?|(?:{GIVEN}) )\p{{Lu}}\p{{L}}+",
 }
 #: What a text must hold for a pattern to match at all; cheaper to look for than the pattern.
