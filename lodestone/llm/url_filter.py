@@ -5,18 +5,19 @@ corpus that level 1 passes by mistake, level 3 the listed keys that level 2 pass
 a level makes no mistake. As the universe holds every key that can be asked, membership is exact.
 Every level mixes a key's two hashes with its own number, so keys that collide on one level part on the next.
 Each level is built from DataFrame aggregates (one row per 64-bit word of the filter) and only the
-filters themselves are broadcast; their size follows the number of *listed* keys, which
-`MAX_LISTED` bounds, not the corpus.
+filters themselves are broadcast. A level has enough bits to pass no more keys by mistake than it holds, so the next one is no larger: with L
+listed keys among U all filters together take about 1.44 L log2(U / L) bits. More than `MAX_LISTED` keys in a level
+aren't broadcast but joined.
 
 Two cascades serve `judge`: one holds the rules' (host, path) keys, the other the listed hosts
-(hosts of the corpus with a label from `BLOCKED_WORDS`; the list of hosts is a parameter of `cascade`).
+(the table `blocked(host)`, or, without one, hosts of the corpus with a label from `BLOCKED_WORDS`).
 A rule fits its host and all subdomains if the path starts with the rule's; the longest key (host
 and path together, then host) wins. Without a rule, a host in the second cascade is blocked, any
 other allowed.
 
 Defined results: a null url or one without `://` has empty host and path, no rule, and is allowed;
 repeated urls are judged alike; an empty table gives an empty result; an empty list passes nothing;
-null page_ids and further columns pass through `judge`.
+null page_ids and further columns pass through `judge`; columns named as its results give way to them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from lodestone.llm._shared import materialize, table
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: A host is listed if one of its labels, split at hyphens, is among these.
 BLOCKED_WORDS = ["casino", "bets", "poker", "porn", "xxx", "pills", "loan", "win"]
-BITS_PER_KEY, MAX_LISTED, MAX_LEVELS = 10, 50_000_000, 64
+MAX_LISTED, MAX_LEVELS = 50_000_000, 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -98,10 +99,10 @@ def _salt(level: int):
     return run
 
 
-def build_level(keys: DataFrame, n: int, level: int) -> Bloom:
-    """Bloom filter of `keys(h1, h2)` for a level: distributed OR of words, then the words alone reach the driver."""
-    size = 1 << max(10, math.ceil(math.log2(n * BITS_PER_KEY)))
-    k = max(1, round(size / n * math.log(2))) if size / n < 20 else 14
+def build_level(keys: DataFrame, n: int, others: int, level: int) -> Bloom:
+    """Bloom filter of `keys(h1, h2)` for a level that is asked for `others` more: distributed OR of words, then the words alone reach the driver."""
+    k = min(max(math.ceil(math.log2(max(others, 1) / n)) if others > n else 0, 7), 40)
+    size = 1 << max(10, math.ceil(math.log2(n * k / math.log(2))))
     spots = keys.mapInArrow(_salt(level), "h1 long, h2 long").select(F.explode(F.array(*[_low_bits(F.col("h1"), F.col("h2"), i, size) for i in range(k)])).alias("p"))
     words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
     out = np.zeros(size // 64, np.int64)
@@ -124,22 +125,22 @@ def _probe(level_box):
     return run
 
 
-def cascade(listed: DataFrame, universe: DataFrame, tag: str) -> Cascade:
-    """Cascade over `universe(key)`; `listed(key)` names the keys it holds. Both may repeat keys."""
+def cascade(listed: DataFrame, universe: DataFrame, tag: str) -> Cascade | None:
+    """Cascade over `universe(key)`; `listed(key)` names the keys it holds. Both may repeat keys. None if a level would pass `MAX_LISTED` keys."""
     spark = universe.sparkSession
     keyed = lambda d: d.select("key").distinct().select(*[c.alias(n) for c, n in zip(hashed(F.col("key"), 0), ("h1", "h2"), strict=True)])
     yes = materialize(keyed(listed), f"{tag}-yes")
     no = materialize(keyed(universe.select("key").distinct().join(listed.select("key").distinct(), "key", "left_anti")), f"{tag}-no")
     levels: list[Bloom] = []
     inside, outside = yes, no
-    n = inside.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; the filters' size is proven for {MAX_LISTED}")
+    n, others = inside.count(), outside.count()
     while n and len(levels) < MAX_LEVELS:
-        levels.append(build_level(inside, n, len(levels)))
+        if n > MAX_LISTED:
+            return None
+        levels.append(build_level(inside, n, others, len(levels)))
         box = spark.sparkContext.broadcast(levels[-1])
         wrong = materialize(outside.mapInArrow(_probe(box), "h1 long, h2 long"), f"{tag}-level")
-        inside, outside = wrong, inside
+        inside, outside, others = wrong, inside, n
         n = inside.count()
     if n:
         raise ValueError("keys with equal 128-bit hashes on both sides")
@@ -193,20 +194,26 @@ def _decide(rules_box, hosts_box):
     return run
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, words: list[str] = BLOCKED_WORDS, carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """`carry` columns with host, path, rule and verdict for every row of `pages`."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, words: list[str] = BLOCKED_WORDS, carry: tuple[str, ...] | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """`carry` columns (all but host, path, rule and verdict, if not given) with host, path, rule and verdict for every row of `pages`."""
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, p, _ in rules})
+    carry = tuple(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")) if carry is None else carry
     d = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("u_row"), host_of(F.col("url")).alias("u_host"), path_of(F.col("url")).alias("u_path"))
     d = d.withColumn("u_keys", rule_keys(F.col("u_host"), F.col("u_path"), lengths))
     listed_rules = spark.createDataFrame([(h + p,) for h, p, _ in rules], "key string")
     by_rule = cascade(listed_rules, d.select(F.explode("u_keys").alias("key")).distinct().unionByName(listed_rules), "url-rules")
     hosts = materialize(d.select(F.col("u_host").alias("key")).distinct(), "url-hosts")
-    by_host = cascade(listed_hosts(hosts, words), hosts, "url-hosts")
+    listed = listed_hosts(hosts, words) if blocked is None else hosts.join(blocked.select(F.lower("host").alias("key")).distinct(), "key", "left_semi")
+    by_host = cascade(listed, hosts, "url-hosts")
+    if by_rule is None:
+        raise ValueError("more rules than a driver holds")
     a, b = hashed(F.col("u_host"), 0)
     d = d.withColumn("u_keys", F.transform("u_keys", lambda k: F.struct(*[c.alias(n) for c, n in zip(hashed(k, 0), ("h1", "h2"), strict=True)], k.alias("k")))).withColumns({"u_h1": a, "u_h2": b})
     row_type = d.schema["u_row"].dataType.simpleString()
-    out = d.mapInArrow(_decide(spark.sparkContext.broadcast(by_rule), spark.sparkContext.broadcast(by_host)), f"u_row {row_type}, u_host string, u_path string, u_key string, u_listed boolean")
+    out = d.mapInArrow(_decide(spark.sparkContext.broadcast(by_rule), spark.sparkContext.broadcast(by_host or Cascade([]))), f"u_row {row_type}, u_host string, u_path string, u_key string, u_listed boolean")
+    if by_host is None:  # too many listed hosts to broadcast
+        out = out.drop("u_listed").join(listed.select(F.col("key").alias("u_host"), F.lit(True).alias("u_listed")), "u_host", "left")
     verdict = F.when(F.col("u_key").isNull(), F.when(F.col("u_listed"), "block").otherwise("allow"))
     for h, p, v in rules:
         verdict = verdict.when(F.col("u_key") == h + p, v)
@@ -214,7 +221,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, words: li
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages"), carry=("page_id",))
 
 
 def oracle() -> str:

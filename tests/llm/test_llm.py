@@ -287,13 +287,25 @@ def test_mixing(docs, none):
 
 def test_urls(spark):
     urls = ["http://A.Example.org/es/1?x=1", "https://example.org/en/12#t", "x.org/nothing", None, "http://com/fr/", "http://b.com/de", "http://free-bets.net/", "http://alphabets.net/", "http://u:p@casino.example.com:80/en"]
-    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), carry=("page_id",)).collect()}
     assert got[0] == ("a.example.org", "/es/1", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block")
     assert got[2] == got[3] == ("", "", None, "allow") and got[4][2:] == ("com/fr/", "allow") and got[5][2:] == (None, "allow")
     assert got[6][3] == "block" and got[7][3] == "allow"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_take_a_list_and_keep_columns(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.net/x", f"host{i}", "old", i) for i in range(30)] + [(None, "http://H7.net/", None, None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, rule long")
+    blocked = spark.createDataFrame([("h7.net",), ("H9.net",), ("absent.org",)], "host string")
+    for most in (url_filter.MAX_LISTED, 1):
+        got = url_filter.judge(pages, blocked=blocked, words=[])
+        assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
+        assert {(r["page_id"], r["html"]) for r in got.collect() if r["verdict"] == "block"} == {(7, "host7"), (9, "host9"), (None, None)} and got.count() == 31
+        real = url_filter.cascade
+        monkeypatch.setattr(url_filter, "cascade", lambda listed, universe, tag, real=real: real(listed, universe, tag) if tag == "url-rules" else None)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     c = url_filter.cascade(universe.where("key like '%7'"), universe, "test")
@@ -307,7 +319,7 @@ def test_cascade_of_a_million_keys_against_a_short_list(spark):
     c = url_filter.cascade(universe.where("key in ('host1', 'host20', 'host300', 'host4000', 'host50000')"), universe, "short")
     rows = universe.select("key", *url_filter.hashed(F.col("key"), 0)).toPandas()
     h1, h2 = (rows.iloc[:, k].to_numpy().view(np.uint64) for k in (1, 2))
-    assert set(rows["key"][c.holds(h1, h2)]) == {"host1", "host20", "host300", "host4000", "host50000"} and len(c.levels) < 10
+    assert set(rows["key"][c.holds(h1, h2)]) == {"host1", "host20", "host300", "host4000", "host50000"} and len(c.levels) < 10 and sum(len(x.words) for x in c.levels) < 500
 
 
 def brute_cut(raws):
