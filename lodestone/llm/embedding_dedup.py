@@ -7,14 +7,16 @@
 3. Every class queries every shard, in blocks that stream past the shard's graph; a task takes at most
    about `TASK_QUERIES` of them. A beam that ends inside the
    threshold is widened for that query, by flooding the graph from the hits, until its worst entry
-   lies outside. Each task audits `AUDIT` of its queries against brute force over the shard and doubles
-   the beam until the recall of links reaches `RECALL`; past the last beam it compares everything.
+   lies outside. Each block of queries is audited against brute force over the shard: probes are drawn until `AUDIT` of them have
+   links to others there (or `MOST_PROBES` are drawn), and the beam doubles until the mean recall of those probes' links
+   reaches `RECALL`, each probe counting once however many links it has; past the last beam everything is compared.
 4. Cosines are verified in double precision. A task returns the count of links of each query and a
    spanning forest of its links, never all pairs of a dense group; forests are joined into components.
 
 Defined results: unusable vectors have n_links 0, their own component, and are kept; copies count as
 links of each other; vectors of different lengths never link; repeated vec_ids are one vector a row and
-share their component; a null vec_id is left out of components; an empty table gives an empty result.
+share their component; a null vec_id is left out of components; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._shared import components, materialize, table
 
 THRESHOLD, SHARDS, SHARD_ROWS, TASK_QUERIES, BLOCK = 0.9, 8, 1_000_000, 1_000_000, 4096
-M, BUILD_BEAM, BEAM, AUDIT, RECALL, LOCKSTEP = 12, 48, 32, 48, 0.97, 128
+M, BUILD_BEAM, BEAM, AUDIT, MOST_PROBES, RECALL, LOCKSTEP = 12, 48, 32, 48, 192, 0.97, 128
 
 
 class Graph:
@@ -167,17 +169,22 @@ class Graph:
         return np.flatnonzero(inside)
 
 
-def audited(graph: Graph, q: np.ndarray) -> list[np.ndarray]:
-    """`Graph.within` at the first beam whose audit passes; compares everything where none does."""
+def audited(graph: Graph, q: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """`Graph.within` at the first beam whose audit passes; compares everything where none does. `own`: each query's vertex, or -1."""
     edge = THRESHOLD - 1e-4  # float32 search; double precision decides
-    probe = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = [np.flatnonzero(graph.x @ q[i] >= edge) for i in probe]
-    total = sum(map(len, truth))
+    truth: dict[int, np.ndarray] = {}
+    for i in np.random.default_rng(len(q)).permutation(len(q))[:MOST_PROBES].tolist():
+        near = np.flatnonzero(graph.x @ q[i] >= edge)
+        near = near[near != own[i]]  # finding itself proves nothing
+        if len(near):
+            truth[i] = near
+        if len(truth) == AUDIT:
+            break
+    probe = np.array(list(truth), int)
     beam = BEAM
     while beam <= 512 and beam < len(graph.x):
-        got = graph.within(q[probe], edge, beam)
-        hit = sum(len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(truth, got))
-        if hit >= RECALL * total:
+        got = graph.within(q[probe], edge, beam) if len(probe) else []
+        if not truth or np.mean([len(np.intersect1d(a, b)) / len(a) for a, b in zip(truth.values(), got)]) >= RECALL:
             return graph.within(q, edge, beam)
         beam *= 2
     return [np.flatnonzero(graph.x @ v >= edge) for v in q]
@@ -223,7 +230,8 @@ class Shard:
         n = len(self.x)
         forest = Forest(n + len(q))
         counts = np.zeros(len(q), np.int64)
-        for i, found in enumerate(audited(self.graph, q.astype(np.float32))):
+        own = np.array([self.place.get(int(c), -1) for c in mine])
+        for i, found in enumerate(audited(self.graph, q.astype(np.float32), own)):
             found = found[(self.x[found] @ q[i]) >= THRESHOLD] if len(found) else found
             found = found[self.ids[found] != mine[i]]
             counts[i] = self.weight[found].sum()
@@ -269,10 +277,12 @@ def link(vectors: DataFrame) -> DataFrame:
     blocks = max(1, -(-n // TASK_QUERIES))
     of = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "cls"), F.lit(k))
     kept = classes.select("cls", "embedding", "n", "dim", of("shard", shards).alias("shard"), of("block", blocks).alias("block"))
-    name = lambda s, b: F.xxhash64("dim", s, b)
+    dims = sorted(r["dim"] for r in classes.select("dim").distinct().collect())  # lengths of vectors, few
+    kind = F.array_position(F.array(*[F.lit(x) for x in dims]), F.col("dim")) - 1
+    name = lambda s, b: ((kind * shards + s) * blocks + b).cast("int")
     stored = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select(name(F.col("shard"), F.col("b").cast("long")).alias("task"), F.lit(0).alias("side"), "cls", "embedding", "n")
     asked = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).select(name(F.col("s").cast("long"), F.col("block")).alias("task"), F.lit(1).alias("side"), "cls", "embedding", "n")
-    tasks = stored.unionByName(asked).repartition(shards * blocks, "task").sortWithinPartitions("task", "side", "cls")
+    tasks = stored.unionByName(asked).repartitionById(max(1, len(dims) * shards * blocks), "task").sortWithinPartitions("task", "side", "cls")
     found = materialize(tasks.mapInPandas(_run, "cls long, n long, other long"), "vector-found")
     counts = found.where("other IS NULL").groupBy("cls").agg(F.sum("n").alias("links"))
     comp = components(found.where("other IS NOT NULL").select(F.col("cls").alias("a"), F.col("other").alias("b")), "vector")
