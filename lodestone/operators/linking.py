@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,51 @@ def pattern_of(names: list[str]) -> re.Pattern | None:
     return re.compile("|".join(parts)) if parts else None
 
 
-def inside(text: str | None, names: list[str]) -> list[str]:
-    """The names that occur in a text at all, in their order; a pattern of all names would be slow."""
-    return [n for n in names if n in text] if text else []
-
-
-def annotate_text(text: str, pattern: re.Pattern | None) -> tuple[str, int]:
+class Hit(NamedTuple):
+    begin: int
+    finish: int
+    name: str
+
+    def group(self) -> str:
+        return self.name
+
+
+class Names:
+    """Finds names as `pattern_of` does (leftmost, then longest, not overlapping), in one pass of an Aho-Corasick automaton whatever their number."""
+
+    def __init__(self, names: Iterable[str]):
+        self.machine = ahocorasick.Automaton()
+        for n in names:
+            if n:
+                self.machine.add_word(n, n)
+        if len(self.machine):
+            self.machine.make_automaton()
+
+    def finditer(self, text: str) -> list[Hit]:
+        if not len(self.machine) or not text:
+            return []
+        word = lambda c: c.isascii() and (c.isalnum() or c == "_")
+        found = []
+        for last, n in self.machine.iter(text):
+            begin, end = last - len(n) + 1, last + 1
+            if not (word(n[0]) and begin and word(text[begin - 1])) and not (word(n[-1]) and end < len(text) and word(text[end])):
+                found.append((begin, -end, n))
+        out, at = [], 0
+        for begin, end, n in sorted(found):
+            if begin >= at:
+                out.append(Hit(begin, -end, n))
+                at = -end
+        return out
+
+    def sub(self, wrap: Callable[[Hit], str], text: str) -> str:
+        parts, at = [], 0
+        for h in self.finditer(text):
+            parts += [text[at : h.begin], wrap(h)]
+            at = h.finish
+        return "".join(parts) + text[at:]
+
+
+def annotate_text(text: str, pattern: re.Pattern | Names | None) -> tuple[str, int]:
     """`text` with every name outside a link wrapped in `[[ ]]`, and the number of distinct names wrapped."""
     if not text or pattern is None:
         return text or "", 0
@@ -55,7 +96,7 @@ def annotate_text(text: str, pattern: re.Pattern | None) -> tuple[str, int]:
     return "".join(out), len(found)
 
 
-def missing_in_text(text: str, pattern: re.Pattern | None) -> list[str]:
+def missing_in_text(text: str, pattern: re.Pattern | Names | None) -> list[str]:
     """Names that occur outside all links, once each, in order."""
     if not text or pattern is None:
         return []
@@ -104,8 +145,9 @@ def annotate(chunks: DataFrame, names: list[str]) -> DataFrame:
 
     @F.pandas_udf("content string, n_linked int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Names(box.value)
         for s in batches:
-            yield pd.DataFrame([annotate_text(t, pattern_of(inside(t, box.value))) for t in s], columns=["content", "n_linked"])
+            yield pd.DataFrame([annotate_text(t, known) for t in s], columns=["content", "n_linked"])
 
     return chunks.withColumn("x", run("content")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x")
 
@@ -129,31 +171,16 @@ def anchor_lengths(anchors: list[str]) -> tuple[set[int], set[int]]:
     return {len(a) for a in anchors if _RUN.match(a)}, {len(a) for a in anchors if not _RUN.match(a)}
 
 
-def _annotated(text: str | None, names: list[str]) -> tuple[str, int]:
-    return annotate_text(text, pattern_of(inside(text, sorted(names, key=lambda n: (-len(n), n)))))
-
-
 def annotate_joined(chunks: DataFrame, entries: DataFrame) -> DataFrame:
-    """`annotate` with every name of `entries(name)`; a text meets only names whose anchor it has.
+    """`annotate` with every name of `entries(name)`.
 
-    Up to MAX_NAMES names are broadcast by anchor; more are joined with the texts' anchors, and each chunk gets its own.
+    Up to MAX_NAMES names are broadcast as one automaton; more are joined with the texts' anchors, and each chunk gets its own.
     """
     names = with_anchors(entries)
-    rows = names.limit(MAX_NAMES + 1).collect()
+    rows = names.select("name").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         return _annotate_beyond(chunks, names)
-    by_anchor: dict[str, list[str]] = {}
-    for r in rows:
-        by_anchor.setdefault(r["anchor"], []).append(r["name"])
-    box = chunks.sparkSession.sparkContext.broadcast((by_anchor, *anchor_lengths(list(by_anchor))))
-
-    @F.pandas_udf("content string, n_linked int")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, runs, windows = box.value
-        for s in batches:
-            yield pd.DataFrame([_annotated(t, [n for a in anchors_in(t, runs, windows) for n in known.get(a, ())]) for t in s], columns=["content", "n_linked"])
-
-    return chunks.withColumn("x", run("content")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x")
+    return annotate(chunks, [r["name"] for r in rows])
 
 
 def _annotate_beyond(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -168,7 +195,7 @@ def _annotate_beyond(chunks: DataFrame, names: DataFrame) -> DataFrame:
     @F.pandas_udf("content string, n_linked int")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, keys in batches:
-            yield pd.DataFrame([_annotated(t, list(k) if k is not None else []) for t, k in zip(texts, keys)], columns=["content", "n_linked"])
+            yield pd.DataFrame([annotate_text(t, Names(k if k is not None else [])) for t, k in zip(texts, keys)], columns=["content", "n_linked"])
 
     found = chunks.select("chunk_id", F.explode(anchors("content")).alias("anchor")).join(names, "anchor")
     own = found.groupBy(F.col("chunk_id").alias("own_id")).agg(F.collect_list("name").alias("names"))
@@ -182,8 +209,9 @@ def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Names(box.value)
         for s in batches:
-            yield s.map(lambda t: missing_in_text(t, pattern_of(inside(t, box.value))))
+            yield s.map(lambda t: missing_in_text(t, known))
 
     return chunks.select("chunk_id", F.explode(run("content")).alias("name"))
 

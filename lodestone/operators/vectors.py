@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,47 +26,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(den > 0, dot(x, y) / den).otherwise(0.0)
 
 
+def _matrix(rows, size: int) -> np.ndarray:
+    out = np.zeros((len(rows), size))
+    for i, r in enumerate(rows):
+        out[i, : min(len(r), size)] = np.asarray(r, float)[:size]
+    return out
+
+
+class _Best:
+    """The k best vectors of a task for every query, by (score, chunk_id)."""
+
+    def __init__(self, box, k: int):
+        self.box, self.k = box, k
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = self.box.value
+        q_norm = np.sqrt((q * q).sum(1))[:, None]
+        row, chunk, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        least = np.full(len(ids), -np.inf)  # the k-th score so far; below it a vector can't matter
+        for b in batches:
+            v = _matrix(list(b["embedding"]), q.shape[1])
+            norm = q_norm * np.sqrt((v * v).sum(1))[None, :]
+            s = np.round(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+            if len(b) > self.k:  # of one batch, too, only what reaches its own k-th score
+                least = np.maximum(least, np.partition(s, len(b) - self.k, axis=1)[:, len(b) - self.k])
+            r, c = np.nonzero(s >= least[:, None])
+            row, chunk, score = np.r_[row, r], np.r_[chunk, b["chunk_id"].to_numpy()[c]], np.r_[score, s[r, c]]
+            order = np.lexsort((chunk, -score, row))
+            row, chunk, score = row[order], chunk[order], score[order]
+            first = np.searchsorted(row, np.arange(len(ids) + 1))
+            keep = np.arange(len(row)) - first[row] < self.k
+            full = np.flatnonzero(np.diff(first) >= self.k)
+            least[full] = np.maximum(least[full], score[first[full] + self.k - 1])
+            row, chunk, score = row[keep], chunk[keep], score[keep]
+        yield pd.DataFrame({"query_id": ids[row], "chunk_id": chunk, "score": score})
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, score, pos) of `vectors(chunk_id, embedding)` for `queries(query_id, query_vec)`.
+    """(query_id, chunk_id, score, pos) of `vectors(chunk_id, embedding)` for `queries(query_id, query_vec)`; rows without a vector are left out.
 
-    Each split of the vectors keeps its k best a query (one matrix product a batch), so only k rows a
-    query and split are shuffled. Queries are broadcast in blocks of at most QUERY_BLOCK rows.
+    Each task keeps its k best a query over all its batches (one matrix product a batch), so only k rows a
+    query and task are shuffled. Queries are broadcast in blocks of at most QUERY_BLOCK rows, each a pass over the vectors.
     """
     spark = vectors.sparkSession
+    stored = vectors.select(F.col("chunk_id").cast("long"), "embedding").where("chunk_id IS NOT NULL AND embedding IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long"), "query_vec").where("query_id IS NOT NULL AND query_vec IS NOT NULL").orderBy("query_id").toLocalIterator()
     out = None
-    rows = queries.select(F.col("query_id").cast("long"), "query_vec").orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def run(part: list) -> DataFrame:
-        ids = np.array([r[0] for r in part])
+    while out is None or part:
+        part = list(islice(asked, QUERY_BLOCK))
+        if not part and out is not None:
+            break
         size = max((len(r[1]) for r in part), default=0)
-        mat = np.zeros((len(part), size))
-        for i, r in enumerate(part):
-            mat[i, : len(r[1])] = r[1]
-        box = spark.sparkContext.broadcast((ids, mat))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = box.value
-            for b in batches:
-                v = np.zeros((len(b), q.shape[1]))
-                for i, e in enumerate(b["embedding"]):
-                    n = min(len(e), q.shape[1])
-                    v[i, :n] = np.asarray(e, float)[:n]
-                norm = np.sqrt((v * v).sum(1))[None, :] * np.sqrt((q * q).sum(1))[:, None]
-                s = np.round(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
-                c = b["chunk_id"].to_numpy()
-                for i in range(len(ids)):
-                    o = np.lexsort((c, -s[i]))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": c[o], "score": s[i][o]})
-
-        return vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInPandas(best, "query_id long, chunk_id long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = (run(block) if out is None else out.unionByName(run(block))), []
-    if block or out is None:
-        out = run(block) if out is None else out.unionByName(run(block))
+        box = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), _matrix([r[1] for r in part], size)))
+        found = stored.mapInPandas(_Best(box, k), "query_id long, chunk_id long, score double")
+        out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 

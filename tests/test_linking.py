@@ -12,6 +12,17 @@ def test_links():
     assert linking.missing_in_text("[[data]] C++ C++", p) == ["C++"] and linking.annotate_text("", p) == ("", 0)
 
 
+def test_automaton_finds_what_the_pattern_finds():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        names = ["".join(rng.choices("ab_ +中", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        text = "".join(rng.choices("aab_ +中[]", k=rng.randint(0, 60)))
+        p, n = linking.pattern_of(sorted(set(names), key=lambda x: (-len(x), x))), linking.Names(names)
+        assert linking.annotate_text(text, p) == linking.annotate_text(text, n) and linking.missing_in_text(text, p) == linking.missing_in_text(text, n)
+
+
 def test_contexts():
     t = "x" * 500 + "KEY" + "y" * 500
     assert linking.context_of(t, ["key"]) == "x" * 200 + "KEY" + "y" * 200 and linking.context_of(t, ["none"]) == "x" * 400

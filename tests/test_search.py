@@ -146,3 +146,27 @@ def test_skipped_hits_have_no_rank(spark):
     hits = spark.createDataFrame([(1, c, 1.0, i + 1, c in "BD") for i, c in enumerate("ABCDE")], "query_id long, chunk_id string, score double, pos int, skip boolean")
     got = {r["chunk_id"]: r["rrf"] for r in fusion.rrf(fusion.paths(vector=hits)).collect()}
     assert got == {"A": round(1 / 61, 9), "B": None, "C": round(1 / 62, 9), "D": None, "E": round(1 / 63, 9)}
+
+
+def test_vectors_by_task_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import vectors
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (400, 4)).astype(float)  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(25)] + [(99, None)], "query_id long, query_vec array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
+    got = {}
+    for r in vectors.top_k(v, q, 7).collect():
+        got.setdefault(r["query_id"], []).append((r["pos"], r["chunk_id"], r["score"]))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    full = [(i, np.r_[e, np.zeros(4 - len(e))]) for i, e in rows if e is not None]
+    for i in range(25):
+        cos = [(round(float(e @ x[i] / d), 6) if (d := np.sqrt((e @ e) * (x[i] @ x[i]))) else 0.0, j) for j, e in full]
+        best = sorted(cos, key=lambda t: (-t[0], t[1]))[:7]
+        assert [(c, s) for _, c, s in sorted(got[i])] == [(j, s) for s, j in best]
+    assert 99 not in got
