@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality_rules", "ngram_join", "sentencepiece_sampling", "toxicity", "embedding_dedup", "pii", "secrets", "mixing", "url_filter", "suffix_dedup", "embedding_whitening", "importance_resampling"]
+MODULES = ["quality_rules", "ngram_join", "sentencepiece_sampling", "toxicity", "embedding_dedup", "pii", "secrets", "mixing", "url_filter", "suffix_dedup", "embedding_whitening", "importance_resampling", "winnowing"]
 
 
 def _collect(attribute: str) -> dict:
