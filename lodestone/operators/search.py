@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators import entities, fusion, routing
 from lodestone.operators.routing import Profile
+from lodestone.sources import tables
 
 
 def upto(hits: DataFrame, sizes: DataFrame, size: str = "recall") -> DataFrame:
@@ -14,6 +18,25 @@ def upto(hits: DataFrame, sizes: DataFrame, size: str = "recall") -> DataFrame:
     return hits.join(sizes.select("query_id", size), "query_id").where(F.col("pos") <= F.col(size)).drop(size)
 
 
+HITS = "query_id long, chunk_id long, score double, pos int"
+
+
+def isolated(spark: SparkSession, paths: dict[str, Callable[[], DataFrame]], schema: str = HITS) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each path's hits, run to its end as a stage of its own and written, and the failures (path, error, message).
+
+    A path that raises, when it is planned or when it runs, gives no hits and one row that names it; the others are answered and fused
+    without it. Paths run one after the other; each is split into tasks, so the cluster is full while one runs.
+    """
+    found, failed = {}, []
+    for name, path in paths.items():
+        try:
+            found[name] = tables.written(path().select(*[F.col(c.name).cast(c.dataType) for c in T._parse_datatype_string(schema)]), f"path-{name}")
+        except Exception as e:  # whatever a path's source or function raises
+            found[name] = spark.createDataFrame([], schema)
+            failed.append((name, type(e).__name__, " ".join(str(e).split())[:500]))
+    return found, spark.createDataFrame(failed, "path string, error string, message string")
+
+
 def struct_path(requests: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score, pos): chunks of the requested entities, in the order of names, then chunks; the first
     occurrence of a chunk counts and its score is the entry's frequency."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, linking, routing, vectors
+from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, impacts, ivf, linking, routing, vectors
 from lodestone.sources import tables
 
 Q: dict = {}
@@ -38,21 +38,30 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.col("source").alias("doc_type"), F.col("lang").alias("client"))
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
-def stored(spark: SparkSession, d: str, name: str, write) -> str:
-    """The folder of a table set that `write(path)` makes once a session and input, as an index is built before it is searched."""
+def stored(spark: SparkSession, d: str, name: str, sources: tuple[str, ...], write) -> str:
+    """The folder of an index that `write(path)` makes from `sources`, once for each state of their files; results are never stored.
+
+    The state is the paths, sizes and modification times of the tables' files, so a table that changes under its path gives a new index.
+    """
+    state = tables.fingerprint(spark, [f"{d}/{t}.parquet" for t in sources])
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _WRITTEN or not tables.exists(spark, _WRITTEN[key]):
+    known = _WRITTEN.get(key)
+    if not known or known[0] != state or not tables.exists(spark, known[1]):
         path = f"{tables.work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         write(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+        _WRITTEN[key] = (state, path)
+    return _WRITTEN[key][1]
 
 
 def text_index(spark: SparkSession, d: str) -> bm25.TextIndex:
-    return tables.read_index(spark, stored(spark, d, "text-index", lambda path: tables.write_index(bm25.build_index(chunks(spark, d)), path)))
+    return tables.read_index(spark, stored(spark, d, "text-index", ("documents",), lambda path: tables.write_index(bm25.build_index(chunks(spark, d)), path)))
+
+
+def impact_index(spark: SparkSession, d: str) -> impacts.ImpactIndex:
+    return impacts.read(spark, stored(spark, d, "impacts", ("documents",), lambda path: impacts.write(impacts.build(text_index(spark, d)), path)))
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +84,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def _bm25(spark: SparkSession, d: str, k: int, k1: float = 1.2) -> DataFrame:
-    return bm25.search(text_index(spark, d), texts(spark, d), k, k1)
+    return impacts.best(text_index(spark, d), lambda: impact_index(spark, d), texts(spark, d), k, k1)
 
 
 @query(_bm25_sql(20, 1.5, " SELECT query_id, chunk_id, score, pos FROM bm"))
@@ -88,6 +97,18 @@ def bm25_k1_12(spark, d):
     return _bm25(spark, d, 20).select("query_id", "chunk_id", "score", "pos")
 
 
+@query(_bm25_sql(20, 1.5, " SELECT query_id, chunk_id, score, pos FROM bm"))
+def bm25_pruned(spark, d):
+    """The rows of bm25_topk from postings grouped by impact: only levels that can reach a query's k best are read."""
+    return impacts.search(impact_index(spark, d), texts(spark, d), 20, 1.5).select("query_id", "chunk_id", "score", "pos")
+
+
+@query()
+def bm25_pruned_reading(spark, d):
+    """How many postings each query's words have, and how many of them both passes of bm25_pruned read."""
+    return impacts.Search(impact_index(spark, d), texts(spark, d), 20, 1.5).reading()
+
+
 @query(f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM post GROUP BY term")
 def inverted_index_stats(spark, d):
     return text_index(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
@@ -115,6 +136,19 @@ def vector_topk_cosine(spark, d):
     return _vector(spark, d)
 
 
+@query()
+def vector_topk_ivf(spark, d):
+    """The same queries by the inverted file, whose probes an audit of 64 of them has set to find 95 of 100 exact hits."""
+    e = load(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+    def write(path: str) -> None:
+        index = ivf.build(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
+        ivf.audit(index, asked.orderBy(F.xxhash64("query_id")).limit(64), path)
+
+    return ivf.search(ivf.read(spark, stored(spark, d, "ivf", ("embeddings",), write)), asked).select("query_id", "chunk_id", "score", "pos")
+
+
 # fusion: vector queries are paired with benchmark queries by rank of id
 PAIR = "pr AS (SELECT b.query_id, v.query_id AS vq FROM (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) AS r FROM benchmark) b LEFT JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) AS r FROM qv) v USING (r))"
 RRF = """hits AS (SELECT pr.query_id, chunk_id, score, pos, 0 AS ord FROM vt JOIN pr ON vq = vt.query_id UNION ALL SELECT bm.query_id, chunk_id, score, pos, 1 FROM bm),
@@ -170,7 +204,7 @@ def dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         names = spark.read.parquet(f"{path}/entries").select(F.col("name").alias("term"))
         post.join(names, "term").select(F.col("term").alias("name"), "chunk_id").write.parquet(f"{path}/edges")
 
-    path = stored(spark, d, "dictionary", write)
+    path = stored(spark, d, "dictionary", ("documents",), write)
     return spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/edges")
 
 

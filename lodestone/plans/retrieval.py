@@ -13,7 +13,8 @@ from lodestone.functions import text as T
 from lodestone.functions.tokenize import index_tokens, query_tokens
 from lodestone.operators import bm25, chat, chunking, corpus, entities, routing, search
 from lodestone.plans import catalog
-from lodestone.plans.catalog import ENTRIES, MATCH, PAIR, POSTINGS, QTERMS, SLIDE, TOK, VEC, chunks, dictionary, load, query, stored, texts
+from lodestone.plans.catalog import ENTRIES, MATCH, PAIR, POSTINGS, QTERMS, SLIDE, TOK, VEC, chunks, dictionary, load, query, texts
+from lodestone.sources import tables
 from lodestone.streaming import events
 
 BROAD = "|".join(lexicon.BROAD_QUERIES)
@@ -21,12 +22,8 @@ VEC40, TOP = VEC.replace("pos <= 20", "pos <= 40"), 10
 
 
 def _requests(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
-    """The matched names of every query, looked up once a session."""
-
-    def write(path: str) -> None:
-        entities.ordered_matches(entities.match_names(texts(spark, d), e)).write.parquet(path)
-
-    return spark.read.parquet(stored(spark, d, "requests", write)).select("query_id", "name", "name_pos")
+    """The matched names of every query."""
+    return entities.ordered_matches(entities.match_names(texts(spark, d), e)).select("query_id", "name", "name_pos")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -35,18 +32,16 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumnRenamed("query_id", "vq").join(pair, "vq").drop("vq")
 
 
-def _hybrid(spark: SparkSession, d: str, profile: str, allowed: DataFrame | None = None) -> DataFrame:
-    def write(path: str) -> None:
-        e, edges = dictionary(spark, d)
-        req = _requests(spark, d, e)
-        found = search.hybrid(texts(spark, d), req, chunks(spark, d), _vectors(spark, d), catalog._bm25(spark, d, 40), search.struct_path(req, e.drop("category"), edges), routing.profile(profile), TOP, allowed)
-        found.write.parquet(path)
-
-    if allowed is None:
-        return spark.read.parquet(stored(spark, d, f"hybrid-{profile}", write))
+def _hybrid(spark: SparkSession, d: str, profile: str, allowed: DataFrame | None = None, req: DataFrame | None = None) -> DataFrame:
+    """Each path is a written stage of its own; one that fails is fused as empty."""
     e, edges = dictionary(spark, d)
-    req = _requests(spark, d, e)
-    return search.hybrid(texts(spark, d), req, chunks(spark, d), _vectors(spark, d), catalog._bm25(spark, d, 40), None, routing.profile(profile), TOP, allowed)
+    req = tables.written(_requests(spark, d, e), "requests") if req is None else req
+    p = routing.profile(profile)
+    paths = {"vector": lambda: _vectors(spark, d), "bm25": lambda: catalog._bm25(spark, d, 40)}
+    if p.use_struct and allowed is None:
+        paths["struct"] = lambda: search.struct_path(req, e.drop("category"), edges)
+    found, _ = search.isolated(spark, paths)
+    return search.hybrid(texts(spark, d), req, chunks(spark, d), found["vector"], found["bm25"], found.get("struct"), p, TOP, allowed)
 
 
 def _hybrid_sql(profile: str, allowed: str = "", tail: str = "SELECT query_id, rank, chunk_id, doc_id, score, source FROM done") -> str:
@@ -112,9 +107,10 @@ ln AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 ch AS (FROM ct UNION ALL SELECT query_id, chunk_id, score, pos, 'links' FROM ln)"""
 
 
-def _chain(spark: SparkSession, d: str) -> DataFrame:
+def _chain(spark: SparkSession, d: str, req: DataFrame | None = None) -> DataFrame:
     e, edges = dictionary(spark, d)
-    return search.recall_chain(_requests(spark, d, e), e.drop("category"), edges, edges.select("name", F.col("chunk_id").alias("doc_id")), chunks(spark, d), TOP)
+    req = tables.written(_requests(spark, d, e), "requests") if req is None else req
+    return search.recall_chain(req, e.drop("category"), edges, edges.select("name", F.col("chunk_id").alias("doc_id")), chunks(spark, d), TOP)
 
 
 @query(f"WITH {CHAIN} SELECT query_id, chunk_id, score, pos, step FROM ch")
@@ -127,7 +123,9 @@ def entity_recall_chain(spark, d):
 def routed_search(spark, d):
     """Queries ask for a route or leave it open; one left open takes the entity route if that finds anything, else hybrid search with its names."""
     q = texts(spark, d).select("query_id", F.when(F.col("query_id") % 5 == 3, "entity").when(F.col("query_id") % 5 == 4, "rrf").otherwise("auto").alias("method"))
-    r = entities.route(q, _chain(spark, d), _hybrid(spark, d, "baseline").withColumnRenamed("rank", "pos"))
+    req = tables.written(_requests(spark, d, dictionary(spark, d)[0]), "requests")
+    chain = tables.written(_chain(spark, d, req), "chain")
+    r = entities.route(q, chain, tables.written(_hybrid(spark, d, "baseline", req=req).withColumnRenamed("rank", "pos"), "hybrid"))
     return r.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -294,10 +292,10 @@ def rewrite_names(spark, d):
     return chat.rewrite_names(e, {"entity": 15, "concept": 8}).select("category", F.array_join("names", ",").alias("names"))
 
 
-@query(f"WITH {ENTRIES} SELECT DISTINCT chunk_id AS doc_id, name, type FROM edge JOIN ent USING (name) WHERE chunk_id % 50 = 0")
+@query(f"WITH {ENTRIES} SELECT DISTINCT chunk_id AS doc_id, name, type FROM edge JOIN ent USING (name)")
 def entries_by_document(spark, d):
     e, edges = dictionary(spark, d)
-    return entities.entries_by_chunk(e, edges, chunks(spark, d).where("doc_id % 50 = 0").select("chunk_id")).select(F.col("chunk_id").alias("doc_id"), "name", "type").distinct()
+    return entities.entries_by_chunk(e, edges, chunks(spark, d).select("chunk_id")).select(F.col("chunk_id").alias("doc_id"), "name", "type").distinct()
 
 
 @query(f"WITH {ENTRIES} SELECT name, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM edge GROUP BY name")
@@ -307,10 +305,10 @@ def link_index(spark, d):
     return entities.link_index(per)
 
 
-@query(f"WITH {ENTRIES} SELECT edge.name, chunk_id, trim(translate(substr(text, 1, 200), chr(10), ' ')) AS context FROM edge JOIN documents ON chunk_id = doc_id WHERE chunk_id % 10 = 0")
+@query(f"WITH {ENTRIES} SELECT edge.name, chunk_id, trim(translate(substr(text, 1, 200), chr(10), ' ')) AS context FROM edge JOIN documents ON chunk_id = doc_id")
 def entry_relations(spark, d):
     e, edges = dictionary(spark, d)
-    per = edges.where("chunk_id % 10 = 0").groupBy("chunk_id").agg(F.collect_set("name").alias("wiki_links")).withColumn("wiki_links", F.array_append("wiki_links", F.lit("unknown name")))
+    per = edges.groupBy("chunk_id").agg(F.collect_set("name").alias("wiki_links")).withColumn("wiki_links", F.array_append("wiki_links", F.lit("unknown name")))
     return entities.relations(per.join(chunks(spark, d), "chunk_id"), e)
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import os
 import shutil
 import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,11 +77,30 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """`df` written to the shared folder and read back, so that it is worked out once and survives lost executors."""
+    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the paths, sizes and modification times of all files below `paths`."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = folder.getFileSystem(conf).listFiles(folder, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def ready(spark: SparkSession, path: str, stores: tuple[str, ...] = ("postings", "doc_len", "term_stats", "corpus")) -> dict[str, bool]:
     """Which stores of an index folder are complete."""
     return {s: exists(spark, f"{path}/{s}/_SUCCESS") for s in stores}

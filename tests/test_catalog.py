@@ -59,3 +59,12 @@ def test_joined_names_equal_broadcast_ones(spark, monkeypatch, bound):
     want = sorted(map(repr, linking.annotate(chunks, linking.load_names(entries)).collect()))
     monkeypatch.setattr(linking, "MAX_NAMES", bound)
     assert sorted(map(repr, linking.annotate_joined(chunks, entries).collect())) == want
+
+
+def test_a_table_rewritten_under_its_path_gives_new_answers(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for n in (200, 20):
+        docs.limit(n).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert catalog.Q["corpus_stats"](spark, str(tmp_path)).first()["n"] == docs.limit(n).where("trim(text) <> ''").count()
+    again = catalog.text_index(spark, str(tmp_path)).postings.inputFiles()
+    assert again == catalog.text_index(spark, str(tmp_path)).postings.inputFiles()  # an unchanged table's index is built once

@@ -164,9 +164,60 @@ def test_vectors_by_task_equal_all_pairs(spark, monkeypatch):
     for r in vectors.top_k(v, q, 7).collect():
         got.setdefault(r["query_id"], []).append((r["pos"], r["chunk_id"], r["score"]))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    full = [(i, np.r_[e, np.zeros(4 - len(e))]) for i, e in rows if e is not None]
+    full = [(i, np.array(e)) for i, e in rows if e is not None]
     for i in range(25):
-        cos = [(round(float(e @ x[i] / d), 6) if (d := np.sqrt((e @ e) * (x[i] @ x[i]))) else 0.0, j) for j, e in full]
+        cos = [(round(float(e @ y / d), 6) if (d := np.sqrt((e @ e) * (y @ y))) else 0.0, j) for j, e in full for y in [x[i][: len(e)]]]
         best = sorted(cos, key=lambda t: (-t[0], t[1]))[:7]
         assert [(c, s) for _, c, s in sorted(got[i])] == [(j, s) for s, j in best]
     assert 99 not in got
+
+
+def test_a_query_s_score_depends_on_no_other_query(spark, monkeypatch):
+    from lodestone.operators import vectors
+
+    v = spark.createDataFrame([(1, [1.0, 0.0, 5.0]), (2, [1.0, 1.0]), (3, []), (4, [0.0, 2.0, None])], "chunk_id long, embedding array<double>")
+    q = [(1, [1.0, 0.0]), (2, [1.0, 1.0, 1.0]), (3, [1.0, 0.0, 5.0]), (4, []), (5, [3.0])]
+    together = vectors.top_k(v, spark.createDataFrame(q, "query_id long, query_vec array<double>")).collect()
+    alone = [r for row in q for r in vectors.top_k(v, spark.createDataFrame([row], "query_id long, query_vec array<double>")).collect()]
+    assert sorted(map(tuple, together)) == sorted(map(tuple, alone))
+    score = {(r["query_id"], r["chunk_id"]): r["score"] for r in together}
+    assert score[1, 1] == score[2, 2] == score[3, 1] == score[5, 2] == 1.0 and score[4, 1] == score[1, 3] == 0.0
+    pairs = v.where("chunk_id < 4").crossJoin(spark.createDataFrame(q, "query_id long, query_vec array<double>"))
+    by_column = {(r[0], r[1]): r[2] for r in pairs.select("query_id", "chunk_id", F.round(vectors.cosine(F.col("embedding"), F.col("query_vec")), 6)).collect()}
+    assert by_column == {p: s for p, s in score.items() if p[1] < 4}
+
+
+def test_many_queries_of_several_lengths(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import vectors
+
+    monkeypatch.setattr(vectors, "HELD", 5000)  # tasks hand on what they have, again and again
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=int(rng.integers(1, 5))) for _ in range(60)]
+    q = [rng.normal(size=int(rng.integers(1, 5))) for _ in range(25_000)]
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "chunk_id long, embedding array<double>").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # beyond the broadcast: partitions of blocks meet
+    found = vectors.top_k(v, spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(q)], "query_id long, query_vec array<double>"), 3)
+    got = found.toPandas().sort_values(["query_id", "pos"])
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 75_000
+    for i, own in got.groupby("query_id"):
+        y = q[i]
+        cos = [(round(float(e[:n] @ y[:n] / (np.linalg.norm(e[:n]) * np.linalg.norm(y[:n]))), 6), j) for j, e in enumerate(x) for n in [min(len(e), len(y))]]
+        best = sorted(cos, key=lambda t: (-t[0], t[1]))[:3]
+        assert np.allclose(own["score"], [s for s, _ in best], atol=2e-6)
+
+
+def test_a_failing_path_is_recorded_and_fused_as_empty(spark):
+    good = spark.createDataFrame([(1, 10, 2.0, 1), (1, 11, 1.0, 2)], search.HITS)
+    broken = F.udf(lambda x: 1 / 0, "double")  # fails in a task, long after it was planned
+    paths = {"vector": lambda: good.withColumn("score", broken("score")), "bm25": lambda: good, "struct": lambda: (_ for _ in ()).throw(ValueError("no index\nmore"))}
+    found, failed = search.isolated(spark, paths)
+    assert {n: f.count() for n, f in found.items()} == {"vector": 0, "bm25": 2, "struct": 0}
+    rows = {r["path"]: r for r in failed.collect()}
+    assert set(rows) == {"vector", "struct"} and rows["struct"]["error"] == "ValueError" and rows["struct"]["message"] == "no index more" and rows["vector"]["error"] and rows["vector"]["message"]
+    chunks = spark.createDataFrame([(10, 1, "one"), (11, 2, "two")], "chunk_id long, doc_id long, content string")
+    got = search.hybrid(spark.createDataFrame([(1, "q")], "query_id long, query string"), spark.createDataFrame([], "query_id long, name string, name_pos int"), chunks, found["vector"], found["bm25"], found["struct"], routing.profile("struct"))
+    assert [(r["chunk_id"], r["source"]) for r in got.orderBy("rank").collect()] == [(10, "bm25"), (11, "bm25")]
+    assert search.isolated(spark, {"bm25": lambda: good})[1].count() == 0
