@@ -7,11 +7,16 @@ import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters that are segmented together.
+CHARACTERS = 1 << 18
+
+
 class Tokenizer(Protocol):
     def __call__(self, text: Column) -> Column: ...
 
@@ -30,35 +35,170 @@ def index_tokens(text: Column, stop: list[str] = (), tokenizer: Tokenizer = rege
     return F.filter(tokenizer(text), lambda t: ~t.isin(list(stop))) if stop else tokenizer(text)
 
 
+class DoubleArray:
+    """A trie in two arrays: from state s, code c leads to t = base[s] + c if check[t] = s. Codes are dense numbers of the words' characters."""
+
+    def __init__(self, words: dict[str, float]):
+        keys = sorted(words)
+        self.alphabet = np.array(sorted({ord(c) for w in keys for c in w}), np.int64)
+        coded = [np.searchsorted(self.alphabet, [ord(c) for c in w]) + 1 for w in keys]
+        size = 4 * sum(map(len, keys)) + 2 * len(self.alphabet) + 16
+        self.base, self.check, self.value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, np.nan)
+        self.check[0] = 0
+        todo, free, top = [(0, 0, len(keys), 0)], 1, 1
+        while todo:
+            state, lo, hi, depth = todo.pop()
+            if lo < hi and len(coded[lo]) == depth:
+                self.value[state] = words[keys[lo]]
+                lo += 1
+            children: list[tuple[int, int, int]] = []
+            while lo < hi:
+                code, start = int(coded[lo][depth]), lo
+                while lo < hi and coded[lo][depth] == code:
+                    lo += 1
+                children.append((code, start, lo))
+            if children:
+                codes = np.array([c for c, _, _ in children])
+                if len(children) == 1:  # a single child takes the first free place
+                    while free < len(self.check) and self.check[free] >= 0 or free <= codes[0]:
+                        free += 1
+                    b = free - int(codes[0])
+                    self._reach(b + int(codes[-1]))
+                else:  # several are placed near the end, where their places are seldom taken
+                    b = max(1, top - 2 * len(self.alphabet))
+                    while True:
+                        self._reach(b + int(codes[-1]))
+                        if (self.check[b + codes] < 0).all():
+                            break
+                        b += 1
+                top = max(top, b + int(codes[-1]))
+                self.base[state], self.check[b + codes] = b, state
+                todo += [(b + c, start, end, depth + 1) for c, start, end in children]
+
+    def _reach(self, place: int) -> None:
+        if place >= len(self.check):
+            more = max(place + 1, len(self.check))
+            self.base, self.check, self.value = np.r_[self.base, np.zeros(more, np.int64)], np.r_[self.check, np.full(more, -1)], np.r_[self.value, np.full(more, np.nan)]
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """Codes of code points; 0 for a character of no word."""
+        if not len(self.alphabet):
+            return np.zeros(len(points), np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == points, at + 1, 0)
+
+    def matches(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, values) of all words in `codes`, every start stepped at once; 0 ends a word."""
+        at, state, length = np.flatnonzero(codes), None, 0
+        state = np.zeros(len(at), np.int64)
+        while len(at):
+            length += 1
+            there = at + length - 1 < len(codes)
+            at, state = at[there], state[there]
+            c = codes[at + length - 1]
+            to = np.minimum(self.base[state] + c, len(self.check) - 1)
+            ok = (c > 0) & (self.base[state] > 0) & (self.check[to] == state)
+            at, state = at[ok], to[ok]
+            word = ~np.isnan(self.value[state])
+            if word.any():
+                yield length, at[word], self.value[state[word]]
+
+
 class DictionaryTokenizer:
-    """Maximum-probability segmentation over a word -> frequency dictionary; unknown characters stand alone."""
+    """Segmentation of greatest probability over a word -> frequency dictionary; of equal ones the longer first word.
+
+    Characters outside every word stand alone, white space is dropped, and neighbouring single letters a-z and digits that no word
+    claims form one token. Texts are cut where no word crosses, and the paths of all pieces of a batch are found together, one step from
+    the right for all. The dictionary is a parameter of bounded size (MAX_WORDS) and travels with the function.
+    """
+
+    MAX_WORDS = 5_000_000
 
     def __init__(self, words: dict[str, int]):
-        self.words = {w.lower(): f for w, f in words.items() if w}
-        self.total = math.log(max(sum(self.words.values()), 1))
-        self.longest = max(map(len, self.words), default=1)
+        words = {w.lower(): f for w, f in words.items() if w}
+        if len(words) > self.MAX_WORDS:
+            raise ValueError(f"more than {self.MAX_WORDS} words")
+        self.total = math.log(max(sum(words.values()), 1))
+        self.trie = DoubleArray({w: math.log(f) - self.total for w, f in words.items() if f > 0})
+
+    @classmethod
+    def of(cls, vocabulary: DataFrame) -> DictionaryTokenizer:
+        """From a table (word, frequency); of a repeated word the greatest frequency."""
+        rows = vocabulary.where("word IS NOT NULL AND frequency > 0").groupBy(F.lower("word").alias("word")).agg(F.max("frequency").alias("frequency")).limit(cls.MAX_WORDS + 1)
+        return cls({r["word"]: int(r["frequency"]) for r in rows.collect()})
+
+    def ends(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether a token ends behind each code point of adjoining texts, which end at `bounds`."""
+        n = len(points)
+        codes = np.zeros(n + len(bounds), np.int64)  # a 0 behind every text, so that no word crosses
+        place = np.arange(n) + np.searchsorted(bounds, np.arange(n), "right")
+        codes[place] = self.trie.codes(points)
+        back = np.full(len(codes), -1)
+        back[place] = np.arange(n)
+        found = [(length, back[at], v) for length, at, v in self.trie.matches(codes)]
+        cover = np.zeros(n + 1, np.int64)  # words that cross from a place to the next
+        for length, at, _ in found:
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + length - 1, -1)
+        alone = np.cumsum(cover)[:n] == 0
+        longest = max((length for length, _, _ in found), default=1)
+        share = np.full((longest, n), -np.inf)
+        share[0] = -self.total  # a character of no word counts as a word of frequency 1
+        for length, at, v in found:
+            share[length - 1, at] = v
+        last = np.flatnonzero(alone)  # where a piece ends
+        size = np.diff(np.r_[-1, last])
+        order = np.argsort(-size, kind="stable")
+        last, size = last[order], size[order]
+        best, step = np.zeros(n + longest + 1), np.ones(n, np.int64)
+        for back_by in range(int(size[0]) if n else 0):
+            at = last[: np.searchsorted(-size, -back_by, "left")] - back_by
+            options = np.stack([np.where(k <= back_by, share[k, at] + np.where(k == back_by, 0.0, best[at + k + 1]), -np.inf) for k in range(min(longest, back_by + 1))])
+            pick = len(options) - 1 - np.argmax(options[::-1], 0)  # the longest of equal ones
+            best[at], step[at] = options[pick, np.arange(len(at))], pick + 1
+        out = np.zeros(n, bool)
+        at = last - size + 1
+        while len(at):  # all pieces walk their paths together
+            end = at + step[at] - 1
+            out[end] = True
+            going = end < last
+            at, last = end[going] + 1, last[going]
+        return out
+
+    def cut_all(self, texts: list[str]) -> list[list[str]]:
+        low = [t.lower() for t in texts]
+        bounds = np.cumsum([len(t) for t in low])
+        joined = "".join(low)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out = self.ends(points, bounds)
+        plain = ((points >= 97) & (points <= 122)) | ((points >= 48) & (points <= 57))
+        single = out & np.r_[True, out[:-1]][: len(out)]
+        edge = np.zeros(len(points) + 1, bool)
+        edge[bounds] = True
+        merged = single & plain & ~edge[1:]
+        merged[:-1] &= (single & plain)[1:]
+        if len(merged):
+            merged[-1] = False
+        stops = np.flatnonzero(out & ~merged) + 1
+        pieces = [joined[a:b].strip() for a, b in zip(np.r_[0, stops][:-1].tolist(), stops.tolist(), strict=True)]
+        first = np.searchsorted(stops, np.r_[0, bounds], "right").tolist()
+        return [[x for x in pieces[a:b] if x] for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def cut(self, text: str) -> list[str]:
-        t, n = text.lower(), len(text)
-        best: list[tuple[float, int]] = [(0.0, n)] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            options = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if t[i:j] in self.words or j == i + 1:
-                    options.append((math.log(self.words.get(t[i:j], 1)) - self.total + best[j][0], j))
-            best[i] = max(options)
-        out, i = [], 0
-        while i < n:
-            out.append(t[i : best[i][1]].strip())
-            i = best[i][1]
-        return [x for x in out if x]
+        return self.cut_all([text])[0]
 
     def __call__(self, text: Column) -> Column:
-        cut = self.cut
+        cut_all, most = self.cut_all, CHARACTERS
 
         @F.pandas_udf("array<string>")
         def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield s.map(lambda x: cut(x) if x else [])
+                texts, out, lo = [t or "" for t in s], [], 0
+                ends = np.cumsum([len(t) for t in texts])
+                while lo < len(texts):  # of very long texts fewer at a time
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+                    out += cut_all(texts[lo:hi])
+                    lo = hi
+                yield pd.Series(out, index=s.index)
 
         return segment(text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import link_density
+from lodestone.sources import tables
 
 
 def hard_gate(chunks: DataFrame, least: int = 50) -> DataFrame:
@@ -19,16 +20,56 @@ def soft_warnings(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("warnings", w)
 
 
+#: Cells of a histogram within an octave, and distinct values of a range that are sorted.
+CELLS, FEW = 256, 1000
+
+
+def _same(a: str, b: str, group: tuple[str, ...]) -> Column:
+    """Equality of the group columns of two aliased frames, nulls included."""
+    out = F.lit(True)
+    for g in group:
+        out = out & F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}"))
+    return out
+
+
+def _narrowed(counted: DataFrame, value: str, state: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """For every (group, s): the cell of its range that holds the value with index `want`, with the rows below it."""
+    v, lo, hi = (F.col(c).cast("double") for c in (f"c.{value}", "s.lo", "s.hi"))
+    # a range of several octaves is cut by octaves, one within an octave evenly: at most some eight rounds, however the values lie
+    octave = F.when(v == 0, 0).otherwise(F.signum(v) * (2000 + F.floor(F.log2(F.abs(v)))))
+    narrow = (F.signum(lo) == F.signum(hi)) & (F.greatest(F.abs(lo), F.abs(hi)) <= 2 * F.least(F.abs(lo), F.abs(hi)))
+    even = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * (CELLS - 1))).otherwise(0)
+    where = F.when(F.isnan(v), 9001).when(F.abs(v) == float("inf"), F.signum(v) * 9000).when(narrow, even).otherwise(octave).cast("int")
+    rows = counted.alias("c").join(state.alias("s"), _same("c", "s", group) & F.col(f"c.{value}").between(F.col("s.lo"), F.col("s.hi")))
+    cells = rows.select(*[f"c.{g}" for g in group], "s.s", "s.want", "s.below", F.col("s.m").alias("before"), where.alias("cell"), F.col(f"c.{value}").alias("v"), "c.c")
+    hist = cells.groupBy(*group, "s", "cell").agg(F.first("want").alias("want"), F.first("below").alias("below"), F.first("before").alias("before"), F.sum("c").alias("c"), F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = Window.partitionBy(*group, "s").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # some 4,000 rows at most
+    hist = hist.withColumn("upto", F.col("below") + F.sum("c").over(upto)).where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("c") <= F.col("want")))
+    return hist.select(*group, "s", "want", (F.col("upto") - F.col("c")).alias("below"), "m", "before", "lo", "hi")
+
+
 def percentiles_by_index(values: DataFrame, value: str, *shares: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by index floor(n * p) of the sorted values (not interpolated), whatever the number of rows: values
-    are counted first, and the running count finds each index. The windows run over a group's distinct values."""
-    counted = values.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    counted = counted.withColumn("upto", F.sum("c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by))
-    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    cols = [F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    extra = [F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean")]
-    return counted.groupBy(*group).agg(*extra, *cols)
+    """Percentiles by index floor(n * p) of the sorted values (not interpolated), exact, of all groups and shares at once.
+
+    Equal values are counted first. Each wanted index has a range of values; a histogram of its cells, summed before it is
+    shuffled, gives the cell that holds the index, whose least and greatest values are the next range. Only ranges of at most FEW
+    distinct values are sorted, so no task sees a group's values. NaN is above all numbers; nulls don't count.
+    """
+    counted = tables.written(values.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c")), "counted")
+    stats = counted.groupBy(*group).agg(F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean"), F.count("*").alias("m"))
+    each = stats.where("n > 0").select(*group, F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("s", "p"), "n", "m", F.col("least").alias("lo"), F.col("most").alias("hi"))
+    state = each.select(*group, "s", F.least(F.floor(F.col("n") * F.col("p")), F.col("n") - 1).alias("want"), F.lit(0).cast("long").alias("below"), "m", F.lit(None).cast("long").alias("before"), "lo", "hi")
+    open_ = (F.col("m") > FEW) & (F.col("before").isNull() | (F.col("m") < F.col("before")))  # a range that can't be cut is sorted
+    state = tables.written(state, "ranks")
+    while state.where(open_).take(1):
+        state = tables.written(state.where(~open_).unionByName(_narrowed(counted, value, state.where(open_), group)), "ranks")
+    rows = counted.alias("c").join(state.alias("s"), _same("c", "s", group) & F.col(f"c.{value}").between(F.col("s.lo"), F.col("s.hi")))
+    rows = rows.select(*[f"c.{g}" for g in group], "s.s", "s.want", "s.below", F.col(f"c.{value}").alias("v"), "c.c")
+    upto = Window.partitionBy(*group, "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("upto", F.col("below") + F.sum("c").over(upto)).where("upto > want").groupBy(*group, "s").agg(F.min("v").alias("v"))
+    wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("s") == i, F.col("v"))).alias(f"p{round(p * 100)}") for i, p in enumerate(shares)])
+    out = stats.drop("m").alias("a").join(wide.alias("b"), _same("a", "b", group), "left")
+    return out.select(*[f"a.{g}" for g in group], "n", "least", "most", "mean", *[f"p{round(p * 100)}" for p in shares])
 
 
 def diff(before: DataFrame, after: DataFrame, key: str = "doc_key", digest: str = "digest") -> DataFrame:
@@ -57,8 +98,8 @@ def base_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.crossJoin(chunks.agg(F.count("*").alias("chunks")))  # one row each
 
 
-def doc_type_filter(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of chunks with one of the wanted types; a query that matches none isn't filtered."""
+def doc_type_filter(requests: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id) of chunks with one of the wanted types, and the queries that match none, which aren't filtered."""
     hits = requests.join(chunks, requests["doc_type"] == chunks["doc_type"]).select("query_id", "chunk_id")
     none = requests.select("query_id").distinct().join(hits.select("query_id").distinct(), "query_id", "left_anti")
     return hits.distinct(), none

@@ -29,10 +29,18 @@ def relations(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def link_index(chunks: DataFrame) -> DataFrame:
-    """link -> sorted chunk ids (an inverted index row per link and chunk is `relations`)."""
+    """(name, n_chunks, first_chunk) of every link; its list of chunks is `link_lists`."""
     return chunks.select("chunk_id", F.explode("wiki_links").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
+def link_lists(chunks: DataFrame, size: int = 1000) -> DataFrame:
+    """(name, part, parts, chunk_ids): every link's chunk ids in parts of about `size`, each sorted; a link that very many chunks hold has many parts."""
+    rows = chunks.select("chunk_id", F.explode("wiki_links").alias("name")).distinct()
+    parts = rows.groupBy("name").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = rows.join(parts, "name").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
+    return dealt.groupBy("name", "part", "parts").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+
+
 def lookup_or(requests: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, name_pos, name, type, frequency, chunk_id) of every requested name that is known."""
     return requests.join(entries, "name").join(edges, "name", "left").select("query_id", "name_pos", "name", "type", "frequency", "chunk_id")

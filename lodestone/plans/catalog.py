@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.tokenize import DictionaryTokenizer
 from lodestone.operators import bm25, chat, chunking, corpus, entities, fusion, impacts, ivf, linking, routing, vectors
 from lodestone.sources import tables
 
@@ -386,6 +387,23 @@ def eval_precision_recall(spark, d):
     return chat.precision_recall(got, rel)
 
 
+HAN = "的一是不了人我在有他这为之大来以个中上们到说国和地也"
+
+
+def _han(text):
+    """Latin letters as Chinese ones, without blanks: runs that only a dictionary can cut."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "abcdefghijklmnopqrstuvwxyz", HAN), " +", "")
+
+
+@query()
+def dictionary_tokens(spark, d):
+    """Documents as Chinese runs, cut by the words of the dictionary (a table of words and frequencies)."""
+    words = dictionary(spark, d)[0].select(_han(F.col("name")).alias("word"), "frequency")
+    tokens = DictionaryTokenizer.of(words)(_han(F.col("text")))
+    t = load(spark, d, "documents").select("doc_id", tokens.alias("t"))
+    return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.filter("t", lambda w: F.length(w) >= 8)).alias("words"), F.md5(F.array_join("t", "|")).alias("digest"))
+
+
 @query()
 def highlight(spark, d):
     hits = _bm25(spark, d, 5).join(texts(spark, d), "query_id").join(chunks(spark, d), "chunk_id")

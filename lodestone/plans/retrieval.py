@@ -305,6 +305,14 @@ def link_index(spark, d):
     return entities.link_index(per)
 
 
+@query(f"WITH {ENTRIES} SELECT name, array_to_string(list(chunk_id ORDER BY chunk_id), ',') AS chunk_ids FROM edge GROUP BY name")
+def link_lists(spark, d):
+    """Every link's chunks; here a link's parts are put together."""
+    per = dictionary(spark, d)[1].groupBy("chunk_id").agg(F.collect_set("name").alias("wiki_links"))
+    whole = entities.link_lists(per).groupBy("name").agg(F.array_sort(F.flatten(F.collect_list("chunk_ids"))).alias("ids"))
+    return whole.select("name", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("chunk_ids"))
+
+
 @query(f"WITH {ENTRIES} SELECT edge.name, chunk_id, trim(translate(substr(text, 1, 200), chr(10), ' ')) AS context FROM edge JOIN documents ON chunk_id = doc_id")
 def entry_relations(spark, d):
     e, edges = dictionary(spark, d)

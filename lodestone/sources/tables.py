@@ -114,12 +114,20 @@ def read_index(spark: SparkSession, path: str):
 
 
 def write_vectors(vectors: DataFrame, path: str) -> dict:
-    """Replace the vectors' table; returns the index policy for its size."""
-    from lodestone.operators.vectors import index_policy
+    """Replace the vectors' table and, where the policy for its size names an inverted file, build that beside it (`<path>-index`).
+
+    Returns the policy, the rows, and the index's configuration. The exact search needs no index; the policy's graph has none either.
+    """
+    from lodestone.operators import ivf
+    from lodestone.operators import vectors as operators
 
     vectors.write.mode("overwrite").parquet(path)
-    row = vectors.sparkSession.read.parquet(path).agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    return index_policy(row["n"], row["dim"] or 0) | {"rows": row["n"]}
+    rows = vectors.sparkSession.read.parquet(path)
+    row = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    config = operators.index_policy(row["n"], row["dim"] or 0) | {"rows": row["n"]}
+    if config["kind"] == "inverted-file":
+        config |= ivf.build(rows, f"{path}-index", config["partitions"], config["sub_vectors"]).config
+    return config
 
 
 def write_parents(parents: DataFrame, path: str) -> None:

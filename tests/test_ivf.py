@@ -6,6 +6,12 @@ import numpy as np
 import pytest
 
 from lodestone.operators import ivf, vectors
+from lodestone.sources import tables
+
+
+@pytest.fixture(autouse=True)
+def few_rounds(monkeypatch):
+    monkeypatch.setattr(ivf, "ROUNDS", 4)
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +68,11 @@ def test_empty_and_single(spark, tmp_path):
     assert ivf.search(ivf.build(none, str(tmp_path / "a")), q).count() == 0
     one = ivf.build(spark.createDataFrame([(7, [2.0, 0.0])], none.schema), str(tmp_path / "b"))
     assert [tuple(r) for r in ivf.search(one, q).select("query_id", "chunk_id", "score", "pos").collect()] == [(1, 7, 1.0, 1)]
+
+
+def test_the_sink_builds_the_index_that_the_policy_names(spark, tmp_path, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i), 2.0]) for i in range(60)], "chunk_id long, embedding array<double>")
+    assert tables.write_vectors(v, str(tmp_path / "few")) == {"kind": "none", "rows": 60} and not tables.exists(spark, str(tmp_path / "few-index"))
+    monkeypatch.setattr(vectors, "index_policy", lambda n, dim: {"kind": "inverted-file", "partitions": 4, "sub_vectors": 2})
+    config = tables.write_vectors(v, str(tmp_path / "many"))
+    assert config["lists"] == 4 and ivf.read(spark, str(tmp_path / "many-index")).vectors.count() == 60
