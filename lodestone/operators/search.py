@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import entities, fusion, routing
+from lodestone.functions import text
+from lodestone.operators import entities, fusion, linking, routing
 from lodestone.operators.routing import Profile
 from lodestone.sources import tables
 
@@ -79,6 +80,44 @@ def best_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.min(F.struct(meta.cast("int").alias("m"), (-F.length("content")).alias("n"), "chunk_id")).alias("x")).select("doc_id", "x.chunk_id")
 
 
+def context_hits(requests: DataFrame, entries: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, step, x struct<name_pos, frequency>): chunks of all of a query's entities, else of any; each once, by its first name."""
+    both, any_ = entities.lookup_and(requests, entries, edges), entities.lookup_or(requests, entries, edges).where("type = 'entity'")
+    several = requests.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id")
+    with_and = both.where("chunk_id IS NOT NULL").join(several, "query_id", "left_semi").withColumn("step", F.lit("and"))
+    with_or = any_.where("chunk_id IS NOT NULL").join(with_and.select("query_id").distinct(), "query_id", "left_anti").withColumn("step", F.lit("or"))
+    known = with_and.unionByName(with_or).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return known.groupBy("query_id", "chunk_id", "step").agg(F.min(F.struct("name_pos", "frequency")).alias("x"))
+
+
+#: Documents under this many tokens are taken whole; of a longer one three windows around names are, which count as SNIPPETS tokens.
+WHOLE_BELOW, SNIPPETS = 3000, 300
+
+
+def entity_documents(requests: DataFrame, entries: DataFrame, edges: DataFrame, chunks: DataFrame, articles: DataFrame | None = None, budget: int = 6000) -> DataFrame:
+    """(query_id, pos, kind, name, tokens, whole, upto, content): what a query's entities bring to its prompt, in order, as far as `budget` tokens reach.
+
+    `articles(name, content)` of the requested names come first, in the names' order, then the documents of the chunks of all names, else of any
+    (`context_hits`), by first occurrence. Short documents come whole, long ones as the windows around names. `upto` is the running sum of tokens; the
+    first piece that passes the budget ends the packing, so a piece is never cut. Links are reduced to their words.
+    """
+    plain = lambda c: text.strip_links(F.col(c))
+    hits = context_hits(requests, entries, edges, chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    docs = hits.groupBy("query_id", "doc_id").agg(F.min(F.struct("x.name_pos", "chunk_id")).alias("at"))
+    names = requests.groupBy("query_id").agg(F.array_sort(F.collect_set("name")).alias("names"))  # names of one query text
+    whole_text = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda c: c["content"]), "\n").alias("text"))  # chunks of one document
+    rows = docs.join(whole_text, "doc_id").join(names, "query_id").select("query_id", F.lit(1).alias("part"), "at.name_pos", "at.chunk_id", F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("name"), plain("text").alias("text"), "names")
+    if articles is not None:
+        known = requests.join(articles, "name").join(names, "query_id").select("query_id", F.lit(0).alias("part"), "name_pos", F.lit(None).cast(rows.schema["chunk_id"].dataType).alias("chunk_id"), F.lit("article").alias("kind"), "name", plain("content").alias("text"), "names")
+        rows = known.unionByName(rows)
+    rows = rows.withColumn("tokens", text.estimate_tokens(F.col("text"))).withColumn("whole", (F.col("tokens") < WHOLE_BELOW) | (F.col("kind") == "article"))
+    order = Window.partitionBy("query_id").orderBy("part", "name_pos", "chunk_id", "name")
+    cost = F.when(F.col("whole"), F.col("tokens")).otherwise(SNIPPETS)
+    rows = rows.withColumns({"pos": F.row_number().over(order), "upto": F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0))}).where(F.col("upto") <= budget)
+    content = F.when(F.col("whole"), F.col("text")).otherwise(linking.contexts(F.col("text"), F.col("names")))
+    return rows.select("query_id", "pos", "kind", "name", "tokens", "whole", "upto", content.alias("content"))
+
+
 def recall_chain(requests: DataFrame, entries: DataFrame, edges: DataFrame, links: DataFrame, chunks: DataFrame, top_k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, pos, step): a query's entity chunks by the first step that finds any.
 
@@ -86,12 +125,7 @@ def recall_chain(requests: DataFrame, entries: DataFrame, edges: DataFrame, link
     of names, a chunk counts once, unknown chunks are left out, the score is frequency / 500. Else the documents with most weighted
     `links(name, doc_id)`, by their best chunk ("links").
     """
-    both, any_ = entities.lookup_and(requests, entries, edges), entities.lookup_or(requests, entries, edges).where("type = 'entity'")
-    several = requests.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id")
-    with_and = both.where("chunk_id IS NOT NULL").join(several, "query_id", "left_semi").withColumn("step", F.lit("and"))
-    with_or = any_.where("chunk_id IS NOT NULL").join(with_and.select("query_id").distinct(), "query_id", "left_anti").withColumn("step", F.lit("or"))
-    known = with_and.unionByName(with_or).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    first = known.groupBy("query_id", "chunk_id", "step").agg(F.min(F.struct("name_pos", "frequency")).alias("x"))
+    first = context_hits(requests, entries, edges, chunks)
     order = Window.partitionBy("query_id").orderBy("x.name_pos", "chunk_id")
     context = first.select("query_id", "chunk_id", (F.col("x.frequency") / 500).alias("score"), F.row_number().over(order).alias("pos"), "step").where(F.col("pos") <= top_k)
     rest = requests.join(context.select("query_id").distinct(), "query_id", "left_anti")

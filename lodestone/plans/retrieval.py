@@ -119,6 +119,17 @@ def entity_recall_chain(spark, d):
     return _chain(spark, d)
 
 
+@query(f"""WITH {CHAIN}, dt AS (SELECT doc_id, t, ceil((length(t) - length(o)) / 1.5 + length(o) / 4.0)::BIGINT AS tokens FROM (SELECT doc_id, t, regexp_replace(t, '{T.CJK}', '', 'g') AS o FROM (SELECT doc_id, regexp_replace(text, '\\[\\[([^\\]]+)\\]\\]', '\\1', 'g') AS t FROM documents))),
+ed AS (SELECT query_id, chunk_id, tokens, tokens < {search.WHOLE_BELOW} AS whole, t, row_number() OVER w AS pos, sum(CASE WHEN tokens < {search.WHOLE_BELOW} THEN tokens ELSE {search.SNIPPETS} END) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM fs JOIN dt ON doc_id = chunk_id WINDOW w AS (PARTITION BY query_id ORDER BY np, chunk_id))
+SELECT query_id, pos, chunk_id::VARCHAR AS name, tokens, whole, upto, CASE WHEN whole THEN md5(t) END AS digest FROM ed WHERE upto <= 6000""")
+def entity_documents(spark, d):
+    """The documents of each query's entities in a budget of 6,000 tokens."""
+    e, edges = dictionary(spark, d)
+    req = tables.written(_requests(spark, d, e), "requests")
+    r = search.entity_documents(req, e.drop("category"), edges, chunks(spark, d))
+    return r.select("query_id", F.col("pos").cast("long").alias("pos"), "name", "tokens", "whole", "upto", F.when(F.col("whole"), F.md5("content")).alias("digest"))
+
+
 @query(_hybrid_sql("baseline", tail=f", {CHAIN.removeprefix(MATCH + ', ')}, mq AS (SELECT item_id AS query_id, CASE item_id % 5 WHEN 3 THEN 'entity' WHEN 4 THEN 'rrf' ELSE 'auto' END AS method FROM benchmark), en AS (SELECT query_id FROM mq WHERE method = 'entity' OR method = 'auto' AND query_id IN (SELECT query_id FROM ch)) SELECT query_id, chunk_id, score, pos::BIGINT AS pos, 'entity' AS route FROM ch WHERE query_id IN (SELECT query_id FROM en) UNION ALL SELECT query_id, chunk_id, score, rank, 'rrf' FROM done WHERE query_id NOT IN (SELECT query_id FROM en)"))
 def routed_search(spark, d):
     """Queries ask for a route or leave it open; one left open takes the entity route if that finds anything, else hybrid search with its names."""
