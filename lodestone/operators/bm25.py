@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from lodestone.functions.tokenize import Tokenizer, index_tokens, query_tokens, regex_tokens
+from lodestone.sources import tables
+
+#: Postings a row of a task's counts at most, and tokens that a task counts together.
+RUN, TOKENS = 64, 1_000_000
 
 
 class TextIndex(NamedTuple):
@@ -19,13 +28,54 @@ class TextIndex(NamedTuple):
     corpus: DataFrame
 
 
+def _counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(chunk_id, tokens) -> (term, ids, counts) in runs of at most RUN chunks; the runs of a null term hold the chunks' lengths."""
+    t = pa.Table.from_batches(held)
+    ids, lists = t.column(0).combine_chunks(), t.column(1).combine_chunks()
+    coded = pc.list_flatten(lists).dictionary_encode()
+    key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + pc.list_parent_indices(lists).to_numpy()
+    key, tf = np.unique(key, return_counts=True)
+    none = len(coded.dictionary)
+    term, row = np.r_[key // len(ids), np.full(len(ids), none)], np.r_[key % len(ids), np.arange(len(ids))]
+    tf = np.r_[tf, pc.list_value_length(lists).to_numpy()]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    place = np.arange(len(term)) - np.repeat(first, np.diff(np.r_[first, len(term)]))
+    start = np.flatnonzero(place % RUN == 0)
+    ends = pa.array(np.r_[start, len(term)], pa.int32())
+    words = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).take(pa.array(term[start]))
+    return pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(ends, ids.take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], ["term", "ids", "counts"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += pc.sum(pc.list_value_length(b.column(1))).as_py() or 0
+        if size > TOKENS:
+            yield _counted(held)
+            held, size = [], 0
+    if held:
+        yield _counted(held)
+
+
 def build_index(chunks: DataFrame, stop: list[str] = (), tokenizer: Tokenizer = regex_tokens) -> TextIndex:
-    """Index `chunks(chunk_id, content)`; empty contents are left out."""
+    """Index `chunks(chunk_id, content)`, whose chunk_id is a key; empty contents are left out.
+
+    Words are counted where the chunks are read, so a posting is shuffled at most once, in runs that share their word. The runs
+    are written to the shared folder: texts are read and cut once for postings and lengths. Runs are dealt by ranges of (term, chunk),
+    so a word of all chunks is divided too.
+    """
     tokens = chunks.where(F.trim("content") != "").select("chunk_id", index_tokens(F.col("content"), stop, tokenizer).alias("tokens"))
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    doc_len = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
+    of = types.ArrayType(chunks.schema["chunk_id"].dataType)
+    schema = types.StructType([types.StructField("term", types.StringType()), types.StructField("ids", of), types.StructField("counts", types.ArrayType(types.IntegerType()))])
+    runs = tables.written(tokens.mapInArrow(_runs, schema), "runs")
+    rows = lambda r, name: r.select("term", F.explode(F.arrays_zip("ids", "counts")).alias("p")).select("term", F.col("p.ids").alias("chunk_id"), F.col("p.counts").cast("long").alias(name))
+    words = runs.where("term IS NOT NULL")
+    dealt = words.withColumn("first", F.col("ids")[0]).repartitionByRange("term", "first").sortWithinPartitions("term", "first")
+    doc_len = rows(runs.where("term IS NULL"), "dl").drop("term")
     corpus = doc_len.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return TextIndex(postings, doc_len, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
+    return TextIndex(rows(dealt, "tf"), doc_len, words.groupBy("term").agg(F.sum(F.size("ids")).alias("df")), corpus)
 
 
 def search(index: TextIndex, queries: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, stop: list[str] = (), tokenizer: Tokenizer = regex_tokens) -> DataFrame:

@@ -199,8 +199,8 @@ edge AS (SELECT term AS name, chunk_id FROM post JOIN ent ON term = name)"""
 
 def dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     def write(path: str) -> None:
-        post = text_index(spark, d).postings
-        e = post.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$")).groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df >= 3")
+        post = text_index(spark, d).postings.where((F.length("term") >= 8) & F.col("term").rlike(r"^\p{L}+$"))
+        e = post.groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df")).where("df >= 3")
         e.select(F.col("term").alias("name"), F.when(F.length("term") % 2 == 0, "entity").otherwise("concept").alias("type"), F.lit("").alias("category"), "frequency").write.parquet(f"{path}/entries")
         names = spark.read.parquet(f"{path}/entries").select(F.col("name").alias("term"))
         post.join(names, "term").select(F.col("term").alias("name"), "chunk_id").write.parquet(f"{path}/edges")

@@ -148,12 +148,9 @@ def write_struct(entries: DataFrame, edges: DataFrame, path: str) -> dict[str, i
 
 
 def write_index(index, path: str) -> None:
-    """The tables of a text index; postings are sorted by term so term filters prune row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    spark = index.postings.sparkSession
-    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
-    spark.read.parquet(f"{path}/doc_len").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
+    """The tables of a text index. Its postings come sorted by term, so term filters prune files and row groups."""
+    for name in index._fields:
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_manifest(path: str) -> dict | None:
