@@ -74,6 +74,9 @@ class DoubleArray:
                 top = max(top, b + int(codes[-1]))
                 self.base[state], self.check[b + codes] = b, state
                 todo += [(b + c, start, end, depth + 1) for c, start, end in children]
+        used = int(np.flatnonzero(self.check >= 0)[-1]) + 2  # what travels to the tasks: 16 bytes a place, and a free one that `matches` falls back to
+        self._reach(used)
+        self.base, self.check, self.value = self.base[:used].astype(np.int32), self.check[:used].astype(np.int32), self.value[:used].copy()
 
     def _reach(self, place: int) -> None:
         if place >= len(self.check):
