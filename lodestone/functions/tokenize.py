@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that are segmented together.
 CHARACTERS = 1 << 18
+#: The longest pieces of a batch whose paths are found by themselves, and places of one that are looked at together.
+FEW, LOOK = 16, 1 << 14
 
 
 class Tokenizer(Protocol):
@@ -144,21 +146,39 @@ class DictionaryTokenizer:
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length - 1, -1)
         alone = np.cumsum(cover)[:n] == 0
-        longest = max((length for length, _, _ in found), default=1)
-        share = np.full((longest, n), -np.inf)
-        share[0] = -self.total  # a character of no word counts as a word of frequency 1
-        for length, at, v in found:
-            share[length - 1, at] = v
+        ones = np.ones(n, bool)
+        for length, at, _ in found:
+            if length == 1:
+                ones[at] = False
+        ones = np.flatnonzero(ones)  # a character of no word counts as a word of frequency 1
+        start = np.concatenate([ones, *(at for _, at, _ in found)]).astype(np.int32)
+        words = np.concatenate([np.ones(len(ones), np.int32), *(np.full(len(at), length, np.int32) for length, at, _ in found)])
+        worth = np.concatenate([np.full(len(ones), -self.total), *(v for _, _, v in found)])
+        order = np.lexsort((words, start))
+        words, worth = words[order], worth[order]
+        first = np.searchsorted(start[order], np.arange(n + 1))  # where a place's words begin, short ones first
         last = np.flatnonzero(alone)  # where a piece ends
         size = np.diff(np.r_[-1, last])
         order = np.argsort(-size, kind="stable")
         last, size = last[order], size[order]
-        best, step = np.zeros(n + longest + 1), np.ones(n, np.int64)
-        for back_by in range(int(size[0]) if n else 0):
-            at = last[: np.searchsorted(-size, -back_by, "left")] - back_by
-            options = np.stack([np.where(k <= back_by, share[k, at] + np.where(k == back_by, 0.0, best[at + k + 1]), -np.inf) for k in range(min(longest, back_by + 1))])
-            pick = len(options) - 1 - np.argmax(options[::-1], 0)  # the longest of equal ones
-            best[at], step[at] = options[pick, np.arange(len(at))], pick + 1
+        best, step = np.zeros(n + 1), np.ones(n, np.int64)
+        together = int(size[FEW]) if len(size) > FEW else 0
+        for back_by in range(together):
+            stop = last[: np.searchsorted(-size, -back_by, "left")]
+            at = stop - back_by
+            many = first[at + 1] - first[at]
+            owner = np.repeat(np.arange(len(at)), many)
+            head = np.cumsum(many) - many
+            rows = np.arange(len(owner)) + (first[at] - head)[owner]
+            behind = at[owner] + words[rows]
+            total = worth[rows] + np.where(behind > stop[owner], 0.0, best[behind])
+            best[at] = np.maximum.reduceat(total, head)
+            equal = np.flatnonzero(total == best[at][owner])
+            pick = np.zeros(len(at), np.int64)
+            pick[owner[equal]] = rows[equal]  # the longest of equal ones is written last
+            step[at] = words[pick]
+        for k in range(min(FEW, len(size)) if n else 0):
+            self._walk(int(last[k]) - together, int(last[k]) - int(size[k]) + 1, int(last[k]), first, words, worth, best, step)
         out = np.zeros(n, bool)
         at = last - size + 1
         while len(at):  # all pieces walk their paths together
@@ -168,6 +188,26 @@ class DictionaryTokenizer:
             at, last = end[going] + 1, last[going]
         return out
 
+    @staticmethod
+    def _walk(hi: int, lo: int, stop: int, first: np.ndarray, words: np.ndarray, worth: np.ndarray, best: np.ndarray, step: np.ndarray) -> None:
+        """The best paths from the places hi, hi - 1, ... lo of the piece that ends at `stop`, one after another: the few longest pieces
+        of a batch would make the steps of all pieces together mostly empty."""
+        ahead = best[hi + 1 : stop + 1][:LOOK].tolist()[::-1]  # of the places behind, the nearest last
+        while hi >= lo:
+            low = max(lo, hi - LOOK + 1)
+            at, w, v = (first[low : hi + 2] - first[low]).tolist(), words[first[low] : first[hi + 1]].tolist(), worth[first[low] : first[hi + 1]].tolist()
+            length = [1] * (hi - low + 1)
+            for i in range(hi, low - 1, -1):
+                top, pick = -math.inf, 1
+                for r in range(at[i - low], at[i - low + 1]):
+                    t = v[r] + 0.0 if i + w[r] > stop else v[r] + (ahead[-w[r]] if w[r] <= len(ahead) else float(best[i + w[r]]))
+                    if t >= top:
+                        top, pick = t, w[r]
+                ahead.append(top)
+                length[i - low] = pick
+            best[low : hi + 1], step[low : hi + 1] = ahead[: -(hi - low + 2) : -1], length
+            ahead, hi = ahead[-LOOK:], low - 1
+
     def cut_all(self, texts: list[str]) -> list[list[str]]:
         low = [t.lower() for t in texts]
         bounds = np.cumsum([len(t) for t in low])
