@@ -203,8 +203,8 @@ def _annotate_beyond(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return joined.withColumn("x", run("content", "names")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x", "names")
 
 
-def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
-    """(chunk_id, name) of names that stand in a chunk without a link."""
+def missing_names(chunks: DataFrame, names: list[str]) -> Column:
+    """The names that stand in a chunk's content without a link."""
     box = chunks.sparkSession.sparkContext.broadcast(names)
 
     @F.pandas_udf("array<string>")
@@ -213,7 +213,12 @@ def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
         for s in batches:
             yield s.map(lambda t: missing_in_text(t, known))
 
-    return chunks.select("chunk_id", F.explode(run("content")).alias("name"))
+    return run("content")
+
+
+def missing_links(chunks: DataFrame, names: list[str]) -> DataFrame:
+    """(chunk_id, name) of names that stand in a chunk without a link."""
+    return chunks.select("chunk_id", F.explode(missing_names(chunks, names)).alias("name"))
 
 
 def contexts(content: Column, names: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import lexicon
 from lodestone.functions import text as T
 from lodestone.functions.tokenize import index_tokens, query_tokens
-from lodestone.operators import bm25, chat, chunking, corpus, entities, model_calls, routing, search
+from lodestone.operators import bm25, chat, chunking, corpus, entities, model_calls, reports, routing, search
 from lodestone.plans import catalog
 from lodestone.plans.catalog import ENTRIES, MATCH, PAIR, POSTINGS, QTERMS, SLIDE, TOK, VEC, chunks, dictionary, load, query, texts
 from lodestone.sources import tables
@@ -454,3 +454,27 @@ def concept_articles(spark, d):
     model_calls.run(prompts, model_calls.StandIn("## 定义\n", fails="7"), path)
     calls = model_calls.run(prompts, model_calls.StandIn("## 定义\n"), path)
     return model_calls.concept_articles(concepts, calls).select("name", "run", F.md5("content").alias("digest"))
+
+
+ROWS = "\n| a | b |\n| --- | --- |\n" + "| 1 | 2 |\n" * 30
+CUT_CHUNKS = f"""td AS (SELECT doc_id, text || '{ROWS}' AS text FROM documents WHERE text IS NOT NULL), tc AS ({SLIDE.replace("FROM documents", "FROM td")}),
+tm AS (SELECT doc_id, chunk_index::INT AS chunk_index, length(content) AS n, array_to_string(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN starts_with(trim(x), '|') AND ends_with(trim(x), '|') THEN CASE WHEN contains(x, '---') THEN 'r' ELSE 't' END ELSE ' ' END), '') AS m FROM tc),
+tf AS (SELECT doc_id, chunk_index, n, trim(m) <> '' AS has_table, regexp_matches(m, '(^| )(r|t+)( |$)') AS is_cut FROM tm)"""
+
+
+def _chunk_report(spark: SparkSession, d: str) -> reports.Report:
+    """A report on sliding chunks of documents that end with a table, taken while they are written."""
+    docs = load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit(ROWS)).alias("content"))
+    return reports.write_chunks(chunking.sliding(docs), f"{tables.work_dir(spark)}/chunks-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {CUT_CHUNKS} SELECT count(*) AS chunks, count_if(has_table)::BIGINT AS tables, count_if(is_cut)::BIGINT AS cut, count_if(n < 100)::BIGINT AS short, coalesce(min(n), 0) AS least, coalesce(max(n), 0) AS most, coalesce(floor(avg(n)), 0)::BIGINT AS mean FROM tf")
+def chunk_write_report(spark, d):
+    """The figures that were observed while the chunks were written."""
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in _chunk_report(spark, d).summary.items()])
+
+
+@query(f"WITH {CUT_CHUNKS} SELECT doc_id, count(*) AS chunks, count_if(has_table)::BIGINT AS tables, count_if(is_cut)::BIGINT AS cut FROM tf GROUP BY doc_id")
+def chunk_document_counts(spark, d):
+    """Every document's chunks, those with a table and those with a cut one, from what was written."""
+    return reports.document_counts(_chunk_report(spark, d))
