@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 CHARACTERS = 1 << 18
 #: The longest pieces of a batch whose paths are found by themselves, and places of one that are looked at together.
 FEW, LOOK = 16, 1 << 14
+TOKENS = pa.list_(pa.string())
 
 
 class Tokenizer(Protocol):
@@ -233,15 +234,15 @@ class DictionaryTokenizer:
     def __call__(self, text: Column) -> Column:
         cut_all, most = self.cut_all, CHARACTERS
 
-        @F.pandas_udf("array<string>")
-        def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                texts, out, lo = [t or "" for t in s], [], 0
+        @F.arrow_udf("array<string>")
+        def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                texts, out, lo = [t or "" for t in b.to_pylist()], [pa.array([], TOKENS)], 0
                 ends = np.cumsum([len(t) for t in texts])
                 while lo < len(texts):  # of very long texts fewer at a time
                     hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-                    out += cut_all(texts[lo:hi])
+                    out.append(pa.array(cut_all(texts[lo:hi]), TOKENS))  # tokens leave Python's memory with every piece
                     lo = hi
-                yield pd.Series(out, index=s.index)
+                yield pa.concat_arrays(out)
 
         return segment(text)
