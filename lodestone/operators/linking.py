@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources import tables
+
 MAX_NAMES = 200_000
+#: Characters of a name beside its run that belong to its anchor, so that a name of short runs isn't sought in every text.
+SIDE = 4
 _LINKED = re.compile(r"\[\[[^\]]*\]\]")
 _RUN = re.compile(r"[A-Za-z0-9_]+")
 
@@ -153,22 +157,56 @@ def annotate(chunks: DataFrame, names: list[str]) -> DataFrame:
 
 
 def with_anchors(entries: DataFrame) -> DataFrame:
-    """(name, anchor): the longest run of ASCII word characters, which `pattern_of` only lets occur whole; the name itself if it has none."""
+    """(name, anchor, n, l, r): the longest run of ASCII word characters, which `pattern_of` only lets occur whole, with up to SIDE characters of
+    the name before (l) and after it (r); n is the run's length. A name without a run is its own anchor, with n 0."""
     runs = F.transform(F.regexp_extract_all("name", F.lit(f"({_RUN.pattern})"), F.lit(1)), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
-    return entries.where("name <> ''").select("name").distinct().select("name", F.coalesce(F.array_max(runs)["run"], F.col("name")).alias("anchor"))
-
-
-def anchors_in(text: str | None, runs: set[int], windows: set[int]) -> set[str]:
-    """Anchors of all names that may occur in a text: its runs of the lengths `runs`, and between runs every window of the lengths `windows`."""
-    out = {r for r in _RUN.findall(text or "") if len(r) in runs}
-    for gap in _RUN.split(text or "") if windows else ():
-        out.update(gap[i : i + n] for n in windows for i in range(len(gap) - n + 1))
-    return out
-
-
-def anchor_lengths(anchors: list[str]) -> tuple[set[int], set[int]]:
-    """Lengths of the anchors that are runs, and of those that aren't."""
-    return {len(a) for a in anchors if _RUN.match(a)}, {len(a) for a in anchors if not _RUN.match(a)}
+    best = entries.where("name <> ''").select("name").distinct().withColumn("run", F.coalesce(F.array_max(runs)["run"], F.lit("")))
+    at, n = F.instr("name", F.col("run")), F.length("run")  # none is longer, so its first place is a whole run
+    side = best.select("name", n.alias("n"), at.alias("at"), F.when(n > 0, F.least(at - 1, F.lit(SIDE))).otherwise(0).alias("l"), F.when(n > 0, F.least(F.length("name") - at + 1 - n, F.lit(SIDE))).otherwise(0).alias("r"))
+    return side.select("name", F.when(F.col("n") > 0, F.substring("name", F.col("at") - F.col("l"), F.col("l") + F.col("n") + F.col("r"))).otherwise(F.col("name")).alias("anchor"), "n", "l", "r")
+
+
+class Anchors:
+    """Finds the anchors of all names that may occur in a text, from the shapes (n, l, r) of the names' anchors, the characters beside their runs, and the
+    lengths of anchors without a run (windows). A run has at most (SIDE + 1)^2 shapes, and only those with l or r 0 where its neighbour is beside no name's run."""
+
+    def __init__(self, shapes: Iterable[tuple[int, int, int]], windows: Iterable[int], before: Iterable[str], after: Iterable[str]):
+        self.windows, self.before, self.after = sorted(windows), frozenset(before), frozenset(after)
+        self.plain: set[int] = set()
+        self.shapes: dict[int, list[list[tuple[int, int]]]] = {}  # by length of the run: before, after, both
+        for n, left, right in shapes:
+            if left or right:
+                self.shapes.setdefault(n, [[], [], []])[bool(left) + 2 * bool(right) - 1].append((left, right))
+            else:
+                self.plain.add(n)
+        beside = "".join(map(re.escape, sorted(self.before | self.after)))
+        #: Stretches of runs and such neighbours that hold a neighbour; the rest of a text has no anchor but plain runs and windows.
+        self.sided = re.compile(rf"(?<![A-Za-z0-9_])[A-Za-z0-9_]*+[{beside}][A-Za-z0-9_{beside}]*+") if beside else None
+
+    @classmethod
+    def of(cls, names: DataFrame) -> Anchors:
+        """From `with_anchors`; the driver gets the shapes and characters that occur, not the names."""
+        rows = names.select("n", "l", "r", F.when(F.col("n") == 0, F.length("anchor")).alias("w")).distinct().collect()
+        beside = lambda cond, at: [r[0] for r in names.where(cond).select(F.substring("anchor", at, F.lit(1))).distinct().collect()]
+        return cls([(r["n"], r["l"], r["r"]) for r in rows if r["n"]], {r["w"] for r in rows if not r["n"]}, beside("l > 0", F.col("l")), beside("r > 0", F.col("l") + F.col("n") + 1))
+
+    def __call__(self, text: str | None) -> set[str]:
+        text = text or ""
+        out = {w for w in set(_RUN.findall(text)) if len(w) in self.plain} if self.plain else set()
+        for stretch in self.sided.finditer(text) if self.sided else ():
+            for m in _RUN.finditer(text, *stretch.span()):
+                i, end = m.span()
+                shapes = self.shapes.get(end - i)
+                if shapes:
+                    beside = (bool(i) and text[i - 1] in self.before) + 2 * (end < len(text) and text[end] in self.after)
+                    for kind in (1, 2, 3):
+                        if kind & beside == kind:
+                            out.update(text[i - left : end + right] for left, right in shapes[kind - 1] if i >= left and end + right <= len(text))
+        for gap in _RUN.split(text) if self.windows else ():
+            if len(gap) >= self.windows[0]:
+                for n in self.windows:
+                    out.update(gap[i : i + n] for i in range(len(gap) - n + 1))
+        return out
 
 
 def annotate_joined(chunks: DataFrame, entries: DataFrame) -> DataFrame:
@@ -176,6 +214,7 @@ def annotate_joined(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 
     Up to MAX_NAMES names are broadcast as one automaton; more are joined with the texts' anchors, and each chunk gets its own.
     """
+    tables.small_batches(chunks.sparkSession)
     names = with_anchors(entries)
     rows = names.select("name").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
@@ -184,20 +223,21 @@ def annotate_joined(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _annotate_beyond(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    one = names.select(F.col("anchor").rlike(f"^{_RUN.pattern}").alias("run"), F.length("anchor").alias("n")).distinct().collect()  # bounded by the longest name
-    runs, windows = ({r["n"] for r in one if r["run"] == v} for v in (True, False))
+    """Anchors of texts meet those of names by their hashes (two numbers a row); names that only share a hash aren't found in the text. A text is shuffled once, to its names."""
+    find = Anchors.of(names)
 
     @F.pandas_udf("array<string>")
     def anchors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: list(anchors_in(t, runs, windows)))
+            yield s.map(lambda t: list(find(t)))
 
     @F.pandas_udf("content string, n_linked int")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, keys in batches:
             yield pd.DataFrame([annotate_text(t, Names(k if k is not None else [])) for t, k in zip(texts, keys)], columns=["content", "n_linked"])
 
-    found = chunks.select("chunk_id", F.explode(anchors("content")).alias("anchor")).join(names, "anchor")
+    sought = chunks.select("chunk_id", F.explode(anchors("content")).alias("anchor")).select("chunk_id", F.xxhash64("anchor").alias("anchor"))
+    found = sought.join(names.select("name", F.xxhash64("anchor").alias("anchor")), "anchor")
     own = found.groupBy(F.col("chunk_id").alias("own_id")).agg(F.collect_list("name").alias("names"))
     joined = chunks.join(own, chunks["chunk_id"].eqNullSafe(own["own_id"]), "left").drop("own_id")
     return joined.withColumn("x", run("content", "names")).withColumns({"content": F.col("x.content"), "n_linked": F.col("x.n_linked")}).drop("x", "names")

@@ -47,3 +47,22 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT kb_tokenize('A b-C') AS t, kb_estimate_tokens('abcd中文字') AS n, kb_strip_links('[[x]]') AS s, kb_cosine(array(1D, 0D), array(1D, 0D)) AS c").first()
     assert (r["t"], r["n"], r["s"], r["c"]) == (["a", "b", "c"], 3, "x", 1.0)
     assert spark.sql("SELECT * FROM kb_chunk('d', 'One sentence.')").count() == 1
+
+
+def test_names_of_short_runs_meet_only_their_own_texts(spark, monkeypatch):
+    """Names of one short run each: sought by that run alone, every name met every text that holds it."""
+    import random
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("éóñ", k=rng.randint(1, 5))) + "es" + "".join(rng.choices("éóñ", k=rng.randint(0, 5))) for _ in range(150)})
+    texts = [" ".join(rng.choices([*names, "es", "esé", "yes", "éesés", "ñ", "é es", "中éesé"], k=20)) for _ in range(60)]
+    names += ["a b", "b", "ab es", "é", "éé", "ñ ñ"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    entries = spark.createDataFrame([(n,) for n in names], "name string")
+    want = sorted(map(tuple, linking.annotate(chunks, names).collect()))
+    monkeypatch.setattr(linking, "MAX_NAMES", 5)
+    assert sorted(map(tuple, linking.annotate_joined(chunks, entries).collect())) == want
+    anchors = linking.with_anchors(entries)
+    find, keys = linking.Anchors.of(anchors), [r["anchor"] for r in anchors.collect()]
+    met = sum(keys.count(a) for t in texts for a in find(t))
+    assert met < 60 * len(names) / 4 and max(map(keys.count, keys)) <= 4
