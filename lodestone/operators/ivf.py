@@ -5,8 +5,11 @@ vectors (its rounds are Spark jobs that merge sums in a tree, so the driver sees
 is then assigned to its list and coded. Codes and vectors are written as two tables partitioned by list, so a search reads the
 probed lists only: codes to choose candidates, vectors of the candidates' lists to score them exactly.
 
-A search deals code blocks and query blocks by list (rows are blocks of bounded size, so a list of very many vectors is many rows), keeps the best
-candidates of each task, and re-ranks them with exact cosines: scores are those of `vectors.top_k`, only hits may be missing. `audit`
+A search deals blocks and query blocks by list (rows are blocks of bounded size, so a list of very many vectors is many rows). While all queries
+together have fewer candidates than the index has vectors, it reads codes, keeps the best candidates of each task, and re-ranks them with exact cosines.
+With more candidates than that, moving each with its vector would cost more than the lists themselves: then the vectors of the probed lists meet the
+query blocks, all of them are scored where they meet, and only the k best of a task move on. Scores are those of `vectors.top_k`, only hits may be
+missing, and those that the codes find are always found without them. `audit`
 measures how many, against the exact search, and doubles lists and candidates until the wanted recall is met; with every
 list probed and every vector a candidate the search is exact, so the audit ends.
 
@@ -22,7 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import vectors
@@ -201,7 +204,7 @@ def read(spark: SparkSession, path: str) -> Index:
 
 
 def _probes(box, probes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of unit query vectors for each list they probe."""
+    """Blocks of unit query vectors for each list they probe, handed on by BATCH_BYTES: a query is repeated for all its lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = box.value.centroids
@@ -209,11 +212,35 @@ def _probes(box, probes: int) -> Iterator[pa.RecordBatch]:
             ids = b.column(0).to_numpy()
             rows, x = _entries(b.column(1), c.shape[1])
             at = np.argsort(-(x @ c.T), 1, kind="stable")[:, :probes]
-            out = []
+            out, size = [], 0
             for n in np.unique(at).tolist():
                 own = np.flatnonzero((at == n).any(1))
+                for i in range(0, len(own), ROWS):
+                    out.append((n, ids[rows[own[i : i + ROWS]]].tolist(), x[own[i : i + ROWS]].tobytes()))
+                    size += len(out[-1][2])
+                    if size > vectors.BATCH_BYTES:
+                        yield _blocks(out, ["list", "q_ids", "q"])
+                        out, size = [], 0
+            yield _blocks(out, ["list", "q_ids", "q"])
+
+    return run
+
+
+def _blocks(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.binary()))], names)
+
+
+def _listed(dim: int) -> Iterator[pa.RecordBatch]:
+    """Rows (list, chunk_id, embedding) packed into blocks of at most ROWS unit vectors of one list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, ids, out = b.column(0).to_numpy(), b.column(1).to_numpy(), []
+            rows, x = _entries(b.column(2), dim)
+            for n in np.unique(at[rows]).tolist():
+                own = np.flatnonzero(at[rows] == n)
                 out += [(n, ids[rows[own[i : i + ROWS]]].tolist(), x[own[i : i + ROWS]].tobytes()) for i in range(0, len(own), ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int64()), pa.binary()))], ["list", "q_ids", "q"])
+            yield _blocks(out, ["list", "ids", "entries"])
 
     return run
 
@@ -247,10 +274,28 @@ def _rows(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "chunk_id", "estimate"])
 
 
+def _by_codes(index: Index, box, near: DataFrame, blocks: DataFrame, probed: Column, k: int, candidates: int) -> DataFrame:
+    """The `candidates` times k best of every query by their codes, scored exactly."""
+    pairs = index.codes.where(probed).select("list", "ids", "codes").join(blocks, "list")
+    rough = pairs.select("list", "ids", "codes", "q_ids", "q").mapInArrow(_estimate(box, candidates * k), "query_id long, chunk_id long, estimate double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "chunk_id")
+    chosen = rough.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= candidates * k).select("query_id", "chunk_id")
+    exact = chosen.join(index.vectors.where(probed), "chunk_id").join(near, "query_id")
+    return exact.select("query_id", "chunk_id", F.round(vectors.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score"), F.lit(0).alias("pos"))
+
+
+def _by_vectors(index: Index, blocks: DataFrame, probed: Column, k: int) -> DataFrame:
+    """The k best of each task for every query, from all vectors of the probed lists."""
+    dim = F.lit(index.config["dim"])
+    listed = index.vectors.where(probed).select("list", "chunk_id", "embedding").mapInArrow(_listed(index.config["dim"]), "list int, ids array<long>, entries binary")
+    pairs = listed.join(blocks, "list").select("ids", dim.alias("dim"), "entries", "q_ids", dim.alias("q_dim"), "q")
+    return pairs.mapInArrow(vectors._Best(k), "query_id long, chunk_id long, score double").withColumn("pos", F.lit(0))
+
+
 def search(index: Index, queries: DataFrame, k: int = 20, probes: int | None = None, candidates: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, pos) of `queries(query_id, query_vec)`, as `vectors.top_k` gives them but for missed hits.
 
-    `probes` lists a query are read and `candidates` times k of their vectors are scored exactly (default: what the last audit
+    `probes` lists a query are read and at least `candidates` times k of their vectors are scored exactly (default: what the last audit
     set). Queries of another length or without a direction meet every vector.
     """
     spark = index.vectors.sparkSession
@@ -264,14 +309,14 @@ def search(index: Index, queries: DataFrame, k: int = 20, probes: int | None = N
     if odd.take(1):
         out.append(vectors.top_k(index.vectors, odd, k))
     if index.codes is not None:
-        blocks = tables.written(near.repartition(1 + near.count() // vectors.QUERY_BLOCK).mapInArrow(_probes(box, probes), "list int, q_ids array<long>, q binary"), "probes")
-        lists = [r[0] for r in blocks.select("list").distinct().collect()]  # at most as many as the index has
-        pairs = index.codes.where(F.col("list").isin(lists)).select("list", "ids", "codes").join(blocks, "list")
-        rough = pairs.select("list", "ids", "codes", "q_ids", "q").mapInArrow(_estimate(box, candidates * k), "query_id long, chunk_id long, estimate double")
-        best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "chunk_id")
-        chosen = rough.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= candidates * k).select("query_id", "chunk_id")
-        exact = chosen.join(index.vectors.where(F.col("list").isin(lists)), "chunk_id").join(near, "query_id")
-        out.append(exact.select("query_id", "chunk_id", F.round(vectors.cosine(F.col("embedding"), F.col("query_vec")), 6).alias("score"), F.lit(0).alias("pos")))
+        asked_n = near.count()
+        blocks = near.repartition(1 + asked_n // vectors.QUERY_BLOCK).mapInArrow(_probes(box, probes), "list int, q_ids array<long>, q binary")
+        probed = F.col("list") >= 0
+        if probes < index.config["lists"]:
+            blocks = tables.written(blocks, "probes")
+            probed = F.col("list").isin([r[0] for r in blocks.select("list").distinct().collect()])  # at most as many as the index has
+        few = asked_n * candidates * k <= index.config["rows"]
+        out.append(_by_codes(index, box, near, blocks, probed, k, candidates) if few else _by_vectors(index, blocks, probed, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     found = out[0]
     for more in out[1:]:

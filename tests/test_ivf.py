@@ -76,3 +76,36 @@ def test_the_sink_builds_the_index_that_the_policy_names(spark, tmp_path, monkey
     monkeypatch.setattr(vectors, "index_policy", lambda n, dim: {"kind": "inverted-file", "partitions": 4, "sub_vectors": 2})
     config = tables.write_vectors(v, str(tmp_path / "many"))
     assert config["lists"] == 4 and ivf.read(spark, str(tmp_path / "many-index")).vectors.count() == 60
+
+
+@pytest.fixture
+def many_queries(spark, tmp_path):
+    x = np.random.default_rng(10).normal(size=(1200, 8))  # without clusters: an audit sets many probes and candidates
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)] + [(2000, [0.0] * 8), (2001, [1.0])], "chunk_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 1200, 5)], "query_id long, query_vec array<double>")
+    return ivf.build(v, str(tmp_path), lists=12, sub_vectors=2), v, q
+
+
+def test_many_queries_move_no_vector_a_candidate(spark, many_queries):
+    index, v, q = many_queries
+    rows = lambda d: sorted(map(tuple, d.select("query_id", "chunk_id", "score", "pos").collect()))
+    assert rows(ivf.search(index, q, 5, probes=12, candidates=300)) == rows(vectors.top_k(v, q, 5))
+    got = ivf.search(index, q, 5, probes=3, candidates=40)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join \w+, .*chunk_id", plan) and "Join Inner, (list" in plan  # vectors and queries meet by list, not by candidate
+    assert re.search(r"PartitionFilters: \[list#\d+ IN", ivf.search(index, q.limit(1), 5, probes=3, candidates=250)._jdf.queryExecution().toString())
+    codes = ivf.search(index, q.limit(4), 5, probes=3, candidates=40)  # few enough for the codes
+    found = {r[:2]: r[2] for r in rows(got)}
+    exact = {r[:2] for r in rows(vectors.top_k(v, q.limit(4), 5))}
+    assert {r[:2] for r in rows(codes)} & exact <= set(found) and all(found.get(r[:2], r[2]) == r[2] for r in rows(codes))
+
+
+def test_query_blocks_are_handed_on_in_bounded_batches(many_queries, monkeypatch):
+    import pyarrow as pa
+
+    index, _, q = many_queries
+    monkeypatch.setattr(vectors, "BATCH_BYTES", 20_000)
+    box = type("Box", (), {"value": index.trained})
+    batches = list(ivf._probes(box, 12)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(r[0], r[1]) for r in q.collect()])], ["a", "b"])])))
+    assert len(batches) > 3 and all(b.nbytes < 60_000 for b in batches)
+    assert sum(len(ids) for b in batches for ids in b.column(1).to_pylist()) == 12 * 240
