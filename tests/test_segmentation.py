@@ -1,6 +1,7 @@
 """Dictionary segmentation against a path search by the letter, and its use in BM25."""
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -56,3 +57,30 @@ def test_vocabulary_table_and_bm25(spark):
     index = bm25.build_index(d, tokenizer=tok)
     found = bm25.search(index, spark.createDataFrame([(7, "测试知识")], "query_id long, query string"), tokenizer=tok)
     assert {r["chunk_id"] for r in found.collect()} == {1, 2}
+
+
+def test_tries_of_many_words_are_built_level_by_level():
+    rng = np.random.default_rng(6)
+    letters = np.array([chr(0x4E00 + i) for i in range(900)] + list("abcdefghij𝒳"))
+    wide = {"".join(rng.choice(letters, int(rng.integers(1, 4)))): float(i) for i in range(20_000)}  # a root of some 900 children
+    narrow = {"".join(w): float(i) for i, w in enumerate(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (100_000, 9)))}
+    began = time.process_time()
+    tries = [DoubleArray(wide), DoubleArray(narrow), DoubleArray({}), DoubleArray({"": 1.0})]
+    assert time.process_time() - began < 8  # some 1 s; node by node it was 30 s for 200,000 words
+    for words, trie in zip((wide, narrow), tries, strict=False):
+        text = "".join(rng.choice(list(words), 300)) + "q" + "".join(rng.choice(letters, 3000))
+        got = {(int(a), n): v for n, at, value in trie.matches(trie.codes(np.array([ord(c) for c in text]))) for a, v in zip(at, value, strict=True)}
+        assert got == {(i, n): words[text[i : i + n]] for i in range(len(text)) for n in range(1, 10) if text[i : i + n] in words and i + n <= len(text)}
+        assert len(trie.base) < 3 * len({w[:n] for w in words for n in range(1, len(w) + 1)}) + 5_000
+    assert not any(len(at) for t in tries[2:] for _, at, _ in t.matches(t.codes(np.array([97, 98]))))
+
+
+def test_tokens_as_arrow_arrays():
+    words = {"知识库": 5, "　知识": 9, "测 试": 4, "𝒳𝒴": 7, "é": 2, "库\x85": 3}
+    tok = DictionaryTokenizer(words)
+    texts = ["知识库　知识测 试", "", "  \n", "a1 𝒳𝒴é\x1f库\x85é", "　", "é 𝒳 ab"]
+    got = tok.segmented(texts)
+    got.validate(full=True)
+    assert str(got.type) == "list<item: string>"
+    assert got.to_pylist() == tok.cut_all(texts) == [brute(words, t) for t in texts]
+    assert tok.segmented([]).to_pylist() == [] and tok.segmented(["", ""]).to_pylist() == [[], []]
