@@ -22,16 +22,22 @@ def upto(hits: DataFrame, sizes: DataFrame, size: str = "recall") -> DataFrame:
 HITS = "query_id long, chunk_id long, score double, pos int"
 
 
+def stage(name: str, path: Callable[[], DataFrame], schema: str = HITS) -> DataFrame:
+    """A path's hits, run to its end as a stage of its own and written."""
+    return tables.written(path().select(*[F.col(c.name).cast(c.dataType) for c in T._parse_datatype_string(schema)]), f"path-{name}")
+
+
 def isolated(spark: SparkSession, paths: dict[str, Callable[[], DataFrame]], schema: str = HITS) -> tuple[dict[str, DataFrame], DataFrame]:
     """Each path's hits, run to its end as a stage of its own and written, and the failures (path, error, message).
 
     A path that raises, when it is planned or when it runs, gives no hits and one row that names it; the others are answered and fused
-    without it. Paths run one after the other; each is split into tasks, so the cluster is full while one runs.
+    without it, so the caller must hand on the failures with what it makes of the hits. Paths run one after the other; each is split into
+    tasks, so the cluster is full while one runs.
     """
     found, failed = {}, []
     for name, path in paths.items():
         try:
-            found[name] = tables.written(path().select(*[F.col(c.name).cast(c.dataType) for c in T._parse_datatype_string(schema)]), f"path-{name}")
+            found[name] = stage(name, path, schema)
         except Exception as e:  # whatever a path's source or function raises
             found[name] = spark.createDataFrame([], schema)
             failed.append((name, type(e).__name__, " ".join(str(e).split())[:500]))

@@ -35,14 +35,14 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str, profile: str, allowed: DataFrame | None = None, req: DataFrame | None = None) -> DataFrame:
-    """Each path is a written stage of its own; one that fails is fused as empty."""
+    """Each path is a written stage of its own. One that fails fails the query: its hits are part of the result."""
     e, edges = dictionary(spark, d)
     req = tables.written(_requests(spark, d, e), "requests") if req is None else req
     p = routing.profile(profile)
     paths = {"vector": lambda: _vectors(spark, d), "bm25": lambda: catalog._bm25(spark, d, 40)}
     if p.use_struct and allowed is None:
         paths["struct"] = lambda: search.struct_path(req, e.drop("category"), edges)
-    found, _ = search.isolated(spark, paths)
+    found = {name: search.stage(name, path) for name, path in paths.items()}
     return search.hybrid(texts(spark, d), req, chunks(spark, d), found["vector"], found["bm25"], found.get("struct"), p, TOP, allowed)
 
 
