@@ -315,6 +315,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, probes: int | None = N
         if probes < index.config["lists"]:
             blocks = tables.written(blocks, "probes")
             probed = F.col("list").isin([r[0] for r in blocks.select("list").distinct().collect()])  # at most as many as the index has
+        blocks = blocks.hint("merge")  # a query is repeated for every list it probes, which Spark's estimate of the blocks doesn't hold: never broadcast
         few = asked_n * candidates * k <= index.config["rows"]
         out.append(_by_codes(index, box, near, blocks, probed, k, candidates) if few else _by_vectors(index, blocks, probed, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

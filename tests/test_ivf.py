@@ -40,6 +40,16 @@ def test_recall_and_pruned_lists(spark, clustered, tmp_path):
     assert index.vectors.count() == v.where("embedding IS NOT NULL").count()
 
 
+@pytest.mark.parametrize("candidates", [1, 1000])
+def test_probing_blocks_are_never_broadcast(spark, clustered, tmp_path, candidates):
+    """All lists repeat each query 256 times and more; the estimate of the blocks is that of the queries alone."""
+    v, q = clustered
+    index = ivf.build(v, str(tmp_path), lists=32, sub_vectors=4)
+    for probes in (6, 32):
+        plan = ivf.search(index, q, 10, probes=probes, candidates=candidates)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [list" in plan and "BroadcastHashJoin [list" not in plan
+
+
 def test_all_lists_and_candidates_are_exact(spark, clustered, tmp_path):
     v, q = clustered
     index = ivf.build(v.where("chunk_id % 4 = 0 OR chunk_id >= 5000"), str(tmp_path), lists=5, sub_vectors=3)
