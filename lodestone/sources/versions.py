@@ -153,7 +153,7 @@ class Store:
         own = pieces.select("chunk_id", "doc_id")
         links = documents.select("doc_id", F.explode(F.array_distinct(T.wiki_links(F.col("content")))).alias("name"))
         return {
-            "documents": documents.select("doc_id", "content", "digest"), "chunks": pieces, "postings": index.postings.join(own, "chunk_id"),
+            "documents": documents.select("doc_id", "content", "digest"), "chunks": pieces, "postings": index.postings.drop("dl").join(own, "chunk_id"),
             "doc_len": index.doc_len.join(own, "chunk_id"), "edges": links, "vectors": documents.where("embedding IS NOT NULL").select("doc_id", "embedding"),
         }
 

@@ -1,9 +1,12 @@
 """Pruned BM25 against the exhaustive search on random corpora, and what it reads."""
 
+import re
+
 import numpy as np
 import pytest
 
 from lodestone.operators import bm25, impacts
+from lodestone.sources import tables
 
 
 def corpus(spark, seed, n, vocabulary, skew=1.1):
@@ -52,3 +55,30 @@ def test_cheaper_way(spark, monkeypatch):
     monkeypatch.setattr(impacts, "PAIRS", 10)
     many = impacts.best(index, lambda: impacts.build(index), queries, 7)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_postings_are_never_shuffled_with_their_words(spark, tmp_path):
+    chunks, queries = corpus(spark, 7, 300, 200)
+    tables.write_index(bm25.build_index(chunks), str(tmp_path / "t"))
+    index = impacts.build(tables.read_index(spark, str(tmp_path / "t")))
+    plan = index.blocks._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange (hash|range)partitioning", plan)  # blocks are made where the postings are read
+    impacts.write(index, str(tmp_path / "i"))
+    s = impacts.Search(impacts.read(spark, str(tmp_path / "i")), queries, 5)
+    words = len(s.asked.select("term").distinct().collect())
+    most = s.numbers.selectExpr("count(*) n").first()["n"]
+    moved = s._moved(s.asked)
+    assert moved.columns == ["chunk_id", "no", "value"] and words < most  # numbers only, a row for a posting whatever the queries
+    own = s.index.blocks.join(s.asked.select("term").distinct(), "term").selectExpr("sum(size(postings)) n").first()["n"]
+    assert moved.count() == own < s.asked.selectExpr("sum(n) n").first()["n"]
+
+
+def test_chunks_of_text_ids_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impacts, "HEAD", 2)
+    monkeypatch.setattr(impacts, "BLOCK", 4)
+    monkeypatch.setattr(bm25, "QUERIES", 5)
+    chunks, queries = corpus(spark, 8, 250, 120)
+    named = chunks.selectExpr("concat('c', chunk_id) chunk_id", "content")
+    index = bm25.build_index(named)
+    got = impacts.search(impacts.build(index._replace(postings=index.postings.drop("dl"))), queries, 6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm25.search(index, queries, 6).collect()))
