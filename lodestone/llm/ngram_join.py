@@ -47,8 +47,8 @@ GROUPS = 1 << GROUP_BITS
 HUB_KEYS = (3, 5, 7)
 #: Members of one hub that a task compares at once, and rows of pairs looked at together.
 SLOT, SLICE = 4096, 16_384
-#: Least blocks of a class that its rows carry.
-FIRSTS = 6
+#: Least blocks of a class that its rows carry, and rows of blocks that are searched together.
+FIRSTS, MEMBERS = 6, 4096
 #: Log2 of the bits of the class bitmap (4 MB).
 BITMAP = 25
 _WIDE = np.uint64(16)
@@ -193,16 +193,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Sets:
-    """(cls, n, body) of the classes whose bit is set, once per split."""
+    """Rows (t1, text) -> (cls, n, body) of the classes whose bit is set, once per split; only texts whose t1 has its bit set are cut into shingles."""
 
-    def __init__(self, bitmap):
-        self.bitmap = bitmap
+    def __init__(self, bitmap, texts):
+        self.bitmap, self.texts = bitmap, texts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = self.bitmap.value, set()
         for b in batches:
+            slot = b.column(0).to_numpy() & ((1 << BITMAP) - 1)
+            wanted = self.texts.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+            if not wanted.any():
+                continue
             out, held = [], 0
-            for s in shingle_sets(b.column(0)):
+            for s in shingle_sets(b.column(1).take(pa.array(np.flatnonzero(wanted)))):
                 if not len(s):
                     continue
                 cls = class_id(s)
@@ -224,72 +228,110 @@ class _Sets:
 
 
 class RTree:
-    """Bulk-loaded R-tree over count vectors. Nodes keep upper corners, the range of sizes and that of components,
-    as the overlap bound is the sum of coordinate minima of upper corners."""
+    """Bulk-loaded R-trees over count vectors, one for each block of `block` (ascending; by default all are one). Nodes keep upper corners, the range of sizes and that of
+    components, as the overlap bound is the sum of coordinate minima of upper corners. The trees grow and are searched together, so blocks of a few members cost no calls of their own."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, comp: np.ndarray | None = None):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, comp: np.ndarray | None = None, block: np.ndarray | None = None):
         comp = np.arange(len(sizes)) if comp is None else comp
-        self.order = np.lexsort((counts.argmax(1), sizes, comp))
-        n, c = sizes[self.order], comp[self.order]
+        block = np.zeros(len(sizes), np.int64) if block is None else block
+        self.order = np.lexsort((counts.argmax(1), sizes, comp, block))
+        n, c, own = sizes[self.order], comp[self.order], block[self.order]
         self.levels = [(counts[self.order], n, n, c, c)]
-        while len(self.levels[-1][0]) > 1:
+        self.children: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        trees = len(np.unique(own))
+        while len(own) > trees:
             hi, least, most, lo_c, hi_c = self.levels[-1]
-            cut = np.arange(0, len(hi), LEAF)
+            start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            cut = np.flatnonzero((np.arange(len(own)) - np.repeat(start, np.diff(np.r_[start, len(own)]))) % LEAF == 0)
             self.levels.append((np.maximum.reduceat(hi, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.minimum.reduceat(lo_c, cut), np.maximum.reduceat(hi_c, cut)))
+            self.children.append((cut, np.diff(np.r_[cut, len(own)])))
+            own = own[cut]
 
     def slices(self) -> Iterator[np.ndarray]:
-        """All pairs (i, j) of indices from different components whose bound reaches the overlap that a link needs."""
-        todo = [(len(self.levels) - 1, np.array([[0, 0]], np.int64))]
+        """All pairs (i, j) of indices from different components of a block whose bound reaches the overlap that a link needs."""
+        roots = np.arange(len(self.levels[-1][0]))
+        todo = [(len(self.levels) - 1, np.stack([roots, roots], 1))] if len(roots) else []
         while todo:
             depth, front = todo.pop()
             hi, least, most, lo_c, hi_c = self.levels[depth]
             i, j = front[:, 0], front[:, 1]
             ok = (4 * most[i] >= 3 * least[j]) & (4 * most[j] >= 3 * least[i])
             ok &= (lo_c[i] != hi_c[i]) | (lo_c[j] != hi_c[j]) | (lo_c[i] != lo_c[j])
+            if not depth:
+                ok &= i < j
             front = front[ok]
             i, j = front[:, 0], front[:, 1]
-            front = front[7 * np.minimum(hi[i], hi[j]).sum(1) >= 3 * (least[i] + least[j])]
+            front = front[7 * np.minimum(hi[i], hi[j]).sum(1, dtype=np.int64) >= 3 * (least[i] + least[j])]
             if not depth:
-                if len(front := front[front[:, 0] < front[:, 1]]):
+                if len(front):
                     yield self.order[front]
                 continue
-            n, below, step = len(self.levels[depth - 1][0]), np.arange(LEAF), SLICE // (LEAF * LEAF)
-            for lo in range(0, len(front), step):
-                f = front[lo : lo + step]
-                i = np.repeat(f[:, :1] * LEAF + below, LEAF, 1).reshape(-1)
-                j = np.tile(f[:, 1:] * LEAF + below, (1, LEAF)).reshape(-1)
-                ok = (i <= j) & (j < n) & (i < n)
+            first, many = self.children[depth]
+            total = np.cumsum(many[front[:, 0]] * many[front[:, 1]])
+            lo = 0
+            while lo < len(front):
+                upto = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE, "right")))
+                f = front[lo:upto]
+                n, m = many[f[:, 0]] * many[f[:, 1]], many[f[:, 1]]
+                at, pair = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(f)), n)
+                i, j = first[f[pair, 0]] + at // m[pair], first[f[pair, 1]] + at % m[pair]
+                ok = i <= j
                 todo.append((depth - 1, np.stack([i[ok], j[ok]], 1)))
+                lo = upto
 
     def pairs(self) -> np.ndarray:
         return np.concatenate([np.empty((0, 2), np.int64), *self.slices()])
 
 
+#: By byte: the sum of its four counts.
+_FOUR = np.array([(x >> 6) + (x >> 4 & 3) + (x >> 2 & 3) + (x & 3) for x in range(256)], np.uint8)
+
+
+def coarse_points(counts: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The points of sets of n shingles at `GROUPS` groups, a row a set: `coarser(point(...), GROUPS)`."""
+    _, offsets, data = counts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[counts.offset : counts.offset + len(counts) + 1]
+    data, length = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), np.diff(offsets)
+    out = np.zeros((len(n), GROUPS + 1), np.int32 if len(n) and n.max() >= 1 << 15 else np.int16)
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length == size)
+        x = data[offsets[rows][:, None] + np.arange(size)]
+        x = _FOUR[x] if size >= GROUPS else np.stack([x >> 6, x >> 4 & 3, x >> 2 & 3, x & 3], 2)
+        out[rows, :-1] = x.reshape(len(rows), GROUPS, -1).sum(2, dtype=out.dtype)
+    out[:, -1] = n - out[:, :-1].sum(1, dtype=np.int64)
+    return out
+
+
 class _Search:
     """Rows (block, cls, n, counts, comp, firsts) sorted by block -> pairs of members of different components that the
     R-tree lets through: "all" of them, or each member's best-bounded one ("nearest").
 
     `firsts` are the class's `FIRSTS` least blocks. Of the blocks in which two classes meet only the least looks at
-    them, as far as these lists tell: a least common block in both lists is the least of all.
+    them, as far as these lists tell: a least common block in both lists is the least of all. Blocks are searched some `MEMBERS` rows together.
     """
 
     def __init__(self, mode: str):
         self.mode = mode
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.points: dict[int, np.ndarray] = {}
         self.sent: set[tuple[int, int]] = set()
-        held: list | None = None
+        held, rows = [], 0
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in (0, 1, 2, 4)] + [b.column(i).to_pylist() for i in (3, 5)]
-            if held is not None:
-                cols = [np.r_[x, y] for x, y in zip(held[:4], cols[:4])] + [held[4] + cols[4], held[5] + cols[5]]
-            cuts = np.r_[0, np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1].tolist()
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                yield from self.rows(self.solve(int(cols[0][lo]), *(c[lo:hi] for c in cols[1:])))
-            held = [c[cuts[-1] :] for c in cols] if len(cols[0]) else None
-        if held is not None:
-            yield from self.rows(self.solve(int(held[0][0]), *held[1:]))
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows < MEMBERS and sum(x.nbytes for x in held) < 4 << 20:
+                continue
+            t = pa.Table.from_batches(held)
+            block = t.column(0).to_numpy()
+            last = int(np.searchsorted(block[::-1] != block[-1], True)) if block[0] != block[-1] else len(block)  # rows of the block that may go on
+            if last < len(block):
+                yield from self.rows(self.solve(t.slice(0, len(block) - last)))
+            held, rows = t.slice(len(block) - last).to_batches(), last
+        if held:
+            yield from self.rows(self.solve(pa.Table.from_batches(held)))
 
     def rows(self, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """Pairs not sent lately, the greater class first."""
@@ -302,26 +344,30 @@ class _Search:
                 a, b = zip(*dict.fromkeys(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def point(self, cls: int, n: int, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(point at `GROUPS` groups, point as fine as it is), kept for the next blocks."""
+    def point(self, cls: int, n: int, counts: pa.Scalar) -> np.ndarray:
+        """The class's point as fine as it is, kept for the next pairs."""
         x = self.points.get(cls)
         if x is None:
             if len(self.points) > 10_000:
                 self.points.clear()
-            fine = point(counts, n)
-            x = self.points[cls] = (coarser(fine, GROUPS), fine.astype(np.int16) if n < 1 << 15 else fine)
+            fine = point(counts.as_py(), n)
+            x = self.points[cls] = fine.astype(np.int16) if n < 1 << 15 else fine
         return x
 
-    def solve(self, block: int, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, counts: list[bytes], firsts: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        points = [self.point(*x) for x in zip(cls.tolist(), n.tolist(), counts)]
-        seen = np.array([x + [x[0]] * (FIRSTS - len(x)) for x in firsts])
+    def solve(self, t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        block, cls, n, counts, comp, firsts = (c.chunk(0) for c in t.combine_chunks().columns)
+        block, cls, n, comp = (c.to_numpy() for c in (block, cls, n, comp))
+        length = firsts.value_lengths().to_numpy()
+        first = (np.cumsum(length) - length)[:, None]
+        seen = firsts.flatten().to_numpy()[first + np.where(np.arange(FIRSTS) < length[:, None], np.arange(FIRSTS), 0)]
         best, mate = np.zeros(len(cls)), np.full(len(cls), -1)
-        for p in RTree(np.stack([x[0] for x in points]), n, comp).slices():
+        for p in RTree(coarse_points(counts, n), n, comp, block).slices():
             i, j = p[:, 0], p[:, 1]
             both = (seen[i][:, :, None] == seen[j][:, None, :]).any(2)
             least = np.where(both, seen[i], np.iinfo(np.int64).max).min(1)
-            p = p[~both.any(1) | (least == block)]
-            share = np.array([bound_of(points[i][1], points[j][1]) for i, j in p.tolist()]) / np.maximum(n[p[:, 0]] + n[p[:, 1]], 1)
+            p = p[~both.any(1) | (least == block[i])]
+            fine = {x: self.point(int(cls[x]), int(n[x]), counts[x]) for x in np.unique(p).tolist()}
+            share = np.array([bound_of(fine[i], fine[j]) for i, j in p.tolist()]) / np.maximum(n[p[:, 0]] + n[p[:, 1]], 1)
             ok = 7 * share >= 3 - 1e-9
             p, share = p[ok], share[ok]
             if self.mode == "all":
@@ -375,11 +421,14 @@ def compared(pairs: DataFrame, bodies: DataFrame, test: Callable, read: Callable
     return sent.repartition(shuffle_parts(pairs.sparkSession), "hub", "slot").sortWithinPartitions("hub", "slot", "side").mapInArrow(_Compare(test, read), "a long, b long")
 
 
-def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of their classes, which are made again from the texts."""
+def verified(pairs: DataFrame, text: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of their classes, which are made again from `text(t1, text)`: from those texts alone that stand for
+    a class of a pair in `points(cls, t1)`."""
     spark = text.sparkSession
-    bitmap = bitmap_of(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))), spark, BITMAP)
-    sets = text.mapInArrow(_Sets(bitmap), "cls long, n long, body binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body"))
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    bitmap = bitmap_of(asked.withColumnRenamed("cls", "v"), spark, BITMAP)
+    texts = bitmap_of(points.join(asked, "cls", "left_semi").select(F.col("t1").alias("v")), spark, BITMAP)
+    sets = text.mapInArrow(_Sets(bitmap, texts), "cls long, n long, body binary").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body"))
     return materialize(compared(pairs, sets, _linked, unpacked), "ngram-links")
 
 
@@ -396,20 +445,21 @@ def placed_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select("text")
     keyed = docs.select(F.col("doc_id").cast("long"), *text_keys(F.col("text")), "text")
+    known_text = keyed.select("t1", "text")
     sketched = materialize(keyed.mapInArrow(_sketch, _SKETCH), "ngram-sketch")
     sample = sketched.where("sampled IS NOT NULL").groupBy("cls").agg(F.first("sampled").alias("sampled")).select(F.explode("sampled").alias("h"))
     top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     known = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], top["n"].to_numpy()[order] * SAMPLED))
-    points = materialize(sketched.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "counts", "keys")]), "ngram-points")
+    points = materialize(sketched.where("cls IS NOT NULL").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "counts", "keys")], F.min("t1").alias("t1")), "ngram-points")
 
     met = points.select("cls", "n", F.posexplode("keys").alias("k", "key"))
     hubs = met.groupBy("k", "key").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     near = met.join(hubs, ["k", "key"]).where("cls <> hub.cls AND 4 * n >= 3 * hub.n AND 4 * hub.n >= 3 * n")
     bodies = points.select("cls", "n", F.col("counts").alias("body"))
     pairs = materialize(compared(near.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), bodies, _bound_passes, point), "ngram-pairs")
-    links, tested, scratch = verified(pairs, text), pairs, [sketched, points, pairs]
+    links, tested, scratch = verified(pairs, known_text, points), pairs, [sketched, points, pairs]
     scratch.append(links)
     comp = components(links, "ngram")
 
@@ -427,7 +477,7 @@ def placed_rows(docs: DataFrame) -> DataFrame:
         blocks = blocks.drop("comp")
         if pairs.isEmpty():
             continue
-        more = verified(pairs, text)
+        more = verified(pairs, known_text, points)
         links, tested = links.unionByName(more), tested.unionByName(pairs)
         scratch.append(more)
         comp = components(links, "ngram")

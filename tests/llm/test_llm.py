@@ -5,8 +5,10 @@ import hashlib
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,36 @@ def test_rtree_loses_nothing():
     assert got == need
 
 
+def test_trees_of_many_blocks_equal_one_tree_a_block():
+    rng = np.random.default_rng(1)
+    block = np.sort(rng.choice(60, 900, p=np.r_[0.5, np.full(59, 0.5 / 59)]))  # one of some 450 members, the others of a few
+    c = (rng.poisson(2, (20, 64))[rng.integers(0, 20, 900)] + rng.poisson(0.2, (900, 64))).astype(np.int16)
+    n, comp = c.sum(1), rng.integers(0, 400, 900)
+    got = [tuple(sorted(p)) for p in ngram_join.RTree(c, n, comp, block).pairs().tolist()]
+    want = {(i, j) for i in range(900) for j in range(i + 1, 900) if block[i] == block[j] and comp[i] != comp[j] and 7 * np.minimum(c[i], c[j]).sum() >= 3 * (n[i] + n[j]) and 4 * n[i] >= 3 * n[j] and 4 * n[j] >= 3 * n[i]}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_coarse_points_of_sets_of_any_size():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64) << np.uint64(1)) for n in (1, 5, 64, 65, 128, 129, 300, 5000, 40_000)]
+    n = np.array([len(s) for s in sets])
+    counts = [ngram_join.group_counts(s) for s in sets]
+    want = [ngram_join.coarser(ngram_join.point(x, int(k)), ngram_join.GROUPS).tolist() for x, k in zip(counts, n, strict=True)]
+    assert ngram_join.coarse_points(pa.array([b"x", *counts], pa.binary())[1:], n).tolist() == want
+
+
+def test_only_asked_texts_are_cut(monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(50)]
+    cls = [ngram_join.class_id(s) for s in ngram_join.shingle_sets(pa.array(texts))]
+    bits = lambda values: SimpleNamespace(value=np.packbits(np.isin(np.arange(1 << ngram_join.BITMAP), [v & ((1 << ngram_join.BITMAP) - 1) for v in values]), bitorder="little"))
+    cut, whole = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda column: cut.append(len(column)) or whole(column))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["t1", "text"])
+    got = list(ngram_join._Sets(bits([cls[3], cls[7]]), bits([3, 7]))(iter([batch])))
+    assert sorted(c for b in got for c in b.column(0).to_pylist()) == sorted([cls[3], cls[7]]) and sum(cut) == 2
+
+
 def test_segments():
     for seed in range(30):
         s = np.random.default_rng(seed).normal(-0.3, 1, 60).round(2)
